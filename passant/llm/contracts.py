@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TOKENIZER_COUNTS = "piece_bpe_32k.model"
 
@@ -24,8 +25,32 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer(TOKENIZER_COUNTS), limit=4096)
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every document."""
+    from passant.llm.stream_dedup import exact_dedup
+
+    return exact_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts by kind, base_sha256 and spans for every document."""
+    from passant.llm.secret_scan import BASE_RULES, find_secrets, joined
+
+    found = find_secrets(_table(spark, sf_dir, "documents"), BASE_RULES)
+    counts = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE_RULES)]
+    spans = joined(F.col("spans"), BASE_RULES)
+    return found.select("doc_id", *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+
+
 QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op5_secret_scan": op5_secret_scan,
     "op8_token_counts": op8_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+               sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+}
