@@ -37,7 +37,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from passant.llm.secret_scan import BASE_RULES, find_secrets, joined
 
     found = find_secrets(_table(spark, sf_dir, "documents"), BASE_RULES)
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE_RULES)]
+    of = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
+    counts = [of(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE_RULES)]
     spans = joined(F.col("spans"), BASE_RULES)
     return found.select("doc_id", *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
