@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER_COUNTS = "piece_bpe_32k.model"
+TOKENIZER_PACKING = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +44,24 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    from passant.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), _tokenizer(TOKENIZER_PACKING), capacity=2048, end_id=0)
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint (hex) and component_id for every document."""
+    from passant.llm.simhash import near_duplicates
+
+    found = near_duplicates(_table(spark, sf_dir, "documents"), words=3, radius=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_simhash": op10_simhash,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op8_token_counts": op8_token_counts,
