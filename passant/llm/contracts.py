@@ -26,6 +26,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer(TOKENIZER_COUNTS), limit=4096)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted for every document."""
+    from passant.llm.quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), most_labels=16_000, threshold=0.3)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every document."""
     from passant.llm.stream_dedup import exact_dedup
@@ -60,6 +67,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash": op10_simhash,
     "op2_exact_dedup": op2_exact_dedup,
