@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passant.llm import mixing
+
 TOKENIZER_COUNTS = "piece_bpe_32k.model"
 TOKENIZER_PACKING = "byte_bpe_50k.json"
 
@@ -40,6 +42,20 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens, factor, p and kept for every document."""
+    from passant.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+def op4_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 20 largest inner products of each query."""
+    from passant.llm.pivot_search import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), k=20, every=20, factor=64)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, counts by kind, base_sha256 and spans for every document."""
     from passant.llm.secret_scan import BASE_RULES, find_secrets, joined
@@ -71,11 +87,21 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash": op10_simhash,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_mixing": op3_mixing,
+    "op4_pivot_search": op4_pivot_search,
     "op5_secret_scan": op5_secret_scan,
     "op8_token_counts": op8_token_counts,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_mixing": mixing.oracle(),
+    "op4_pivot_search": """
+        WITH s AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+              FROM s q JOIN s c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+        SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM p
+        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20""",
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
                sha256(coalesce(text, '')) AS text_sha256
