@@ -21,6 +21,20 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document."""
+    from passant.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), window=200, digests=True).withColumnRenamed("n_tokens", "n_bytes")
+
+
+def op7_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (and n_spans) for every document."""
+    from passant.llm.block_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), window=35, digests=True).withColumnRenamed("n_tokens", "n_words")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every document."""
     from passant.llm.token_counts import count_tokens
@@ -90,6 +104,8 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_pivot_search": op4_pivot_search,
     "op5_secret_scan": op5_secret_scan,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_block_dedup": op7_block_dedup,
     "op8_token_counts": op8_token_counts,
 }
 
