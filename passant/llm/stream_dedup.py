@@ -17,7 +17,11 @@ from pyspark.sql import functions as F
 
 from passant.llm.common import materialize, shared_dir, whole_text
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; many small stores would each reserve disk ahead of what they write.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 SALTS = 32
 
 
@@ -47,9 +51,9 @@ def build_state(docs: DataFrame, folder: str, names: str, files_per_batch: int |
     """Run the stream over the files there are and return its state: digest, at (doc_id, file, row), group_size."""
     spark = docs.sparkSession
     base = shared_dir(spark)
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE_STORE}
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
     try:
         reader = spark.readStream.schema(docs.schema).option("pathGlobFilter", names)
         if files_per_batch:
@@ -61,10 +65,11 @@ def build_state(docs: DataFrame, folder: str, names: str, files_per_batch: int |
 
         state.writeStream.outputMode("update").foreachBatch(append).trigger(availableNow=True).option("checkpointLocation", f"{base}/stream").start().awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     versions = spark.read.schema(state.schema).option("basePath", f"{base}/versions").parquet(f"{base}/versions")
     return versions.groupBy("digest").agg(F.max("at").alias("at"), F.max("group_size").alias("group_size"))
 
