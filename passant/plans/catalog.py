@@ -361,9 +361,9 @@ def _linear(spark: SparkSession, d: str) -> DataFrame:
 _LINEAR = f"{_FEATURES}, lin AS (SELECT query_id, passage_id, 0.5e0 * round(bm25_norm + entity_overlap - 0.1e0 * contradiction, 9) + 0.1e0 AS utility FROM f), lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY utility DESC, passage_id) AS place FROM lin)"
 
 
-@query("l11_rank_passages", f"WITH {_LINEAR} SELECT query_id, passage_id, round(utility, 8) AS utility, place FROM lr")
+@query("l11_rank_passages", f"WITH {_LINEAR} SELECT query_id, passage_id, round(utility, 4) AS utility, place FROM lr")
 def l11_rank_passages(spark, d):
-    return _linear(spark, d).select("query_id", "passage_id", F.round("utility", 8).alias("utility"), F.col("place").cast("long").alias("place"))
+    return _linear(spark, d).select("query_id", "passage_id", F.round("utility", 4).alias("utility"), F.col("place").cast("long").alias("place"))
 
 
 @query("f30_rag_prompt", f"WITH {_LINEAR}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS pl FROM lr WHERE utility > 0.4), t AS (SELECT k.query_id, string_agg('[' || pl || '] ' || c.text, chr(10) || chr(10) ORDER BY pl) AS context FROM k JOIN corpus c ON k.passage_id = c.pid WHERE pl <= 3 GROUP BY 1) SELECT q.query_id, md5('Context:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Query: ' || query) AS prompt FROM questions q LEFT JOIN t ON q.query_id = t.query_id")
