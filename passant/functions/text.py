@@ -32,6 +32,13 @@ QUESTION_PREFIXES = (
 # Prompt texts.
 ANSWER_HEAD = "Answer the question as briefly as possible, with just the answer span and no explanation.\n\n"
 HYDE_HEAD = "Write exactly one short factual sentence that directly answers the question. Do not add explanation.\n"
+UTILITY_DEFINITION = (
+    "Determine if the passage has utility based on two criteria: 1. Usefulness: The passage must be relevant "
+    "and contribute to generating a correct, reasonable, and complete answer. 2. Novelty: The useful "
+    "information should be new, not part of your pre-existing knowledge."
+)
+SENTENCE_HEAD = "Answer the following question in one sentence.\n"
+SENTENCE_CONTEXT_HEAD = "Use the following context to answer the question in one sentence.\n"
 WORD = r"[\p{L}\p{N}_]+"
 
 
@@ -227,6 +234,49 @@ def rag_prompt(query: Column, texts: Column) -> Column:
     return F.concat(F.lit("Context:\n"), context, F.lit("\n\nQuery: "), query)
 
 
+def sentence_prompt(query: Column, passage: Column | None = None) -> Column:
+    """The older one-sentence prompts."""
+    asked = F.concat(F.lit("Question: "), query, F.lit("\nAnswer:"))
+    if passage is None:
+        return F.concat(F.lit(SENTENCE_HEAD), asked)
+    return F.concat(F.lit(SENTENCE_CONTEXT_HEAD + "Context: "), passage, F.lit("\n"), asked)
+
+
+def probe_prompt(query: Column, passage: Column | None = None) -> Column:
+    asked = F.concat(F.lit("Query: "), query)
+    return asked if passage is None else F.concat(F.lit("Context: "), passage, F.lit("\n"), asked)
+
+
+def utility_prompt(query: Column, passage: Column, answer: Column | None = None) -> Column:
+    """A Yes or No judgment of one passage, with or without a reference answer."""
+    ref = F.lit("") if answer is None else F.concat(F.lit("Reference answer: "), answer, F.lit("\n\n"))
+    return F.concat(F.lit("Question: "), query, F.lit("\n\nPassage: "), passage, F.lit("\n\n"), ref, F.lit(UTILITY_DEFINITION + "\nAnswer with Yes or No only."))
+
+
+def bracketed(passages: Column) -> Column:
+    return F.array_join(F.transform(passages, lambda p, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), p)), "\n\n")
+
+
+def ranking_prompt(query: Column, passages: Column, answer: Column) -> Column:
+    """A listwise ranking of numbered passages; parse_ranking reads its answer."""
+    n = F.size(passages).cast("string")
+    return F.concat(
+        F.lit("The following are "), n, F.lit(" passages, each indicated by a number identifier [].\n\n"), bracketed(passages), F.lit("\n\nQuestion: "), query, F.lit("\n\nReference answer: "), answer,
+        F.lit("\n\nRank the passages by their utility for generating a correct, reasonable and complete answer to the question. List all "), n,
+        F.lit(" identifiers in descending order of utility, using the format [2] > [1] > [3]. Only respond with the ranking."),
+    )
+
+
+def pseudo_answer_prompt(query: Column, passages: Column) -> Column:
+    """The prompt for an answer from all candidates."""
+    return F.concat(F.lit(ANSWER_HEAD), bracketed(passages), F.lit("\n\nQuestion: "), query, F.lit("\nAnswer:"))
+
+
+def spaced_tokens(text: Column) -> Column:
+    """Lower-case words where everything but word characters and white space is a space."""
+    return words(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", " ")))
+
+
 def passage_text(title: Column, body: Column) -> Column:
     return F.concat(F.lit('"'), title, F.lit('"\n'), body)
 

@@ -91,6 +91,19 @@ def okapi_top_k(corpus: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame
     return top_k(scores, k, later_first=True)
 
 
+def own_candidates(pairs: DataFrame) -> DataFrame:
+    """pairs (query_id, pid, query, text) with score: Okapi inside each query's own candidates, which are its corpus."""
+    by = Window.partitionBy("query_id")
+    rows = pairs.select("query_id", "pid", X.spaced_tokens(F.col("query")).alias("asked"), X.spaced_tokens(F.col("text")).alias("toks"))
+    rows = rows.withColumns({"n": F.count(F.lit(1)).over(by), "dl": F.size("toks"), "avgdl": F.avg(F.size("toks")).over(by)})
+    terms = rows.select("query_id", "pid", "n", "dl", "avgdl", F.explode("toks").alias("term"), "asked").groupBy("query_id", "pid", "n", "dl", "avgdl", "term").agg(F.count(F.lit(1)).alias("tf"), F.first(F.size(F.filter("asked", lambda w: w == F.col("term")))).alias("times"))
+    raw = terms.withColumn("raw", F.ln((F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("query_id", "term")) + 0.5) / (F.count(F.lit(1)).over(Window.partitionBy("query_id", "term")) + 0.5)))
+    mean = raw.select("query_id", "term", "raw").distinct().groupBy("query_id").agg(F.avg("raw").alias("mean"))
+    idf_ = F.when(F.col("raw") < 0, F.lit(OKAPI_EPSILON) * F.col("mean")).otherwise(F.col("raw"))
+    scored = raw.where("times > 0").join(mean, "query_id").groupBy("query_id", "pid").agg(F.sum(F.col("times") * weight(idf_, F.col("tf"), F.col("dl"), F.col("avgdl"), OKAPI_K1, OKAPI_B)).alias("score"))
+    return pairs.join(scored, ["query_id", "pid"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
 def candidate_scores(candidates: DataFrame, score: str = "score", order: str = "pid") -> DataFrame:
     """bm25_norm, rank and score_gap of each query's candidates: score over the query's maximum (over 1 if that isn't
     positive), place from 0, and the gap to the next one on that scale (0 for the last)."""

@@ -11,6 +11,7 @@ from passant.functions import scorers
 from passant.functions import text as X
 from passant.operators import features, labels, metrics, models, protocol, retrieval, stats
 from passant.plans import stand_ins as S
+from passant.plans import studies
 from passant.schemas import FEATURES
 from passant.sources import parsers
 
@@ -659,3 +660,100 @@ def s7_flashrag_items(spark, d):
     words = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: F.trim(w) != "")
     rows = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.split_part(F.coalesce("text", F.lit("")), F.lit(" "), F.lit(1)).alias("question"), F.slice(words, 2, 2).alias("golden_answers"))
     return parsers.flashrag(rows, "popqa", dedupe_questions=True).select("query_id", "query", F.array_join("gold_answers", "|").alias("golds"))
+
+
+_WORD = lambda i: f"split_part(coalesce(text, ''), ' ', {i})"
+
+
+def _word(i: int) -> Column:
+    return F.split_part(F.coalesce("text", F.lit("")), F.lit(" "), F.lit(i))
+
+
+@query("s8_hotpot_items", f"""WITH r AS (SELECT doc_id, {_WORD(1)} AS question, CASE WHEN doc_id % 5 = 0 THEN 'Yes ' ELSE {_WORD(2)} END AS answer, [{_WORD(3)}, {_WORD(4)}] AS title, [[{_WORD(5)}, {_WORD(6)}], [{_WORD(7)}]] AS sentences FROM documents)
+ SELECT 'hotpotqa:' || doc_id AS query_id, question AS query, answer AS gold, 'hotpotqa:' || doc_id || ':p' || (j - 1) AS passage_id, '"' || title[j] || '"' || chr(10) || array_to_string(sentences[j], ' ') AS text FROM (SELECT *, unnest([1, 2]) AS j FROM r WHERE lower(trim(answer)) NOT IN ('yes', 'no')) x""")
+def s8_hotpot_items(spark, d):
+    answer = F.when(F.col("doc_id") % 5 == 0, "Yes ").otherwise(_word(2))
+    context = F.struct(F.array(_word(3), _word(4)).alias("title"), F.array(F.array(_word(5), _word(6)), F.array(_word(7))).alias("sentences"))
+    items = parsers.hotpot(S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), _word(1).alias("question"), answer.alias("answer"), context.alias("context")))
+    return items.select("query_id", "query", F.col("gold_answers")[0].alias("gold"), F.explode("passages").alias("p")).select("query_id", "query", "gold", F.col("p.id").alias("passage_id"), F.col("p.text").alias("text"))
+
+
+@query("s10_musique_items", f"""WITH r AS (SELECT doc_id, {_WORD(1)} AS answer, [{_WORD(2)}, {_WORD(1)}, ' '] AS aliases FROM documents WHERE doc_id % 3 <> 0), g AS (SELECT doc_id, list_filter([answer, aliases[1], aliases[2], aliases[3]], lambda x: trim(x) <> '') AS a FROM r)
+ SELECT 'musique:' || doc_id AS query_id, array_to_string({S.ordered_distinct('a')}, '|') AS golds, 'musique:' || doc_id || ':p7' AS passage_id FROM g""")
+def s10_musique_items(spark, d):
+    paragraphs = F.array(F.struct(F.lit(7).alias("idx"), _word(3).alias("title"), _word(4).alias("paragraph_text")))
+    rows = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), _word(5).alias("question"), _word(1).alias("answer"), F.array(_word(2), _word(1), F.lit(" ")).alias("answer_aliases"), (F.col("doc_id") % 3 != 0).alias("answerable"), paragraphs.alias("paragraphs"))
+    return parsers.musique(rows).select("query_id", F.array_join("gold_answers", "|").alias("golds"), F.col("passages")[0]["id"].alias("passage_id"))
+
+
+@query("s11_ragbench_items", f"""WITH r AS (SELECT doc_id, [[{_WORD(1)}, {_WORD(2)}, {_WORD(1)}], [{_WORD(3)}]] AS keys, [{_WORD(1)}, {_WORD(4)}] AS used FROM documents)
+ SELECT 'ragbench-hotpotqa:' || doc_id || ':p' || (j - 1) AS passage_id, round(len(list_intersect(list_distinct(keys[j]), used)) / len(keys[j]), 6) AS proxy_label FROM (SELECT *, unnest([1, 2]) AS j FROM r) x""")
+def s11_ragbench_items(spark, d):
+    sentence = lambda i: F.array(_word(i), F.lit("s"))
+    rows = S.table(spark, d, "documents").select(F.col("doc_id").alias("ordinal"), _word(5).alias("question"), F.array(F.lit("a"), F.lit("b")).alias("documents"), F.array(F.array(sentence(1), sentence(2), sentence(1)), F.array(sentence(3))).alias("documents_sentences"), F.array(_word(1), _word(4)).alias("all_utilized_sentence_keys"))
+    return parsers.candidates(parsers.ragbench(rows)).select("passage_id", r6("proxy_label").alias("proxy_label"))
+
+
+@query("s17_msmarco_samples", f"""WITH r AS (SELECT doc_id, [{_WORD(2)}, ' ', {_WORD(3)}] AS texts, [1, 0, 0] AS picked FROM documents WHERE doc_id < 500 AND doc_id % 4 <> 0)
+ SELECT 'msmarco_' || doc_id || '_' || (j - 1) AS passage_id, texts[j] AS text, picked[j] <> 0 AS is_positive FROM (SELECT *, unnest([1, 2, 3]) AS j FROM r) x WHERE trim(texts[j]) <> ''""")
+def s17_msmarco_samples(spark, d):
+    answers = F.array(F.when(F.col("doc_id") % 4 == 0, "No Answer Present.").otherwise(_word(1)))
+    passages = F.struct(F.array(_word(2), F.lit(" "), _word(3)).alias("passage_text"), F.array(F.lit(1), F.lit(0), F.lit(0)).alias("is_selected"))
+    rows = S.table(spark, d, "documents").select(F.col("doc_id").alias("ordinal"), _word(5).alias("query"), answers.alias("answers"), passages.alias("passages"))
+    return parsers.load_legacy("msmarco", rows, 500).select(F.explode("passages").alias("p")).select(F.col("p.id").alias("passage_id"), F.col("p.text").alias("text"), F.col("p.is_positive").alias("is_positive"))
+
+
+@query("f29_prompts", f"""WITH {_PAIRS} SELECT query_id, passage_id, md5('Answer the following question in one sentence.' || chr(10) || 'Question: ' || query || chr(10) || 'Answer:') AS sentence,
+ md5('Use the following context to answer the question in one sentence.' || chr(10) || 'Context: ' || text || chr(10) || 'Question: ' || query || chr(10) || 'Answer:') AS context, md5('Context: ' || text || chr(10) || 'Query: ' || query) AS probe,
+ md5('Question: ' || query || chr(10) || chr(10) || 'Passage: ' || text || chr(10) || chr(10) || 'Reference answer: x' || chr(10) || chr(10) || '{X.UTILITY_DEFINITION}' || chr(10) || 'Answer with Yes or No only.') AS judged,
+ md5('Write exactly one short factual sentence that directly answers the question. Do not add explanation.' || chr(10) || 'Question: ' || query || chr(10) || 'Answer:') AS hyde FROM pairs""")
+def f29_prompts(spark, d):
+    q, t = F.col("query"), F.col("text")
+    made = {"sentence": X.sentence_prompt(q), "context": X.sentence_prompt(q, t), "probe": X.probe_prompt(q, t), "judged": X.utility_prompt(q, t, F.lit("x")), "hyde": X.hyde_prompt(q)}
+    return _pairs(spark, d).select("query_id", "passage_id", *[F.md5(c.cast("binary")).alias(n) for n, c in made.items()])
+
+
+_SPACED = lambda t: S.words(f"lower(regexp_replace({t}, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'))")
+
+
+@query("m27_own_candidates", f"""WITH {_PAIRS}, r AS (SELECT query_id, passage_id, {_SPACED('query')} AS asked, {_SPACED('text')} AS toks FROM pairs),
+ n AS (SELECT *, len(toks) AS dl, count(*) OVER (PARTITION BY query_id) AS n, avg(len(toks)) OVER (PARTITION BY query_id) AS avgdl FROM r),
+ own AS (SELECT query_id, passage_id, n, dl, avgdl, term, count(*) AS tf, any_value(len(list_filter(asked, lambda w: w = term))) AS times FROM (SELECT *, unnest(toks) AS term FROM n) x GROUP BY query_id, passage_id, n, dl, avgdl, term),
+ w AS (SELECT *, ln((n - count(*) OVER (PARTITION BY query_id, term) + 0.5) / (count(*) OVER (PARTITION BY query_id, term) + 0.5)) AS raw FROM own), m AS (SELECT query_id, avg(raw) AS mean FROM (SELECT DISTINCT query_id, term, raw FROM w) x GROUP BY 1),
+ sc AS (SELECT w.query_id, passage_id, sum(times * CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM w JOIN m ON w.query_id = m.query_id WHERE times > 0 GROUP BY ALL)
+ SELECT p.query_id, p.passage_id, round(coalesce(sc.score, 0), 6) + 0.0 AS score FROM pairs p LEFT JOIN sc ON p.query_id = sc.query_id AND p.passage_id = sc.passage_id""")
+def m27_own_candidates(spark, d):
+    pairs = _pairs(spark, d).select("query_id", F.col("passage_id").alias("pid"), "query", "text")
+    return retrieval.own_candidates(pairs).select("query_id", F.col("pid").alias("passage_id"), r6("score").alias("score"))
+
+
+@query("m13_p_from_interval")
+def m13_p_from_interval(spark, d):
+    """Bootstrap intervals turned into p values; a handful of rows."""
+    rows = a19_bootstrap_ci(spark, d).collect()
+    return spark.createDataFrame([(r["dataset"], *map(float, stats.p_from_interval(r["mean"], r["lo"], r["hi"], 150).values())) for r in rows], "dataset string, se double, z double, p double, asymmetry double")
+
+
+@query("m14_m15_dataset_tests")
+def m14_m15_dataset_tests(spark, d):
+    per = metrics.per_query_scores(S.scored(spark, d), ("dataset", "query_id")).withColumnRenamed("spearman", "d")
+    return stats.dataset_tests(per, flips=2000)
+
+
+@query("m22_compare")
+def m22_compare(spark, d):
+    rows = S.scored(spark, d)
+    both = rows.withColumn("model", F.lit("forward")).unionByName(rows.withColumn("score", -F.col("score")).withColumn("model", F.lit("reverse")))
+    return studies.compare(both, "forward", flips=200)[0]
+
+
+@query("m24_fresh_questions")
+def m24_fresh_questions(spark, d):
+    rows = _regression(spark, d)
+    old, fresh = rows.where(F.pmod("query_id", F.lit(3)) != 0), rows.where(F.pmod("query_id", F.lit(3)) != 1)
+    return studies.fresh_questions(old, fresh, models.Config("ridge", "ridge", True, (("alpha", 100.0),)), ("x1", "x2", "x4"))[0]
+
+
+@query("m28_train")
+def m28_train(spark, d):
+    return studies.train(_regression(spark, d), models.Config("ridge", "ridge", True, (("alpha", 100.0),)), ("x1", "x2", "x4"))[1]

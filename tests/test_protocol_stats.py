@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from passant.operators import features, metrics, models, protocol, stats
+from passant.plans import studies
 from passant.schemas import FEATURES
 
 
@@ -147,3 +148,23 @@ def test_prompts_respect_threshold(spark):
     asked = spark.createDataFrame([("q", "why"), ("r", "how")], "query_id string, query string")
     got = {r["query_id"]: r["prompt"] for r in features.prompts(asked, ranked, texts, 3, 0.5).collect()}
     assert got == {"q": "Context:\n[1] a\n\nQuery: why", "r": "Context:\n\n\nQuery: how"}
+
+
+def test_variants_and_out_of_fold_probes(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for q in range(60):
+        for p in range(5):
+            h = rng.normal(size=6)
+            rows.append((f"d{q % 3}", f"q{q}", p, float(h[0] + 0.1 * rng.normal()), float(rng.normal()), float(rng.normal()), float(h[0]), h.tolist()))
+    table = spark.createDataFrame(rows, "dataset string, query_id string, passage_id int, y double, x1 double, ce double, soft double, hidden array<double>")
+    assert len(studies.variants()) == 36
+    rho = {}
+    for variant in (studies.Variant("gbr(100,d2)"), studies.Variant("gbr(100,d2)", "mix", True, True)):
+        got = studies.final(table, F.col("query_id"), variant, base=("x1",), algorithm="ridge")
+        rho[variant.name] = metrics.per_query_scores(got).agg(F.avg("spearman")).first()[0]
+    assert rho["gbr(100,d2)|mix|ce|probe"] > 0.8 > abs(rho["gbr(100,d2)|u"]) + 0.2
+    macro, tests = studies.compare(got.unionByName(got.withColumns({"model": F.lit("other"), "score": -F.col("score")})), got.first()["model"], flips=50)
+    assert macro.count() == 2 and tests.count() == 3
+    with pytest.raises(KeyError):
+        studies.swapped(table, table.limit(5), ["x1"])
