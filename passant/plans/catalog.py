@@ -148,11 +148,11 @@ def w1_candidate_scores(spark, d):
 
 
 @query("f25_dense_topk", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, c.vec_id AS pid,
- list_inner_product(q.v, c.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(c.v, c.v))) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id < 50),
+ list_inner_product(q.v, c.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(c.v, c.v))) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pid) - 1 AS rank FROM p) SELECT query_id, pid, round(score, 6) AS score, rank FROM r WHERE rank < 5""")
 def f25_dense_topk(spark, d):
     e = S.table(spark, d, "embeddings").select("vec_id", "embedding")
-    ask = retrieval.small_side(e.where("vec_id < 50").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 1000)
+    ask = retrieval.small_side(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 1000)
     pairs = e.select(F.col("vec_id").alias("pid"), F.col("embedding").alias("d")).join(ask, F.col("pid") != F.col("query_id"))
     best = retrieval.top_k(retrieval.dense_scores(pairs).select("query_id", "pid", F.col("dense_score").alias("score")), 5)
     return best.select("query_id", "pid", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
@@ -344,10 +344,10 @@ def p9_constant_columns(spark, d):
     return metrics.constant_columns(_features(spark, d), FEATURES)
 
 
-@query("f23_f24_softmax_entropy", """WITH e AS (SELECT vec_id, list_slice([CAST(x AS DOUBLE) FOR x IN embedding], 1, 8) AS l FROM embeddings), s AS (SELECT vec_id, [exp(x - list_max(l)) FOR x IN l] AS r FROM e), p AS (SELECT vec_id, [x / list_sum(r) FOR x IN r] AS p FROM s)
+@query("f23_f24_softmax_entropy", """WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS l FROM embeddings), s AS (SELECT vec_id, [exp(x - list_max(l)) FOR x IN l] AS r FROM e), p AS (SELECT vec_id, [x / list_sum(r) FOR x IN r] AS p FROM s)
  SELECT vec_id, round(p[1], 6) AS first, round(-list_sum([x * ln(x) FOR x IN p]), 6) AS entropy, round(exp(-list_sum([x * ln(x) FOR x IN p])), 6) AS perplexity FROM p""")
 def f23_f24_softmax_entropy(spark, d):
-    logits = F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 8)
+    logits = F.transform("embedding", lambda x: x.cast("double"))
     rows = S.table(spark, d, "embeddings").select("vec_id", logits.alias("l"))
     h = X.entropy(F.col("l"))
     return rows.select("vec_id", r6(X.softmax(F.col("l"))[0]).alias("first"), r6(h).alias("entropy"), r6(F.exp(h)).alias("perplexity"))
@@ -584,7 +584,7 @@ def m1_ridge_centered_within_query(spark, d):
 
 @query("m3_boosted_trees")
 def m3_boosted_trees(spark, d):
-    rows = _regression(spark, d).where(F.pmod("query_id", F.lit(4)) == 0)
+    rows = _regression(spark, d)
     model = models.Predictor(("x1", "x2", "x3", "x4"), "gbr", True, {"n_estimators": 10, "max_depth": 2}).fit(rows, "y", "query_id")
     return metrics.ranking_summary(model.predict(rows, "query_id").withColumn("score", F.col("prediction")))
 
@@ -669,20 +669,20 @@ def _word(i: int) -> Column:
     return F.split_part(F.coalesce("text", F.lit("")), F.lit(" "), F.lit(i))
 
 
-@query("s8_hotpot_items", f"""WITH r AS (SELECT doc_id, {_WORD(1)} AS question, CASE WHEN doc_id % 5 = 0 THEN 'Yes ' ELSE {_WORD(2)} END AS answer, [{_WORD(3)}, {_WORD(4)}] AS title, [[{_WORD(5)}, {_WORD(6)}], [{_WORD(7)}]] AS sentences FROM documents)
+@query("s8_hotpot_items", f"""WITH r AS (SELECT doc_id, {_WORD(1)} AS question, CASE WHEN lang = 'de' THEN 'Yes ' ELSE {_WORD(2)} END AS answer, [{_WORD(3)}, {_WORD(4)}] AS title, [[{_WORD(5)}, {_WORD(6)}], [{_WORD(7)}]] AS sentences FROM documents)
  SELECT 'hotpotqa:' || doc_id AS query_id, question AS query, answer AS gold, 'hotpotqa:' || doc_id || ':p' || (j - 1) AS passage_id, '"' || title[j] || '"' || chr(10) || array_to_string(sentences[j], ' ') AS text FROM (SELECT *, unnest([1, 2]) AS j FROM r WHERE lower(trim(answer)) NOT IN ('yes', 'no')) x""")
 def s8_hotpot_items(spark, d):
-    answer = F.when(F.col("doc_id") % 5 == 0, "Yes ").otherwise(_word(2))
+    answer = F.when(F.col("lang") == "de", "Yes ").otherwise(_word(2))
     context = F.struct(F.array(_word(3), _word(4)).alias("title"), F.array(F.array(_word(5), _word(6)), F.array(_word(7))).alias("sentences"))
     items = parsers.hotpot(S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), _word(1).alias("question"), answer.alias("answer"), context.alias("context")))
     return items.select("query_id", "query", F.col("gold_answers")[0].alias("gold"), F.explode("passages").alias("p")).select("query_id", "query", "gold", F.col("p.id").alias("passage_id"), F.col("p.text").alias("text"))
 
 
-@query("s10_musique_items", f"""WITH r AS (SELECT doc_id, {_WORD(1)} AS answer, [{_WORD(2)}, {_WORD(1)}, ' '] AS aliases FROM documents WHERE doc_id % 3 <> 0), g AS (SELECT doc_id, list_filter([answer, aliases[1], aliases[2], aliases[3]], lambda x: trim(x) <> '') AS a FROM r)
+@query("s10_musique_items", f"""WITH r AS (SELECT doc_id, {_WORD(1)} AS answer, [{_WORD(2)}, {_WORD(1)}, ' '] AS aliases FROM documents WHERE lang <> 'de'), g AS (SELECT doc_id, list_filter([answer, aliases[1], aliases[2], aliases[3]], lambda x: trim(x) <> '') AS a FROM r)
  SELECT 'musique:' || doc_id AS query_id, array_to_string({S.ordered_distinct('a')}, '|') AS golds, 'musique:' || doc_id || ':p7' AS passage_id FROM g""")
 def s10_musique_items(spark, d):
     paragraphs = F.array(F.struct(F.lit(7).alias("idx"), _word(3).alias("title"), _word(4).alias("paragraph_text")))
-    rows = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), _word(5).alias("question"), _word(1).alias("answer"), F.array(_word(2), _word(1), F.lit(" ")).alias("answer_aliases"), (F.col("doc_id") % 3 != 0).alias("answerable"), paragraphs.alias("paragraphs"))
+    rows = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), _word(5).alias("question"), _word(1).alias("answer"), F.array(_word(2), _word(1), F.lit(" ")).alias("answer_aliases"), (F.col("lang") != "de").alias("answerable"), paragraphs.alias("paragraphs"))
     return parsers.musique(rows).select("query_id", F.array_join("gold_answers", "|").alias("golds"), F.col("passages")[0]["id"].alias("passage_id"))
 
 
@@ -694,13 +694,13 @@ def s11_ragbench_items(spark, d):
     return parsers.candidates(parsers.ragbench(rows)).select("passage_id", r6("proxy_label").alias("proxy_label"))
 
 
-@query("s17_msmarco_samples", f"""WITH r AS (SELECT doc_id, [{_WORD(2)}, ' ', {_WORD(3)}] AS texts, [1, 0, 0] AS picked FROM documents WHERE doc_id < 500 AND doc_id % 4 <> 0)
+@query("s17_msmarco_samples", f"""WITH r AS (SELECT doc_id, [{_WORD(2)}, ' ', {_WORD(3)}] AS texts, [1, 0, 0] AS picked FROM documents WHERE lang <> 'de')
  SELECT 'msmarco_' || doc_id || '_' || (j - 1) AS passage_id, texts[j] AS text, picked[j] <> 0 AS is_positive FROM (SELECT *, unnest([1, 2, 3]) AS j FROM r) x WHERE trim(texts[j]) <> ''""")
 def s17_msmarco_samples(spark, d):
-    answers = F.array(F.when(F.col("doc_id") % 4 == 0, "No Answer Present.").otherwise(_word(1)))
+    answers = F.array(F.when(F.col("lang") == "de", "No Answer Present.").otherwise(_word(1)))
     passages = F.struct(F.array(_word(2), F.lit(" "), _word(3)).alias("passage_text"), F.array(F.lit(1), F.lit(0), F.lit(0)).alias("is_selected"))
     rows = S.table(spark, d, "documents").select(F.col("doc_id").alias("ordinal"), _word(5).alias("query"), answers.alias("answers"), passages.alias("passages"))
-    return parsers.load_legacy("msmarco", rows, 500).select(F.explode("passages").alias("p")).select(F.col("p.id").alias("passage_id"), F.col("p.text").alias("text"), F.col("p.is_positive").alias("is_positive"))
+    return parsers.load_legacy("msmarco", rows).select(F.explode("passages").alias("p")).select(F.col("p.id").alias("passage_id"), F.col("p.text").alias("text"), F.col("p.is_positive").alias("is_positive"))
 
 
 @query("f29_prompts", f"""WITH {_PAIRS} SELECT query_id, passage_id, md5('Answer the following question in one sentence.' || chr(10) || 'Question: ' || query || chr(10) || 'Answer:') AS sentence,
@@ -750,7 +750,8 @@ def m22_compare(spark, d):
 @query("m24_fresh_questions")
 def m24_fresh_questions(spark, d):
     rows = _regression(spark, d)
-    old, fresh = rows.where(F.pmod("query_id", F.lit(3)) != 0), rows.where(F.pmod("query_id", F.lit(3)) != 1)
+    at = X.uniform(F.col("query_id").cast("string"))
+    old, fresh = rows.where(at < 0.6), rows.where(at >= 0.3)
     return studies.fresh_questions(old, fresh, models.Config("ridge", "ridge", True, (("alpha", 100.0),)), ("x1", "x2", "x4"))[0]
 
 
