@@ -96,6 +96,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _secrets_oracle() -> str:
+    """What lies between matches and the matches themselves, measured in turn."""
+    from passant.llm.secret_scan import BASE_RULES
+
+    kinds = []
+    for order, rule in enumerate(BASE_RULES):
+        pattern = rule.pattern.replace("'", "''")
+        kinds.append(
+            f"SELECT doc_id, {order} AS k, '{rule.kind}' AS kind, list_sum([length(gap[j]) FOR j IN range(1, i + 1)]) + coalesce(list_sum([length(hit[j]) FOR j IN range(1, i)]), 0) AS start, length(hit[i]) AS size FROM "
+            f"(SELECT *, unnest(range(1, len(hit) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '{pattern}') AS gap, regexp_extract_all(text, '{pattern}') AS hit, regexp_extract_all(text, '{pattern}', {rule.group}) AS judged FROM d) x) y WHERE length(judged[i]) >= {rule.least}"
+        )
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), s AS MATERIALIZED ({' UNION ALL '.join(kinds)}),
+        j AS (SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c, string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + size AS BIGINT), ',' ORDER BY start, k) AS spans FROM s GROUP BY 1)
+        SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN j ON d.doc_id = j.doc_id"""
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op9_best_fit_packing": op9_best_fit_packing,
@@ -111,6 +127,17 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.oracle(),
+    "op5_secret_scan": _secrets_oracle(),
+    "op7_block_dedup": """
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        win AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 34), ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w) x),
+        rep AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+        gone AS MATERIALIZED (SELECT DISTINCT doc_id, i + j AS p FROM win JOIN rep ON win.h = rep.h, (SELECT unnest(range(0, 35)) AS j) o),
+        edge AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM gone),
+        g AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (q IS NULL OR q < p - 1) AS n_spans FROM edge GROUP BY 1),
+        kept AS (SELECT a.doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w) a ANTI JOIN gone ON a.doc_id = gone.doc_id AND a.i = gone.p GROUP BY 1)
+        SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM w LEFT JOIN g ON w.doc_id = g.doc_id LEFT JOIN kept ON w.doc_id = kept.doc_id""",
     "op4_pivot_search": """
         WITH s AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
