@@ -12,6 +12,11 @@ text with a number of copies (every window of a text with two copies is repeated
 
 The exchange of texts is the same in steps 1, 2 and 4, so Spark moves the texts once. Counting an anchor is a
 pre-aggregated sum, and the join that brings the count back can split an anchor that very many texts hold.
+
+An anchor with over `HOT` occurrences would meet in one task in step 3. Its stretches are cut into cells of neighbouring
+windows and keyed by the next digit, too: what all windows of a cell have in common. Equal windows still meet, and
+stretches that run into different surroundings don't. Equal stretches are first collapsed inside salted parts of the
+key, in sorted order: two of them are known to be repeated there and then, and only one goes on.
 """
 
 from __future__ import annotations
@@ -31,6 +36,9 @@ MASK = np.uint64((1 << 20) - 1)
 STRETCH, SLICE = 1 << 19, 1 << 21
 #: Stretches of text resolved together.
 GATHERED = 16_384
+#: Occurrences from which an anchor is hot, and the parts in which its equal stretches are collapsed.
+HOT, SALTS = 20_000, 64
+STRETCH_ROW = "seed long, th binary, first long, lead int, windows int, alone boolean, part binary"
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -109,6 +117,31 @@ Tokenize = Callable[[np.ndarray, np.ndarray], Tokens]
 Resolve = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
+def collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of equal stretches, which come one after the other: all are done if there are two (or one of a text with copies),
+    and one goes on as a stretch that is repeated anyhow and asks for no answer (alone is false)."""
+    names = ["seed", "th", "first", "lead", "windows", "alone", "part", "done"]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.bool_()]
+    held: list | None = None
+    for batch in batches:
+        out: list[list] = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            seed, _, _, lead, windows, alone, part = row
+            if held is None or (held[0], held[3], held[4], held[6]) != (seed, lead, windows, part):
+                if held is not None:
+                    out.append([*held, False])
+                held = list(row)
+                continue
+            if held[5]:
+                out.append([*held, True])
+                held[5] = False
+            if alone:
+                out.append([*row, True])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], names)
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([*held, False], kinds, strict=True)], names)
+
+
 @dataclass(frozen=True)
 class Finder:
     window: int
@@ -180,8 +213,27 @@ class Finder:
                     yield pa.RecordBatch.from_arrays([pa.array(seed[first].view(np.int64)), th.take(pa.array(text[first] + i)), pa.array(np.diff(np.append(first, len(seed))).astype(np.int32))], ["seed", "th", "n"])
 
         found = texts.mapInArrow(seeds, "seed long, th binary, n int")
-        often = found.groupBy("seed").agg(F.sum("n").alias("times")).where("times > 1").select("seed")
-        live = found.select("seed", "th").join(often, "seed").groupBy("th").agg(F.collect_list("seed").alias("seeds"))
+        often = found.groupBy("seed").agg(F.sum("n").alias("times")).where("times > 1").select("seed", (F.col("times") > HOT).alias("hot"))
+        listed = lambda hot: F.collect_list(F.when(F.col("hot") == hot, F.col("seed")))
+        live = found.select("seed", "th").join(often, "seed").groupBy("th").agg(listed(False).alias("cold"), listed(True).alias("hot"))
+
+        def sent(which: str) -> DataFrame:
+            lists = live.where(F.size(which) > 0).select("th", F.col(which).alias("seeds"))
+            return texts.join(lists, "th").mapInArrow(self._sender(which == "hot"), STRETCH_ROW)
+
+        def judged(stretches: DataFrame) -> DataFrame:
+            return stretches.repartition("seed").sortWithinPartitions("seed").mapInArrow(self._judge, "th binary, first long, last long")
+
+        salt = F.pmod(F.xxhash64("th", "first"), F.lit(SALTS))
+        salted = sent("hot").withColumn("salt", salt).repartition("seed", "salt").sortWithinPartitions("seed", "salt", "lead", "windows", "part")
+        fewer = salted.drop("salt").mapInArrow(collapsed, f"{STRETCH_ROW}, done boolean")
+        known = fewer.where("done").select("th", "first", (F.col("first") + F.col("windows") - 1 + self.window).alias("last"))
+        return judged(sent("cold")).unionByName(judged(fewer.where("not done").drop("done"))).unionByName(known)
+
+    def _sender(self, hot: bool):
+        """A mapInArrow function: the stretches of a text's live anchors, those of hot ones in cells."""
+        step = max(1, self.window // 8)
+        core = self.window - step + 1
 
         def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -192,13 +244,20 @@ class Finder:
                     owner = np.repeat(np.arange(j - i), lists.value_lengths().to_numpy()).astype(np.uint64)
                     keep = np.isin(seed ^ mixed(text.astype(np.uint64)), lists.flatten().to_numpy().view(np.uint64) ^ mixed(owner))
                     seed, anchor, start, count, text = (x[keep] for x in (seed, anchor, start, count, text))
+                    if hot and len(seed):
+                        whose = np.repeat(np.arange(len(seed)), count)
+                        window = np.arange(len(whose)) - np.repeat(np.cumsum(count) - count, count) + start[whose]
+                        cell = (anchor[whose] - window) // step
+                        first = np.flatnonzero(np.concatenate([[True], (np.diff(whose) != 0) | (np.diff(cell) != 0)]))
+                        whose, start, cell, count = whose[first], window[first], cell[first], np.diff(np.append(first, len(window)))
+                        seed, anchor, text = seed[whose], anchor[whose], text[whose]
+                        seed = mixed(seed + mixed(cell.astype(np.uint64))) ^ Prints(t.values).at(anchor - cell * step, core)
                     begin, end = t.starts[start], t.ends[start + count + self.window - 2]
                     data = part.tobytes()
                     columns = [pa.array(seed.view(np.int64)), th.take(pa.array(text + i)), pa.array(start - t.bounds[text]), pa.array((anchor - start).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(alone[text + i]), pa.array([data[a:b] for a, b in zip(begin, end, strict=True)], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, ["seed", "th", "first", "lead", "windows", "alone", "part"])
 
-        sent = texts.join(live, "th").mapInArrow(stretches, "seed long, th binary, first long, lead int, windows int, alone boolean, part binary")
-        return sent.repartition("seed").sortWithinPartitions("seed").mapInArrow(self._judge, "th binary, first long, last long")
+        return stretches
 
     def _judge(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Stretches come in the order of their anchors, and are judged when an anchor is complete."""

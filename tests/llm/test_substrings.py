@@ -50,14 +50,18 @@ def test_words(messy, rows, window):
     assert got(block_dedup.remove_repeats(messy, window, digests=True)) == expected(rows, window, WORDS, lambda w: " ".join(w).encode())
 
 
-def test_many_copies_of_a_passage(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [20_000, 10, 1])
+def test_many_copies_of_a_passage(spark, monkeypatch, hot):
     """A passage that every text holds, in texts that are otherwise different; and texts that differ in one place."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "SALTS", 3)
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     passage = " ".join(word() for _ in range(80))
     base = [word() for _ in range(120)]
     rows = [(i, f"{' '.join(word() for _ in range(15))} {passage} {' '.join(word() for _ in range(15))}") for i in range(40)]
     rows += [(100 + i, " ".join([*base[: i * 3], word(), *base[i * 3 + 1 :]])) for i in range(30)]
+    rows += [(200 + i, rows[i % 3][1]) for i in range(6)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert got(suffix_dedup.remove_repeats(df, 200, digests=True)) == expected(rows, 200, lambda t: list(t.encode()), bytes)
     assert got(block_dedup.remove_repeats(df, 35, digests=True)) == expected(rows, 35, WORDS, lambda w: " ".join(w).encode())
