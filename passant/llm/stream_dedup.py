@@ -25,12 +25,13 @@ STATE_STORE = {
 SALTS = 32
 
 
-def _files(docs: DataFrame) -> tuple[DataFrame, str, str]:
-    """docs as a plain scan, its folder and the names of its files; a frame that isn't a scan is written first."""
+def _files(docs: DataFrame, columns: tuple[str, ...] = ()) -> tuple[DataFrame, str, str]:
+    """docs as a plain scan, its folder and the names of its files; a frame that isn't a scan is written first, of which
+    only the columns given are needed."""
     plain = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
     folders = {f.rpartition("/")[0] for f in docs.inputFiles()} if plain else set()
     if len(folders) != 1:
-        docs = materialize(docs)
+        docs = materialize(docs.select(*columns) if columns else docs)
         folders = {f.rpartition("/")[0] for f in docs.inputFiles()}
         if not folders:
             return docs, "", ""
@@ -89,7 +90,7 @@ def exact_dedup(docs: DataFrame, files_per_batch: int | None = None) -> DataFram
     (a null doc_id counts as smallest; among rows that repeat that doc_id, the last by file and row). An empty table
     gives an empty result.
     """
-    docs, folder, names = _files(docs.select("doc_id", "text") if "doc_id" in docs.columns and len(docs.columns) == 2 else docs)
+    docs, folder, names = _files(docs, ("doc_id", "text"))
     return _rows(*_decide(docs, folder, names, files_per_batch)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
