@@ -13,14 +13,23 @@ OKAPI_K1, OKAPI_B, OKAPI_EPSILON = 1.5, 0.75, 0.25
 SMALL = 500_000
 
 
-def small_side(df: DataFrame, limit: int = SMALL) -> DataFrame:
-    """df marked for broadcast if it has so many rows at most; one row more decides it."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small_side(df: DataFrame, limit: int = SMALL, bound: DataFrame | None = None) -> DataFrame:
+    """df marked for broadcast if it has so many rows at most; one row more decides it. bound: a table that is cheaper to
+    count and has no fewer rows."""
+    return F.broadcast(df) if (df if bound is None else bound).limit(limit + 1).count() <= limit else df
+
+
+def spread(df: DataFrame, task_mb: int = 16) -> DataFrame:
+    """Rows of a small input over all cores: a small file is often a single row group, which one task would read and then
+    work through alone. An input with over task_mb for each core is left as it is scanned."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < task_mb * cores << 20 else df
 
 
 def tokens_of(corpus: DataFrame, tokenize=X.tokenize) -> DataFrame:
     """pid, dl, toks from corpus (pid, text)."""
-    return corpus.select("pid", tokenize(F.col("text")).alias("toks")).select("pid", F.size("toks").alias("dl"), "toks")
+    return spread(corpus.select("pid", "text")).select("pid", tokenize(F.col("text")).alias("toks")).select("pid", F.size("toks").alias("dl"), "toks")
 
 
 def corpus_stats(tokens: DataFrame) -> DataFrame:
@@ -34,14 +43,18 @@ def vocabulary(queries: DataFrame, terms=X.query_terms) -> DataFrame:
 
 
 def term_frequencies(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """pid, dl, term, tf, for the terms asked for only: the vocabulary is joined before anything is counted."""
-    words = tokens.select("pid", "dl", F.explode("toks").alias("term"))
-    return words.join(small_side(terms.select("term").distinct()), "term", "left_semi").groupBy("pid", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """pid, dl, term, tf, for the terms asked for only: the vocabulary is joined before anything is counted.
+
+    explode_outer, as Spark would tokenise each text twice to drop those without a word before explode; the join does.
+    """
+    words = tokens.select("pid", "dl", F.explode_outer("toks").alias("term"))
+    return words.join(small_side(terms.select("term").distinct(), bound=terms), "term", "left_semi").groupBy("pid", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequencies(tf: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, df; terms that no document holds have 0."""
-    return terms.select("term").distinct().join(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term", "left").select("term", F.coalesce("df", F.lit(0)).cast("long").alias("df"))
+    """term, df; terms that no document holds have 0. Counting over tf keeps its column, so that tf is computed once."""
+    counts = tf.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("long") + F.col("dl") * 0).alias("df"))
+    return terms.select("term").distinct().join(counts, "term", "left").select("term", F.coalesce("df", F.lit(0)).cast("long").alias("df"))
 
 
 def idf(df: Column, n: Column) -> Column:
@@ -65,7 +78,7 @@ def bm25_top_k(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     df = document_frequencies(tf, terms)
     scored = df.crossJoin(F.broadcast(stats))  # one row
     weights = terms.join(scored.select("term", idf(F.col("df"), F.col("n_docs")).alias("idf"), "avgdl"), "term")
-    hits = tf.join(small_side(weights), "term").groupBy("query_id", "pid").agg(F.sum(weight(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
+    hits = tf.join(small_side(weights, bound=terms), "term").groupBy("query_id", "pid").agg(F.sum(weight(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
     return top_k(hits, k)
 
 
@@ -80,14 +93,14 @@ def okapi_top_k(corpus: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame
     in place of negative ones. All documents are candidates, ties go to the larger pid."""
     tokens = tokens_of(corpus, lambda t: X.words(F.lower(t)))
     n_avgdl = corpus_stats(tokens)
-    counts = tokens.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    counts = tokens.select(F.explode_outer(F.array_distinct("toks")).alias("term")).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = counts.crossJoin(F.broadcast(n_avgdl)).select("term", "avgdl", F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     terms = queries.select("query_id", F.explode(X.words(F.lower("query"))).alias("term"))
     asked = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     idfs = raw.join(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, F.lit(OKAPI_EPSILON) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     tf = term_frequencies(tokens, asked)
-    scores = tf.join(small_side(asked.join(idfs, "term")), "term").groupBy("query_id", "pid").agg(F.sum(F.col("times") * weight(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"), OKAPI_K1, OKAPI_B)).alias("score"))
+    scores = tf.join(small_side(asked.join(idfs, "term"), bound=asked), "term").groupBy("query_id", "pid").agg(F.sum(F.col("times") * weight(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"), OKAPI_K1, OKAPI_B)).alias("score"))
     return top_k(scores, k, later_first=True)
 
 
