@@ -17,10 +17,15 @@ from pyspark.sql import functions as F
 
 from passant.llm.common import materialize, shared_dir, whole_text
 
-#: State on disk; many small stores would each reserve disk ahead of what they write.
+#: State on disk; many small stores would each reserve disk ahead of what they write, and memory outside the heap. All
+#: stores of an executor share a bounded cache, have small write buffers, and those of an ended query are closed soon.
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
 }
 SALTS = 32
 
