@@ -36,6 +36,11 @@ def qa(spark: SparkSession, d: str) -> DataFrame:
     return pairs.where(~F.col("prediction").rlike("[^\\x00-\\x7F]") & ~F.col("gold").rlike("[^\\x00-\\x7F]")).select("pair_id", "prediction", F.array("gold").alias("golds"))
 
 
+def all_qa(spark: SparkSession, d: str) -> DataFrame:
+    """pair_id, prediction, golds: every turn and the next one, in any script."""
+    return labels.turn_pairs(table(spark, d, "conversations")).select("pair_id", "prediction", F.array("gold").alias("golds"))
+
+
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """A grouped feature matrix: an order's lines."""
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("passage_id"), F.col("l_returnflag").alias("dataset"), F.col("l_quantity").alias("x1"), F.col("l_extendedprice").alias("x2"), F.col("l_discount").alias("x3"), F.col("l_tax").alias("x4"))
@@ -78,6 +83,7 @@ TURNS = (
     "turns AS (SELECT conv_id || ':' || turn AS pair_id, text AS prediction, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS gold FROM conversations), "
     "qa AS (SELECT pair_id, prediction, gold FROM turns WHERE gold IS NOT NULL AND prediction IS NOT NULL AND NOT regexp_matches(prediction, '[^\\x00-\\x7F]') AND NOT regexp_matches(gold, '[^\\x00-\\x7F]'))"
 )
+ALL_TURNS = "qa AS (SELECT pair_id, prediction, gold FROM (SELECT conv_id || ':' || turn AS pair_id, text AS prediction, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS gold FROM conversations) turns WHERE gold IS NOT NULL AND prediction IS NOT NULL)"
 LINES = "lines AS (SELECT l_orderkey AS query_id, l_linenumber AS passage_id, l_returnflag AS dataset, l_quantity AS x1, l_extendedprice AS x2, l_discount AS x3, l_tax AS x4 FROM lineitem)"
 BM25 = f"""{CORPUS}, {QUESTIONS},
  toks AS (SELECT pid, {tok('text')} AS toks FROM corpus), dls AS (SELECT pid, len(toks) AS dl, toks FROM toks),
