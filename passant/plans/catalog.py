@@ -317,6 +317,14 @@ def f28_answer_containment(spark, d):
     return labels.containment(pairs).select("query_id", "passage_id", "label", "yes_no")
 
 
+@query("f28_answer_containment_all")
+def f28_answer_containment_all(spark, d):
+    """The whole benchmark text as gold, in any script; DuckDB can't decompose, so tests compare with Python."""
+    golds = S.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array(labels.normalized(F.col("text"))).alias("golds"))
+    pairs = _pairs(spark, d).select("query_id", "passage_id", labels.normalized(F.col("text")).alias("text")).join(golds, "query_id")
+    return labels.containment(pairs).select("query_id", "passage_id", "label", "yes_no")
+
+
 @query("f26_parse_ranking", """WITH t AS (SELECT user_id AS query_id, string_agg('[' || CAST(json_extract_string(props, '$.k') AS INT) % 9 || ']', ' > ' ORDER BY event_id) AS answer FROM events GROUP BY 1),
  n AS (SELECT query_id, list_filter([CAST(x AS INT) FOR x IN regexp_extract_all(answer, '\\[(\\d+)\\]', 1)], lambda x: x BETWEEN 1 AND 6) AS named FROM t),
  o AS (SELECT query_id, list_filter(named, lambda x, i: list_position(named, x) = i) AS places FROM n), e AS (SELECT query_id, places, unnest(range(1, 7)) AS passage FROM o)

@@ -59,3 +59,12 @@ def test_every_pair_has_a_utility(spark):
 def test_no_pair_is_dropped(spark, name):
     got = catalog.queries()[name](spark, SF).collect()
     assert (got[0]["n"] if "n" in got[0] else len(got)) == len(turn_pairs())
+
+
+def test_containment_of_whole_texts(spark):
+    pairs = {(r["query_id"], r["passage_id"]): r["text"] for r in catalog._pairs(spark, SF).collect()}
+    golds = {k: normal(x) for k, x in table("benchmark", "item_id, text")}
+    got, cut = ({(r["query_id"], r["passage_id"]): r["label"] for r in catalog.queries()[n](spark, SF).collect()} for n in ("f28_answer_containment_all", "f28_answer_containment"))
+    assert got == {(q, p): float(span(golds[q], normal(x))) for (q, p), x in pairs.items()}
+    # whole golds that the cut inside a word leaves without a label
+    assert any(got[k] and not cut[k] for k in got)
