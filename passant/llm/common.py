@@ -33,6 +33,25 @@ def materialize(df: DataFrame, where: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def files_of(docs: DataFrame, columns: tuple[str, ...] = ()) -> tuple[DataFrame, str, str]:
+    """docs as a plain scan, its folder and the names of its files; a frame that isn't a scan is written first, of which
+    only the columns given are needed."""
+    plain = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    folders = {f.rpartition("/")[0] for f in docs.inputFiles()} if plain else set()
+    if len(folders) != 1:
+        docs = materialize(docs.select(*columns) if columns else docs)
+        folders = {f.rpartition("/")[0] for f in docs.inputFiles()}
+        if not folders:
+            return docs, "", ""
+    names = [f.rpartition("/")[2] for f in docs.inputFiles()]
+    return docs, folders.pop(), names[0] if len(names) == 1 else "*"
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """docs (a scan) with the file and index of each row as _file and _row."""
+    return docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
 def whole_text(text: Column) -> Column:
     """Null counts as the empty text."""
     return F.coalesce(text.cast("string"), F.lit(""))

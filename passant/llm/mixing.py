@@ -15,7 +15,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passant.llm.common import materialize, whole_text
+from passant.llm.common import files_of, located, materialize, whole_text
 
 AXES = ("source", "lang", "topic")
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.8}
@@ -29,10 +29,10 @@ def form(n_tokens: Column) -> Column:
     return F.when(n_tokens < 100, "note").when(n_tokens < 1000, "article").otherwise("book")
 
 
-def measured(docs: DataFrame, topic: Column | None = None) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens of every row; null text counts as empty."""
+def measured(docs: DataFrame, topic: Column | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens and the columns carried of every row; null text counts as empty."""
     n = F.regexp_count(whole_text(F.col("text")), F.lit(WORD)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), n.alias("n_tokens"), *([topic.alias("topic")] if topic is not None else []))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), n.alias("n_tokens"), *carried, *([topic.alias("topic")] if topic is not None else []))
     return rows if topic is not None else rows.withColumn("topic", form(F.col("n_tokens")))
 
 
@@ -75,14 +75,14 @@ def _rake_far(cells: DataFrame, temper: Mapping[str, float], rounds: int) -> Dat
     return rows.select(*AXES, F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0).alias("factor"))
 
 
-def mix(docs: DataFrame, topic: Column | None = None, temper: Mapping[str, float] = TEMPER, rounds: int = ROUNDS, rate: float = RATE, most_cells: int = MOST_CELLS) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, factor, p and kept for every row of docs (doc_id, text, source, lang).
+def mix(docs: DataFrame, topic: Column | None = None, temper: Mapping[str, float] = TEMPER, rounds: int = ROUNDS, rate: float = RATE, most_cells: int = MOST_CELLS, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens, factor, p, kept and the columns carried for every row of docs (doc_id, text, source, lang).
 
     Null source, language or topic is a category of its own. Null text counts as empty; a cell without a token has
     factor 1. Rows that repeat a doc_id share its draw, and so do null doc_ids. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = materialize(measured(docs, topic))
+    rows = materialize(measured(docs, topic, carried))
     cells = materialize(rows.groupBy(*AXES).agg(F.sum("n_tokens").alias("tokens")))
     if cells.count() <= most_cells:
         held = [(*(r[a] for a in AXES), float(r["tokens"])) for r in cells.orderBy(*AXES).collect()]
@@ -96,13 +96,17 @@ def mix(docs: DataFrame, topic: Column | None = None, temper: Mapping[str, float
     draw = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
     p = F.least(F.lit(1.0), F.lit(rate) * F.col("factor"))
     out = rows.join(right, same).withColumn("p", p).withColumn("kept", draw < F.col("p"))
-    return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("factor", 6).alias("factor"), F.round("p", 6).alias("p"), "kept")
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("factor", 6).alias("factor"), F.round("p", 6).alias("p"), "kept", *carried)
 
 
 def kept_rows(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that are sampled, with all their columns."""
-    stay = mix(docs, **how).where("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_stay")), "left_semi")
+    docs, folder, _ = files_of(docs)
+    if not folder:
+        return docs
+    docs = located(docs)
+    stay = mix(docs, **how, carried=("_file", "_row")).where("kept").select("_file", "_row")
+    return docs.join(stay, ["_file", "_row"], "left_semi").drop("_file", "_row")
 
 
 def oracle(rounds: int = ROUNDS, rate: float = RATE, temper: Mapping[str, float] = TEMPER, table: str = "documents") -> str:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passant.llm.common import materialize, shared_dir, whole_text
+from passant.llm.common import files_of, located, materialize, shared_dir, whole_text
 
 CELL = 2048
 #: Lanes of a bit-sliced block: whole keys are gathered up to so many.
@@ -45,16 +45,17 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     return int(np.packbits(total * 2 > len(shingles), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a long) for every row; null text counts as empty."""
+def fingerprints(docs: DataFrame, words: int = 3, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the fingerprint's 64 bits as a long) and the columns carried for every row; null text counts as empty."""
+    names = ["doc_id", "fp", *carried]
 
     def act(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_buffer().to_pybytes(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(F.col("text")).alias("text"))
-    return rows.mapInArrow(act, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(F.col("text")).alias("text"), *carried)
+    return rows.mapInArrow(act, ", ".join(["doc_id long", "fp long", *[f"{c} {rows.schema[c].dataType.simpleString()}" for c in carried]]))
 
 
 def _block_count(n: int, radius: int) -> int:
@@ -238,14 +239,31 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     base = shared_dir(spark)
     rows = materialize(fingerprints(docs, words), f"{base}/fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), f"{base}/distinct")
-    root = connected(links(distinct.select("fp"), radius))
-    # fingerprints without a link are their own component
-    rooted = distinct.join(root.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(distinct, radius)
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _rooted(distinct: DataFrame, radius: int) -> DataFrame:
+    """fp, least and root (the component's smallest fingerprint) for distinct fingerprints (fp, least)."""
+    root = connected(links(distinct.select("fp"), radius))
+    # fingerprints without a link are their own component
+    return distinct.join(root.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def kept_rows(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each component those with its smallest doc_id."""
-    stay = near_duplicates(docs, words, radius).where("doc_id <=> component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_stay")), "left_semi")
+    """The rows of docs that stay, with all their columns: one of each component.
+
+    It is the row with the smallest doc_id (null counts as largest); among rows that repeat that doc_id, the first by
+    file and row. An empty table gives an empty result.
+    """
+    docs, folder, _ = files_of(docs)
+    if not folder:
+        return docs
+    base = shared_dir(docs.sparkSession)
+    docs = located(docs)
+    rows = materialize(fingerprints(docs, words, ("_file", "_row")), f"{base}/fingerprints")
+    at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_file", "_row")
+    distinct = materialize(rows.groupBy("fp").agg(F.min(at).alias("least")), f"{base}/distinct")
+    stay = _rooted(distinct, radius).groupBy("root").agg(F.min("least").alias("at")).select("at._file", "at._row")
+    return docs.join(stay, ["_file", "_row"], "left_semi").drop("_file", "_row")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passant.llm.common import materialize, shared_dir, whole_text
+from passant.llm.common import files_of, materialize, shared_dir, whole_text
 
 #: State on disk; many small stores would each reserve disk ahead of what they write, and memory outside the heap. All
 #: stores of an executor share a bounded cache, have small write buffers, and those of an ended query are closed soon.
@@ -30,20 +30,6 @@ STATE_STORE = {
 SALTS = 32
 
 
-def _files(docs: DataFrame, columns: tuple[str, ...] = ()) -> tuple[DataFrame, str, str]:
-    """docs as a plain scan, its folder and the names of its files; a frame that isn't a scan is written first, of which
-    only the columns given are needed."""
-    plain = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
-    folders = {f.rpartition("/")[0] for f in docs.inputFiles()} if plain else set()
-    if len(folders) != 1:
-        docs = materialize(docs.select(*columns) if columns else docs)
-        folders = {f.rpartition("/")[0] for f in docs.inputFiles()}
-        if not folders:
-            return docs, "", ""
-    names = [f.rpartition("/")[2] for f in docs.inputFiles()]
-    return docs, folders.pop(), names[0] if len(names) == 1 else "*"
-
-
 def _located(docs: DataFrame) -> DataFrame:
     where = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     return docs.select(_digest(F.col("text")).alias("digest"), where.alias("at"), whole_text(F.col("text")).alias("text"))
@@ -95,13 +81,13 @@ def exact_dedup(docs: DataFrame, files_per_batch: int | None = None) -> DataFram
     (a null doc_id counts as smallest; among rows that repeat that doc_id, the last by file and row). An empty table
     gives an empty result.
     """
-    docs, folder, names = _files(docs, ("doc_id", "text"))
+    docs, folder, names = files_of(docs, ("doc_id", "text"))
     return _rows(*_decide(docs, folder, names, files_per_batch)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def kept_rows(docs: DataFrame, files_per_batch: int | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    docs, folder, names = _files(docs)
+    docs, folder, names = files_of(docs)
     docs, state, split = _decide(docs, folder, names, files_per_batch)
     if split is not None:
         state = state.join(split.select("digest").distinct(), "digest", "left_anti").unionByName(split.select("digest", "at", "group_size"))
