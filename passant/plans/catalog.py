@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -58,8 +59,8 @@ def f1_tokenize(spark, d):
 
 
 @query("f2_query_terms", f"WITH {S.QUESTIONS}, t AS (SELECT query_id, {S.tok('query')} AS toks FROM questions) SELECT query_id, array_to_string({S.ordered_distinct('toks')}, ' ') AS terms FROM t")
-def f2_query_terms(spark, d):
-    return S.questions(spark, d).select("query_id", F.array_join(X.query_terms(F.col("query")), " ").alias("terms"))
+def f2_query_terms(spark, d, questions=S.questions):
+    return questions(spark, d).select("query_id", F.array_join(X.query_terms(F.col("query")), " ").alias("terms"))
 
 
 @query("f5_f7_document_quality", f"WITH {S.CORPUS}, w AS (SELECT pid, text, len({S.words('text')}) AS n FROM corpus), x AS (SELECT pid, n, greatest(n, 1) AS w, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS s, len(regexp_extract_all(lower(text), '[aeiouy]+')) AS v FROM w) SELECT pid, n AS token_length, round(0.39e0 * w / s + 11.8e0 * greatest(v, w) / w - 15.59e0, 6) + 0.0 AS readability, CAST(0.5 AS DOUBLE) AS source_credibility FROM x")
@@ -96,10 +97,10 @@ _ASKED = "asked AS (SELECT item_id AS query_id, ['what is ', 'Who was ', 'which
 
 
 @query("f12_statement", f"WITH {_ASKED} SELECT query_id, {_statement_sql('query')} AS claim FROM asked")
-def f12_statement(spark, d):
+def f12_statement(spark, d, n_words=6):
     b = S.table(spark, d, "benchmark")
     opening = F.element_at(F.array(*map(F.lit, ("what is ", "Who was ", "which ", "How many ", "tell "))), (F.col("item_id") % 5 + 1).cast("int"))
-    asked = b.select(F.col("item_id").alias("query_id"), F.concat(opening, F.array_join(F.slice(X.words(F.col("text")), 1, 6), " "), F.lit("?")).alias("query"))
+    asked = b.select(F.col("item_id").alias("query_id"), F.concat(opening, F.array_join(F.slice(X.words(F.col("text")), 1, n_words), " "), F.lit("?")).alias("query"))
     return asked.select("query_id", X.statement(F.col("query")).alias("claim"))
 
 
@@ -117,15 +118,15 @@ def a1_corpus_stats(spark, d):
 
 
 @query("a1_term_df", f"WITH {S.BM25} SELECT df.term, df, round(ln(1.0 + (n_docs - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, stats")
-def a1_term_df(spark, d):
-    tokens, terms = retrieval.tokens_of(S.corpus(spark, d)), retrieval.vocabulary(S.questions(spark, d))
+def a1_term_df(spark, d, questions=S.questions):
+    tokens, terms = retrieval.tokens_of(S.corpus(spark, d)), retrieval.vocabulary(questions(spark, d))
     df = retrieval.document_frequencies(retrieval.term_frequencies(tokens, terms), terms)
     return df.crossJoin(F.broadcast(retrieval.corpus_stats(tokens))).select("term", "df", r6(retrieval.idf(F.col("df"), F.col("n_docs"))).alias("idf"))
 
 
 @query("k1_bm25_topk", f"WITH {S.BM25} SELECT query_id, pid, round(score, 6) AS score, rank FROM ranked WHERE rank < 5")
-def k1_bm25_topk(spark, d):
-    return retrieval.bm25_top_k(S.corpus(spark, d), S.questions(spark, d), 5).select("query_id", "pid", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+def k1_bm25_topk(spark, d, questions=S.questions):
+    return retrieval.bm25_top_k(S.corpus(spark, d), questions(spark, d), 5).select("query_id", "pid", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("k2_okapi_topk", f"""WITH {S.CORPUS}, {S.QUESTIONS}, dls AS (SELECT pid, len(t) AS dl, t FROM (SELECT pid, {S.words('lower(text)')} AS t FROM corpus) x),
@@ -135,8 +136,14 @@ def k1_bm25_topk(spark, d):
  tf AS (SELECT pid, dl, term, count(*) AS tf FROM (SELECT pid, dl, unnest(t) AS term FROM dls) x WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
  s AS (SELECT query_id, pid, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN asked ON tf.term = asked.term JOIN idf ON tf.term = idf.term GROUP BY ALL)
  SELECT query_id, pid, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pid DESC) - 1 AS rank FROM s) x WHERE rank < 10""")
-def k2_okapi_topk(spark, d):
-    return retrieval.okapi_top_k(S.corpus(spark, d), S.questions(spark, d), 10).select("query_id", "pid", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+def k2_okapi_topk(spark, d, questions=S.questions):
+    return retrieval.okapi_top_k(S.corpus(spark, d), questions(spark, d), 10).select("query_id", "pid", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+# Questions above are openings of benchmark texts, as in their SQL; these ask whole texts.
+for _name in ("f2_query_terms", "a1_term_df", "k1_bm25_topk", "k2_okapi_topk"):
+    query(f"{_name}_whole", _ORACLES[_name].replace(S.QUESTIONS, S.WHOLE_QUESTIONS))(partial(_QUERIES[_name], questions=S.whole_questions))
+query("f12_statement_whole", f"WITH {_ASKED.replace('list_slice(' + S.words('text') + ', 1, 6)', S.words('text'))} SELECT query_id, {_statement_sql('query')} AS claim FROM asked")(partial(f12_statement, n_words=(1 << 31) - 1))
 
 
 @query("w1_candidate_scores", f"""WITH {S.SCORED}, m AS (SELECT *, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN max(score) OVER (PARTITION BY query_id) ELSE 1 END AS scale,

@@ -24,6 +24,11 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(X.words(F.col("text")), 1, 12), " ").alias("query"))
 
 
+def whole_questions(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, query: all words of the benchmark items."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(X.words(F.col("text")), " ").alias("query"))
+
+
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """query_id, passage_id, dataset, y, score: events of a user, with many tied scores."""
     events = table(spark, d, "events")
@@ -78,6 +83,7 @@ def u(text: str) -> str:
 
 CORPUS = "corpus AS (SELECT doc_id AS pid, coalesce(text, '') AS text FROM documents)"
 QUESTIONS = f"questions AS (SELECT item_id AS query_id, array_to_string(list_slice({words('text')}, 1, 12), ' ') AS query FROM benchmark)"
+WHOLE_QUESTIONS = f"questions AS (SELECT item_id AS query_id, array_to_string({words('text')}, ' ') AS query FROM benchmark)"
 SCORED = "scored AS (SELECT user_id AS query_id, event_id AS passage_id, event_type AS dataset, value AS y, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS score FROM events)"
 TURNS = (
     "turns AS (SELECT conv_id || ':' || turn AS pair_id, text AS prediction, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS gold FROM conversations), "

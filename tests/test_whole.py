@@ -68,3 +68,10 @@ def test_containment_of_whole_texts(spark):
     assert got == {(q, p): float(span(golds[q], normal(x))) for (q, p), x in pairs.items()}
     # whole golds that the cut inside a word leaves without a label
     assert any(got[k] and not cut[k] for k in got)
+
+
+def test_questions_are_whole_texts(spark):
+    got = {r["query_id"]: r["claim"] for r in catalog.queries()["f12_statement_whole"](spark, SF).collect()}
+    assert all(" ".join(x.split()[1:]).rstrip("?").strip() in got[k] for k, x in table("benchmark", "item_id, text"))
+    terms, cut = ({r["query_id"]: set(r["terms"].split()) for r in catalog.queries()[n](spark, SF).collect()} for n in ("f2_query_terms_whole", "f2_query_terms"))
+    assert all(cut[k] <= terms[k] for k in cut) and sum(map(len, terms.values())) > sum(map(len, cut.values()))
