@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from typing import NamedTuple
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -12,16 +13,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; a temporary one is set only where that is unset (tests)."""
+    """A fresh folder below spark.checkpoint.dir, which driver and executors share; without that setting, an error, as a
+    machine's own folder would lose what executors write."""
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and (current := context._jsc.sc().getCheckpointDir()).isDefined():
+        base = current.get()
     if not base:
-        current = context._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            base = current.get()
-        else:
-            base = "file://" + tempfile.mkdtemp(prefix="passant-")
-            context.setCheckpointDir(base)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/passant-{uuid.uuid4().hex}"
 
 
@@ -33,23 +32,56 @@ def materialize(df: DataFrame, where: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def files_of(docs: DataFrame, columns: tuple[str, ...] = ()) -> tuple[DataFrame, str, str]:
-    """docs as a plain scan, its folder and the names of its files; a frame that isn't a scan is written first, of which
-    only the columns given are needed."""
-    plain = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
-    folders = {f.rpartition("/")[0] for f in docs.inputFiles()} if plain else set()
-    if len(folders) != 1:
+class Scan(NamedTuple):
+    """A scan of Parquet files, the folder that holds them and a filter on their names that selects just them."""
+
+    docs: DataFrame
+    folder: str
+    names: str
+
+
+def scan_of(docs: DataFrame, columns: tuple[str, ...] = ()) -> Scan:
+    """docs as a plain Parquet scan of one file or one whole folder, so that every row has a file and an index and a
+    stream reads the same files. Anything else (a list of files, another format, partitions in folder names, reader
+    options, a path with glob characters, a computed frame) is written first, of which only the columns given are needed."""
+    where = _root(docs)
+    if where is None:
         docs = materialize(docs.select(*columns) if columns else docs)
-        folders = {f.rpartition("/")[0] for f in docs.inputFiles()}
-        if not folders:
-            return docs, "", ""
-    names = [f.rpartition("/")[2] for f in docs.inputFiles()]
-    return docs, folders.pop(), names[0] if len(names) == 1 else "*"
+        where = _root(docs)
+    files = docs.inputFiles()
+    if len(files) == 1 and _bare(unquote(files[0])) == _bare(where):
+        return Scan(docs, *where.rsplit("/", 1))
+    return Scan(docs, where, "*")
+
+
+def _bare(path: str) -> str:
+    return path.partition(":")[2].lstrip("/")
+
+
+def _root(docs: DataFrame) -> str | None:
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return None
+    relation = plan.relation()
+    options = relation.options().keySet().mkString("|").lower()
+    paths = relation.location().rootPaths().mkString("\n").split("\n")
+    plain = relation.fileFormat().toString() == "Parquet" and relation.partitionSchema().isEmpty() and options in ("", "path") and relation.location().getClass().getSimpleName() == "InMemoryFileIndex"
+    return paths[0] if plain and len(paths) == 1 and not set("[]{}*?\\%") & set(paths[0]) else None
+
+
+def located(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs (a scan) with the file and index of each row, and the names of these two columns, which docs doesn't have."""
+    file, row = fresh(docs, "_file"), fresh(docs, "_row")
+    where = docs.metadataColumn("_metadata")
+    return docs.select("*", where["file_path"].alias(file), where["row_index"].alias(row)), file, row
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """docs (a scan) with the file and index of each row as _file and _row."""
-    return docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+def fresh(docs: DataFrame, name: str) -> str:
+    """name, with underscores in front until no column is called so (Spark's names don't tell cases apart)."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 def whole_text(text: Column) -> Column:

@@ -15,7 +15,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passant.llm.common import files_of, located, materialize, whole_text
+from passant.llm.common import located, materialize, scan_of, whole_text
 
 AXES = ("source", "lang", "topic")
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.8}
@@ -101,12 +101,9 @@ def mix(docs: DataFrame, topic: Column | None = None, temper: Mapping[str, float
 
 def kept_rows(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that are sampled, with all their columns."""
-    docs, folder, _ = files_of(docs)
-    if not folder:
-        return docs
-    docs = located(docs)
-    stay = mix(docs, **how, carried=("_file", "_row")).where("kept").select("_file", "_row")
-    return docs.join(stay, ["_file", "_row"], "left_semi").drop("_file", "_row")
+    docs, file, row = located(scan_of(docs).docs)
+    stay = mix(docs, **how, carried=(file, row)).where("kept").select(file, row)
+    return docs.join(stay, [file, row], "left_semi").drop(file, row)
 
 
 def oracle(rounds: int = ROUNDS, rate: float = RATE, temper: Mapping[str, float] = TEMPER, table: str = "documents") -> str:

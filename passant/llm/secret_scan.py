@@ -1,8 +1,11 @@
 """Secret scans through a trigram inverted index, in DataFrame operations only.
 
-From each rule's regular expression a Boolean query over trigrams is derived: what it must contain in any match. An
-index of postings (trigram, doc_id) over the trigrams that the queries name is intersected for each document, and the
-expression itself runs on candidates only. A rule without a mandatory trigram scans every text.
+From each rule's regular expression a Boolean query over trigrams is derived: what it must contain in any match. The
+index is a written table of postings (trigram, row) without any text, over the trigrams that the queries name. The
+postings lists of a query's clause are intersected to candidate rows, and the expression itself runs on those only, in
+the texts where they are read: no text is moved to find or verify a candidate. A rule without a mandatory trigram scans
+every text. Where candidates are more than may be broadcast, the texts that hold the rarest trigram of a clause meet
+their candidates by an exchange.
 """
 
 from __future__ import annotations
@@ -14,11 +17,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passant.llm.common import whole_text
+from passant.llm.common import materialize, shared_dir, whole_text
 
 Clauses = frozenset[frozenset[str]]
 #: Strings that a part of an expression may stand for are listed up to so many; beyond, the part counts as unknown.
 MOST_STRINGS = 64
+#: Candidate rows that are broadcast at most, as a hash and the names of their rules: some 50 MB.
+MOST_BROADCAST = 500_000
 
 
 @dataclass(frozen=True)
@@ -109,35 +114,25 @@ def trigram_query(pattern: str) -> Clauses:
     return min(clauses, key=len, default=frozenset())
 
 
-def candidates(rows: DataFrame, queries: dict[str, Clauses]) -> DataFrame:
-    """doc_id and, for each rule with a query, a flag c_kind: some row with that doc_id may match."""
-    trigrams = sorted({t for q in queries.values() for c in q for t in c})
-    number = {t: i for i, t in enumerate(trigrams)}
-    words = (len(trigrams) + 62) // 63
-    present = F.array_compact(F.array(*[F.when(F.col("low").contains(t), F.lit(i)) for t, i in number.items()]))
-    postings = rows.select("doc_id", F.lower("text").alias("low")).select("doc_id", F.explode(present).alias("trigram"))
-    masks = [F.bit_or(F.when(F.floor(F.col("trigram") / 63) == w, F.expr(f"shiftleft(1L, trigram - {63 * w})")).otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in range(words)]
-    held = postings.where("doc_id is not null").groupBy("doc_id").agg(*masks)
-
-    def has(clause: frozenset[str]) -> Column:
-        out = F.lit(True)
-        for w in range(words):
-            need = sum(1 << (number[t] - 63 * w) for t in clause if number[t] // 63 == w)
-            if need:
-                out = out & (F.col(f"m{w}").bitwiseAND(F.lit(need)) == F.lit(need))
-        return out
+def postings(rows: DataFrame, trigrams: list[str]) -> DataFrame:
+    """The inverted index: (trigram, at) for every trigram of the list that a row's text holds in lower case; no text."""
+    low = F.lower("text")
+    held = F.array_compact(F.array(*[F.when(low.contains(t), F.lit(t)) for t in trigrams]))
+    return rows.select("at", F.explode(held).alias("trigram")).select("trigram", "at")
+
+
+def candidates(index: DataFrame, queries: dict[str, Clauses]) -> DataFrame:
+    """at and kinds (an array) of the rows that satisfy a rule's trigram query.
 
-    flags = {}
-    for kind, query in queries.items():
-        flag = F.lit(False)
-        for clause in sorted(query, key=sorted):
-            flag = flag | has(clause)
-        flags[f"c_{kind}"] = flag
-    found = held.select("doc_id", *[f.alias(k) for k, f in flags.items()])
-    some = F.lit(False)
-    for k in flags:
-        some = some | F.col(k)
-    return found.where(some)
+    A clause's postings lists are intersected by counting, for each row and clause, in how many of the clause's lists
+    the row is: a pre-aggregated sum keyed by row and clause, so that no list, however long, meets in one task.
+    """
+    clauses = [(n, kind, sorted(clause)) for n, (kind, clause) in enumerate((k, c) for k, q in sorted(queries.items()) for c in sorted(q, key=sorted))]
+    lists = index.sparkSession.createDataFrame([(t, n) for n, _, clause in clauses for t in clause], "trigram string, clause int")
+    length = index.sparkSession.createDataFrame([(n, kind, len(clause)) for n, kind, clause in clauses], "clause int, kind string, lists long")
+    # both have a row for each trigram or clause of the rules, whatever the input
+    met = index.join(F.broadcast(lists), "trigram").groupBy("at", "clause").agg(F.count(F.lit(1)).alias("lists"))
+    return met.join(F.broadcast(length), ["clause", "lists"]).groupBy("at").agg(F.collect_set("kind").alias("kinds"))
 
 
 def _spans(rule: Rule, order: int, text: Column) -> Column:
@@ -160,23 +155,49 @@ def _spans(rule: Rule, order: int, text: Column) -> Column:
     return F.aggregate(parts, start, add, lambda x: x["found"])
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """doc_id and spans: array<struct<start, kind, end>>, ordered by start and then kind (its place among the rules).
 
-    docs: doc_id, text; other columns are not read. Null text counts as empty and has no spans. A row whose doc_id is
-    null isn't in the index and is scanned by every rule; rows that repeat a doc_id share its postings and are verified
-    one by one, each with its own spans. An empty table gives an empty result. Offsets are code points, end exclusive.
+    docs: doc_id, text; other columns are not read. Null text counts as empty and has no spans. A row is indexed by a
+    hash of its doc_id and text, null ids too; rows that repeat both share their postings, and each gives a result row.
+    Should two rows share a hash by chance, both are verified. An empty table gives an empty result. Offsets are code
+    points, end exclusive.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(F.col("text")).alias("text"))
+    rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("at"))
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
-    if queries:
-        rows = rows.join(candidates(rows, queries), "doc_id", "left")
     none = F.array().cast("array<struct<start: int, kind: int, end: int>>")
-    found = []
-    for order, rule in enumerate(rules):
-        maybe = F.coalesce(F.col(f"c_{rule.kind}"), F.col("doc_id").isNull()) if rule.kind in queries else F.lit(True)
-        found.append(F.when(maybe & F.col("text").rlike(rule.pattern), _spans(rule, order, F.col("text"))).otherwise(none))
-    return rows.select("doc_id", F.array_sort(F.concat(*found)).alias("spans"))
+
+    def verified(some: list[Rule], candidate=lambda rule: F.lit(True)) -> Column:
+        found = [F.when(candidate(r) & F.col("text").rlike(r.pattern), _spans(r, rules.index(r), F.col("text"))).otherwise(none) for r in some]
+        return F.concat(*found) if found else none
+
+    if not queries:
+        return rows.select("doc_id", F.array_sort(verified(list(rules))).alias("spans"))
+    base = shared_dir(docs.sparkSession)
+    trigrams = sorted({t for q in queries.values() for c in q for t in c})
+    index = materialize(postings(rows, trigrams), f"{base}/postings")
+    chosen = materialize(candidates(index, queries), f"{base}/candidates")
+    indexed = lambda r: F.array_contains("kinds", r.kind)
+    if chosen.count() <= most_broadcast:
+        # texts are verified where they are read
+        maybe = rows.join(F.broadcast(chosen), "at", "left")
+        every = verified(list(rules), lambda r: F.coalesce(indexed(r), F.lit(False)) if r.kind in queries else F.lit(True))
+        return maybe.select("doc_id", F.array_sort(every).alias("spans"))
+    # of the texts, only those move that hold the rarest trigram of a clause; what the other rules find moves as spans
+    known = index.groupBy("trigram").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each trigram of the rules
+    often = {r["trigram"]: r["n"] for r in known}
+    rarest = sorted({min(c, key=lambda t: (often.get(t, 0), t)) for q in queries.values() for c in q})
+    low, hold = F.lower("text"), F.lit(False)
+    for t in rarest:
+        hold = hold | low.contains(t)
+    with_index = [r for r in rules if r.kind in queries]
+    # 64 bits find a row's candidates; 128 bits tell the spans of one row from those of another
+    keyed = rows.withColumn("and", F.xxhash64("text"))
+    moved = keyed.where(hold).join(chosen, "at").select("at", "and", verified(with_index, indexed).alias("more"))
+    moved = moved.where(F.size("more") > 0).groupBy("at", "and").agg(F.first("more").alias("more"))
+    scanned = keyed.select("doc_id", "at", "and", verified([r for r in rules if r.kind not in queries]).alias("spans"))
+    return scanned.join(moved, ["at", "and"], "left").select("doc_id", F.array_sort(F.concat("spans", F.coalesce("more", none))).alias("spans"))
 
 
 def joined(spans: Column, rules: tuple[Rule, ...]) -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passant.llm.common import files_of, located, materialize, shared_dir, whole_text
+from passant.llm.common import located, materialize, scan_of, shared_dir, whole_text
 
 CELL = 2048
 #: Lanes of a bit-sliced block: whole keys are gathered up to so many.
@@ -252,18 +252,16 @@ def _rooted(distinct: DataFrame, radius: int) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of docs that stay, with all their columns: one of each component.
+    """The rows of docs that stay, with all their columns, whatever their names: one of each component.
 
     It is the row with the smallest doc_id (null counts as largest); among rows that repeat that doc_id, the first by
-    file and row. An empty table gives an empty result.
+    file and row. What stays is decided by row: a null or repeated doc_id keeps no other row. Null text counts as empty;
+    all texts without a word are one component with what is near to fingerprint 0. An empty table gives an empty result.
     """
-    docs, folder, _ = files_of(docs)
-    if not folder:
-        return docs
     base = shared_dir(docs.sparkSession)
-    docs = located(docs)
-    rows = materialize(fingerprints(docs, words, ("_file", "_row")), f"{base}/fingerprints")
-    at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_file", "_row")
+    docs, file, row = located(scan_of(docs).docs)
+    rows = materialize(fingerprints(docs, words, (file, row)), f"{base}/fingerprints")
+    at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(file).alias("file"), F.col(row).alias("row"))
     distinct = materialize(rows.groupBy("fp").agg(F.min(at).alias("least")), f"{base}/distinct")
-    stay = _rooted(distinct, radius).groupBy("root").agg(F.min("least").alias("at")).select("at._file", "at._row")
-    return docs.join(stay, ["_file", "_row"], "left_semi").drop("_file", "_row")
+    stay = _rooted(distinct, radius).groupBy("root").agg(F.min("least").alias("at")).select(F.col("at.file").alias(file), F.col("at.row").alias(row))
+    return docs.join(stay, [file, row], "left_semi").drop(file, row)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passant.llm.common import files_of, materialize, shared_dir, whole_text
+from passant.llm.common import Scan, located, materialize, scan_of, shared_dir, whole_text
 
 #: State on disk; many small stores would each reserve disk ahead of what they write, and memory outside the heap. All
 #: stores of an executor share a bounded cache, have small write buffers, and those of an ended query are closed soon.
@@ -31,16 +31,18 @@ SALTS = 32
 
 
 def _located(docs: DataFrame) -> DataFrame:
-    where = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    return docs.select(_digest(F.col("text")).alias("digest"), where.alias("at"), whole_text(F.col("text")).alias("text"))
+    place = docs.metadataColumn("_metadata")
+    at = F.struct(F.col("doc_id").cast("long").alias("doc_id"), place["file_path"].alias("file"), place["row_index"].alias("row"))
+    return docs.select(_digest(F.col("text")).alias("digest"), at.alias("at"), whole_text(F.col("text")).alias("text"))
 
 
 def _digest(text: Column) -> Column:
     return F.unhex(F.sha2(whole_text(text), 256))
 
 
-def build_state(docs: DataFrame, folder: str, names: str, files_per_batch: int | None = None) -> DataFrame:
-    """Run the stream over the files there are and return its state: digest, at (doc_id, file, row), group_size."""
+def build_state(scan: Scan, files_per_batch: int | None = None) -> DataFrame:
+    """Run the stream over the files of a scan and return its state: digest, at (doc_id, file, row), group_size."""
+    docs, folder, names = scan
     spark = docs.sparkSession
     base = shared_dir(spark)
     before = {key: spark.conf.get(key, None) for key in STATE_STORE}
@@ -62,8 +64,8 @@ def build_state(docs: DataFrame, folder: str, names: str, files_per_batch: int |
                 spark.conf.unset(key)
             else:
                 spark.conf.set(key, value)
-    versions = spark.read.schema(state.schema).option("basePath", f"{base}/versions").parquet(f"{base}/versions")
-    return versions.groupBy("digest").agg(F.max("at").alias("at"), F.max("group_size").alias("group_size"))
+    written = spark.read.schema(state.schema).option("recursiveFileLookup", "true").parquet(f"{base}/versions")
+    return written.groupBy("digest").agg(F.max("at").alias("at"), F.max("group_size").alias("group_size"))
 
 
 def _classes(docs: DataFrame, state: DataFrame) -> DataFrame:
@@ -81,27 +83,31 @@ def exact_dedup(docs: DataFrame, files_per_batch: int | None = None) -> DataFram
     (a null doc_id counts as smallest; among rows that repeat that doc_id, the last by file and row). An empty table
     gives an empty result.
     """
-    docs, folder, names = files_of(docs, ("doc_id", "text"))
-    return _rows(*_decide(docs, folder, names, files_per_batch)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return _rows(*_decide(scan_of(docs, ("doc_id", "text")), files_per_batch)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def kept_rows(docs: DataFrame, files_per_batch: int | None = None) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    docs, folder, names = files_of(docs)
-    docs, state, split = _decide(docs, folder, names, files_per_batch)
+    """The rows of docs that stay, with all their columns, whatever their names.
+
+    One row of each group of equal texts, null and empty being equal: the one with the largest doc_id (a null doc_id
+    counts as smallest), of rows that repeat it the last by file and row. An empty table gives an empty result.
+    """
+    scan = scan_of(docs)
+    _, state, split = _decide(scan, files_per_batch)
     if split is not None:
         state = state.join(split.select("digest").distinct(), "digest", "left_anti").unionByName(split.select("digest", "at", "group_size"))
-    stay = state.select(F.col("at.file").alias("_file"), F.col("at.row").alias("_row"))
-    rows = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    return rows.join(stay, ["_file", "_row"], "left_semi").drop("_file", "_row")
+    rows, file, row = located(scan.docs)
+    stay = state.select(F.col("at.file").alias(file), F.col("at.row").alias(row))
+    return rows.join(stay, [file, row], "left_semi").drop(file, row)
 
 
-def _decide(docs: DataFrame, folder: str, names: str, files_per_batch: int | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def _decide(scan: Scan, files_per_batch: int | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """docs, the state, and the classes of digests that stand for more than one text (None: there are none)."""
-    if not folder:
-        empty = _located(materialize(docs)).select("digest", "at", F.lit(1).cast("long").alias("group_size")).limit(0)
+    docs = scan.docs
+    if not docs.inputFiles():
+        empty = _located(materialize(docs.select("doc_id", "text"))).select("digest", "at", F.lit(1).cast("long").alias("group_size")).limit(0)
         return docs, empty, None
-    state = materialize(build_state(docs, folder, names, files_per_batch))
+    state = materialize(build_state(scan, files_per_batch))
     # the texts are needed for the check only, not in what it returns
     many = _classes(docs, state).groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
     if not many.take(1):

@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Names that operators use inside; a table may have them too.
-CLASHING = ("th", "seed", "seeds", "n", "fp", "key", "keep_id", "kept", "copies", "digest", "at", "salt", "rank", "score", "component_id", "group_size", "file", "row", "length", "good", "low", "topic", "factor")
+CLASHING = ("th", "seed", "seeds", "n", "fp", "key", "keep_id", "kept", "copies", "digest", "at", "salt", "rank", "score", "component_id", "group_size", "file", "row", "length", "good", "low", "topic", "factor", "_file", "_row", "_stay", "_metadata", "kinds", "trigram", "more")
 
 
 def messy_rows():

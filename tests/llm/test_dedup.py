@@ -33,6 +33,42 @@ def test_exact_keeps_columns(messy, rows):
     assert kept.columns == messy.columns and kept.count() == len(groups_of(rows))
 
 
+def by_row(df):
+    return sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"]) for r in stream_dedup.exact_dedup(df).collect())
+
+
+def plain_dedup(rows):
+    groups = groups_of(rows)
+    return sorted((str(d), str(max(groups[t or ""])), len(groups[t or ""]), d == max(groups[t or ""])) for d, t in rows)
+
+
+def test_exact_reads_the_files_it_is_given(spark, tmp_path):
+    """Two of a folder's three files, a JSON scan, a reader option, a path with a space and one with glob characters."""
+    rows = [(i, f"text {i % 4}") for i in range(12)]
+    for n, folder in enumerate(("plain", "with space", "with[x]glob")):
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id").write.parquet(f"{tmp_path}/{folder}")
+        df = spark.read.parquet(f"{tmp_path}/{folder.replace('[', '?').replace(']', '?')}" if n == 2 else f"{tmp_path}/{folder}")
+        assert by_row(df) == plain_dedup(rows) and stream_dedup.kept_rows(df).count() == 4
+    files = sorted(str(p) for p in (tmp_path / "plain").glob("*.parquet"))
+    for some in (files[:2], files[:1]):
+        df = spark.read.parquet(*some)
+        held = [tuple(r) for r in df.collect()]
+        assert 0 < len(held) < 12 and by_row(df) == plain_dedup(held)
+        assert sorted(r["text"] for r in stream_dedup.kept_rows(df).collect()) == sorted({t for _, t in held})
+    df = spark.read.option("pathGlobFilter", files[0].rpartition("/")[2]).parquet(f"{tmp_path}/plain")
+    assert by_row(df) == plain_dedup([tuple(r) for r in df.collect()])
+    spark.createDataFrame(rows, "doc_id long, text string").write.json(f"{tmp_path}/json")
+    df = spark.read.schema("doc_id long, text string").json(f"{tmp_path}/json")
+    assert by_row(df) == plain_dedup(rows) and stream_dedup.kept_rows(df).count() == 4
+
+
+def test_kept_rows_of_null_and_repeated_ids(spark):
+    """A decision is a row's: other rows with its doc_id, or without one, stand for themselves."""
+    rows = [(1, "a"), (1, "a"), (1, "b"), (2, "a"), (None, "c"), (None, "c"), (None, "d"), (3, None), (4, "")]
+    kept = [tuple(r) for r in stream_dedup.kept_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(2, "a"), (1, "b"), (None, "c"), (None, "d"), (4, "")]))
+
+
 def test_equal_digests_of_different_texts(spark, messy, monkeypatch):
     """A digest of few values: whole texts decide."""
     from pyspark.sql import functions as F

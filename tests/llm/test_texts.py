@@ -57,8 +57,28 @@ def plain_spans(text):
 def test_secrets(spark, messy, rows):
     more = ["\U0001f600 secret: 'abcdef123' password==xyzxyz", "api_key=short api-key=longenough", "apikey : \"A/b+c=d.e\" " * 3, "AKIAAKIA" + "B" * 20, "x" + "f" * 24 + "é" + "0" * 23, "Ｔoken=abcdefgh toKen=abcdefgh"]
     both = messy.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
-    got = sorted((str(r["doc_id"]), [tuple(s) for s in r["spans"]]) for r in secret_scan.find_secrets(both).collect())
-    assert got == sorted((str(d), plain_spans(t or "")) for d, t in [*((r[0], r[1]) for r in rows), *((1000 + i, t) for i, t in enumerate(more))])
+    want = sorted((str(d), plain_spans(t or "")) for d, t in [*((r[0], r[1]) for r in rows), *((1000 + i, t) for i, t in enumerate(more))])
+    for most in (500_000, 0):  # candidates are broadcast, or meet the texts by an exchange
+        got = secret_scan.find_secrets(both, most_broadcast=most).collect()
+        assert sorted((str(r["doc_id"]), [tuple(s) for s in r["spans"]]) for r in got) == want
+
+
+def test_candidates_are_those_of_brute_force(spark, messy, rows):
+    texts = [(r[1] or "") for r in rows] + ["a Token and a SECRET", "passing words", "pass word", "api_key, apikey", "tok oke ken", "AKIA akia", "aki kia"]
+    queries = {r.kind: q for r in secret_scan.BASE_RULES if (q := secret_scan.trigram_query(r.pattern))}
+    df = spark.createDataFrame(list(enumerate(texts)), "at long, text string")
+    index = secret_scan.postings(df, sorted({t for q in queries.values() for c in q for t in c}))
+    assert index.columns == ["trigram", "at"]
+    got = {(r["at"], k) for r in secret_scan.candidates(index, queries).collect() for k in r["kinds"]}
+    want = {(i, k) for i, t in enumerate(texts) for k, q in queries.items() if any(all(x in t.lower() for x in c) for c in q)}
+    assert got == want and {k for _, k in want} == {"assign", "access"}
+
+
+def test_no_text_is_moved(spark):
+    """Of the plan's exchanges none carries a text."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = secret_scan.find_secrets(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and not re.search(r"Exchange (hash|range|single)", plan)
 
 
 def test_secrets_without_python(spark, messy, empty):
