@@ -2,22 +2,26 @@
 
 A window of w words holds, wherever it starts, a whole block of the blocks of (w + 1) // 2 words that a reference is
 cut into. Where an anchor brings stretches of texts together (see repeats), each stretch's non-overlapping blocks are
-indexed, every rolling block of every stretch is probed in that index, and hits on another place are extended, one word
-after the other to both sides, to what they have in common with other hits: the windows around a hit that have an
-equal, whose union are the maximal exact repeats.
+indexed, and every rolling block of every stretch is probed in that index. A block that is indexed and found at two
+places is a hit at all of them. A window's first hit names it: equal windows have the same hit at the same place. From
+there windows are extended, word by word, first over the block itself, then to the right and to the left; those that no
+other window keeps up with drop out. What reaches a window's both ends is repeated, and the union of these windows are
+the maximal exact repeats.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 
-from passant.llm.repeats import Finder, Prints, mixed, words_as_tokens
+from passant.llm.repeats import Finder, Prints, mixed, refine, words_as_tokens, words_exactly
 
 WINDOW, GRAM = 35, 9
 
 
-def block_hits(values: np.ndarray, start: np.ndarray, anchor: np.ndarray, windows: np.ndarray, kind: np.ndarray, window: int = WINDOW) -> np.ndarray:
+def block_hits(values: np.ndarray, words: np.ndarray, start: np.ndarray, anchor: np.ndarray, windows: np.ndarray, kind: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Which windows are equal to another one; see repeats.Resolve."""
     block = (window + 1) // 2
     length = windows + window - 1
@@ -33,26 +37,29 @@ def block_hits(values: np.ndarray, start: np.ndarray, anchor: np.ndarray, window
     owner = np.repeat(np.arange(len(start)), rolling)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(rolling) - rolling, rolling) + start[owner]
     probe = prints.at(at, block) ^ salt[owner]
-    hit = np.isin(probe, index)
-    # a place that only finds itself is no hit
-    _, name, times = np.unique(probe[hit], return_inverse=True, return_counts=True)
-    hit[hit] = times[name] > 1
-    # windows that hold a hit: there is one among the rolling blocks at their first window - block + 1 words
-    before = np.concatenate([[0], np.cumsum(hit)])
+    found = np.searchsorted(index, probe)
+    hit = index[np.minimum(found, len(index) - 1)] == probe
+    hit &= np.bincount(found[hit], minlength=len(index) + 1)[found] > 1  # a place that only finds itself is no hit
+    # a window's first hit, if it holds one: its rolling blocks are window - block + 1
+    ahead = np.minimum.accumulate(np.where(hit, np.arange(len(hit)), len(hit))[::-1])[::-1]
     first = np.repeat(np.cumsum(rolling) - rolling, windows) + np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-    maybe = before[first + window - block + 1] > before[first]
-    # extension: windows around hits that have an equal
-    whose = np.repeat(np.arange(len(start)), windows)[maybe]
-    begin = at[first[maybe]]
-    key = np.stack([prints.at(begin, window) ^ salt[whose], Prints(values, 1).at(begin, window)])
-    order = np.lexsort(key)
-    new = np.concatenate([np.ones(min(1, len(order)), bool), (np.diff(key[:, order].astype(np.uint64), axis=1) != 0).any(axis=0)])
-    name = np.cumsum(new) - 1
-    equal = np.zeros(len(order), bool)
-    if len(order):
-        equal[order] = np.bincount(name)[name] > 1
+    into = ahead[first] - first
+    maybe = np.flatnonzero(into <= window - block)
+    into = into[maybe]
+    place = at[first[maybe] + into]
+    group = found[first[maybe] + into] * (window + 1) + into
+
+    def extension() -> Iterator[Callable[[np.ndarray], np.ndarray]]:
+        for i in range(block):
+            yield lambda live, i=i: words[place[live] + i]
+        for i in range(block, window):  # all windows of a group have as many words to a side
+            yield lambda live, i=i: np.where(into[live] + i < window, words[np.minimum(place[live] + i, len(words) - 1)], -1)
+        for i in range(1, window - block + 1):
+            yield lambda live, i=i: np.where(into[live] >= i, words[place[live] - np.minimum(i, into[live])], -1)
+
+    rows = np.argsort(group, kind="stable")
     out = np.zeros(int(windows.sum()), bool)
-    out[np.flatnonzero(maybe)[equal]] = True
+    out[maybe[refine(rows, group[rows], extension())]] = True
     return out
 
 
@@ -60,7 +67,7 @@ def finder(window: int = WINDOW) -> Finder:
     def resolve(*what: np.ndarray) -> np.ndarray:
         return block_hits(*what, window=window)
 
-    return Finder(window, max(1, min(GRAM, window // 2)), words_as_tokens, resolve)
+    return Finder(window, max(1, min(GRAM, window // 2)), words_as_tokens, words_exactly, resolve)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, digests: bool = False) -> DataFrame:

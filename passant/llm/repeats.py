@@ -16,16 +16,20 @@ pre-aggregated sum, and the join that brings the count back can split an anchor
 An anchor with over `HOT` occurrences would meet in one task in step 3. Its stretches are cut into cells of neighbouring
 windows and keyed by the next digit, too: what all windows of a cell have in common. Equal windows still meet, and
 stretches that run into different surroundings don't. Equal stretches are first collapsed inside salted parts of the
-key, in sorted order: two of them are known to be repeated there and then, and only one goes on.
+key, in sorted order: two of them are known to be repeated there and then, and only one goes on. This is done twice,
+with many parts and then with few, so that neither a part nor what is left of a key is many rows.
+
+Fingerprints decide which stretches meet; which windows are equal is decided on tokens themselves (`refine`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +38,10 @@ from passant.llm.common import digest, runs_of, utf8, whole_text
 MASK = np.uint64((1 << 20) - 1)
 #: Tokens of a stretch that is fingerprinted at once, and bytes of texts read for it.
 STRETCH, SLICE = 1 << 19, 1 << 21
-#: Stretches of text resolved together.
-GATHERED = 16_384
-#: Occurrences from which an anchor is hot, and the parts in which its equal stretches are collapsed.
-HOT, SALTS = 20_000, 64
+#: Stretches of text read together, and windows resolved together (one anchor's at least).
+GATHERED, RESOLVED = 8_192, 1 << 19
+#: Occurrences from which an anchor is hot, and the parts in which its equal stretches are collapsed, first and then.
+HOT, SALTS = 10_000, (512, 16)
 STRETCH_ROW = "seed long, th binary, first long, lead int, windows int, alone boolean, part binary"
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
@@ -111,35 +115,111 @@ def words_as_tokens(raw: np.ndarray, bounds: np.ndarray) -> Tokens:
     return Tokens(mixed(prints.at(starts, ends - starts) + (ends - starts).astype(np.uint64)), np.searchsorted(starts, bounds), starts, ends)
 
 
+def bytes_exactly(raw: np.ndarray, tokens: Tokens) -> np.ndarray:
+    return raw
+
+
+def words_exactly(raw: np.ndarray, tokens: Tokens) -> np.ndarray:
+    """A number for each word; equal words, and only those, have equal numbers."""
+    data, number = raw.tobytes(), {}
+    return np.fromiter((number.setdefault(data[a:b], len(number)) for a, b in zip(tokens.starts.tolist(), tokens.ends.tolist(), strict=True)), np.int64, len(tokens.starts))
+
+
 Tokenize = Callable[[np.ndarray, np.ndarray], Tokens]
-#: Which windows repeat: token values, first token of each stretch's first window, its anchor's token, its windows and its
-#: anchor's number; a flag for each window, stretch after stretch.
-Resolve = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: Which windows repeat: token values, exact tokens, first token of each stretch's first window, its anchor's token, its
+#: windows and its anchor's number; a flag for each window, stretch after stretch.
+Resolve = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def refine(rows: np.ndarray, group: np.ndarray, digits: Iterable[Callable[[np.ndarray], np.ndarray]]) -> np.ndarray:
+    """Those of rows (in the order of their group) that agree with another row of their group in every digit.
+
+    Each pass orders the groups that a digit splits by that digit and drops rows that are left alone; groups that agree in
+    the digit stay as they are.
+    """
+    new = np.concatenate([np.ones(min(1, len(rows)), bool), group[1:] != group[:-1]])
+    for digit in (None, *digits):
+        if digit is not None:
+            value = digit(rows)
+            name = np.cumsum(new) - 1
+            split = np.zeros(int(new.sum()), bool)
+            split[name[value != value[np.flatnonzero(new)][name]]] = True
+            at = np.flatnonzero(split[name])
+            if len(at):
+                order = at[np.lexsort((value[at], name[at]))]
+                rows[at], value[at] = rows[order], value[order]
+                new[at] |= np.concatenate([[True], value[at][1:] != value[at][:-1]])
+        first = np.flatnonzero(new)
+        alone = np.diff(np.append(first, len(rows))) == 1
+        if alone.any():
+            keep = np.ones(len(rows), bool)
+            keep[first[alone]] = False
+            rows, new = rows[keep], new[keep]
+        if not len(rows):
+            break
+    return rows
+
+
+def run_starts(table: pa.Table, names: Sequence[str]) -> np.ndarray:
+    """Where a row differs from the row before it in one of the columns."""
+    new = np.ones(table.num_rows, bool)
+    if len(new) > 1:
+        new[1:] = False
+        for n in names:
+            column = table.column(n).combine_chunks()
+            new[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+    return new
+
+
+STRETCH_KEY = ("seed", "lead", "windows", "part")
 
 
 def collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of equal stretches, which come one after the other: all are done if there are two (or one of a text with copies),
-    and one goes on as a stretch that is repeated anyhow and asks for no answer (alone is false)."""
-    names = ["seed", "th", "first", "lead", "windows", "alone", "part", "done"]
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.bool_()]
-    held: list | None = None
+    and one goes on as a stretch that is repeated anyhow and asks for no answer (alone is false). Rows that were done
+    before stay so."""
+
+    def out(table: pa.Table, alone: np.ndarray, done: bool) -> pa.Table:
+        table = table.set_column(table.schema.get_field_index("alone"), "alone", pa.array(alone))
+        return table.append_column("done", pa.array(np.full(table.num_rows, done)))
+
+    held: pa.Table | None = None
     for batch in batches:
-        out: list[list] = []
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            seed, _, _, lead, windows, alone, part = row
-            if held is None or (held[0], held[3], held[4], held[6]) != (seed, lead, windows, part):
-                if held is not None:
-                    out.append([*held, False])
-                held = list(row)
-                continue
-            if held[5]:
-                out.append([*held, True])
-                held[5] = False
-            if alone:
-                out.append([*row, True])
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], names)
+        table = pa.concat_tables([*([held] if held is not None else []), pa.Table.from_batches([batch])]).combine_chunks()
+        if not table.num_rows:
+            continue
+        new, alone = run_starts(table, STRETCH_KEY), table.column("alone").to_numpy()
+        first, name = np.flatnonzero(new), np.cumsum(new) - 1
+        repeated = np.diff(np.append(first, len(new))) > 1
+        repeated[name[~alone]] = True
+        gone = np.flatnonzero(repeated[name] & alone)
+        yield from out(table.take(pa.array(gone)), alone[gone], True).to_batches()
+        on = table.take(pa.array(first))
+        goes = alone[first] & ~repeated
+        yield from out(on.slice(0, len(first) - 1), goes[:-1], False).to_batches()
+        held = on.slice(len(first) - 1).set_column(on.schema.get_field_index("alone"), "alone", pa.array(goes[-1:]))
     if held is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([*held, False], kinds, strict=True)], names)
+        yield from out(held, held.column("alone").to_numpy(), False).to_batches()
+
+
+def _cut_out(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """raw[begin:end] for each pair, as binary."""
+    size = end - begin
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], size)
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw[at])]).cast(pa.binary())
+
+
+def _in_turn(some: np.ndarray, kind: np.ndarray, windows: np.ndarray) -> Iterator[np.ndarray]:
+    """some, whole kinds together, in parts of RESOLVED windows or one kind."""
+    cuts = np.append(np.flatnonzero(np.concatenate([np.ones(min(1, len(some)), bool), np.diff(kind[some]) != 0])), len(some))
+    before, begin = np.concatenate([[0], np.cumsum(windows[some])]), 0
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if before[b] - before[begin] > RESOLVED and a > begin:
+            yield some[begin:a]
+            begin = a
+    if begin < len(some):
+        yield some[begin:]
 
 
 @dataclass(frozen=True)
@@ -147,6 +227,7 @@ class Finder:
     window: int
     gram: int
     tokenize: Tokenize
+    exactly: Callable[[np.ndarray, Tokens], np.ndarray]
     resolve: Resolve
 
     def anchors(self, values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -222,13 +303,15 @@ class Finder:
             return texts.join(lists, "th").mapInArrow(self._sender(which == "hot"), STRETCH_ROW)
 
         def judged(stretches: DataFrame) -> DataFrame:
-            return stretches.repartition("seed").sortWithinPartitions("seed").mapInArrow(self._judge, "th binary, first long, last long")
+            return stretches.repartition("seed").sortWithinPartitions(*STRETCH_KEY).mapInArrow(self._judge, "th binary, first long, last long")
 
-        salt = F.pmod(F.xxhash64("th", "first"), F.lit(SALTS))
-        salted = sent("hot").withColumn("salt", salt).repartition("seed", "salt").sortWithinPartitions("seed", "salt", "lead", "windows", "part")
-        fewer = salted.drop("salt").mapInArrow(collapsed, f"{STRETCH_ROW}, done boolean")
-        known = fewer.where("done").select("th", "first", (F.col("first") + F.col("windows") - 1 + self.window).alias("last"))
-        return judged(sent("cold")).unionByName(judged(fewer.where("not done").drop("done"))).unionByName(known)
+        more, known = sent("hot"), None
+        for round_, salts in enumerate(SALTS):
+            salted = more.withColumn("salt", F.pmod(F.xxhash64("th", "first", F.lit(round_)), F.lit(salts))).repartition("seed", "salt")
+            fewer = salted.sortWithinPartitions("seed", "salt", *STRETCH_KEY[1:]).drop("salt").mapInArrow(collapsed, f"{STRETCH_ROW}, done boolean")
+            done = fewer.where("done").select("th", "first", (F.col("first") + F.col("windows") - 1 + self.window).alias("last"))
+            known, more = done if known is None else known.unionByName(done), fewer.where("not done").drop("done")
+        return judged(sent("cold").unionByName(more)).unionByName(known)
 
     def _sender(self, hot: bool):
         """A mapInArrow function: the stretches of a text's live anchors, those of hot ones in cells."""
@@ -253,64 +336,62 @@ class Finder:
                         seed, anchor, text = seed[whose], anchor[whose], text[whose]
                         seed = mixed(seed + mixed(cell.astype(np.uint64))) ^ Prints(t.values).at(anchor - cell * step, core)
                     begin, end = t.starts[start], t.ends[start + count + self.window - 2]
-                    data = part.tobytes()
-                    columns = [pa.array(seed.view(np.int64)), th.take(pa.array(text + i)), pa.array(start - t.bounds[text]), pa.array((anchor - start).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(alone[text + i]), pa.array([data[a:b] for a, b in zip(begin, end, strict=True)], pa.binary())]
+                    columns = [pa.array(seed.view(np.int64)), th.take(pa.array(text + i)), pa.array(start - t.bounds[text]), pa.array((anchor - start).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(alone[text + i]), _cut_out(part, begin, end)]
                     yield pa.RecordBatch.from_arrays(columns, ["seed", "th", "first", "lead", "windows", "alone", "part"])
 
         return stretches
 
     def _judge(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Stretches come in the order of their anchors, and are judged when an anchor is complete."""
-        held: pa.Table | None = None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            held = pa.concat_tables([*([held] if held is not None else []), pa.Table.from_batches([batch])])
-            if held.num_rows < GATHERED:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < GATHERED:
                 continue
-            seed = held.column("seed").to_numpy()
-            cut = int(np.searchsorted(seed, seed[-1]))  # in this order equal ones are together
-            changes = np.flatnonzero(seed[1:] != seed[:-1]) + 1
-            cut = int(changes[-1]) if len(changes) else 0
-            if cut:
-                yield from self._judged(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield from self._judged(held)
+            table = pa.Table.from_batches(held)
+            seed = table.column("seed").to_numpy()
+            changes = np.flatnonzero(seed[1:] != seed[:-1]) + 1  # in this order equal ones are together
+            if len(changes):
+                yield from self._judged(table.slice(0, int(changes[-1])))
+                held = table.slice(int(changes[-1])).combine_chunks().to_batches()
+        if sum(b.num_rows for b in held):
+            yield from self._judged(pa.Table.from_batches(held))
 
     def _judged(self, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        seed, first, lead, windows, alone = (rows.column(n).to_numpy() for n in ("seed", "first", "lead", "windows", "alone"))
-        parts = rows.column("part").to_pylist()
+        rows = rows.combine_chunks()
         # equal stretches are one, and two equal stretches are repeated as they are
-        number: dict[tuple, int] = {}
-        same = np.fromiter((number.setdefault(k, len(number)) for k in zip(seed.tolist(), lead.tolist(), windows.tolist(), parts, strict=True)), np.int64, len(parts))
-        one = np.full(len(number), -1)
-        one[same[::-1]] = np.arange(len(parts))[::-1]
-        whole = np.bincount(same, minlength=len(number)) > 1
+        new = run_starts(rows, STRETCH_KEY)
+        seed, first, lead, windows, alone = (rows.column(n).to_numpy() for n in ("seed", "first", "lead", "windows", "alone"))
+        same, one = np.cumsum(new) - 1, np.flatnonzero(new)
+        whole = np.diff(np.append(one, len(new))) > 1
         whole[same[~alone]] = True
-        kinds = np.unique(seed[one], return_inverse=True, return_counts=True)
-        open_ = np.flatnonzero(kinds[2][kinds[1]] > 1)  # other stretches have the same anchor
-        flags = [np.full(windows[o], w) for o, w in zip(one, whole, strict=True)]
-        if len(open_):
-            own = [parts[o] for o in one[open_]]
-            bounds = np.concatenate([[0], np.cumsum([len(p) for p in own])])
-            t = self.tokenize(np.frombuffer(b"".join(own), np.uint8), bounds)
-            n = windows[one[open_]].astype(np.int64)
+        kind = np.cumsum(np.concatenate([[True], np.diff(seed[one]) != 0])) - 1
+        n = windows[one].astype(np.int64)
+        owner, begin, end = [np.flatnonzero(whole)], [np.zeros(int(whole.sum()), np.int64)], [n[whole] + self.window - 1]
+        open_ = np.flatnonzero((np.bincount(kind) > 1)[kind])  # other stretches have the same anchor
+        for some in _in_turn(open_, kind, n):
+            raw, bounds = utf8(rows.column("part").combine_chunks().take(pa.array(one[some])))
+            t = self.tokenize(raw[bounds[0] : bounds[-1]], bounds - bounds[0])
             start = t.bounds[:-1]
-            got = self.resolve(t.values, start, start + lead[one[open_]], n, kinds[1][open_])
-            for o, a, b in zip(open_, np.cumsum(n) - n, np.cumsum(n), strict=True):
-                if not whole[o]:
-                    flags[o] = got[a:b]
-        spans = []
-        for f in flags:
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], f.astype(np.int8), [0]])))
-            spans.append((edge[::2], edge[1::2] + self.window - 1))
-        count = np.array([len(a) for a, _ in spans])[same]
-        row = np.repeat(np.arange(len(same)), count)
-        if not len(row):
-            return
-        a, b = (np.concatenate([spans[s][x] for s in same]) for x in (0, 1))
-        keep = alone[row]  # texts with copies are removed whole
-        row, a, b = row[keep], a[keep], b[keep]
-        yield from pa.table({"th": rows.column("th").take(pa.array(row)), "first": first[row] + a, "last": first[row] + b}).to_batches()
+            got = self.resolve(t.values, self.exactly(raw[bounds[0] : bounds[-1]], t), start, start + lead[one[some]], n[some], kind[some])
+            whose = np.repeat(some, n[some])
+            got &= ~whole[whose]
+            inside = np.arange(len(whose)) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
+            before = np.concatenate([[False], got[:-1] & (whose[1:] == whose[:-1])])
+            after = np.concatenate([got[1:] & (whose[1:] == whose[:-1]), [False]])
+            opens, closes = np.flatnonzero(got & ~before), np.flatnonzero(got & ~after)
+            owner.append(whose[opens])
+            begin.append(inside[opens])
+            end.append(inside[closes] + self.window)
+        owner, begin, end = (np.concatenate(x) for x in (owner, begin, end))
+        order = np.argsort(owner, kind="stable")
+        owner, begin, end = owner[order], begin[order], end[order]
+        asked = np.flatnonzero(alone)  # texts with copies are removed whole
+        at, many = np.searchsorted(owner, same[asked]), np.bincount(owner, minlength=len(one))[same[asked]]
+        row = np.repeat(asked, many)
+        if len(row):
+            place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(at, many)
+            yield from pa.table({"th": rows.column("th").take(pa.array(row)), "first": first[row] + begin[place], "last": first[row] + end[place]}).to_batches()
 
     def removed(self, docs: DataFrame, by_words: bool) -> DataFrame:
         """th, n_tokens, n_removed, n_spans, kept (what is left), one row for each different text.

@@ -2,8 +2,8 @@
 
 Suffixes are ordered only through their first `window` bytes, by most-significant-digit passes: the leading digit is
 the suffix's anchor (see repeats), by which suffixes are dealt out; each further pass orders what is still undecided by
-the fingerprint of the next digit of bytes, and leaves out suffixes that stand alone. After the last pass, the groups
-that remain are exactly the repeated windows.
+its next eight bytes, the most significant first, and leaves out suffixes that stand alone. After the last pass, the
+groups that remain are exactly the repeated windows.
 """
 
 from __future__ import annotations
@@ -11,39 +11,35 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from passant.llm.repeats import Finder, Prints, bytes_as_tokens
+from passant.llm.repeats import Finder, bytes_as_tokens, bytes_exactly, refine
 
-WINDOW, GRAM, PASSES = 200, 48, 4
+WINDOW, GRAM, DIGIT = 200, 48, 8
 
 
-def radix_passes(values: np.ndarray, start: np.ndarray, anchor: np.ndarray, windows: np.ndarray, kind: np.ndarray, window: int = WINDOW, passes: int = PASSES) -> np.ndarray:
+def radix_passes(values: np.ndarray, raw: np.ndarray, start: np.ndarray, anchor: np.ndarray, windows: np.ndarray, kind: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Which windows are equal to another one; see repeats.Resolve."""
     total = int(windows.sum())
     owner = np.repeat(np.arange(len(start)), windows)
     at = np.arange(total) - np.repeat(np.cumsum(windows) - windows, windows) + start[owner]
     # leading digit: the anchor and where in the window it is
     group = kind[owner].astype(np.int64) * (window + 1) + (anchor[owner] - at)
-    live = np.arange(total)
-    prints = Prints(values, 0), Prints(values, 1)
-    edges = [window * p // passes for p in range(passes + 1)]
-    for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-        digit = prints[p % 2].at(at[live] + a, b - a)
-        order = np.lexsort((digit, group))
-        group, digit, live = group[order], digit[order], live[order]
-        new = np.concatenate([np.ones(min(1, len(live)), bool), (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])])
-        name = np.cumsum(new) - 1
-        keep = np.bincount(name, minlength=1)[name] > 1 if len(name) else np.zeros(0, bool)
-        group, live = name[keep], live[keep]
+    width = min(DIGIT, window)
+    word = np.zeros(max(0, len(raw) - width + 1), np.uint64)
+    for i in range(width):
+        word = word << np.uint64(8) | raw[i : i + len(word)]
+    edges = [*range(0, window - width, width), window - width]  # the last digit may overlap the one before
+    rows = np.argsort(group, kind="stable")
+    left = refine(rows, group[rows], ((lambda live, e=e: word[at[live] + e]) for e in edges))
     out = np.zeros(total, bool)
-    out[live] = True
+    out[left] = True
     return out
 
 
 def finder(window: int = WINDOW) -> Finder:
     def resolve(*what: np.ndarray) -> np.ndarray:
-        return radix_passes(*what, window=window, passes=min(PASSES, window))
+        return radix_passes(*what, window=window)
 
-    return Finder(window, max(1, min(GRAM, window // 2)), bytes_as_tokens, resolve)
+    return Finder(window, max(1, min(GRAM, window // 2)), bytes_as_tokens, bytes_exactly, resolve)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, digests: bool = False) -> DataFrame:

@@ -1,7 +1,9 @@
 """Raking, packing and pivot search."""
 
+import math
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -167,31 +169,71 @@ def test_packing_nothing(empty):
     assert packing.pack(empty, IDS).count() == 0
 
 
-def plain_top(vectors, k, every, dim):
-    usable = [(i, np.array([np.floor(64 * float(x)) for x in v] + [0] * (dim - len(v)), np.int64)) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+def plain_top(vectors, k, every):
+    usable = [(i, tuple(math.floor(64 * Fraction(float(x))) for x in v)) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for q in sorted({i for i, _ in usable if i % every == 0}):
-        own = min((v.tolist() for i, v in usable if i == q))
-        best = sorted(((-int(np.dot(own, v)), i) for i, v in usable if i != q))[:k]
-        out += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+        own = min(v for i, v in usable if i == q)
+        best = sorted((-sum(a * b for a, b in zip(own, v, strict=False)), i) for i, v in usable if i != q)[:k]
+        out += [(q, rank, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for rank, (s, i) in enumerate(best, 1)]
     return out
 
 
+def vectors():
+    rng = np.random.default_rng(0)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6) * 0.3]) for i in range(150)]
+    rows += [(200 + i, [0.5] * 6) for i in range(40)]  # one very common vector: ties
+    return rows + [(None, [0.1] * 6), (301, None), (302, [0.1, None, 0.2]), (303, [float("nan")] * 6), (304, [float("inf")] * 6), (320, []), (340, [0.2, 0.3]), (20, [0.7] * 6), (20, [-0.7] * 6)]
+
+
+SIZES = {"SAMPLE": 30, "BLOCK": 3, "ANNULUS": 4, "PIVOTS": 4, "CELL": 16}
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_search(spark, monkeypatch, small):
     if small:
-        for name, value in (("SAMPLE", 30), ("CHUNK", 3), ("ANNULUS", 8), ("PIVOTS", 4)):
+        for name, value in SIZES.items():
             monkeypatch.setattr(pivot_search, name, value)
-    rng = np.random.default_rng(0)
-    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6) * 0.3]) for i in range(150)]
-    rows += [(200 + i, [0.5] * 6) for i in range(40)]  # one very common vector: ties
-    rows += [(None, [0.1] * 6), (301, None), (302, [0.1, None, 0.2]), (303, [float("nan")] * 6), (304, [float("inf")] * 6), (320, []), (340, [0.2, 0.3])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    df = spark.createDataFrame(vectors(), "vec_id long, embedding array<float>").repartition(5)
+    df = df.selectExpr("*", *[f"'clash' AS {c}" for c in ("v", "pivot", "distance", "cell", "block", "own", "near", "asks", "square", "score", "rank", "query_id")])
     got = sorted(tuple(r) for r in pivot_search.top_k(df, 5, 20).collect())
-    assert got == sorted(plain_top([(i, v and [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows], 5, 20, 6))
+    assert got == sorted(plain_top([(i, v and [None if x is None else float(np.float32(x)) for x in v]) for i, v in vectors()], 5, 20))
     assert pivot_search.top_k(df.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_search_with_components_of_any_size(spark, monkeypatch, small):
+    """Products beyond exact doubles, beyond longs and beyond 38 digits, beside ordinary ones."""
+    if small:
+        for name, value in SIZES.items():
+            monkeypatch.setattr(pivot_search, name, value)
+    rng = np.random.default_rng(1)
+    rows = [(i, (rng.normal(size=4) * 10.0 ** float(rng.choice([-1, 0, 6, 8, 12, 40, 150]))).tolist()) for i in range(90)]
+    rows += [(100, [1.0, 2.0, 3.0, 4.0]), (101, [1e300] * 4), (102, [-1e300] * 4), (120, [1e15 + 1, 0.5, -1e15, 3.0]), (140, [1e300, -1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(tuple(r) for r in pivot_search.top_k(df, 7, 20).collect()) == sorted(plain_top(rows, 7, 20))
+
+
+def test_search_leaves_out_annuli(monkeypatch):
+    """Queries stop at the triangle-inequality bound where the data have clusters, and find the same."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(20, 8))[rng.integers(0, 20, 4000)] * 64 + rng.normal(size=(4000, 8)))
+    square = float((x * x).sum(1).max())
+    lifted = pivot_search._lifted(x, square)
+    pivot = lifted[:1]
+    distance = pivot_search._distances(lifted, pivot)[:, 0]
+    order = np.argsort(distance)
+    q, ids = x[:100], np.arange(4000)
+    best = pivot_search.Best(100, 5, np.full(100, -np.inf))
+    to_pivot = pivot_search._distances(np.concatenate([q, np.zeros((100, 1))], axis=1), pivot)[:, 0]
+    made = pivot_search.expand(best, q, ids[:100], lambda f, live: pivot_search._reach(f, q[live], square), to_pivot, x[order], ids[order], distance[order])
+    score = q @ x.T
+    score[np.arange(100), np.arange(100)] = -np.inf
+    want = {(i, int(j)) for i in range(100) for j in np.lexsort((ids, -score[i]))[:5]}
+    assert set(zip(*(a.tolist() for a in best.settle()[:2]), strict=True)) == want
+    assert made < 0.9 * 100 * 4000
+
+
 def test_search_with_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (20, [0.0, 1.0]), (21, [1.0, 1.0]), (21, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = sorted(tuple(r) for r in pivot_search.top_k(df).collect())

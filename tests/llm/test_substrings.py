@@ -54,7 +54,8 @@ def test_words(messy, rows, window):
 def test_many_copies_of_a_passage(spark, monkeypatch, hot):
     """A passage that every text holds, in texts that are otherwise different; and texts that differ in one place."""
     monkeypatch.setattr(repeats, "HOT", hot)
-    monkeypatch.setattr(repeats, "SALTS", 3)
+    monkeypatch.setattr(repeats, "SALTS", (5, 2))
+    monkeypatch.setattr(repeats, "RESOLVED", 500)
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     passage = " ".join(word() for _ in range(80))
@@ -73,6 +74,17 @@ def test_real_output_and_empty(messy, empty):
     assert kept == {1: b"", 3: b"one"}
 
 
+def test_equal_fingerprints_of_different_windows(messy, rows, monkeypatch):
+    """Fingerprints of a few values: tokens themselves decide what is equal."""
+    monkeypatch.setattr(block_dedup, "Prints", lambda values, which=0: repeats.Prints(values & np.uint64(1), which))
+    rng = np.random.default_rng(2)
+    words = rng.integers(0, 3, 400)
+    start, windows = np.array([0, 200]), np.array([192, 192])
+    flags = block_dedup.block_hits(words.astype(np.uint64) * np.uint64(2), words, start, start, windows, np.zeros(2, np.int64), 9)
+    seen = Counter(tuple(words[a + i : a + i + 9]) for a in start for i in range(192))
+    assert flags.tolist() == [seen[tuple(words[a + i : a + i + 9])] > 1 for a in start for i in range(192)]
+
+
 def test_long_texts_in_stretches(monkeypatch):
     """A text longer than a stretch has the anchors it would have as a whole."""
     values = np.random.default_rng(0).integers(0, 3, 5000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -91,9 +103,10 @@ def test_resolvers_against_brute_force(resolve):
     start = np.cumsum([0, *map(len, parts)])[:-1]
     windows = np.array([len(p) - window + 1 for p in parts])
     kind = np.arange(40) % 3
+    exact = np.concatenate(parts).astype(np.uint8 if resolve is suffix_dedup.radix_passes else np.int64)
     values = repeats.mixed(np.concatenate(parts))
     anchor = start + window - 1  # in every window of a stretch at another place
-    flags = resolve(values, start, anchor, windows, kind, window=window)
+    flags = resolve(values, exact, start, anchor, windows, kind, window=window)
     at = np.cumsum(windows) - windows
     seen = Counter()
     keys = []
