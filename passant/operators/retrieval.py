@@ -90,7 +90,7 @@ def top_k(hits: DataFrame, k: int, later_first: bool = False) -> DataFrame:
 
 def okapi_top_k(corpus: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """The Okapi variant: lower-case white-space tokens, ln((N - df + .5) / (df + .5)), and a quarter of the average idf
-    in place of negative ones. All documents are candidates, ties go to the larger pid."""
+    in place of negative ones. Ties go to the larger pid; documents that share no term with a query are not listed."""
     tokens = tokens_of(corpus, lambda t: X.words(F.lower(t)))
     n_avgdl = corpus_stats(tokens)
     counts = tokens.select(F.explode_outer(F.array_distinct("toks")).alias("term")).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))

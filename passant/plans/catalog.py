@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,8 +58,8 @@ def f1_tokenize(spark, d):
 
 
 @query("f2_query_terms", f"WITH {S.QUESTIONS}, t AS (SELECT query_id, {S.tok('query')} AS toks FROM questions) SELECT query_id, array_to_string({S.ordered_distinct('toks')}, ' ') AS terms FROM t")
-def f2_query_terms(spark, d, questions=S.questions):
-    return questions(spark, d).select("query_id", F.array_join(X.query_terms(F.col("query")), " ").alias("terms"))
+def f2_query_terms(spark, d):
+    return S.questions(spark, d).select("query_id", F.array_join(X.query_terms(F.col("query")), " ").alias("terms"))
 
 
 @query("f5_f7_document_quality", f"WITH {S.CORPUS}, w AS (SELECT pid, text, len({S.words('text')}) AS n FROM corpus), x AS (SELECT pid, n, greatest(n, 1) AS w, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS s, len(regexp_extract_all(lower(text), '[aeiouy]+')) AS v FROM w) SELECT pid, n AS token_length, round(0.39e0 * w / s + 11.8e0 * greatest(v, w) / w - 15.59e0, 6) + 0.0 AS readability, CAST(0.5 AS DOUBLE) AS source_credibility FROM x")
@@ -93,14 +92,14 @@ def f8_f11_semantic_overlap(spark, d):
     return _pairs(spark, d).select("query_id", "passage_id", r6(X.share_of(X.entities(q), X.entities(t))).alias("entity_overlap"), r6(X.answerability(X.statement(q), t)).alias("answerability"))
 
 
-_ASKED = "asked AS (SELECT item_id AS query_id, ['what is ', 'Who was ', 'which ', 'How many ', 'tell '][1 + item_id % 5] || query || '?' AS query FROM (SELECT item_id, array_to_string(list_slice(" + S.words("text") + ", 1, 6), ' ') AS query FROM benchmark) b)"
+_ASKED = "asked AS (SELECT item_id AS query_id, ['what is ', 'Who was ', 'which ', 'How many ', 'tell '][1 + item_id % 5] || query || '?' AS query FROM (SELECT item_id, array_to_string(" + S.words("text") + ", ' ') AS query FROM benchmark) b)"
 
 
 @query("f12_statement", f"WITH {_ASKED} SELECT query_id, {_statement_sql('query')} AS claim FROM asked")
-def f12_statement(spark, d, n_words=6):
+def f12_statement(spark, d):
     b = S.table(spark, d, "benchmark")
     opening = F.element_at(F.array(*map(F.lit, ("what is ", "Who was ", "which ", "How many ", "tell "))), (F.col("item_id") % 5 + 1).cast("int"))
-    asked = b.select(F.col("item_id").alias("query_id"), F.concat(opening, F.array_join(F.slice(X.words(F.col("text")), 1, n_words), " "), F.lit("?")).alias("query"))
+    asked = b.select(F.col("item_id").alias("query_id"), F.concat(opening, F.array_join(X.words(F.col("text")), " "), F.lit("?")).alias("query"))
     return asked.select("query_id", X.statement(F.col("query")).alias("claim"))
 
 
@@ -118,15 +117,15 @@ def a1_corpus_stats(spark, d):
 
 
 @query("a1_term_df", f"WITH {S.BM25} SELECT df.term, df, round(ln(1.0 + (n_docs - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, stats")
-def a1_term_df(spark, d, questions=S.questions):
-    tokens, terms = retrieval.tokens_of(S.corpus(spark, d)), retrieval.vocabulary(questions(spark, d))
+def a1_term_df(spark, d):
+    tokens, terms = retrieval.tokens_of(S.corpus(spark, d)), retrieval.vocabulary(S.questions(spark, d))
     df = retrieval.document_frequencies(retrieval.term_frequencies(tokens, terms), terms)
     return df.crossJoin(F.broadcast(retrieval.corpus_stats(tokens))).select("term", "df", r6(retrieval.idf(F.col("df"), F.col("n_docs"))).alias("idf"))
 
 
 @query("k1_bm25_topk", f"WITH {S.BM25} SELECT query_id, pid, round(score, 6) AS score, rank FROM ranked WHERE rank < 5")
-def k1_bm25_topk(spark, d, questions=S.questions):
-    return retrieval.bm25_top_k(S.corpus(spark, d), questions(spark, d), 5).select("query_id", "pid", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+def k1_bm25_topk(spark, d):
+    return retrieval.bm25_top_k(S.corpus(spark, d), S.questions(spark, d), 5).select("query_id", "pid", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("k2_okapi_topk", f"""WITH {S.CORPUS}, {S.QUESTIONS}, dls AS (SELECT pid, len(t) AS dl, t FROM (SELECT pid, {S.words('lower(text)')} AS t FROM corpus) x),
@@ -136,14 +135,8 @@ def k1_bm25_topk(spark, d, questions=S.questions):
  tf AS (SELECT pid, dl, term, count(*) AS tf FROM (SELECT pid, dl, unnest(t) AS term FROM dls) x WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
  s AS (SELECT query_id, pid, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN asked ON tf.term = asked.term JOIN idf ON tf.term = idf.term GROUP BY ALL)
  SELECT query_id, pid, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pid DESC) - 1 AS rank FROM s) x WHERE rank < 10""")
-def k2_okapi_topk(spark, d, questions=S.questions):
-    return retrieval.okapi_top_k(S.corpus(spark, d), questions(spark, d), 10).select("query_id", "pid", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
-
-
-# Questions above are openings of benchmark texts, as in their SQL; these ask whole texts.
-for _name in ("f2_query_terms", "a1_term_df", "k1_bm25_topk", "k2_okapi_topk"):
-    query(f"{_name}_whole", _ORACLES[_name].replace(S.QUESTIONS, S.WHOLE_QUESTIONS))(partial(_QUERIES[_name], questions=S.whole_questions))
-query("f12_statement_whole", f"WITH {_ASKED.replace('list_slice(' + S.words('text') + ', 1, 6)', S.words('text'))} SELECT query_id, {_statement_sql('query')} AS claim FROM asked")(partial(f12_statement, n_words=(1 << 31) - 1))
+def k2_okapi_topk(spark, d):
+    return retrieval.okapi_top_k(S.corpus(spark, d), S.questions(spark, d), 10).select("query_id", "pid", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("w1_candidate_scores", f"""WITH {S.SCORED}, m AS (SELECT *, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN max(score) OVER (PARTITION BY query_id) ELSE 1 END AS scale,
@@ -250,16 +243,6 @@ def a21_latency_tiers(spark, d):
 
 # ---------------------------------------------------------------- answers and labels
 
-_TF1 = """CASE WHEN len(pt) = 0 OR len(gt) = 0 THEN 0.0 ELSE 2.0 * list_sum([least(len(list_filter(pt, lambda z: z = w)), len(list_filter(gt, lambda z: z = w))) FOR w IN list_distinct(gt)]) / (len(pt) + len(gt)) END"""
-_QA = f"""{S.TURNS}, n AS (SELECT pair_id, {S.norm('prediction')} AS p, {S.norm('gold')} AS g FROM qa),
- t AS (SELECT *, list_filter(string_split(p, ' '), lambda w: w <> '') AS pt, list_filter(string_split(g, ' '), lambda w: w <> '') AS gt FROM n),
- s AS (SELECT pair_id, CASE WHEN p = g THEN 1.0 ELSE 0.0 END AS exact, CASE WHEN g <> '' AND contains(' ' || p || ' ', ' ' || g || ' ') THEN 1.0 ELSE 0.0 END AS relaxed, {_TF1} AS f1 FROM t)"""
-
-
-@query("f14_f20_qa_scores", f"WITH {_QA} SELECT pair_id, CAST(exact AS DOUBLE) AS exact, CAST(relaxed AS DOUBLE) AS relaxed, round(f1, 6) AS f1, round(0.5 * relaxed + 0.5 * f1, 6) AS acc FROM s")
-def f14_f20_qa_scores(spark, d):
-    return labels.qa_scores(S.qa(spark, d), ascii_only=True).select("pair_id", "exact", "relaxed", r6("f1").alias("f1"), r6("acc").alias("acc"))
-
 
 @query("f14_normalize_unicode")
 def f14_normalize_unicode(spark, d):
@@ -267,6 +250,14 @@ def f14_normalize_unicode(spark, d):
     return S.table(spark, d, "conversations").select("conv_id", "turn", labels.normalized(F.col("text")).alias("normal"))
 
 
+# Pairs of any script; DuckDB can't decompose Unicode, so tests compare the normalised ones with Python.
+
+
+@query("f14_f20_qa_scores")
+def f14_f20_qa_scores(spark, d):
+    return labels.qa_scores(S.qa(spark, d)).select("pair_id", "exact", "relaxed", r6("f1").alias("f1"), r6("acc").alias("acc"))
+
+
 @query("f21_set_f1", f"WITH {S.TURNS}, t AS (SELECT pair_id, list_distinct({S.words('lower(prediction)')}) AS a, list_distinct({S.words('lower(gold)')}) AS b FROM qa) SELECT pair_id, round(CASE WHEN len(list_intersect(a, b)) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) END, 6) AS f1 FROM t")
 def f21_set_f1(spark, d):
     return S.qa(spark, d).select("pair_id", r6(X.set_f1(F.col("prediction"), F.col("golds")[0])).alias("f1"))
@@ -278,54 +269,15 @@ def a12_exact_match_mean(spark, d):
     return S.qa(spark, d).agg(r6(F.avg(same.cast("double"))).alias("em"), F.count(F.lit(1)).alias("n"))
 
 
-@query("f22_utility_label", f"WITH {_QA}, a AS (SELECT pair_id, split_part(pair_id, ':', 1) AS conv, 0.5 * relaxed + 0.5 * f1 AS acc FROM s), b AS (SELECT conv, min(acc) AS base FROM a GROUP BY 1) SELECT pair_id, round(greatest(-1.0, least(1.0, acc - base)), 6) + 0.0 AS u_true FROM a JOIN b ON a.conv = b.conv")
+@query("f22_utility_label")
 def f22_utility_label(spark, d):
-    acc = labels.qa_scores(S.qa(spark, d), ascii_only=True).select("pair_id", F.split_part("pair_id", F.lit(":"), F.lit(1)).alias("conv"), "acc")
+    acc = labels.qa_scores(S.qa(spark, d)).select("pair_id", F.split_part("pair_id", F.lit(":"), F.lit(1)).alias("conv"), "acc")
     base = acc.groupBy("conv").agg(F.min("acc").alias("base"))
     return acc.join(base, "conv").select("pair_id", r6(X.utility(F.col("acc"), F.col("base"))).alias("u_true"))
 
 
-# The four queries above keep ASCII pairs only, as their SQL does; these read every pair. DuckDB can't decompose Unicode,
-# so tests compare the normalised ones with Python.
-
-
-@query("f14_f20_qa_scores_all")
-def f14_f20_qa_scores_all(spark, d):
-    return labels.qa_scores(S.all_qa(spark, d)).select("pair_id", "exact", "relaxed", r6("f1").alias("f1"), r6("acc").alias("acc"))
-
-
-@query("f21_set_f1_all", f"WITH {S.ALL_TURNS}, t AS (SELECT pair_id, list_distinct({S.words('lower(prediction)')}) AS a, list_distinct({S.words('lower(gold)')}) AS b FROM qa) SELECT pair_id, round(CASE WHEN len(list_intersect(a, b)) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) END, 6) AS f1 FROM t")
-def f21_set_f1_all(spark, d):
-    return S.all_qa(spark, d).select("pair_id", r6(X.set_f1(F.col("prediction"), F.col("golds")[0])).alias("f1"))
-
-
-@query("a12_exact_match_mean_all", f"WITH {S.ALL_TURNS} SELECT round(avg(CASE WHEN lower(trim(prediction)) = lower(trim(gold)) THEN 1.0 ELSE 0.0 END), 6) AS em, count(*) AS n FROM qa")
-def a12_exact_match_mean_all(spark, d):
-    same = F.lower(F.trim("prediction")) == F.lower(F.trim(F.col("golds")[0]))
-    return S.all_qa(spark, d).agg(r6(F.avg(same.cast("double"))).alias("em"), F.count(F.lit(1)).alias("n"))
-
-
-@query("f22_utility_label_all")
-def f22_utility_label_all(spark, d):
-    acc = labels.qa_scores(S.all_qa(spark, d)).select("pair_id", F.split_part("pair_id", F.lit(":"), F.lit(1)).alias("conv"), "acc")
-    base = acc.groupBy("conv").agg(F.min("acc").alias("base"))
-    return acc.join(base, "conv").select("pair_id", r6(X.utility(F.col("acc"), F.col("base"))).alias("u_true"))
-
-
-_ASCII = "regexp_replace({}, '[^\\x00-\\x7F]', '', 'g')"
-_SPAN = f"{S.norm(_ASCII.format('substr(text, 1, 60)'))}"
-
-
-@query("f28_answer_containment", f"WITH {_PAIRS}, golds AS (SELECT item_id AS query_id, {_SPAN} AS g FROM benchmark), t AS (SELECT query_id, passage_id, {S.norm(_ASCII.format('text'))} AS p FROM pairs) SELECT t.query_id, passage_id, CASE WHEN g <> '' AND contains(' ' || p || ' ', ' ' || g || ' ') THEN CAST(1 AS DOUBLE) ELSE 0 END AS label, g IN ('yes', 'no', '') AS yes_no FROM t JOIN golds ON t.query_id = golds.query_id")
+@query("f28_answer_containment")
 def f28_answer_containment(spark, d):
-    plain = lambda c: X.normalize(F.regexp_replace(c, "[^\\x00-\\x7F]", ""))
-    golds = S.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array(plain(F.substring("text", 1, 60))).alias("golds"))
-    pairs = _pairs(spark, d).select("query_id", "passage_id", plain(F.col("text")).alias("text")).join(golds, "query_id")
-    return labels.containment(pairs).select("query_id", "passage_id", "label", "yes_no")
-
-
-@query("f28_answer_containment_all")
-def f28_answer_containment_all(spark, d):
     """The whole benchmark text as gold, in any script; DuckDB can't decompose, so tests compare with Python."""
     golds = S.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array(labels.normalized(F.col("text"))).alias("golds"))
     pairs = _pairs(spark, d).select("query_id", "passage_id", labels.normalized(F.col("text")).alias("text")).join(golds, "query_id")
@@ -771,9 +723,10 @@ def m27_own_candidates(spark, d):
 
 @query("m13_p_from_interval")
 def m13_p_from_interval(spark, d):
-    """Bootstrap intervals turned into p values; a handful of rows."""
-    rows = a19_bootstrap_ci(spark, d).collect()
-    return spark.createDataFrame([(r["dataset"], *map(float, stats.p_from_interval(r["mean"], r["lo"], r["hi"], 150).values())) for r in rows], "dataset string, se double, z double, p double, asymmetry double")
+    """Bootstrap intervals turned into p values, with each dataset's number of questions; a row for each dataset."""
+    counts = metrics.per_query_scores(S.scored(spark, d), ("dataset", "query_id")).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    rows = a19_bootstrap_ci(spark, d).join(counts, "dataset").collect()
+    return spark.createDataFrame([(r["dataset"], *map(float, stats.p_from_interval(r["mean"], r["lo"], r["hi"], r["n"]).values())) for r in rows], "dataset string, se double, z double, p double, asymmetry double")
 
 
 @query("m14_m15_dataset_tests")

@@ -20,11 +20,6 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    """query_id, query: the first twelve words of the benchmark items."""
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(X.words(F.col("text")), 1, 12), " ").alias("query"))
-
-
-def whole_questions(spark: SparkSession, d: str) -> DataFrame:
     """query_id, query: all words of the benchmark items."""
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(X.words(F.col("text")), " ").alias("query"))
 
@@ -36,12 +31,6 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def qa(spark: SparkSession, d: str) -> DataFrame:
-    """pair_id, prediction, golds: a turn and the next one, ASCII ones, as DuckDB can't decompose Unicode."""
-    pairs = labels.turn_pairs(table(spark, d, "conversations"))
-    return pairs.where(~F.col("prediction").rlike("[^\\x00-\\x7F]") & ~F.col("gold").rlike("[^\\x00-\\x7F]")).select("pair_id", "prediction", F.array("gold").alias("golds"))
-
-
-def all_qa(spark: SparkSession, d: str) -> DataFrame:
     """pair_id, prediction, golds: every turn and the next one, in any script."""
     return labels.turn_pairs(table(spark, d, "conversations")).select("pair_id", "prediction", F.array("gold").alias("golds"))
 
@@ -82,14 +71,9 @@ def u(text: str) -> str:
 
 
 CORPUS = "corpus AS (SELECT doc_id AS pid, coalesce(text, '') AS text FROM documents)"
-QUESTIONS = f"questions AS (SELECT item_id AS query_id, array_to_string(list_slice({words('text')}, 1, 12), ' ') AS query FROM benchmark)"
-WHOLE_QUESTIONS = f"questions AS (SELECT item_id AS query_id, array_to_string({words('text')}, ' ') AS query FROM benchmark)"
+QUESTIONS = f"questions AS (SELECT item_id AS query_id, array_to_string({words('text')}, ' ') AS query FROM benchmark)"
 SCORED = "scored AS (SELECT user_id AS query_id, event_id AS passage_id, event_type AS dataset, value AS y, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS score FROM events)"
-TURNS = (
-    "turns AS (SELECT conv_id || ':' || turn AS pair_id, text AS prediction, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS gold FROM conversations), "
-    "qa AS (SELECT pair_id, prediction, gold FROM turns WHERE gold IS NOT NULL AND prediction IS NOT NULL AND NOT regexp_matches(prediction, '[^\\x00-\\x7F]') AND NOT regexp_matches(gold, '[^\\x00-\\x7F]'))"
-)
-ALL_TURNS = "qa AS (SELECT pair_id, prediction, gold FROM (SELECT conv_id || ':' || turn AS pair_id, text AS prediction, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS gold FROM conversations) turns WHERE gold IS NOT NULL AND prediction IS NOT NULL)"
+TURNS = "qa AS (SELECT pair_id, prediction, gold FROM (SELECT conv_id || ':' || turn AS pair_id, text AS prediction, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS gold FROM conversations) turns WHERE gold IS NOT NULL AND prediction IS NOT NULL)"
 LINES = "lines AS (SELECT l_orderkey AS query_id, l_linenumber AS passage_id, l_returnflag AS dataset, l_quantity AS x1, l_extendedprice AS x2, l_discount AS x3, l_tax AS x4 FROM lineitem)"
 BM25 = f"""{CORPUS}, {QUESTIONS},
  toks AS (SELECT pid, {tok('text')} AS toks FROM corpus), dls AS (SELECT pid, len(toks) AS dl, toks FROM toks),

@@ -23,7 +23,8 @@ def score_batch(corpus: DataFrame, weights: DataFrame) -> DataFrame:
 
 def stream_top_k(spark: SparkSession, stream: DataFrame, weights: DataFrame, k: int, out: str, checkpoint: str) -> DataFrame:
     """Run the stream (pid, text) over what has arrived; returns the table of bests. Each batch writes a new version from
-    the one before, so a batch that is run again gives the same table."""
+    the one before, so a batch that is run again gives the same table. A restart without new rows returns the table of the
+    last committed batch; a stream that never had a row, an empty table."""
 
     def merge(batch: DataFrame, number: int) -> None:
         found = score_batch(batch, weights)
@@ -33,5 +34,16 @@ def stream_top_k(spark: SparkSession, stream: DataFrame, weights: DataFrame, k:
 
     query = stream.writeStream.foreachBatch(merge).trigger(availableNow=True).option("checkpointLocation", checkpoint).start()
     query.awaitTermination()
-    progress = query.lastProgress
-    return spark.read.parquet(f"{out}/version={progress['batchId'] if progress else 0}")
+    last = _committed(spark, checkpoint)
+    if last is None:
+        kinds = [f"query_id {weights.schema['query_id'].dataType.simpleString()}", f"pid {stream.schema['pid'].dataType.simpleString()}", "score double", "rank int"]
+        return spark.createDataFrame([], ", ".join(kinds))
+    return spark.read.parquet(f"{out}/version={last}")
+
+
+def _committed(spark: SparkSession, checkpoint: str) -> int | None:
+    """The number of the stream's last committed batch, by the names in its commit log."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    return max((int(n) for n in names if n.isdigit()), default=None)

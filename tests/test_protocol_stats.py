@@ -56,6 +56,21 @@ def test_describe_finds_an_effect():
     assert stats.sign_test_p(np.array([1.0] * 8 + [-1.0])) == pytest.approx(0.0390625)
 
 
+def test_signed_ranks_match_enumeration():
+    d = np.array([0.3, -0.1, 0.8, 1.1, -0.5, 0.9, 1.4, 0.2])
+    ranks = np.argsort(np.argsort(np.abs(d))) + 1
+    sums = np.array([ranks[[bool(m >> i & 1) for i in range(8)]].sum() for m in range(256)])
+    low = min(ranks[d > 0].sum(), ranks[d < 0].sum())
+    assert stats.wilcoxon_p(d) == pytest.approx(min(1.0, 2 * (sums <= low).mean()))
+
+
+def test_p_from_interval():
+    got = stats.p_from_interval(0.2, 0.1, 0.4)
+    assert got["asymmetry"] == pytest.approx(1 / 3) and got == stats.p_from_interval(0.2, 0.1, 0.4, None)
+    assert stats.p_from_interval(0.2, 0.0, 0.3)["asymmetry"] == pytest.approx(1 / 3)
+    assert stats.p_from_interval(0.2, 0.1, 0.3, 11)["p"] == pytest.approx(stats.t_tail(got["z"] * 1.5, 10))
+
+
 def test_exact_bootstrap_is_numpy(spark):
     x = np.random.default_rng(3).normal(size=20)
     rows = spark.createDataFrame([("d", i, float(v)) for i, v in enumerate(x)], "dataset string, query_id int, s double")

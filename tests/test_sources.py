@@ -103,6 +103,15 @@ def test_stream_equals_batch(spark, tmp_path):
     got = topk.stream_top_k(spark, stream, weights, 4, f"file://{tmp_path}/out", f"file://{tmp_path}/ck")
     want = retrieval.top_k(topk.score_batch(spark.createDataFrame(docs, "pid long, text string"), weights), 4)
     assert sorted(r["pid"] for r in got.collect()) == sorted(r["pid"] for r in want.collect())
+    again = topk.stream_top_k(spark, stream, weights, 4, f"file://{tmp_path}/out", f"file://{tmp_path}/ck")
+    assert sorted(r["pid"] for r in again.collect()) == sorted(r["pid"] for r in want.collect())
+
+
+def test_stream_without_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    weights = spark.createDataFrame([], "query_id string, term string, idf double, avgdl double")
+    stream = spark.readStream.schema("pid long, text string").parquet(f"file://{tmp_path}/in")
+    assert topk.stream_top_k(spark, stream, weights, 4, f"file://{tmp_path}/out", f"file://{tmp_path}/ck").count() == 0
 
 
 def test_entry(spark):
