@@ -16,8 +16,7 @@ pre-aggregated sum, and the join that brings the count back can split an anchor
 An anchor with over `HOT` occurrences would meet in one task in step 3. Its stretches are cut into cells of neighbouring
 windows and keyed by the next digit, too: what all windows of a cell have in common. Equal windows still meet, and
 stretches that run into different surroundings don't. Equal stretches are first collapsed inside salted parts of the
-key, in sorted order: two of them are known to be repeated there and then, and only one goes on. This is done twice,
-with many parts and then with few, so that neither a part nor what is left of a key is many rows.
+key, in sorted order: two of them are known to be repeated there and then, and only one goes on.
 
 Fingerprints decide which stretches meet; which windows are equal is decided on tokens themselves (`refine`).
 """
@@ -40,8 +39,8 @@ MASK = np.uint64((1 << 20) - 1)
 STRETCH, SLICE = 1 << 19, 1 << 21
 #: Stretches of text read together, and windows resolved together (one anchor's at least).
 GATHERED, RESOLVED = 8_192, 1 << 19
-#: Occurrences from which an anchor is hot, and the parts in which its equal stretches are collapsed, first and then.
-HOT, SALTS = 10_000, (512, 16)
+#: Occurrences from which an anchor is hot, and the parts in which its equal stretches are collapsed.
+HOT, SALTS = 20_000, 64
 STRETCH_ROW = "seed long, th binary, first long, lead int, windows int, alone boolean, part binary"
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
@@ -305,12 +304,10 @@ class Finder:
         def judged(stretches: DataFrame) -> DataFrame:
             return stretches.repartition("seed").sortWithinPartitions(*STRETCH_KEY).mapInArrow(self._judge, "th binary, first long, last long")
 
-        more, known = sent("hot"), None
-        for round_, salts in enumerate(SALTS):
-            salted = more.withColumn("salt", F.pmod(F.xxhash64("th", "first", F.lit(round_)), F.lit(salts))).repartition("seed", "salt")
-            fewer = salted.sortWithinPartitions("seed", "salt", *STRETCH_KEY[1:]).drop("salt").mapInArrow(collapsed, f"{STRETCH_ROW}, done boolean")
-            done = fewer.where("done").select("th", "first", (F.col("first") + F.col("windows") - 1 + self.window).alias("last"))
-            known, more = done if known is None else known.unionByName(done), fewer.where("not done").drop("done")
+        salted = sent("hot").withColumn("salt", F.pmod(F.xxhash64("th", "first"), F.lit(SALTS))).repartition("seed", "salt")
+        fewer = salted.sortWithinPartitions("seed", "salt", *STRETCH_KEY[1:]).drop("salt").mapInArrow(collapsed, f"{STRETCH_ROW}, done boolean")
+        known = fewer.where("done").select("th", "first", (F.col("first") + F.col("windows") - 1 + self.window).alias("last"))
+        more = fewer.where("not done").drop("done")
         return judged(sent("cold").unionByName(more)).unionByName(known)
 
     def _sender(self, hot: bool):

@@ -54,7 +54,7 @@ def test_words(messy, rows, window):
 def test_many_copies_of_a_passage(spark, monkeypatch, hot):
     """A passage that every text holds, in texts that are otherwise different; and texts that differ in one place."""
     monkeypatch.setattr(repeats, "HOT", hot)
-    monkeypatch.setattr(repeats, "SALTS", (5, 2))
+    monkeypatch.setattr(repeats, "SALTS", 5)
     monkeypatch.setattr(repeats, "RESOLVED", 500)
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
