@@ -29,19 +29,49 @@ def test_mix_matches_its_sql(spark, messy, rows):
     assert sorted(tuple(map(str, (r[n] for n in names))) for r in got.collect()) == sorted(tuple(map(str, r)) for r in result.fetchall())
 
 
-def test_raking_meets_its_targets():
+def bounded_targets(share, temper, rate):
+    """The tempered shares whose sum, each cut at all its group has, is the total: bisection on their common factor."""
+    power = {c: x**temper for c, x in share.items()}
+    total, low, high = sum(share.values()), 0.0, 1e12
+    for _ in range(300):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(share[c] / rate, mid * x) for c, x in power.items()) < total else (low, mid)
+    return {c: min(share[c] / rate, high * x) for c, x in power.items()}
+
+
+@pytest.mark.parametrize("tokens", [[100.0, 5, 30, 40, 7, 60, 10, 90], [1e6, 900.0, 3e5, 4e4, 1e5, 2e5, 6e4, 1.0]])
+@pytest.mark.parametrize("rate", [0.5, 0.8])
+def test_raking_meets_its_targets(tokens, rate):
     places = [(s, g, t) for s in "ab" for g in "xy" for t in "pq"]
-    tokens = [100.0, 5, 30, 40, 7, 60, 10, 90]
-    factor = mixing.rake(tokens, places, rounds=60)
+    factor = mixing.rake(tokens, places, rounds=400, rate=rate)
+    assert all(0 < f * rate <= 1 + 1e-12 for f in factor)
     weights = [f * t for f, t in zip(factor, tokens, strict=True)]
     for axis, name in enumerate(mixing.AXES):
         share, weight = defaultdict(float), defaultdict(float)
         for t, w, p in zip(tokens, weights, places, strict=True):
             share[p[axis]] += t
             weight[p[axis]] += w
-        power = {c: (x / sum(tokens)) ** mixing.TEMPER[name] for c, x in share.items()}
-        for c in share:
-            assert weight[c] == pytest.approx(sum(tokens) * power[c] / sum(power.values()), rel=1e-6)
+        want = bounded_targets(share, mixing.TEMPER[name], rate)
+        assert mixing._targets(share, sum(tokens), mixing.TEMPER[name], rate) == pytest.approx(want, rel=1e-9)
+        assert weight == pytest.approx(want, rel=1e-3, abs=1e-4 * sum(tokens))
+
+
+def test_samples_have_the_target_marginals(spark):
+    """A hot source, a tiny one that is wanted more than it has, and cells at their bound: the production rounds meet the
+    targets in expectation, and the documents drawn come near them."""
+    rows = [(i, "w " * (20 + i % 200), "en" if i % 10 else "fr", "tiny" if i % 500 == 1 else "hot" if i % 3 else f"s{i % 4}") for i in range(20_000)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    report = mixing.marginals(mixed).collect()
+    total = sum(r["tokens"] for r in report if r["axis"] == "source")
+    for axis, name in enumerate(mixing.AXES):
+        share = {r["category"]: r["tokens"] for r in report if r["axis"] == name}
+        want = bounded_targets(share, mixing.TEMPER[name], mixing.RATE)
+        for r in (r for r in report if r["axis"] == name):
+            assert r["target"] == pytest.approx(mixing.RATE * want[r["category"]], rel=1e-9)
+            assert r["expected"] == pytest.approx(r["target"], abs=1e-5 * total)
+            assert abs(r["drawn"] - r["expected"]) < 5 * 220 * math.sqrt(r["tokens"] / 120) + 1
+    tiny = next(r for r in report if r["category"] == "tiny")
+    assert tiny["drawn"] == tiny["tokens"]  # all of it
 
 
 def test_mix_by_frames_is_the_same(messy):
@@ -51,7 +81,7 @@ def test_mix_by_frames_is_the_same(messy):
 
 def test_mix_keeps_columns(messy, empty):
     assert mixing.kept_rows(messy).columns == messy.columns
-    assert mixing.mix(empty).count() == 0
+    assert mixing.mix(empty).count() == mixing.marginals(mixing.mix(empty)).count() == 0
 
 
 def check_packing(spark, rows, packed, capacity):

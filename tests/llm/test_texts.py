@@ -1,5 +1,6 @@
 """Quality scores, secrets and token counts."""
 
+import math
 import re
 import zlib
 
@@ -30,6 +31,69 @@ def test_quality_on_held_out_labels(spark):
     assert got["score"].between(0, 1).all() and (got["predicted"] == (got["score"] >= 0.3).astype(int)).all()
 
 
+def plain_features(text):
+    """The features from their names, on characters and lists."""
+    raw = text.encode()
+    words = re.findall(rb"[^ \t-\r]+", raw)
+    if not words:
+        return [0.0] * 23 + [1.0]
+    n, size = len(words), len(raw)
+    share = lambda test: sum(1 for b in raw if test(b)) / size
+    letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122
+    mark = lambda b: 33 <= b <= 126 and not letter(b) and not 48 <= b <= 57 and b not in b".,;:!?'\"()-"
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    parts = [raw[i : i + 65536] for i in range(0, size, 65536)]
+    follow = [(words[i], words[i + 1]) for i in range(n - 1)]
+    marks = sum(map(mark, raw))
+    return [
+        math.log(n), size / n, sum(len(w) > 12 for w in words) / n, sum(len(w) <= 2 for w in words) / n, len(set(words)) / n, max(words.count(w) for w in set(words)) / n,
+        share(letter), share(lambda b: 65 <= b <= 90), share(lambda b: 48 <= b <= 57), share(lambda b: b in b" \t\n\v\f\r"), marks / size, share(lambda b: b > 127),
+        sum(raw.count(c) for c in b"!.?") / n, raw.count(b",") / n, sum(len(w) > 2 and w.isupper() for w in words) / n, min(1.0, marks / n), float(marks > 0.02 * size), math.log(len(lines) + 1),
+        1 - len(set(lines)) / len(lines), math.log(n / len(lines) + 1), sum(len(zlib.compress(p, 1)) / len(p) for p in parts) / len(parts), (len(follow) - len(set(follow))) / n, sum(a == b for a, b in follow) / n, 0.0,
+    ]
+
+
+def test_features_are_their_plain_forms(rows):
+    for text in {r[1] or "" for r in rows} | {"A,b;\x0b c!\n\n\x85 \u00a0 D", "x" * 70_000 + " y"}:
+        assert quality.features(text.encode()) == pytest.approx(plain_features(text), rel=1e-9, abs=1e-12)
+
+
+def test_quality_equals_a_refit_by_hand(spark):
+    """Scores of whole tables against a model fitted outside Spark on the same pairs: labelled rows chosen with zlib's
+    CRC, and weights at which the penalised loss, summed pair by pair, has no slope in any direction (it is convex)."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    good = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["doc_id"] in texts}
+    ids = sorted(good)
+    x, y = np.array([plain_features(texts[i]) for i in ids]), np.array([good[i] for i in ids])
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale <= 1e-9] = 1.0
+
+    def widened(v):
+        z = np.minimum(6, np.maximum(-6, (v - mean) / scale))
+        return np.hstack([z, z**2])
+
+    z, model = widened(x), quality.train(docs, labels)
+    few, many = sorted([np.flatnonzero(y == 0), np.flatnonzero(y == 1)], key=len)
+    other = np.random.default_rng(7).choice(many, len(few) * 24)
+    sign = 1 if y[many[0]] == 1 else -1
+    pairs = np.array([sign * (z[other[24 * i + j]] - z[f]) for i, f in enumerate(few) for j in range(24)])
+    loss = lambda w: np.logaddexp(0, -pairs @ w).sum() + 0.5 * w @ w
+    for k in range(len(model.weights)):
+        step = np.zeros(len(model.weights))
+        step[k] = 1e-4
+        assert abs(loss(model.weights + step) - loss(model.weights - step)) / 2e-4 < 1e-3
+    strength = z @ model.weights
+    cut = np.quantile(strength, np.mean(y == 0))
+    slope = 2 / np.abs(strength - cut).mean()
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in quality.classify(docs, labels).collect()}
+    all_ids = sorted(texts)
+    strengths = widened(np.array([plain_features(texts[i]) for i in all_ids])) @ model.weights
+    for i, s in zip(all_ids, strengths, strict=True):
+        want = 1 / (1 + math.exp(-np.clip(slope * (s - cut) + math.log(0.3 / 0.7), -30, 30)))
+        assert got[i][0] == pytest.approx(want, abs=1e-7) and got[i][1] == int(got[i][0] >= 0.3)
+
+
 def test_quality_on_messy_tables(spark, messy, empty, rows):
     labels = spark.createDataFrame([(5, 1, 0), (5, 0, 0), (20, 0, 0), (6, 1, None), (None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
     assert quality.classify(messy, labels).count() == len(rows)
