@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passant.llm import mixing
+from passant.llm import merkle, mixing
 
 TOKENIZER_COUNTS = "piece_bpe_32k.model"
 TOKENIZER_PACKING = "byte_bpe_50k.json"
@@ -96,6 +96,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root and verified for every document."""
+    docs = _table(spark, sf_dir, "documents")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf_hash([*map(F.col, merkle.FIELDS[:-1]), lower]))
+    rows = merkle.manifest(docs, also={"tampered": tampered})
+    return merkle.checked(rows, F.coalesce("tampered", "leaf")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def _secrets_oracle() -> str:
     """What lies between matches and the matches themselves, measured in turn."""
     from passant.llm.secret_scan import BASE_RULES
@@ -123,10 +132,12 @@ QUERIES = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_block_dedup": op7_block_dedup,
     "op8_token_counts": op8_token_counts,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.oracle(),
+    "op11_merkle_manifest": merkle.oracle(),
     "op5_secret_scan": _secrets_oracle(),
     "op7_block_dedup": """
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
