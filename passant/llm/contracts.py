@@ -105,6 +105,22 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked(rows, F.coalesce("tampered", "leaf")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_runs, the longest run, exponent_milli and the digests of runs and kept words for every document."""
+    from passant.llm.common import whole_text
+    from passant.llm.periodic import collapse_runs, listed, longest, planted
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", whole_text(F.col("text")).alias("text"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    docs = docs.withColumn("words", F.when(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, words))
+    docs = docs.select("doc_id", F.coalesce(F.array_join(planted(F.col("doc_id"), F.col("words")), " "), "text").alias("text"))
+    found = collapse_runs(docs, least=12).withColumn("best", longest(F.col("runs")))
+    best = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
+    exponent = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    digests = [F.sha2(listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")]
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, exponent, *digests)
+
+
 def _secrets_oracle() -> str:
     """What lies between matches and the matches themselves, measured in turn."""
     from passant.llm.secret_scan import BASE_RULES
@@ -133,6 +149,7 @@ QUERIES = {
     "op7_block_dedup": op7_block_dedup,
     "op8_token_counts": op8_token_counts,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
