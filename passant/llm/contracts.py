@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passant.llm import merkle, mixing
+from passant.llm import merkle, mixing, pq_dedup
 
 TOKENIZER_COUNTS = "piece_bpe_32k.model"
 TOKENIZER_PACKING = "byte_bpe_50k.json"
@@ -121,6 +121,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, exponent, *digests)
 
 
+def op13_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id and kept for every vector."""
+    return pq_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def _secrets_oracle() -> str:
     """What lies between matches and the matches themselves, measured in turn."""
     from passant.llm.secret_scan import BASE_RULES
@@ -150,11 +155,13 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_pq_near_dedup": op13_pq_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.oracle(),
     "op11_merkle_manifest": merkle.oracle(),
+    "op13_pq_near_dedup": pq_dedup.oracle(),
     "op5_secret_scan": _secrets_oracle(),
     "op7_block_dedup": """
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
