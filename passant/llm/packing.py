@@ -25,9 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passant.llm.common import materialize, shared_dir, whole_text
+from passant.llm.common import located, materialize, shared_dir, whole_text
 
-SPECIAL = "<|endoftext|>"
 #: Rows whose rank is counted together.
 SALT_ROWS = 50_000
 
@@ -35,26 +34,33 @@ SALT_ROWS = 50_000
 class ByteLevelIds:
     """Ids of a byte-level BPE given as tokenizers' .json; its added tokens are matched in texts, which is its default.
 
-    Where the folder also holds the same vocabulary as ranks (.tiktoken), that faster library gives the same ids.
+    Where the folder also holds the same vocabulary as ranks (.tiktoken), that faster library gives the same ids. It can't
+    split every text: its expression looks ahead from each white-space character, and gives up on very long runs of them.
+    Such texts go to tokenizers.
     """
 
     def __init__(self, json_file: str):
+        from tokenizers import Tokenizer
+
         ranks_file = json_file.removesuffix(".json") + ".tiktoken"
+        self.slow = Tokenizer.from_file(json_file)
+        self.fast = None
         if os.path.exists(ranks_file):
             import public_tokenizers
             import tiktoken
-            from tokenizers import Tokenizer
 
             with open(ranks_file, "rb") as file:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-            special = {x.content: i for i, x in Tokenizer.from_file(json_file).get_added_tokens_decoder().items()}
-            coder = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-            self.ids = lambda text: coder.encode_to_numpy(text, allowed_special="all")
-        else:
-            from tokenizers import Tokenizer
+            special = {x.content: i for i, x in self.slow.get_added_tokens_decoder().items()}
+            self.fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
-            slow = Tokenizer.from_file(json_file)
-            self.ids = lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+    def ids(self, text: str) -> np.ndarray:
+        if self.fast is not None:
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special="all")
+            except ValueError:  # the expression gave up
+                pass
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 _CODERS: dict[str, ByteLevelIds] = {}
@@ -209,9 +215,11 @@ def plan_packing(histogram: dict[int, int], capacity: int) -> Plan:
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """rows with rank: 0, 1, ... within each length. Each salt counts its own rows and starts after those before it."""
+    """rows (a scan) with rank: 0, 1, ... within each length. Each salt counts its own rows and starts after those before
+    it; it comes from a row's file and index, so that rows with one doc_id or none are dealt out like any other."""
     salts = max(1, -(-rows.count() // SALT_ROWS))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    rows, file, row = located(rows)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(file, row), F.lit(salts)).cast("int")).drop(file, row)
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = counts.selectExpr("length", "salt", "sum(n) OVER (PARTITION BY length ORDER BY salt) - n AS before")
     own = salted.selectExpr("*", "row_number() OVER (PARTITION BY length, salt ORDER BY doc_id, piece, ids_crc32) - 1 AS own")

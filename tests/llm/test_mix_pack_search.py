@@ -110,6 +110,27 @@ def check_packing(spark, rows, packed, capacity):
     return len(by_sequence)
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", " \n\t", "\u00a0 "])
+def test_packing_long_white_space(spark, blank):
+    """Runs of white space that the faster library can't split."""
+    rows = [(0, "x" + blank * (2_000_000 // len(blank)) + "y"), (1, blank * 1_000_000), (2, "two words"), (None, None)]
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), IDS, 2048).collect()
+    check_packing(spark, rows, packed, 2048)
+
+
+def test_packing_ranks_rows_without_ids_apart(spark, monkeypatch):
+    """All rows have no id, or the same one, and the same length: salts are even all the same."""
+    monkeypatch.setattr(packing, "SALT_ROWS", 100)
+    rows = [(None if i % 2 else 7, f"word {i % 10}") for i in range(4000)]
+    pieces = packing.materialize(packing.pieces(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), IDS, 64))
+    ranked = packing.ranked(pieces)
+    assert sorted(r["rank"] for r in ranked.collect()) == list(range(4000))
+    window = next(x for x in ranked._jdf.queryExecution().optimizedPlan().toString().split("\n") if "row_number" in x)
+    assert "salt" in window
+    located, file, row = packing.located(pieces)
+    assert located.groupBy(packing.F.pmod(packing.F.xxhash64(file, row), packing.F.lit(40))).count().agg(packing.F.max("count")).first()[0] < 200
+
+
 @pytest.mark.parametrize("capacity", [64, 2048])
 def test_packing_round_trip(spark, messy, rows, capacity, monkeypatch):
     monkeypatch.setattr(packing, "SALT_ROWS", 7)
