@@ -109,11 +109,11 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def linked(fp: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
     """For lanes sorted by group: the first lane that each lane is connected to by pairs of its group within the radius.
 
-    Counters hold ones and twos; a carry out of them, or a count over the radius, sets the sticky plane.
+    fp: a number of 64 bits for each lane, or a row of bytes. Counters hold ones and twos; a carry out of them, or a count over the radius, sets the sticky plane.
     """
     n = len(fp)
-    bits = np.unpackbits(fp.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    planes = [int.from_bytes(np.packbits(bits[:, p], bitorder="little").tobytes(), "little") for p in range(64)]
+    bits = np.unpackbits(fp.view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
+    planes = [int.from_bytes(np.packbits(column, bitorder="little").tobytes(), "little") for column in bits.T]
     size_of_counter = max(1, radius.bit_length())
     firsts, seconds, label, gathered = [], [], np.arange(n), 0
     for s in range(1, n):

@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from passant.llm import simhash
+from test_near_texts import plain_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,9 +40,8 @@ def test_stages(spark, tmp_path):
             assert kept == set(last.values())
         elif name == "simhash_near_dedup":
             ids = sorted(before)
-            fps = np.array([simhash.fingerprint((before[d]["text"] or "").encode()) for d in ids], np.uint64)
-            label = simhash.components(len(ids), *np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3))
-            assert kept == {ids[c] for c in set(label)}
+            members, _ = plain_components([(d, before[d]["text"]) for d in ids])
+            assert kept == {ids[min(m)] for m in members}
         elif name == "best_fit_packing":
             places = defaultdict(int)
             for r in after:
