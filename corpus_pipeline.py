@@ -1,5 +1,8 @@
 """A corpus pipeline of five stages, each an operator of passant.llm applied to all that the stage before it kept.
 
+Each stage takes null in any column, empty and very long texts, rows that repeat and extra columns of any name; null text
+counts as empty. What a stage decides holds for rows, not for all rows of a doc_id. An empty table stays empty.
+
 Each stage takes (spark, docs, sf_dir), docs with the columns of documents, and returns those columns for the rows that
 stay; the last returns packed pieces. run() writes each stage's result as Parquet to the shared folder and reads it
 again as the next one's docs.
@@ -11,7 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passant.llm import mixing, packing, quality, simhash, stream_dedup
+from passant.llm import mixing, near_texts, packing, quality, stream_dedup
 from passant.llm.common import materialize, shared_dir
 
 
@@ -26,8 +29,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints, the one with the smallest doc_id."""
-    return simhash.kept_rows(docs, words=3, radius=3)
+    """One document of each component of texts whose sets of five-word shingles are alike by 0.8 or more, the one with the
+    smallest doc_id."""
+    return near_texts.kept_rows(docs, words=5, least=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
