@@ -13,7 +13,7 @@ from passant.operators import features, labels, metrics, models, protocol, retri
 from passant.plans import stand_ins as S
 from passant.plans import studies
 from passant.schemas import FEATURES
-from passant.sources import parsers
+from passant.sources import archives, files, parsers
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -51,6 +51,16 @@ def s2_corpus_lines(spark, d):
     return S.corpus(spark, d).select("pid", "title", "body")
 
 
+@query("s1_zipped_corpus", """SELECT 'part-' || (doc_id // 1000) AS archive, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) - 1 AS place, CAST(doc_id AS VARCHAR) AS pid,
+ trim(regexp_replace(trim(split_part(text, chr(10), 1)), '^\"+|\"+$', '', 'g')) AS title, CASE WHEN contains(text, chr(10)) THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END AS body FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) d""")
+def s1_zipped_corpus(spark, d):
+    """Documents as corpus lines in zip archives of a thousand each, streamed back."""
+    line = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("contents")))
+    lines = S.table(spark, d, "documents").select(F.concat(F.lit("part-"), F.expr("doc_id div 1000").cast("string")).alias("archive"), F.col("doc_id").alias("place"), line.alias("value"))
+    got = archives.inflated_lines(archives.deflated_chunks(lines))
+    return files.corpus(got, keep=("archive", "place")).drop("text")
+
+
 @query("f1_tokenize", f"WITH {S.CORPUS}, t AS (SELECT pid, {S.tok('text')} AS toks FROM corpus) SELECT pid, len(toks) AS dl, md5(array_to_string(toks, ' ')) AS digest FROM t")
 def f1_tokenize(spark, d):
     toks = X.tokenize(F.col("text"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import zipfile
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,8 +14,6 @@ from pyspark.sql import types as T
 from passant.functions import text as X
 from passant.schemas import CORPUS_LINE
 
-LINES_A_BATCH = 20_000
-
 
 def jsonl(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """One object a line; blank lines are skipped. Without a schema it is inferred."""
@@ -43,44 +40,11 @@ def zip_members(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, "name string, content string")
 
 
-def deflated_lines(data: bytes) -> Iterator[bytes]:
-    """The lines of an archive's first member, inflated piece by piece: blank ones skipped, a last one without newline kept."""
-    if data[:4] != b"PK\x03\x04":
-        raise ValueError("not a zip archive")
-    if int.from_bytes(data[8:10], "little") != 8:
-        raise ValueError("the first member isn't deflated")
-    begin = 30 + int.from_bytes(data[26:28], "little") + int.from_bytes(data[28:30], "little")
-    inflate, rest, view = zlib.decompressobj(-15), b"", memoryview(data)
-    for at in range(begin, len(data), 1 << 22):
-        *lines, rest = (rest + inflate.decompress(view[at : at + (1 << 22)])).split(b"\n")
-        yield from (x for x in lines if x.strip())
-        if inflate.eof:
-            break
-    if rest.strip():
-        yield rest
-
-
-def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value: the lines of zipped files. An archive can't be split; convert a large one to Parquet once."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for data in batch["content"]:
-                lines: list[str] = []
-                for line in deflated_lines(data):
-                    lines.append(line.decode())
-                    if len(lines) == LINES_A_BATCH:
-                        yield pd.DataFrame({"value": lines})
-                        lines = []
-                yield pd.DataFrame({"value": lines})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, "value string")
-
-
-def corpus(lines: DataFrame, column: str = "value") -> DataFrame:
-    """pid, title, body, text of corpus lines {"id", "contents"}: the title is the first line without its quotes."""
+def corpus(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """pid, title, body, text of corpus lines {"id", "contents"}, and columns to keep: the title is the first line without
+    its quotes."""
     row = F.from_json(column, CORPUS_LINE)
-    return lines.where(F.trim(column) != "").select(row.alias("r")).select(F.col("r.id").cast("string").alias("pid"), X.title_of(F.col("r.contents")).alias("title"), X.body_of(F.col("r.contents")).alias("body"), F.col("r.contents").alias("text"))
+    return lines.where(F.trim(column) != "").select(*keep, row.alias("r")).select(*keep, F.col("r.id").cast("string").alias("pid"), X.title_of(F.col("r.contents")).alias("title"), X.body_of(F.col("r.contents")).alias("body"), F.col("r.contents").alias("text"))
 
 
 def write_table(df: DataFrame, path: str, by: str = "dataset", force: bool = False) -> None:
