@@ -15,6 +15,7 @@ of a flip looks it up: 64 random bits sign eight values in eight flips. A part g
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,17 +32,16 @@ def _parted(values: DataFrame, keys: Sequence[str], order: Sequence[str], most:
     depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") / F.lit(float(most)))).cast("int"))
     sizes = sizes.withColumn("_depth", depth)
     hashed = values.withColumn("_h", F.xxhash64(*keys, *order))
-    joined = _joined(hashed, sizes, keys)
-    return joined.withColumn("_part", F.expr("CASE WHEN _depth = 0 THEN 0L ELSE shiftrightunsigned(_h, 64 - _depth) END"))
+    return joined(hashed, sizes, keys).withColumn("_part", F.expr("CASE WHEN _depth = 0 THEN 0L ELSE shiftrightunsigned(_h, 64 - _depth) END"))
 
 
-def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Null keys are a group like any other."""
+def joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """left with the other columns of right by keys, of which null is one like any other. Without keys right is one row."""
     if not keys:
-        return left.crossJoin(F.broadcast(right))  # a row
+        return left.join(F.broadcast(right), F.lit(True), how)
     named = right.select([F.col(k).alias(f"_r_{k}") for k in keys] + [c for c in right.columns if c not in keys])
     same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    return left.join(named, same).drop(*[f"_r_{k}" for k in keys])
+    return left.join(named, reduce(lambda a, b: a & b, same), how).drop(*[f"_r_{k}" for k in keys])
 
 
 def _paths(parted: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -50,9 +50,9 @@ def _paths(parted: DataFrame, keys: Sequence[str]) -> DataFrame:
     levels = parts.withColumn("_level", F.explode(F.expr("sequence(0, _depth)"))).withColumn("_node", F.expr("shiftrightunsigned(_part, _depth - _level)"))
     nodes = levels.groupBy(*keys, "_level", "_node").agg(F.sum("_m").alias("_size"))
     forks = nodes.groupBy(*keys, "_level", F.expr("shiftrightunsigned(_node, 1)").alias("_above")).agg(F.sum(F.when(F.col("_node") % 2 == 0, F.col("_size")).otherwise(0)).alias("_left"), F.sum(F.when(F.col("_node") % 2 == 1, F.col("_size")).otherwise(0)).alias("_right"))
-    steps = _joined(levels.where("_level > 0").withColumn("_above", F.expr("shiftrightunsigned(_node, 1)")), forks, [*keys, "_level", "_above"])
+    steps = joined(levels.where("_level > 0").withColumn("_above", F.expr("shiftrightunsigned(_node, 1)")), forks, [*keys, "_level", "_above"])
     path = F.sort_array(F.collect_list(F.struct("_level", "_node", "_left", "_right"))).alias("_path")
-    return _joined(parts, steps.groupBy(*keys, "_part").agg(path), [*keys, "_part"]).unionByName(parts.where("_depth = 0").withColumn("_path", F.array().cast("array<struct<_level: int, _node: bigint, _left: bigint, _right: bigint>>")))
+    return joined(parts, steps.groupBy(*keys, "_part").agg(path), [*keys, "_part"]).unionByName(parts.where("_depth = 0").withColumn("_path", F.array().cast("array<struct<_level: int, _node: bigint, _left: bigint, _right: bigint>>")))
 
 
 def _seed(*parts: object) -> np.random.Generator:
@@ -111,7 +111,7 @@ def bootstrap_ci(values: DataFrame, value: str, order: Sequence[str], keys: Sequ
     sums = bootstrap_sums(fit.select(*dict.fromkeys([*keys, *order, "_v"])), ["_v"], order, keys, replicates, seed, most)
     tail = (1 - level) / 2
     ends = sums.groupBy(*keys).agg(F.percentile("_v", F.lit(tail)).alias("_lo"), F.percentile("_v", F.lit(1 - tail)).alias("_hi"))
-    return _joined(whole, ends, keys).select(*keys, "mean", (F.col("_lo") / F.col("n")).alias("lo"), (F.col("_hi") / F.col("n")).alias("hi"), "n")
+    return joined(whole, ends, keys).select(*keys, "mean", (F.col("_lo") / F.col("n")).alias("lo"), (F.col("_hi") / F.col("n")).alias("hi"), "n")
 
 
 def flipped_sums(d: np.ndarray, flips: int, rng: np.random.Generator) -> np.ndarray:
@@ -145,7 +145,7 @@ def sign_flip(diffs: DataFrame, value: str, order: Sequence[str], keys: Sequence
     seen = fit.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"), F.sum("_v").alias("_sum"), F.sum(F.abs("_v")).alias("_scale"))
     # a row of a group of one part has no sums but its hits; of other groups the parts' sums are added for each flip
     flipped = found.select(*keys, "_hits", F.posexplode_outer("_s").alias("_rep", "_s")).groupBy(*keys, "_rep").agg(F.sum("_s").alias("_s"), F.max("_hits").alias("_hits"))
-    both = _joined(flipped, seen, keys)
+    both = joined(flipped, seen, keys)
     hit = F.abs("_s") >= F.abs("_sum") - F.lit(1e-12) * F.col("_scale")
     return both.groupBy(*keys, "n", "mean").agg(((F.sum(F.coalesce("_hits", hit.cast("long"))) + 1) / F.lit(float(flips + 1))).alias("p"))
 

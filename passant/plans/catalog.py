@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from passant.functions import scorers
 from passant.functions import text as X
-from passant.operators import features, labels, metrics, models, protocol, retrieval, stats
+from passant.operators import features, grams, labels, metrics, models, protocol, resampling, retrieval, stats
 from passant.plans import stand_ins as S
 from passant.plans import studies
 from passant.schemas import FEATURES
@@ -506,7 +506,29 @@ def a19_bootstrap_ci(spark, d):
 def a19_bootstrap_exact(spark, d):
     """With NumPy's generator; tests compare with the same draws in Python."""
     per = metrics.per_query_scores(S.scored(spark, d), ("dataset", "query_id"))
-    return stats.exact_bootstrap(per, "spearman", "query_id", ["dataset"], 500)
+    return stats.exact_bootstrap(per, "spearman", "query_id", ["dataset"], 2000)
+
+
+def _spearman(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.per_query_scores(S.scored(spark, d), ("dataset", "query_id"))
+
+
+@query("a19_bootstrap_merged")
+def a19_bootstrap_merged(spark, d):
+    """2 000 draws as sums that merge; tests hold them against the multinomial law and a plain bootstrap."""
+    return resampling.bootstrap_ci(_spearman(spark, d), "spearman", ["query_id"], ["dataset"], 2000)
+
+
+@query("m11_sign_flip_merged")
+def m11_sign_flip_merged(spark, d):
+    """200 000 flips; tests hold p against enumeration."""
+    return resampling.sign_flip(_spearman(spark, d), "spearman", ["query_id"], ["dataset"], 200_000)
+
+
+@query("a20_clustered_test")
+def a20_clustered_test(spark, d):
+    """10 000 draws and 20 000 flips of questions that all datasets share."""
+    return resampling.clustered(_spearman(spark, d).select(F.col("dataset").alias("llm"), "query_id", F.col("spearman").alias("d")))
 
 
 @query("m11_sign_flip", f"""WITH {S.SCORED}, {_PQD}, v AS (SELECT ds, query_id, spearman AS x FROM pq), a AS (SELECT ds, count(*) AS n, avg(x) AS mean FROM v GROUP BY 1),
@@ -606,35 +628,97 @@ def m6_m7_hidden_probe(spark, d):
     return models.hidden_probe(rows, "embedding", "y", F.pmod("query_id", F.lit(5)) != 0).select("query_id", "passage_id", r6("probe").alias("probe"))
 
 
+_X = ("x1", "x2", "x3", "x4")
+_RIDGE = grams.Ridge("ridge", 100.0, True)
+
+
 @query("m16_cv_report")
 def m16_cv_report(spark, d):
+    """Five folds, four repeats, 2 000 draws: metrics of a ridge and of two columns taken as scores."""
     rows = _regression(spark, d)
-    ridge = models.cross_validated(rows, models.fit_predict(models.Config("ridge", "ridge", True, (("alpha", 100.0),)), ("x1", "x2", "x3", "x4")), "ridge", 3)
-    return models.cv_report(ridge)
+    got = grams.cross_validated(rows, _X, [_RIDGE])
+    return grams.report(got.unionByName(grams.baselines(rows, {"size": "x1", "price": "x2"}, got)), "ridge")[0]
+
+
+@query("m16_cv_pairs")
+def m16_cv_pairs(spark, d):
+    """The same by dataset, as differences paired by query."""
+    rows = _regression(spark, d)
+    got = grams.cross_validated(rows, _X, [_RIDGE])
+    return grams.report(got.unionByName(grams.baselines(rows, {"size": "x1", "price": "x2"}, got)), "ridge", ["dataset"])[1]
+
+
+#: By dataset and query: queries of these tables can lie in several datasets.
+_PAIRED_KEY = "dataset || ':' || query_id"
+_SINGLE = f"{S.LINES}, c AS (SELECT dataset, query_id, passage_id, x1 / 50 + 10 * x3 AS y, x2 AS x FROM lines), z AS (SELECT *, avg(x) OVER (PARTITION BY dataset, query_id) AS mx, avg(y) OVER (PARTITION BY dataset, query_id) AS my FROM c), h AS (SELECT DISTINCT dataset AS h FROM c)"
+
+
+@query("m17_lodo_single", f"""WITH {_SINGLE}, w AS (SELECT h, sign(covar_pop(x, y)) AS s FROM h, c WHERE dataset <> h GROUP BY h),
+ scored AS (SELECT {_PAIRED_KEY} AS query_id, passage_id, dataset, y, s * x AS score FROM c JOIN w ON dataset = h), {S.PER_QUERY}
+ SELECT ds AS dataset, round(avg(spearman), 6) + 0.0 AS spearman, round(avg(ndcg), 6) AS ndcg, round(avg(top1), 6) AS top1, count(*) AS n_queries FROM pq GROUP BY 1""")
+def m17_lodo_single(spark, d):
+    """A ridge of one column ranks by it, up or down as the other datasets say."""
+    got = grams.left_out(_regression(spark, d), ("x2",), [grams.Ridge("ridge", 100.0)])
+    per = metrics.per_query_scores(got, ("dataset", "query_id"))
+    return per.groupBy("dataset").agg(*[r6(F.avg(m)).alias(m) for m in grams.METRICS], F.count(F.lit(1)).alias("n_queries"))
 
 
 @query("m17_lodo_report")
 def m17_lodo_report(spark, d):
+    """Each dataset by a model of all others, with intervals and a column as baseline; datasets are those in the table."""
     rows = _regression(spark, d)
-    got = models.lodo(rows, models.fit_predict(models.Config("ridge", "ridge", True, (("alpha", 100.0),)), ("x1", "x2", "x4")), "ridge", ("A", "N", "R"))
-    per = metrics.per_query_scores(got, ("model", "dataset", "query_id"))
-    return metrics.macro_average(per, keys=("model",))
+    got = grams.left_out(rows, ("x1", "x2", "x4"), [_RIDGE])
+    return grams.report(got.unionByName(grams.baselines(rows, {"price": "x2"}, got)), "ridge", ["dataset"])[0]
+
+
+@query("m17_lodo_macro")
+def m17_lodo_macro(spark, d):
+    got = grams.left_out(_regression(spark, d), ("x1", "x2", "x4"), [_RIDGE])
+    return metrics.macro_average(metrics.per_query_scores(got, ("model", "dataset", "query_id")), keys=("model",))
+
+
+@query("m18_nested_single", f"""WITH {_SINGLE}, p AS (SELECT a.h AS h, b.h AS d FROM h a, h b), t AS (SELECT p.h, p.d, z.* FROM p JOIN z ON z.dataset <> p.h AND z.dataset <> p.d),
+ w AS (SELECT h, d, 0 AS place, 'raw' AS m, sign(covar_pop(x, y)) AS s FROM t GROUP BY h, d UNION ALL SELECT h, d, 3, 'centered', sign(sum((x - mx) * (y - my))) FROM t GROUP BY h, d),
+ scored AS (SELECT concat_ws(':', m, h, d, query_id) AS query_id, passage_id, concat_ws(':', m, h, d) AS dataset, y, s * x AS score FROM c JOIN w ON dataset = d), {S.PER_QUERY},
+ rho AS (SELECT place, m, h, d, round(coalesce(r, 0.0), 9) AS rho FROM w LEFT JOIN (SELECT ds, avg(spearman) AS r FROM pq GROUP BY 1) q ON ds = concat_ws(':', m, h, d)),
+ i AS (SELECT h, place, m, round(avg(rho), 9) AS inner_score FROM rho WHERE h <> d GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY inner_score DESC, place) AS r FROM i)
+ SELECT b.h AS dataset, 'ridge(a=10)-' || b.m AS selected, round(inner_score, 6) + 0.0 AS "inner", round(rho, 6) + 0.0 AS spearman, (SELECT round(max(x.rho), 6) + 0.0 FROM rho x WHERE x.h = b.h AND x.d = b.h) AS oracle
+ FROM b JOIN rho ON rho.h = b.h AND rho.d = b.h AND rho.m = b.m WHERE r = 1""")
+def m18_nested_single(spark, d):
+    """The whole ridge grid on one column, which ranks up or down: penalties tie, raw and centred may differ."""
+    got = grams.nested(_regression(spark, d), ("x2",), grams.ridge_grid()).summary()
+    return got.select("dataset", "selected", *[r6(c).alias(c) for c in ("inner", "spearman", "oracle")])
 
 
 @query("m18_nested_lodo")
 def m18_nested_lodo(spark, d):
-    rows = _regression(spark, d)
-    configs = [c for c in models.grid(ridge=(10.0, 1000.0), trees=()) if c.algorithm == "ridge"]
-    got, chosen = models.nested_lodo(rows, ("x1", "x2", "x4"), configs, ("A", "N", "R"))
-    per = metrics.per_query_scores(got, ("dataset", "query_id")).groupBy("dataset").agg(F.avg("spearman").alias("spearman"))
-    names = spark.createDataFrame(sorted(chosen.items()), "dataset string, selected string")
-    return per.join(F.broadcast(names), "dataset")
+    """The whole ridge grid on three columns: what is chosen inside, its score outside, and the oracle's."""
+    return grams.nested(_regression(spark, d), ("x1", "x2", "x4"), grams.ridge_grid()).summary()
+
+
+@query("m18_nested_optimism")
+def m18_nested_optimism(spark, d):
+    """nested, oracle, optimism, and the configuration for all data."""
+    got = grams.nested(_regression(spark, d), ("x1", "x2", "x4"), grams.ridge_grid())
+    return got.macro().crossJoin(F.broadcast(got.final().select(F.col("model").alias("final"))))
+
+
+_GROUPS = {"size": ("x1", "x2"), "rate": ("x3", "x4")}
 
 
 @query("m20_ablation")
 def m20_ablation(spark, d):
-    groups = {"size": ("x1", "x2"), "rate": ("x3", "x4")}
-    return models.ablation(_regression(spark, d), models.Config("ridge", "ridge", True, (("alpha", 100.0),)), groups, 2)
+    """Five folds, four repeats; every group left out and every group alone, from the same Gram matrices."""
+    got = grams.cross_validated(_regression(spark, d), _X, grams.subsets(_GROUPS, _X))
+    return models.cv_report(got)
+
+
+@query("m20_ablation_lodo")
+def m20_ablation_lodo(spark, d):
+    """The subsets with and without centring, each dataset held out."""
+    both = [grams.Ridge(f"{m.name}-{tag}", m.alpha, c, m.columns) for tag, c in (("raw", False), ("centered", True)) for m in grams.subsets(_GROUPS, _X)]
+    got = grams.left_out(_regression(spark, d), _X, both)
+    return metrics.macro_average(metrics.per_query_scores(got, ("model", "dataset", "query_id")), keys=("model",))
 
 
 @query("m19_proxy_transfer")
@@ -734,22 +818,46 @@ def m27_own_candidates(spark, d):
 @query("m13_p_from_interval")
 def m13_p_from_interval(spark, d):
     """Bootstrap intervals turned into p values, with each dataset's number of questions; a row for each dataset."""
-    counts = metrics.per_query_scores(S.scored(spark, d), ("dataset", "query_id")).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
-    rows = a19_bootstrap_ci(spark, d).join(counts, "dataset").collect()
-    return spark.createDataFrame([(r["dataset"], *map(float, stats.p_from_interval(r["mean"], r["lo"], r["hi"], r["n"]).values())) for r in rows], "dataset string, se double, z double, p double, asymmetry double")
+    return stats.p_values(a19_bootstrap_merged(spark, d)).select("dataset", "se", "z", "p", "asymmetry")
 
 
 @query("m14_m15_dataset_tests")
 def m14_m15_dataset_tests(spark, d):
-    per = metrics.per_query_scores(S.scored(spark, d), ("dataset", "query_id")).withColumnRenamed("spearman", "d")
-    return stats.dataset_tests(per, flips=2000)
+    return stats.dataset_tests(_spearman(spark, d).withColumnRenamed("spearman", "d"))
+
+
+@query("m14_pooled")
+def m14_pooled(spark, d):
+    """All queries of all datasets as one group."""
+    return stats.group_tests(_spearman(spark, d), "spearman", ["dataset", "query_id"], [])
+
+
+@query("m14_dataset_level")
+def m14_dataset_level(spark, d):
+    """The datasets' means as units."""
+    return stats.dataset_level(_spearman(spark, d).groupBy("dataset").agg(F.avg("spearman").alias("mean")))
+
+
+@query("m14_signed_ranks", f"""WITH {S.SCORED}, {_PQD}, v AS (SELECT ds, round(spearman, 9) AS x FROM pq), z AS (SELECT ds, x, abs(x) AS a FROM v WHERE x <> 0),
+ t AS (SELECT ds, a, count(*) AS t, count(*) FILTER (x > 0) AS up FROM z GROUP BY ALL), r AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY ds ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2.0 AS r FROM t)
+ SELECT ds AS dataset, CAST(sum(t) AS BIGINT) AS n, sum(r * up) AS w, CAST(sum(t * t * t - t) AS DOUBLE) AS ties, max(t) AS most FROM r GROUP BY 1""")
+def m14_signed_ranks(spark, d):
+    return stats.signed_ranks(_spearman(spark, d).withColumn("spearman", F.round("spearman", 9)), "spearman", ["dataset"])
 
 
 @query("m22_compare")
 def m22_compare(spark, d):
     rows = S.scored(spark, d)
     both = rows.withColumn("model", F.lit("forward")).unionByName(rows.withColumn("score", -F.col("score")).withColumn("model", F.lit("reverse")))
-    return studies.compare(both, "forward", flips=200)[0]
+    return studies.compare(both, "forward")[0]
+
+
+@query("m22_compare_tests")
+def m22_compare_tests(spark, d):
+    """The paired tests of the same comparison, 200 000 flips, Holm-corrected over datasets."""
+    rows = S.scored(spark, d)
+    both = rows.withColumn("model", F.lit("forward")).unionByName(rows.withColumn("score", -F.col("score")).withColumn("model", F.lit("reverse")))
+    return studies.compare(both, "forward")[1]
 
 
 @query("m24_fresh_questions")

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passant.operators import metrics, models, protocol, stats
+from passant.operators import metrics, models, protocol, resampling, stats
 from passant.schemas import FEATURES, GROUPS
 
 #: Model settings of the larger study: trees, depth and learning rate.
@@ -84,7 +84,7 @@ def final(rows: DataFrame, key: Column, variant: Variant, seen: DataFrame | None
     return fit_variant(marked.where("not is_test"), marked.where("is_test"), variant, base, algorithm)
 
 
-def compare(predictions: DataFrame, reference: str, least_queries: int = 2, flips: int = 500) -> tuple[DataFrame, DataFrame]:
+def compare(predictions: DataFrame, reference: str, least_queries: int = 2, flips: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(model, macro spearman, query means of ndcg and top1, n_queries) and (other, dataset, n, mean, p, p_holm): the
     reference against each other model, Holm-corrected over datasets. Datasets with few usable queries are left out."""
     per = metrics.per_query_scores(predictions, ("model", "dataset", "query_id"))
@@ -93,7 +93,7 @@ def compare(predictions: DataFrame, reference: str, least_queries: int = 2, flip
     macro = metrics.macro_average(per, ("spearman",), ("model",))
     means = per.groupBy("model").agg(F.avg("ndcg").alias("ndcg"), F.avg("top1").alias("top1"), F.count(F.lit(1)).alias("n_queries"))
     diffs = stats.paired_difference(per, reference, keys=("dataset", "query_id"))
-    tests = stats.hash_sign_flip(diffs, "d", "query_id", ["other", "dataset"], flips)
+    tests = resampling.sign_flip(diffs, "d", ["query_id"], ["other", "dataset"], flips)
     return macro.join(means, "model"), stats.holm(tests, "p", "dataset", ["other"])
 
 
@@ -145,7 +145,7 @@ def answer_summary(rows: DataFrame, reference: str = "dense") -> tuple[DataFrame
     """rows (model, m, dataset, query_id, acc): (model, m, macro accuracy) and (m, other, n, mean, p) against the reference."""
     macro = rows.groupBy("model", "m", "dataset").agg(F.avg("acc").alias("acc")).groupBy("model", "m").agg(F.avg("acc").alias("acc"), F.count(F.lit(1)).alias("n_datasets"))
     diffs = stats.paired_difference(rows, reference, "acc", keys=("m", "dataset", "query_id"))
-    return macro, stats.hash_sign_flip(diffs, "d", "query_id", ["m", "other"], 500)
+    return macro, resampling.sign_flip(diffs, "d", ["dataset", "query_id"], ["m", "other"])
 
 
 def masked(rows: DataFrame, keep: str = "d5") -> DataFrame:
