@@ -85,7 +85,7 @@ def bm25_top_k(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 def top_k(hits: DataFrame, k: int, later_first: bool = False) -> DataFrame:
     """rank from 0 by score, then pid; Spark prunes each task's rows before the shuffle."""
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("pid").desc() if later_first else F.col("pid"))
-    return hits.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def okapi_top_k(corpus: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:

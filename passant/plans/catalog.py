@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from passant.functions import scorers
 from passant.functions import text as X
-from passant.operators import features, grams, labels, metrics, models, protocol, resampling, retrieval, stats
+from passant.operators import dense, features, grams, labels, metrics, models, protocol, resampling, retrieval, stats
 from passant.plans import stand_ins as S
 from passant.plans import studies
 from passant.schemas import FEATURES
@@ -161,10 +161,8 @@ def w1_candidate_scores(spark, d):
  list_inner_product(q.v, c.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(c.v, c.v))) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pid) - 1 AS rank FROM p) SELECT query_id, pid, round(score, 6) AS score, rank FROM r WHERE rank < 5""")
 def f25_dense_topk(spark, d):
-    e = S.table(spark, d, "embeddings").select("vec_id", "embedding")
-    ask = retrieval.small_side(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 1000)
-    pairs = e.select(F.col("vec_id").alias("pid"), F.col("embedding").alias("d")).join(ask, F.col("pid") != F.col("query_id"))
-    best = retrieval.top_k(retrieval.dense_scores(pairs).select("query_id", "pid", F.col("dense_score").alias("score")), 5)
+    e = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    best = dense.top_k(e.where("id % 50 = 0"), e, 5, ("id", "v"), ("id", "v"), other_ids=True)
     return best.select("query_id", "pid", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
