@@ -3,27 +3,31 @@
 From each rule's regular expression a Boolean query over trigrams is derived: what it must contain in any match. The
 index is a written table of postings (trigram, row) without any text, over the trigrams that the queries name. The
 postings lists of a query's clause are intersected to candidate rows, and the expression itself runs on those only, in
-the texts where they are read: no text is moved to find or verify a candidate. A rule without a mandatory trigram scans
-every text. Where candidates are more than may be broadcast, the texts that hold the rarest trigram of a clause meet
-their candidates by an exchange.
+the texts where they are read: no text is moved or hashed to find or verify a candidate. A rule without a mandatory
+trigram scans every text. Rows are named by file and index, and candidates go to the scan as bitmaps of 32 768 rows; where
+these are more than may be broadcast at once, files are read in groups, each with the bitmaps of its own.
 """
 
 from __future__ import annotations
 
 import re._constants as sre
 import re._parser as sre_parser
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passant.llm.common import materialize, shared_dir, whole_text
+from passant.llm.common import located, materialize, scan_of, shared_dir, whole_text
 
 Clauses = frozenset[frozenset[str]]
 #: Strings that a part of an expression may stand for are listed up to so many; beyond, the part counts as unknown.
 MOST_STRINGS = 64
-#: Candidate rows that are broadcast at most, as a hash and the names of their rules: some 50 MB.
-MOST_BROADCAST = 500_000
+#: Bitmaps (4 KB for each rule and 32 768 rows) that are broadcast at once, about.
+MOST_MARKS = 8_192
+#: Matches whose offsets are added up together.
+BLOCK = 512
 
 
 @dataclass(frozen=True)
@@ -135,69 +139,86 @@ def candidates(index: DataFrame, queries: dict[str, Clauses]) -> DataFrame:
     return met.join(F.broadcast(length), ["clause", "lists"]).groupBy("at").agg(F.collect_set("kind").alias("kinds"))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _spans(rule: Rule, order: int, text: Column) -> Column:
     """array<struct<start, kind, end>> of a rule's matches, in code points: what lies between the matches, and the
-    matches themselves, are measured in turn."""
+    matches themselves, are measured in turn. Lengths are added up in blocks, and blocks' sums after one another, so the
+    work grows with the matches, not with their square."""
     pattern = F.lit(rule.pattern)
     between, whole = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     judged = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
-    parts = F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("gap"), whole.alias("whole"), judged.alias("judged"))
     one = "struct<start: int, kind: int, end: int>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{one}>").alias("found"))
+
+    def measured(w: Column) -> Column:
+        parts = F.arrays_zip(F.slice(between, F.lit(1), F.size(w)).alias("gap"), w.alias("whole"), judged.alias("judged"))
+        return F.transform(parts, lambda p: F.struct(F.length(p["gap"]).alias("gap"), F.length(p["whole"]).alias("size"), (F.length(p["judged"]) >= rule.least).alias("keep")))
 
     def add(done: Column, part: Column) -> Column:
-        begin = done["at"] + F.length(part["gap"])
-        end = begin + F.length(part["whole"])
-        span = F.struct(begin.alias("start"), F.lit(order).alias("kind"), end.alias("end"))
-        keep = F.when(F.length(part["judged"]) >= rule.least, F.concat(done["found"], F.array(span))).otherwise(done["found"])
-        return F.struct(end.alias("at"), keep.alias("found"))
+        begin = done["at"] + part["gap"]
+        end = begin + part["size"]
+        span = F.array(F.struct(begin.alias("start"), F.lit(order).alias("kind"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(part["keep"], F.concat(done["found"], span)).otherwise(done["found"]).alias("found"))
+
+    def blocks(lengths: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{one}>").alias("found"))
+        return F.transform(cut, lambda block: F.aggregate(block, start, add))
+
+    def whole_offsets(block: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("from"))
+        before = F.aggregate(block, start, lambda done, b: F.struct((done["at"] + b["at"]).alias("at"), F.concat(done["from"], F.array(done["at"])).alias("from")))
+        moved = lambda b, by: F.transform(b["found"], lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end")))
+        return _let(before, lambda at: F.flatten(F.transform(block, lambda b, i: moved(b, F.get(at["from"], i)))))
 
-    return F.aggregate(parts, start, add, lambda x: x["found"])
+    return _let(_let(whole, measured), lambda lengths: F.when(F.size(lengths) > 0, _let(blocks(lengths), whole_offsets)).otherwise(F.array().cast(f"array<{one}>")))
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, most_marks: int | None = None) -> DataFrame:
     """doc_id and spans: array<struct<start, kind, end>>, ordered by start and then kind (its place among the rules).
 
-    docs: doc_id, text; other columns are not read. Null text counts as empty and has no spans. A row is indexed by a
-    hash of its doc_id and text, null ids too; rows that repeat both share their postings, and each gives a result row.
-    Should two rows share a hash by chance, both are verified. An empty table gives an empty result. Offsets are code
-    points, end exclusive.
+    docs: doc_id, text; other columns are not read. Null text counts as empty and has no spans. Rows are told apart by
+    file and index, whatever their ids: null ids and rows that repeat each give a result row. An empty table gives an
+    empty result. Offsets are code points, end exclusive.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(F.col("text")).alias("text"))
-    rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("at"))
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     none = F.array().cast("array<struct<start: int, kind: int, end: int>>")
 
-    def verified(some: list[Rule], candidate=lambda rule: F.lit(True)) -> Column:
-        found = [F.when(candidate(r) & F.col("text").rlike(r.pattern), _spans(r, rules.index(r), F.col("text"))).otherwise(none) for r in some]
-        return F.concat(*found) if found else none
+    def verified(candidate: Callable[[Rule], Column]) -> Column:
+        found = [F.when(candidate(r) & F.col("text").rlike(r.pattern), _spans(r, i, F.col("text"))).otherwise(none) for i, r in enumerate(rules)]
+        return F.array_sort(F.concat(*found)) if found else none
 
     if not queries:
-        return rows.select("doc_id", F.array_sort(verified(list(rules))).alias("spans"))
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(F.col("text")).alias("text"))
+        return rows.select("doc_id", verified(lambda rule: F.lit(True)).alias("spans"))
     base = shared_dir(docs.sparkSession)
-    trigrams = sorted({t for q in queries.values() for c in q for t in c})
-    index = materialize(postings(rows, trigrams), f"{base}/postings")
-    chosen = materialize(candidates(index, queries), f"{base}/candidates")
-    indexed = lambda r: F.array_contains("kinds", r.kind)
-    if chosen.count() <= most_broadcast:
-        # texts are verified where they are read
-        maybe = rows.join(F.broadcast(chosen), "at", "left")
-        every = verified(list(rules), lambda r: F.coalesce(indexed(r), F.lit(False)) if r.kind in queries else F.lit(True))
-        return maybe.select("doc_id", F.array_sort(every).alias("spans"))
-    # of the texts, only those move that hold the rarest trigram of a clause; what the other rules find moves as spans
-    known = index.groupBy("trigram").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each trigram of the rules
-    often = {r["trigram"]: r["n"] for r in known}
-    rarest = sorted({min(c, key=lambda t: (often.get(t, 0), t)) for q in queries.values() for c in q})
-    low, hold = F.lower("text"), F.lit(False)
-    for t in rarest:
-        hold = hold | low.contains(t)
-    with_index = [r for r in rules if r.kind in queries]
-    # 64 bits find a row's candidates; 128 bits tell the spans of one row from those of another
-    keyed = rows.withColumn("and", F.xxhash64("text"))
-    moved = keyed.where(hold).join(chosen, "at").select("at", "and", verified(with_index, indexed).alias("more"))
-    moved = moved.where(F.size("more") > 0).groupBy("at", "and").agg(F.first("more").alias("more"))
-    scanned = keyed.select("doc_id", "at", "and", verified([r for r in rules if r.kind not in queries]).alias("spans"))
-    return scanned.join(moved, ["at", "and"], "left").select("doc_id", F.array_sort(F.concat("spans", F.coalesce("more", none))).alias("spans"))
+    scan, file, row = located(scan_of(docs, ("doc_id", "text")).docs)
+    rows = scan.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(F.col("text")).alias("text"), F.struct(F.xxhash64(file).alias("file"), F.col(row).alias("row")).alias("at"))
+    index = materialize(postings(rows, sorted({t for q in queries.values() for c in q for t in c})), f"{base}/postings")
+    # a file's name is a hash; should two share one, rows of both are candidates, and are verified
+    bit = F.bitmap_bit_position(F.col("at.row"))
+    marks = [F.bitmap_construct_agg(F.when(F.array_contains("kinds", kind), bit)).alias(f"m{i}") for i, kind in enumerate(queries)]
+    chosen = candidates(index, queries).groupBy(F.col("at.file").alias("in"), F.bitmap_bucket_number(F.col("at.row")).alias("bucket")).agg(*marks)
+    chosen = materialize(chosen, f"{base}/candidates")
+    groups = max(1, -(-chosen.count() // (MOST_MARKS if most_marks is None else most_marks)))
+
+    def marked(rule: Rule) -> Column:
+        if rule.kind not in queries:
+            return F.lit(True)
+        held = F.col(f"m{list(queries).index(rule.kind)}")
+        byte = F.conv(F.hex(F.substr(held, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2.0), bit % 8)), F.lit(2)) == 1, F.lit(False))
+
+    parts = []
+    for g in range(groups):
+        own = lambda c, g=g: F.pmod(c, F.lit(groups)) == g if groups > 1 else F.lit(True)
+        same = (F.col("at.file") == F.col("in")) & (F.bitmap_bucket_number(F.col("at.row")) == F.col("bucket"))
+        maybe = rows.where(own(F.col("at.file"))).join(F.broadcast(chosen.where(own(F.col("in")))), same, "left")
+        parts.append(maybe.select("doc_id", verified(marked).alias("spans")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def joined(spans: Column, rules: tuple[Rule, ...]) -> Column:

@@ -122,8 +122,8 @@ def test_secrets(spark, messy, rows):
     more = ["\U0001f600 secret: 'abcdef123' password==xyzxyz", "api_key=short api-key=longenough", "apikey : \"A/b+c=d.e\" " * 3, "AKIAAKIA" + "B" * 20, "x" + "f" * 24 + "é" + "0" * 23, "Ｔoken=abcdefgh toKen=abcdefgh"]
     both = messy.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
     want = sorted((str(d), plain_spans(t or "")) for d, t in [*((r[0], r[1]) for r in rows), *((1000 + i, t) for i, t in enumerate(more))])
-    for most in (500_000, 0):  # candidates are broadcast, or meet the texts by an exchange
-        got = secret_scan.find_secrets(both, most_broadcast=most).collect()
+    for most in (None, 1):  # all bitmaps at once, or files in groups
+        got = secret_scan.find_secrets(both.repartition(5), most_marks=most).collect()
         assert sorted((str(r["doc_id"]), [tuple(s) for s in r["spans"]]) for r in got) == want
 
 
@@ -138,6 +138,19 @@ def test_candidates_are_those_of_brute_force(spark, messy, rows):
     assert got == want and {k for _, k in want} == {"assign", "access"}
 
 
+def test_very_many_matches_in_a_text(spark):
+    """100 000 matches, of which every third is too short; offsets at the borders of blocks."""
+    import time
+
+    text = "".join(f"é token={'a' * (5 + (i % 3 > 0) * (i % 50 + 1))} " for i in range(100_000))
+    docs = spark.createDataFrame([(0, text), (1, "token=abcdef " * 512), (2, "token=abcdef " * 513)], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secret_scan.find_secrets(docs).collect()}
+    assert time.time() - began < 90
+    assert got[0] == plain_spans(text) and sum(k == 0 for _, k, _ in got[0]) == 66_666
+    assert got[1] == [(13 * i, 0, 13 * i + 12) for i in range(512)] and got[2] == [(13 * i, 0, 13 * i + 12) for i in range(513)]
+
+
 def test_no_text_is_moved(spark):
     """Of the plan's exchanges none carries a text."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
