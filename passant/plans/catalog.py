@@ -311,7 +311,7 @@ def p3_yes_no(spark, d):
 @query("l3_utility_labels_mock")
 def l3_utility_labels_mock(spark, d):
     """Labels with a mock answerer behind the pandas UDF: rows only."""
-    asked = S.questions(spark, d).withColumn("golds", F.array(F.substring("query", 1, 12)))
+    asked = S.questions(spark, d).withColumn("golds", X.words(F.col("query")))
     return labels.utility_labels(asked, _pairs(spark, d).select("query_id", "passage_id", "text"))
 
 
@@ -741,52 +741,111 @@ def l6_mock_probe(spark, d):
 # ---------------------------------------------------------------- parsers
 
 
-@query("s7_flashrag_items", f"WITH r AS (SELECT doc_id, split_part(coalesce(text, ''), ' ', 1) AS question, list_slice(list_filter(string_split(coalesce(text, ''), ' '), lambda w: trim(w) <> ''), 2, 3) AS golds FROM documents) SELECT 'popqa:' || doc_id AS query_id, question AS query, array_to_string(golds, '|') AS golds FROM (SELECT *, count(*) OVER (PARTITION BY question) AS n FROM r) x WHERE n = 1 AND len(golds) > 0")
-def s7_flashrag_items(spark, d):
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: F.trim(w) != "")
-    rows = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.split_part(F.coalesce("text", F.lit("")), F.lit(" "), F.lit(1)).alias("question"), F.slice(words, 2, 2).alias("golden_answers"))
-    return parsers.flashrag(rows, "popqa", dedupe_questions=True).select("query_id", "query", F.array_join("gold_answers", "|").alias("golds"))
+#: Raw rows of the datasets are made of whole documents: their lines and all words of them.
+_RAW = "raw AS (SELECT doc_id, lang, string_split(coalesce(text, ''), chr(10)) AS lines, string_split(coalesce(text, ''), ' ') AS ws, coalesce(text, '') AS text FROM documents)"
+_FILLED = lambda x: f"list_filter({x}, lambda w: trim(w) <> '')"
+_BY_LINE = "(SELECT *, lines[j] AS line, string_split(lines[j], ' ') AS line_words FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS j FROM raw) l0)"
+_PASSAGE = """'"' || line_words[1] || '"' || chr(10) || line"""
+
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return S.table(spark, d, "documents").select("doc_id", "lang", text.alias("text"), F.split(text, "\n").alias("lines"), F.split(text, " ").alias("ws"))
 
 
-_WORD = lambda i: f"split_part(coalesce(text, ''), ' ', {i})"
+_words_of = lambda line: F.split(line, " ")
 
 
-def _word(i: int) -> Column:
-    return F.split_part(F.coalesce("text", F.lit("")), F.lit(" "), F.lit(i))
+@query("s7_flashrag_items", f"WITH {_RAW}, r AS (SELECT doc_id, lines[1] AS question, {_FILLED('ws')} AS golds FROM raw) SELECT 'popqa:' || doc_id AS query_id, question AS query, array_to_string(golds, '|') AS golds FROM (SELECT *, count(*) OVER (PARTITION BY question) AS n FROM r) x WHERE n = 1 AND len(golds) > 0")
+def s7_flashrag_items(spark, d):
+    rows = _raw(spark, d).select(F.col("doc_id").alias("id"), F.col("lines")[0].alias("question"), F.col("ws").alias("golden_answers"))
+    return parsers.flashrag(rows, "popqa", dedupe_questions=True).select("query_id", "query", F.array_join("gold_answers", "|").alias("golds"))
 
 
-@query("s8_hotpot_items", f"""WITH r AS (SELECT doc_id, {_WORD(1)} AS question, CASE WHEN lang = 'de' THEN 'Yes ' ELSE {_WORD(2)} END AS answer, [{_WORD(3)}, {_WORD(4)}] AS title, [[{_WORD(5)}, {_WORD(6)}], [{_WORD(7)}]] AS sentences FROM documents)
- SELECT 'hotpotqa:' || doc_id AS query_id, question AS query, answer AS gold, 'hotpotqa:' || doc_id || ':p' || (j - 1) AS passage_id, '"' || title[j] || '"' || chr(10) || array_to_string(sentences[j], ' ') AS text FROM (SELECT *, unnest([1, 2]) AS j FROM r WHERE lower(trim(answer)) NOT IN ('yes', 'no')) x""")
+@query("s8_hotpot_items", f"""WITH {_RAW} SELECT 'hotpotqa:' || doc_id AS query_id, lines[1] AS query, answer AS gold, 'hotpotqa:' || doc_id || ':p' || (j - 1) AS passage_id, {_PASSAGE} AS text
+ FROM (SELECT *, CASE WHEN lang = 'de' THEN 'Yes ' ELSE ws[-1] END AS answer FROM {_BY_LINE} l) x WHERE lower(trim(answer)) NOT IN ('yes', 'no')""")
 def s8_hotpot_items(spark, d):
-    answer = F.when(F.col("lang") == "de", "Yes ").otherwise(_word(2))
-    context = F.struct(F.array(_word(3), _word(4)).alias("title"), F.array(F.array(_word(5), _word(6)), F.array(_word(7))).alias("sentences"))
-    items = parsers.hotpot(S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), _word(1).alias("question"), answer.alias("answer"), context.alias("context")))
+    answer = F.when(F.col("lang") == "de", "Yes ").otherwise(F.element_at("ws", -1))
+    context = F.struct(F.transform("lines", lambda x: _words_of(x)[0]).alias("title"), F.transform("lines", _words_of).alias("sentences"))
+    items = parsers.hotpot(_raw(spark, d).select(F.col("doc_id").alias("id"), F.col("lines")[0].alias("question"), answer.alias("answer"), context.alias("context")))
     return items.select("query_id", "query", F.col("gold_answers")[0].alias("gold"), F.explode("passages").alias("p")).select("query_id", "query", "gold", F.col("p.id").alias("passage_id"), F.col("p.text").alias("text"))
 
 
-@query("s10_musique_items", f"""WITH r AS (SELECT doc_id, {_WORD(1)} AS answer, [{_WORD(2)}, {_WORD(1)}, ' '] AS aliases FROM documents WHERE lang <> 'de'), g AS (SELECT doc_id, list_filter([answer, aliases[1], aliases[2], aliases[3]], lambda x: trim(x) <> '') AS a FROM r)
- SELECT 'musique:' || doc_id AS query_id, array_to_string({S.ordered_distinct('a')}, '|') AS golds, 'musique:' || doc_id || ':p7' AS passage_id FROM g""")
+@query("s9_two_wiki_items", f"""WITH {_RAW} SELECT '2wikimultihopqa:' || doc_id AS query_id, array_to_string({_FILLED("string_split(lines[1], ' ')")}, '|') AS golds, '2wikimultihopqa:' || doc_id || ':p' || (j - 1) AS passage_id, {_PASSAGE} AS text
+ FROM {_BY_LINE} l WHERE len({_FILLED("string_split(lines[1], ' ')")}) > 0 AND len(list_filter(string_split(lines[1], ' '), lambda w: lower(trim(w)) IN ('yes', 'no'))) = 0""")
+def s9_two_wiki_items(spark, d):
+    context = F.struct(F.transform("lines", lambda x: _words_of(x)[0]).alias("title"), F.transform("lines", _words_of).alias("content"))
+    rows = _raw(spark, d).select(F.col("doc_id").alias("id"), F.col("lines")[0].alias("question"), _words_of(F.col("lines")[0]).alias("golden_answers"), F.struct(context.alias("context")).alias("metadata"))
+    items = parsers.two_wiki(rows).select("query_id", F.array_join("gold_answers", "|").alias("golds"), F.explode("passages").alias("p"))
+    return items.select("query_id", "golds", F.col("p.id").alias("passage_id"), F.col("p.text").alias("text"))
+
+
+@query("s10_musique_items", f"""WITH {_RAW}, g AS (SELECT doc_id, array_to_string(list_filter({S.ordered_distinct('ws')}, lambda w: trim(w) <> ''), '|') AS golds FROM raw)
+ SELECT 'musique:' || l.doc_id AS query_id, golds, 'musique:' || l.doc_id || ':p' || (j + 6) AS passage_id, {_PASSAGE} AS text FROM {_BY_LINE} l JOIN g ON l.doc_id = g.doc_id WHERE lang <> 'de'""")
 def s10_musique_items(spark, d):
-    paragraphs = F.array(F.struct(F.lit(7).alias("idx"), _word(3).alias("title"), _word(4).alias("paragraph_text")))
-    rows = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), _word(5).alias("question"), _word(1).alias("answer"), F.array(_word(2), _word(1), F.lit(" ")).alias("answer_aliases"), (F.col("lang") != "de").alias("answerable"), paragraphs.alias("paragraphs"))
-    return parsers.musique(rows).select("query_id", F.array_join("gold_answers", "|").alias("golds"), F.col("passages")[0]["id"].alias("passage_id"))
+    paragraphs = F.transform("lines", lambda x, i: F.struct((i + 7).alias("idx"), _words_of(x)[0].alias("title"), x.alias("paragraph_text")))
+    rows = _raw(spark, d).select(F.col("doc_id").alias("id"), F.col("lines")[0].alias("question"), F.col("ws")[0].alias("answer"), F.col("ws").alias("answer_aliases"), (F.col("lang") != "de").alias("answerable"), paragraphs.alias("paragraphs"))
+    items = parsers.musique(rows).select("query_id", F.array_join("gold_answers", "|").alias("golds"), F.explode("passages").alias("p"))
+    return items.select("query_id", "golds", F.col("p.id").alias("passage_id"), F.col("p.text").alias("text"))
 
 
-@query("s11_ragbench_items", f"""WITH r AS (SELECT doc_id, [[{_WORD(1)}, {_WORD(2)}, {_WORD(1)}], [{_WORD(3)}]] AS keys, [{_WORD(1)}, {_WORD(4)}] AS used FROM documents)
- SELECT 'ragbench-hotpotqa:' || doc_id || ':p' || (j - 1) AS passage_id, round(len(list_intersect(list_distinct(keys[j]), used)) / len(keys[j]), 6) AS proxy_label FROM (SELECT *, unnest([1, 2]) AS j FROM r) x""")
+@query("s11_ragbench_items", f"""WITH {_RAW} SELECT 'ragbench-hotpotqa:' || doc_id || ':p' || (j - 1) AS passage_id, line AS text, round(len(list_intersect(list_distinct(line_words), string_split(lines[-1], ' '))) / len(line_words), 6) AS proxy_label
+ FROM {_BY_LINE} l WHERE len(lines) >= 2""")
 def s11_ragbench_items(spark, d):
-    sentence = lambda i: F.array(_word(i), F.lit("s"))
-    rows = S.table(spark, d, "documents").select(F.col("doc_id").alias("ordinal"), _word(5).alias("question"), F.array(F.lit("a"), F.lit("b")).alias("documents"), F.array(F.array(sentence(1), sentence(2), sentence(1)), F.array(sentence(3))).alias("documents_sentences"), F.array(_word(1), _word(4)).alias("all_utilized_sentence_keys"))
-    return parsers.candidates(parsers.ragbench(rows)).select("passage_id", r6("proxy_label").alias("proxy_label"))
+    sentences = F.transform("lines", lambda x: F.transform(_words_of(x), lambda w: F.array(w, w)))
+    rows = _raw(spark, d).select(F.col("doc_id").alias("ordinal"), F.col("lines")[0].alias("question"), F.col("lines").alias("documents"), sentences.alias("documents_sentences"), _words_of(F.element_at("lines", -1)).alias("all_utilized_sentence_keys"))
+    return parsers.candidates(parsers.ragbench(rows)).select("passage_id", "text", r6("proxy_label").alias("proxy_label"))
+
+
+@query("s12_entity_questions", f"""WITH {_RAW}, e AS (SELECT 'P' || (doc_id // 100) AS relation, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) - 1 AS j, lines[1] AS question, {_FILLED('ws')} AS golds FROM raw)
+ SELECT 'entityquestions:' || relation || '-' || j AS query_id, question AS query, array_to_string(golds, '|') AS golds FROM e WHERE len(golds) > 0""")
+def s12_entity_questions(spark, d):
+    """A relation's file is a JSON array of a hundred documents' questions."""
+    asked = F.struct(F.col("lines")[0].alias("question"), F.col("ws").alias("answers"))
+    files_ = _raw(spark, d).groupBy(F.expr("doc_id div 100").alias("k")).agg(F.sort_array(F.collect_list(F.struct("doc_id", asked.alias("ex")))).alias("l"))
+    name = F.concat(F.lit("/data/test/P"), F.col("k").cast("string"), F.lit(".test.json"))
+    items = parsers.entity_questions(files_.select(name.alias("name"), F.to_json(F.transform("l", lambda x: x["ex"])).alias("content")))
+    return items.select("query_id", "query", F.array_join("gold_answers", "|").alias("golds"))
+
+
+def _samples(samples: DataFrame) -> DataFrame:
+    return samples.select("query", F.array_join("answers", "|").alias("answers"), F.explode("passages").alias("p")).select("query", "answers", F.col("p.id").alias("passage_id"), F.col("p.text").alias("text"), F.col("p.is_positive").alias("is_positive"))
+
+
+@query("s15_legacy_ragbench", f"""WITH {_RAW} SELECT lines[1] AS query, ws[1] AS answers, 'ragbench_' || doc_id || '_' || (j - 1) AS passage_id, line AS text, list_has_any(line_words, string_split(lines[-1], ' ')) AS is_positive FROM {_BY_LINE} l""")
+def s15_legacy_ragbench(spark, d):
+    sentences = F.transform("lines", lambda x: F.transform(_words_of(x), lambda w: F.array(w, w)))
+    rows = _raw(spark, d).select(F.col("doc_id").alias("ordinal"), F.col("lines")[0].alias("question"), F.col("ws")[0].alias("response"), F.col("lines").alias("documents"), sentences.alias("documents_sentences"), _words_of(F.element_at("lines", -1)).alias("all_relevant_sentence_keys"))
+    return _samples(parsers.load_legacy("ragbench", rows))
+
+
+@query("s16_natural_questions", f"""WITH {_RAW}, t AS (SELECT *, len(ws) // 2 AS half, len(ws) AS n, list_filter(ws, lambda w: NOT regexp_matches(w, '[<>]')) AS plain FROM raw),
+ p AS (SELECT doc_id, lines, 0 AS j, list_slice(plain, 1, half) AS part FROM t UNION ALL SELECT doc_id, lines, 1, list_slice(plain, half + 1, n) FROM t)
+ SELECT lines[1] AS query, string_split(lines[1], ' ')[1] AS answers, 'nq_' || doc_id || '_' || j AS passage_id, trim(array_to_string(part, ' ')) AS text, false AS is_positive FROM p WHERE trim(array_to_string(part, ' ')) <> ''""")
+def s16_natural_questions(spark, d):
+    """Two spans that cover all tokens; those with an angle bracket count as HTML."""
+    half, n = F.expr("size(ws) div 2").cast("int"), F.size("ws")
+    spans = F.struct(F.array(F.lit(0), half).alias("start_token"), F.array(half, n).alias("end_token"))
+    tokens = F.struct(F.struct(F.col("ws").alias("token"), F.transform("ws", lambda w: w.rlike("[<>]")).alias("is_html")).alias("tokens"))
+    rows = _raw(spark, d).select(F.col("doc_id").alias("ordinal"), F.struct(F.col("lines")[0].alias("text")).alias("question"), F.struct(F.array(F.struct(F.array(_words_of(F.col("lines")[0])[0]).alias("text"))).alias("short_answers")).alias("annotations"), spans.alias("long_answer_candidates"), tokens.alias("document"))
+    return _samples(parsers.load_legacy("natural_questions", rows))
 
 
-@query("s17_msmarco_samples", f"""WITH r AS (SELECT doc_id, [{_WORD(2)}, ' ', {_WORD(3)}] AS texts, [1, 0, 0] AS picked FROM documents WHERE lang <> 'de')
- SELECT 'msmarco_' || doc_id || '_' || (j - 1) AS passage_id, texts[j] AS text, picked[j] <> 0 AS is_positive FROM (SELECT *, unnest([1, 2, 3]) AS j FROM r) x WHERE trim(texts[j]) <> ''""")
+@query("s17_msmarco_samples", f"""WITH {_RAW} SELECT 'msmarco_' || doc_id || '_' || (j - 1) AS passage_id, line AS text, j = 1 AS is_positive FROM {_BY_LINE} l WHERE lang <> 'de' AND trim(line) <> ''""")
 def s17_msmarco_samples(spark, d):
-    answers = F.array(F.when(F.col("lang") == "de", "No Answer Present.").otherwise(_word(1)))
-    passages = F.struct(F.array(_word(2), F.lit(" "), _word(3)).alias("passage_text"), F.array(F.lit(1), F.lit(0), F.lit(0)).alias("is_selected"))
-    rows = S.table(spark, d, "documents").select(F.col("doc_id").alias("ordinal"), _word(5).alias("query"), answers.alias("answers"), passages.alias("passages"))
-    return parsers.load_legacy("msmarco", rows).select(F.explode("passages").alias("p")).select(F.col("p.id").alias("passage_id"), F.col("p.text").alias("text"), F.col("p.is_positive").alias("is_positive"))
+    answers = F.array(F.when(F.col("lang") == "de", "No Answer Present.").otherwise(F.col("ws")[0]))
+    passages = F.struct(F.col("lines").alias("passage_text"), F.transform("lines", lambda x, i: F.when(i == 0, 1).otherwise(0)).alias("is_selected"))
+    rows = _raw(spark, d).select(F.col("doc_id").alias("ordinal"), F.col("lines")[0].alias("query"), answers.alias("answers"), passages.alias("passages"))
+    return _samples(parsers.load_legacy("msmarco", rows)).select("passage_id", "text", "is_positive")
+
+
+@query("s18_triviaqa", f"""WITH {_RAW}, x AS (SELECT doc_id, lines[1] AS query, CASE WHEN lang = 'fr' THEN ws[1] ELSE array_to_string(ws, '|') END AS answers, 'wikipedia' AS part, j, line AS text FROM {_BY_LINE} l
+ UNION ALL SELECT doc_id, lines[1], CASE WHEN lang = 'fr' THEN ws[1] ELSE array_to_string(ws, '|') END, 'web', 1, text FROM raw)
+ SELECT query, answers, 'triviaqa_' || doc_id || '_' || part || '_' || (j - 1) AS passage_id, text, false AS is_positive FROM x WHERE trim(text) <> ''""")
+def s18_triviaqa(spark, d):
+    aliases = F.when(F.col("lang") == "fr", F.array().cast("array<string>")).otherwise(F.col("ws"))
+    rows = _raw(spark, d).select(F.col("doc_id").alias("ordinal"), F.col("lines")[0].alias("question"), F.struct(F.col("ws")[0].alias("value"), aliases.alias("aliases")).alias("answer"), F.struct(F.col("lines").alias("wiki_context")).alias("entity_pages"), F.struct(F.array("text").alias("search_context")).alias("search_results"))
+    return _samples(parsers.load_legacy("triviaqa", rows))
 
 
 @query("f29_prompts", f"""WITH {_PAIRS} SELECT query_id, passage_id, md5('Answer the following question in one sentence.' || chr(10) || 'Question: ' || query || chr(10) || 'Answer:') AS sentence,
