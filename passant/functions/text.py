@@ -207,10 +207,42 @@ def parse_ranking(answer: Column, n: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.when(at(i) > 0, (F.lit(1) - at(i)).cast("double") + F.lit(0.0)).otherwise(-n.cast("double")))).otherwise(F.array().cast("array<double>"))
 
 
+#: What a backslash and a letter stand for in a string literal.
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v", "\\": "\\", "'": "'", '"': '"', "\n": ""}
+_STRING = r"""(?:'(?:[^'\\\n]++|\\(?s:.))*+'|"(?:[^"\\\n]++|\\(?s:.))*+")"""
+_LITERAL = rf"(?:{_STRING}|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?|True|False|None)"
+_ITEMS = rf"{_LITERAL}\s*+(?:,\s*+{_LITERAL}\s*+)*+"
+
+
+def _unescaped(body: Column) -> Column:
+    """What stands between the quotes of a string literal: plain stretches and escapes in turn."""
+    pieces = F.regexp_extract_all(body, F.lit(r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\[0-7]{1,3}|\\(?s:.)|[^\\]+"), F.lit(0))
+
+    def meant(piece: Column) -> Column:
+        kind, digits = F.substring(piece, 2, 1), F.substring(piece, 3, 8)
+        octal = F.lpad(F.conv(F.substring(piece, 2, 3), 8, 16), 4, "0")
+        out = F.when(~piece.startswith("\\") | (F.length(piece) < 2), piece)
+        for letter, value in _ESCAPES.items():
+            out = out.when(piece == "\\" + letter, F.lit(value))
+        out = out.when((kind == "x") & (F.length(piece) == 4), F.decode(F.unhex(F.concat(F.lit("00"), digits)), "UTF-16BE"))
+        out = out.when((kind == "u") & (F.length(piece) == 12), F.decode(F.unhex(F.concat(F.substring(piece, 3, 4), F.substring(piece, 9, 4))), "UTF-16BE"))  # a pair
+        out = out.when(piece.rlike(r"^\\u[dD][89a-fA-F]"), piece)  # half a pair stands for no character
+        out = out.when((kind == "u") & (F.length(piece) == 6), F.decode(F.unhex(digits), "UTF-16BE"))
+        out = out.when((kind == "U") & (F.length(piece) == 10), F.decode(F.unhex(digits), "UTF-32"))
+        return out.when(piece.rlike(r"^\\[0-7]"), F.decode(F.unhex(octal), "UTF-16BE")).otherwise(piece)
+
+    return F.array_join(F.transform(pieces, meant), "")
+
+
 def parse_golds(text: Column) -> Column:
-    """A list of strings written in Python or JSON form; anything else is one gold."""
-    plain = F.regexp_replace(F.regexp_replace(text, r"(?<=[\[,]\s{0,9})'|'(?=\s*[,\]])", '"'), r"\\'", "'")
-    return F.coalesce(F.from_json(plain, "array<string>"), F.array(text))
+    """The golds that a text holds: of a literal list or tuple of strings, whole and decimal numbers, True, False or None
+    each as a string; of a single string literal what it says; any other text is one gold itself."""
+    listed = rf"(?:{_ITEMS}(?:,\s*+)?+)?+"
+    whole = text.rlike(rf"^[ \t]*+(?:\[\s*+{listed}\]|\(\s*+{listed}\)|{_ITEMS}(?:,\s*+)?+)\s*+$")
+    items = F.regexp_extract_all(text, F.lit(_LITERAL), F.lit(0))
+    number = lambda x: F.when(x.rlike(r"\."), F.regexp_replace(x, r"(\.[0-9]+?)0+$", "$1")).otherwise(F.when(x == "-0", "0").otherwise(x))
+    said = F.transform(items, lambda x: F.when(x.rlike("^['\"]"), _unescaped(F.substring(x, F.lit(2), F.length(x) - 2))).otherwise(number(x)))
+    return F.when(whole, said).otherwise(F.array(text))
 
 
 def numbered(passages: Column, label: str = "Passage ") -> Column:

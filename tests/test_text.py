@@ -1,5 +1,10 @@
 """Answer metrics, overlaps and parsers of answers on hand-made rows."""
 
+import ast
+import json
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +69,29 @@ def test_parse_golds(spark):
 def test_entropy(spark):
     row = spark.createDataFrame([([0.0, 0.0],)], "l array<double>").select(X.entropy(F.col("l")).alias("h")).first()
     assert row["h"] == pytest.approx(0.6931471805599453)
+
+
+def plain_golds(text):
+    """What the literal parser of the language says; what is no literal is one gold."""
+    try:
+        value = ast.literal_eval(text)
+    except (ValueError, SyntaxError):
+        return [text]
+    return [str(v).encode("utf-16", "surrogatepass").decode("utf-16") for v in (value if isinstance(value, (list, tuple)) else [value])]  # pairs are one character
+
+
+def test_literal_lists(spark):
+    """Random lists and tuples in either quoting, escapes, nested quotes, numbers, and texts that are no literals."""
+    rng = random.Random(2)
+    pick = "a b ' \" \\ , [ ] ( ) é 日 \U0001f600 \n \t \x07 \x85 Paris 1".split(" ") + [" "]
+    texts = ["[]", "()", "[,]", "[1,]", "(1)", "(1,)", "('a')", "'a', 'b'", "['a' 'b'", "['a',, 'b']", "plain", "", " ['x'] ", "[True, None, -3, 2.50, 10.0, 0]", "['\\x41\\u00e9\\101\\q']", "['it\\'s', \"it's\"]", "[\n'a',\n'b'\n]", "5", "['a\nb']"]
+    for _ in range(400):
+        items = [rng.choice([rng.randint(-50, 50), True, None, "".join(rng.choice(pick) for _ in range(rng.randint(0, 8)))]) for _ in range(rng.randint(0, 5))]
+        texts.append(repr(items if rng.random() < 0.7 else tuple(items)))
+        texts.append(json.dumps([str(x) for x in items], ensure_ascii=rng.random() < 0.5))
+    texts += ["".join(rng.choice("['\",] ab1\\") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    unsure = lambda t: re.search(r"['\"]\s*['\"]|[bBrRuUfF]['\"]|[0-9]\s*[eEjJ_xob]|\\\\[uUNx]|\+", t) and t not in texts[:20]  # noqa: E731  joined or marked strings aren't lists of golds
+    texts = [t for t in texts if not unsure(t)]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(X.parse_golds(F.col("t"))).collect()]
+    wrong = [(t, g, plain_golds(t)) for t, g in zip(texts, got, strict=True) if g != plain_golds(t)]
+    assert not wrong, wrong[:5]
