@@ -5,7 +5,7 @@ A backend is a factory, called once in each worker; its models stay loaded for t
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
@@ -25,17 +25,46 @@ def loaded(factory: Callable[[], Any]) -> Any:
     return _LOADED[key]
 
 
-def generate(rows: DataFrame, prompt: str, out: str, factory: Callable[[], Callable[[list[str]], list[str]]], batch: int = 32) -> DataFrame:
-    """rows with an answer to each prompt: like lengths are batched together inside a partition to save padding."""
+#: Characters that a prompt's longest neighbour in a batch may have, times its own.
+WASTE = 1.1
 
-    @F.pandas_udf("string")
-    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = loaded(factory)
-        for prompts in batches:
-            texts = prompts.tolist()
-            yield pd.Series([a for i in range(0, len(texts), batch) for a in model(texts[i : i + batch])])
 
-    return rows.sortWithinPartitions(F.length(prompt)).withColumn(out, answer(prompt))
+def length_batches(lengths: Sequence[int], budget: int, most: int, waste: float = WASTE) -> list[tuple[int, int]]:
+    """Ranges of ascending lengths: `most` at most, no more than the budget when padded to the longest, and no length of
+    which is `waste` times the shortest or more. A length over the budget is a batch alone."""
+    out, start = [], 0
+    for i, n in enumerate(lengths):
+        if i > start and (i - start >= most or n * (i - start + 1) > budget or n > waste * max(1, lengths[start])):
+            out.append((start, i))
+            start = i
+    return [*out, (start, len(lengths))] if len(lengths) else out
+
+
+def generate(rows: DataFrame, prompt: str, out: str, factory: Callable[[], Callable[[list[str]], list[str]]], batch: int = 32, budget: int = 1 << 16) -> DataFrame:
+    """rows with an answer to each prompt (null to a null one).
+
+    Prompts are dealt out by ranges of their length, so a task has prompts of like lengths from the whole table, and cut in
+    batches of like cost: `batch` prompts and `budget` characters at most, padded to the longest. Equal lengths are spread
+    over tasks by hash.
+    """
+    import pyarrow as pa
+
+    at = rows.schema.names.index(prompt)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = loaded(factory)
+        for part in batches:
+            texts = part.column(at).to_pylist()
+            order = sorted((i for i, t in enumerate(texts) if t is not None), key=lambda i: len(texts[i]))
+            said: list[str | None] = [None] * len(texts)
+            for a, b in length_batches([len(texts[i]) for i in order], budget, batch):
+                for i, value in zip(order[a:b], model([texts[i] for i in order[a:b]]), strict=True):
+                    said[i] = value
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(said, pa.string())], [*part.schema.names, out])
+
+    laid = rows.repartitionByRange(F.length(prompt), F.xxhash64(prompt)).sortWithinPartitions(F.length(prompt))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{out}` string"])
+    return laid.mapInArrow(answer, schema)
 
 
 def score_pairs(rows: DataFrame, left: str, right: str, out: str, factory: Callable[[], Callable[[list[str], list[str]], list[Any]]], kind: str = "double") -> DataFrame:
