@@ -76,6 +76,26 @@ def located(docs: DataFrame) -> tuple[DataFrame, str, str]:
     return docs.select("*", where["file_path"].alias(file), where["row_index"].alias(row)), file, row
 
 
+#: Bitmaps of 32 768 rows (4 KB each) that are broadcast at most.
+MOST_MARKS = 16_384
+
+
+def only_rows(docs: DataFrame, file: str, row: str, stay: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows of docs (with their file and index) that stay names by file and row, without moving them.
+
+    What stays is a bitmap for each file and 32 768 rows, which is broadcast after it was counted; beyond the bound rows
+    are joined by shuffle. Names of docs can't clash with what is joined.
+    """
+    names = {c: fresh(docs, c) for c in ("_in", "_bucket", "_marks")}
+    bucket, bit = F.bitmap_bucket_number(F.col(row)), F.bitmap_bit_position(F.col(row))
+    marks = materialize(stay.groupBy(F.col(file).alias(names["_in"]), bucket.alias(names["_bucket"])).agg(F.bitmap_construct_agg(bit).alias(names["_marks"])))
+    if marks.limit((most or MOST_MARKS) + 1).count() > (MOST_MARKS if most is None else most):
+        return docs.join(stay.select(file, row), [file, row], "left_semi").select(*docs.columns)
+    byte = F.conv(F.hex(F.substr(F.col(names["_marks"]), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    joined = docs.join(F.broadcast(marks), (F.col(file) == F.col(names["_in"])) & (bucket == F.col(names["_bucket"])))
+    return joined.where(F.pmod(F.floor(byte / F.pow(F.lit(2.0), bit % 8)), F.lit(2)) == 1).drop(*names.values())
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """name, with underscores in front until no column is called so (Spark's names don't tell cases apart)."""
     taken = {c.lower() for c in docs.columns}

@@ -19,7 +19,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passant.llm.common import located, materialize, scan_of, whole_text
+from passant.llm.common import located, materialize, only_rows, scan_of, whole_text
 
 AXES = ("source", "lang", "topic")
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.8}
@@ -149,7 +149,7 @@ def kept_rows(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that are sampled, with all their columns; nulls, repeats and empty tables are as in mix()."""
     docs, file, row = located(scan_of(docs).docs)
     stay = mix(docs, **how, carried=(file, row)).where("kept").select(file, row)
-    return docs.join(stay, [file, row], "left_semi").drop(file, row)
+    return only_rows(docs, file, row, stay).drop(file, row)
 
 
 def oracle(rounds: int = ROUNDS, rate: float = RATE, temper: Mapping[str, float] = TEMPER, table: str = "documents") -> str:

@@ -6,7 +6,7 @@ pairs, which blocks of agreeing bits can't be keys for.
 
 1. Every text is a set of hashed shingles; equal sets are one vertex. Its fingerprint is the majority of each bit.
 2. Keys are fixed choices of `bits` bits of the fingerprint, as many choices as it takes for a pair within the radius to
-   agree on one of them with a chance of 0.99 (of pairs at just the given similarity; closer ones agree far more often).
+   agree on one of them with a chance of 0.98 (of pairs at just the given similarity; closer ones agree far more often).
    `bits` grows with the number of vertices, so that a key holds few unrelated ones.
 3. Within a key fingerprints are compared bit-sliced, all of them, and a task gives back links that connect the same
    vertices. Keys with many vertices are cut into cells that meet in pairs.
@@ -30,14 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passant.llm.common import located, materialize, scan_of, shared_dir, whole_text
+from passant.llm.common import located, materialize, only_rows, scan_of, shared_dir, whole_text
 from passant.llm.simhash import LANES, connected, linked
 
 BITS, BINS = 128, 256
 #: Vertices of a cell, and bytes of shingles that a cell of a group holds.
 CELL, CELL_BYTES = 2048, 16 << 20
+#: Rows of candidate groups (a path and three numbers each) that are broadcast at most.
+MOST_ASKED = 200_000
 #: The share of pairs at just the given similarity that the keys may miss, and that the radius may.
-MISSED, BEYOND = 0.01, 0.01
+MISSED, BEYOND = 0.02, 0.01
 
 
 def shingles(text: bytes, words: int = 5) -> np.ndarray:
@@ -104,60 +106,60 @@ def choices(n: int, least: float) -> list[np.ndarray]:
 
 
 def _keyed(vertices: DataFrame, chosen: list[np.ndarray]) -> DataFrame:
-    """key (number of the choice and the bits), id and fp."""
+    """key (number of the choice and the bits), id and the fingerprint (low, high)."""
 
     def act(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, fps = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(ids), 2048):
-                own, fp = pa.array(ids[at : at + 2048], pa.binary()), fps[at : at + 2048]
-                bits = np.unpackbits(np.frombuffer(b"".join(fp), np.uint8).reshape(len(fp), -1), axis=1, bitorder="little").astype(np.int64)
-                for number, places in enumerate(chosen):
-                    key = (bits[:, places] << np.arange(len(places))).sum(axis=1) + (number << len(places))
-                    yield pa.RecordBatch.from_arrays([pa.array(key), own, pa.array(fp, pa.binary())], ["key", "id", "fp"])
+            fp = np.stack([batch.column(k).to_numpy() for k in (1, 2)], axis=1)
+            bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")
+            for number, places in enumerate(chosen):
+                key = bits[:, places].astype(np.int64) @ (1 << np.arange(len(places))) + (number << len(places))
+                yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], ["key", "id", "low", "high"])
 
-    return vertices.select("id", "fp").mapInArrow(act, "key long, id binary, fp binary")
+    return vertices.select("id", "low", "high").mapInArrow(act, "key long, id long, low long, high long")
 
 
-def _cells(rows: DataFrame, group: str, count, most: int) -> DataFrame:
-    """rows with i and j: groups of over `most` cells' worth (count: a weight of cells) meet as pairs of cells."""
-    hot = rows.groupBy(group).agg(count.alias("cells")).where(F.col("cells") > most).select(F.col(group).alias("_g"), (F.col("cells") * 2).cast("int").alias("_n"))
-    own = F.pmod(F.xxhash64("id"), F.coalesce("_n", F.lit(1))).cast("int")
-    spread = rows.join(hot, F.col(group) == F.col("_g"), "left").withColumn("_own", own)
-    other = F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))
-    return spread.select(*rows.columns, "_own", other.alias("_other")).select(*rows.columns, F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"))
+def _cells(rows: DataFrame, group: str, hot: DataFrame) -> DataFrame:
+    """rows with cell: groups of several cells' worth (hot: group, cells) meet as pairs of their cells."""
+    small = hot.where("cells > 1").select(F.col(group).alias("_g"), (F.col("cells") * 2).cast("long").alias("_n"))
+    n = F.coalesce("_n", F.lit(1))
+    spread = rows.join(small, F.col(group) == F.col("_g"), "left").withColumn("_own", F.pmod(F.xxhash64("id"), n))
+    pairs = spread.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    return pairs.withColumn("cell", F.least("_own", "_other") * n + F.greatest("_own", "_other")).select(*rows.columns, "cell")
 
 
 def candidates(vertices: DataFrame, least: float) -> DataFrame:
-    """u, v: links between vertices (id, fp) that connect what pairs within the radius and a common key connect."""
+    """u, v: links between vertices (id, low, high) that connect what pairs within the radius and a common key connect."""
     keyed = _keyed(vertices, choices(vertices.count(), least))
-    cells = _cells(keyed, "key", F.ceil(F.count(F.lit(1)) / CELL), 1)
+    cells = _cells(keyed, "key", keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("cells")))
     radius = radius_of(least)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def judged(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            if len(rows) < 2:
-                return
-            change = np.array([0, *(a[0] != b[0] for a, b in zip(rows, rows[1:], strict=False))], np.int64)
-            fp = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
-            label = linked(fp, np.cumsum(change), radius)
-            at = np.flatnonzero(label != np.arange(len(rows))).tolist()
-            if at:
-                yield pa.RecordBatch.from_arrays([pa.array([rows[label[k]][1] for k in at], pa.binary()), pa.array([rows[k][1] for k in at], pa.binary())], ["u", "v"])
-
+        def judged(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            change = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+            label = linked(np.ascontiguousarray(rows[:, 3:]).view(np.uint8), np.concatenate([[0], np.cumsum(change)]), radius)
+            at = np.flatnonzero(label != np.arange(len(rows)))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(rows[label[at], 2]), pa.array(rows[at, 2])], ["u", "v"])
+
+        held: list[np.ndarray] = []
         for batch in batches:
-            group = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
-            for row in zip(group, *(batch.column(k).to_pylist() for k in (3, 4)), strict=True):
-                if len(held) >= LANES and row[0] != held[-1][0]:  # whole keys
-                    yield from judged(held)
-                    held = []
-                held.append(row)
-        yield from judged(held)
-
-    laid = cells.select("key", "i", "j", "id", "fp").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
-    return laid.mapInArrow(compare, "u binary, v binary").distinct()
+            held.append(np.stack([c.to_numpy() for c in batch.columns], axis=1))
+            if sum(map(len, held)) < LANES:
+                continue
+            rows = np.concatenate(held)
+            starts = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1  # where another group begins
+            begin = 0
+            for end in [*starts[np.flatnonzero(np.diff(starts // LANES))], *starts[-1:]]:
+                if end > begin:
+                    yield from judged(rows[begin:end])
+                    begin = end
+            held = [rows[begin:]]
+        if held:
+            yield from judged(np.concatenate(held))
+
+    laid = cells.select("key", "cell", "id", "low", "high").repartition("key", "cell").sortWithinPartitions("key", "cell", "low", "high", "id")
+    return laid.mapInArrow(compare, "u long, v long").distinct()
 
 
 def verified(sets: list[np.ndarray], sketches: np.ndarray, least: float) -> np.ndarray:
@@ -182,10 +184,10 @@ def verified(sets: list[np.ndarray], sketches: np.ndarray, least: float) -> np.n
     return root
 
 
-def _verified_links(members: DataFrame, least: float) -> DataFrame:
-    """u, v within candidate groups; members: root, id, hashes (binary)."""
-    weight = F.ceil(F.greatest(F.count(F.lit(1)) / CELL, F.sum(F.octet_length("hashes").cast("long")) / CELL_BYTES))
-    cells = _cells(members, "root", weight, 1)
+def _verified_links(members: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
+    """u, v within candidate groups; members: root, id, hashes (binary); sizes: root and n (shingles) of each member."""
+    weight = F.ceil(F.greatest(F.count(F.lit(1)) / CELL, F.sum("n") * 8 / CELL_BYTES))
+    cells = _cells(members, "root", sizes.groupBy("root").agg(weight.alias("cells")))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, sets = None, [], []
@@ -196,53 +198,68 @@ def _verified_links(members: DataFrame, least: float) -> DataFrame:
             root = verified(sets, np.stack([sketch(s) for s in sets]), least)
             at = np.flatnonzero(root != np.arange(len(ids))).tolist()
             if at:
-                yield pa.RecordBatch.from_arrays([pa.array([ids[root[k]] for k in at], pa.binary()), pa.array([ids[k] for k in at], pa.binary())], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[root[k]] for k in at]), pa.array([ids[k] for k in at])], ["u", "v"])
 
         for batch in batches:
             for k in range(batch.num_rows):
-                here = tuple(batch.column(c)[k].as_py() for c in range(3))
+                here = (batch.column(0)[k].as_py(), batch.column(1)[k].as_py())
                 if here != now:
                     yield from judged()
                     now, ids, sets = here, [], []
-                ids.append(batch.column(3)[k].as_py())
-                sets.append(np.frombuffer(batch.column(4)[k].as_py(), np.uint64))
+                ids.append(batch.column(2)[k].as_py())
+                sets.append(np.frombuffer(batch.column(3)[k].as_py(), np.uint64))
         yield from judged()
 
-    laid = cells.select("root", "i", "j", "id", "hashes").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "id")
-    return laid.mapInArrow(judge, "u binary, v binary").distinct()
+    laid = cells.select("root", "cell", "id", "hashes").repartition("root", "cell").sortWithinPartitions("root", "cell", "id")
+    return laid.mapInArrow(judge, "u long, v long").distinct()
 
 
-def _vertices(docs: DataFrame, file: str, row: str, words: int, digest: bool) -> DataFrame:
-    """Of each row its place, id (of its set of shingles), and either the fingerprint or the hashes."""
-    names = [file, row, "doc_id", "id", "fp" if digest else "hashes"]
+def _vertices(docs: DataFrame, file: str, row: str, words: int) -> DataFrame:
+    """Of each row its place, doc_id, its set of shingles (digest and number) and its fingerprint."""
+    names = [file, row, "doc_id", "digest", "n", "low", "high"]
     rows = docs.select(file, row, F.col("doc_id").cast("long").alias("doc_id"), whole_text(F.col("text")).alias("text"))
 
     def act(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, more = [], []
+            digests, sizes, fps = [], [], []
             for t in batch.column(3):
                 hashes = shingles(t.as_buffer().to_pybytes(), words)
-                ids.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
-                more.append(fingerprint(hashes) if digest else hashes.tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary()), pa.array(more, pa.binary())], names)
+                digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
+                sizes.append(len(hashes))
+                fps.append(fingerprint(hashes))
+            fp = np.frombuffer(b"".join(fps), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fp[:, 0]), pa.array(fp[:, 1])], names)
+
+    return rows.mapInArrow(act, f"{file} string, {row} long, doc_id long, digest binary, n long, low long, high long")
+
+
+def _hashed(texts: DataFrame, words: int) -> DataFrame:
+    """root, id and hashes of texts (root, id, text)."""
+
+    def act(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [shingles(t.as_buffer().to_pybytes(), words).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(hashes, pa.binary())], ["root", "id", "hashes"])
 
-    return rows.mapInArrow(act, f"{file} string, {row} long, doc_id long, id binary, {names[-1]} binary")
+    return texts.select("root", "id", whole_text(F.col("text")).alias("text")).mapInArrow(act, "root long, id long, hashes binary")
 
 
 def _grouped(docs: DataFrame, file: str, row: str, words: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, id, place) and, for every id, its first row and the smallest id of its component."""
+    """The rows (doc_id, digest, place) and, for every digest, its first row and the smallest id of its component."""
     base = shared_dir(docs.sparkSession)
-    rows = materialize(_vertices(docs, file, row, words, True), f"{base}/fingerprints")
+    rows = materialize(_vertices(docs, file, row, words), f"{base}/fingerprints")
     at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(file).alias("file"), F.col(row).alias("row"))
-    vertices = materialize(rows.groupBy("id").agg(F.first("fp").alias("fp"), F.min(at).alias("first")), f"{base}/vertices")
-    groups = materialize(connected(candidates(vertices, least)).select(F.col("v").alias("id"), "root"), f"{base}/groups")
-    # the texts of candidate groups, one for each vertex
-    roots = groups.select("root").distinct().select(F.col("root").alias("id"), "root")
-    asked = groups.unionByName(roots).distinct().join(vertices, "id").select("root", F.col("first.file").alias(file), F.col("first.row").alias(row))
-    texts = docs.select(file, row, "doc_id", "text").join(asked, [file, row])
-    members = _vertices(texts, file, row, words, False).join(asked, [file, row]).select("root", "id", "hashes")
-    found = connected(_verified_links(materialize(members, f"{base}/members"), least)).select(F.col("v").alias("id"), "root")
-    return rows, materialize(vertices.join(found, "id", "left").select("id", "first", F.coalesce("root", "id").alias("root")), f"{base}/components")
+    vertices = rows.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("n", "low", "high")], F.min(at).alias("first"))  # equal sets are equal in all of these
+    vertices = materialize(vertices.withColumn("id", F.monotonically_increasing_id()), f"{base}/vertices")
+    linked_ones = connected(candidates(vertices, least)).select(F.col("v").alias("id"), "root")
+    groups = linked_ones.unionByName(linked_ones.select(F.col("root").alias("id"), "root")).distinct()
+    groups = materialize(groups.join(vertices, "id").select("id", "root", "n", F.col("first.file").alias("_f"), F.col("first.row").alias("_r")), f"{base}/groups")
+    # texts are read again for candidate groups only, one for each vertex, and don't move before they are sets
+    few = only_rows(docs.select(file, row, "text"), file, row, groups.select(F.col("_f").alias(file), F.col("_r").alias(row)))
+    asked = F.broadcast(groups) if groups.limit(MOST_ASKED + 1).count() <= MOST_ASKED else groups
+    texts = few.join(asked, (F.col(file) == F.col("_f")) & (F.col(row) == F.col("_r")))
+    found = connected(_verified_links(_hashed(texts, words), groups, least)).select(F.col("v").alias("id"), "root")
+    return rows, materialize(vertices.join(found, "id", "left").select("digest", "first", F.coalesce("root", "id").alias("root")), f"{base}/components")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
@@ -254,8 +271,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> Data
     """
     docs, file, row = located(scan_of(docs, ("doc_id", "text")).docs)
     rows, grouped = _grouped(docs, file, row, words, least)
-    named = grouped.join(grouped.groupBy("root").agg(F.min("first.doc_id").alias("component_id")), "root")
-    return rows.join(named, "id").select("doc_id", "component_id")
+    named = grouped.join(grouped.groupBy("root").agg(F.min("first.doc_id").alias("component_id")), "root").select("digest", "component_id")
+    return rows.join(named, "digest").select("doc_id", "component_id")
 
 
 def kept_rows(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
@@ -268,4 +285,4 @@ def kept_rows(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     docs, file, row = located(scan_of(docs).docs)
     _, grouped = _grouped(docs, file, row, words, least)
     stay = grouped.groupBy("root").agg(F.min("first").alias("at")).select(F.col("at.file").alias(file), F.col("at.row").alias(row))
-    return docs.join(stay, [file, row], "left_semi").drop(file, row)
+    return only_rows(docs, file, row, stay).drop(file, row)

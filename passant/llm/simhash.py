@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passant.llm.common import located, materialize, scan_of, shared_dir, whole_text
+from passant.llm.common import located, materialize, only_rows, scan_of, shared_dir, whole_text
 
 CELL = 2048
 #: Lanes of a bit-sliced block: whole keys are gathered up to so many.
@@ -264,4 +264,4 @@ def kept_rows(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(file).alias("file"), F.col(row).alias("row"))
     distinct = materialize(rows.groupBy("fp").agg(F.min(at).alias("least")), f"{base}/distinct")
     stay = _rooted(distinct, radius).groupBy("root").agg(F.min("least").alias("at")).select(F.col("at.file").alias(file), F.col("at.row").alias(row))
-    return docs.join(stay, [file, row], "left_semi").drop(file, row)
+    return only_rows(docs, file, row, stay).drop(file, row)

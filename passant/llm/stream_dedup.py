@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passant.llm.common import Scan, located, materialize, scan_of, shared_dir, whole_text
+from passant.llm.common import Scan, located, materialize, only_rows, scan_of, shared_dir, whole_text
 
 #: State on disk; many small stores would each reserve disk ahead of what they write, and memory outside the heap. All
 #: stores of an executor share a bounded cache, have small write buffers, and those of an ended query are closed soon.
@@ -98,7 +98,7 @@ def kept_rows(docs: DataFrame, files_per_batch: int | None = None) -> DataFrame:
         state = state.join(split.select("digest").distinct(), "digest", "left_anti").unionByName(split.select("digest", "at", "group_size"))
     rows, file, row = located(scan.docs)
     stay = state.select(F.col("at.file").alias(file), F.col("at.row").alias(row))
-    return rows.join(stay, [file, row], "left_semi").drop(file, row)
+    return only_rows(rows, file, row, stay).drop(file, row)
 
 
 def _decide(scan: Scan, files_per_batch: int | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:

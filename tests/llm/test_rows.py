@@ -21,3 +21,19 @@ def test_a_row_is_sampled_by_its_own_cell(spark):
     want = sorted((r["doc_id"], r["n_tokens"]) for r in mixing.mix(docs).where("kept").collect())
     got = sorted((r["doc_id"], len(r["text"].split())) for r in mixing.kept_rows(docs).collect())
     assert got == want and len({d for d, _ in got}) * 2 > len(got)
+
+
+def test_rows_are_picked_by_bitmap_or_by_join(spark, tmp_path):
+    """Rows of several files, of which one has more than a bitmap's rows; the first and last row of each; clashing names."""
+    from pyspark.sql import functions as F
+
+    from passant.llm.common import located, only_rows
+
+    spark.range(100_000).select("id", F.lit(1).alias("_in"), F.lit(2).alias("_MARKS"), F.lit(3).alias("_bucket")).repartitionByRange(2, F.when(F.col("id") < 90_000, 0).otherwise(1)).write.parquet(f"{tmp_path}/t")
+    docs, file, row = located(spark.read.parquet(f"{tmp_path}/t"))
+    want = docs.where("id % 7 = 0 OR id IN (1, 32767, 32768, 32769, 65536, 89999, 90000, 99999)")
+    ids = sorted(r["id"] for r in want.collect())
+    for most in (None, 0):
+        got = only_rows(docs, file, row, want.select(file, row), most)
+        assert got.columns == docs.columns and sorted(r["id"] for r in got.collect()) == ids
+    assert only_rows(docs, file, row, want.limit(0)).count() == 0
