@@ -5,33 +5,35 @@ longest vocabulary token that ends there and that is compatible with the last to
 needs of a prefix is finite: for each place from which a vocabulary token may still reach beyond the prefix, the
 last token before that place and how many tokens lie between it and the prefix. That tuple is the state of the
 transducer; a transition reads one character and carries the change of the token count, which may be negative
-while a longer token is still open. States are compiled when first met and kept.
+while a longer token is still open. States are numbered and compiled when first met, and kept.
 
-Between two characters that are neighbours in no vocabulary token, every encoding has a cut, so the transducer
-returns to its start state whatever came before. A chunk of text therefore maps states to states in a simple way:
-either it holds no such cut (its map is kept as its characters), or it is (head before the first cut, tokens
-between the cuts, tail after the last cut). These maps compose associatively; a document's chunks are
-composed by a tree-shaped prefix scan, and chunks of one document may be counted by different tasks.
+Runs of spaces merge last and share one score. Their tokens as a function of their length are compiled to a table, which
+repeats with a period; so a run is a chain of states that ends in a cycle. Whether a run's last space stays with it depends on the
+word behind it: states of such a word carry what the count changes by as long as its first token is a lone space mark.
+
+Between two characters that are neighbours in no vocabulary token every encoding has a cut, and the transition is that
+of the start state. A chunk of text maps states to states with a count of tokens. Its map holds the states that can be at its
+start: one, if there is a cut shortly before it, found by walking from there; else those that the chunk before it ends
+in. Maps compose by looking up one's ends in the other, and a document's chunks by a tree-shaped prefix scan; chunks of
+one document may be counted by different tasks.
 """
 
 from __future__ import annotations
 
+import ast
 import heapq
-import re
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passant.llm.common import whole_text
+from passant.llm.common import located, scan_of, whole_text
 
 SPACE = "▁"
-CACHE_WORDS = 500_000
 CACHE_STATES = 150_000
-#: Characters in a chunk, and the length from which a document is dealt out by chunks.
-CHUNK = 1 << 16
+#: Characters in a chunk, and how many before it are looked at for a cut.
+CHUNK, LOOK_BACK = 1 << 16, 4096
 
 
 def _vocabulary(model_file: str) -> tuple[dict[str, float], bool]:
@@ -47,7 +49,7 @@ def _vocabulary(model_file: str) -> tuple[dict[str, float], bool]:
 def merge_order(symbols: str, score: dict[str, float], parts: int = 1) -> list[str]:
     """Plain byte-pair merging, best score first and leftmost among equals, down to so many parts at least.
 
-    It serves to compile the transducer and to count runs of spaces, not to count texts.
+    It serves to compile the transducer, not to count texts.
     """
     part: list[str | None] = list(symbols)
     left = list(range(-1, len(part) - 1))
@@ -75,27 +77,23 @@ def merge_order(symbols: str, score: dict[str, float], parts: int = 1) -> list[s
     return [p for p in part if p is not None]
 
 
-class ChunkMap(NamedTuple):
-    """How a chunk acts on the transducer: head up to its first cut, tokens between cuts, tail after the last.
-
-    cut is False where the chunk holds no cut; head is then the whole chunk and tail is empty.
-    """
-
-    cut: bool
-    head: str
-    tokens: int
-    tail: str
+#: In a state (places, change): places (text since, last token before, tokens since, whether the word's first token is a lone
+#: space mark), longest text first; change: what a lone mark adds to the count. In a run of spaces: its length.
+State = tuple
+#: state before a chunk -> (state after it, tokens).
+ChunkMap = dict[State, tuple[State, int]]
 
 
 class Transducer:
     """A deterministic transducer whose transitions carry emitted-token counts; see the module's text."""
 
+    START: State = ((("", "", 0, False),), 0)
+
     def __init__(self, score: dict[str, float], byte_fallback: bool):
-        self.score = {p: s for p, s in score.items()}
         self.fallback = byte_fallback
         self.inside = {a + b for p in score for a, b in zip(p, p[1:], strict=False)}
-        # runs of the space mark merge last and share one score, so they are counted apart from the words
-        self.words = {p: s for p, s in score.items() if not (len(p) > 1 and set(p) == {SPACE})}
+        runs = {p: s for p, s in score.items() if set(p) == {SPACE}}
+        self.words = {p: s for p, s in score.items() if len(p) == 1 or p not in runs}
         #: The last merge of every token that merging can reach, and when it comes; single characters come first.
         self.made_of: dict[str, tuple[str, str] | None] = {}
         self.turn: dict[str, float] = {}
@@ -105,21 +103,37 @@ class Transducer:
             elif len(two := merge_order(p, self.words, 2)) == 2:
                 self.made_of[p], self.turn[p] = (two[0], two[1]), -self.words[p]
         self.prefixes = {p[:i] for p in self.made_of for i in range(1, len(p))}
-        self.states: dict[tuple, int] = {}
-        self.places: list[tuple] = []
-        self.edges: list[dict[str, tuple[int, int]]] = []
+        self.of_run, self.period, self.longest_run = self._runs(runs)
         self.fits: dict[tuple[str, str], bool] = {}
-        self.memo: dict[str, int] = {}
-        self.by_words = self.cuts_at_words()
-        self.space_runs: dict[int, int] = {}
-        self._state((("", "", 0),))
-
-    def _state(self, places: tuple) -> int:
-        """The number of a state; 0 is the start."""
-        known = self.states.get(places)
+        self.forget()
+
+    def _runs(self, runs: dict[str, float]) -> tuple[list[int], int, int]:
+        """Tokens of a run of n spaces, the period with which they repeat but for a constant, and a length from which on a
+        run may be taken for one that is a period shorter."""
+        most = max(map(len, runs), default=1)
+        tokens = [0] + [len(merge_order(SPACE * n, runs)) for n in range(1, 8 * most + 2)]
+        for period in range(1, most + 1):
+            step = {tokens[n + period] - tokens[n] for n in range(most, len(tokens) - period)}
+            if len(step) == 1:
+                return tokens, period, 2 * most + period
+        raise ValueError("runs of spaces have no period in this vocabulary")
+
+    def forget(self) -> None:
+        """Bound the memory: forget all compiled states; they are compiled again when met."""
+        self.states: list[State] = []
+        self.numbers: dict[State, int] = {}
+        self.edges: list[dict[str, tuple[int, int]]] = []
+        self.fits.clear()
+        self.start = self.number(self.START)
+        self.one_space = self._read(self.START[0], SPACE)[0]
+        self.space = self.number((self._plain(self.one_space), 0))
+
+    def number(self, state: State) -> int:
+        """The number of a state."""
+        known = self.numbers.get(state)
         if known is None:
-            known = self.states[places] = len(self.places)
-            self.places.append(places)
+            known = self.numbers[state] = len(self.states)
+            self.states.append(state)
             self.edges.append({})
         return known
 
@@ -150,130 +164,93 @@ class Transducer:
         """Tokens for a character outside the vocabulary."""
         return len(c.encode("utf-8", "surrogatepass")) if self.fallback else 1
 
-    def _compile(self, state: int, c: str) -> tuple[int, int]:
-        """The transition for c. A state lists (text since a place, last token before it, tokens from there to here)."""
-        places = self.places[state]
-        last, total = c, None
-        for since, before, tokens in places:  # the longest text first
+    @staticmethod
+    def _plain(places: tuple) -> tuple:
+        return tuple((since, before, tokens, False) for since, before, tokens, _ in places)
+
+    def _read(self, places: tuple, c: str) -> tuple[tuple, int]:
+        """The places after c, and the change of the count."""
+        last, total, lone = c, None, False
+        for since, before, tokens, alone in places:  # the longest text first
             if (token := since + c) in self.made_of and self._compatible(before, token):
-                last, total = token, 1 - tokens
+                last, total, lone = token, 1 - tokens, token == SPACE if not before else alone
                 break
         if total is None:  # outside the vocabulary: a single character always ends a token
-            total = self._width(c) - places[-1][2]
-        still_open = [(since + c, before, tokens + total) for since, before, tokens in places if since + c in self.prefixes]
-        found = self.edges[state][c] = self._state((*still_open, ("", last, 0))), total
+            total, lone = self._width(c) - places[-1][2], bool(places[-1][1]) and places[-1][3]
+        still_open = [(since + c, before, tokens + total, alone) for since, before, tokens, alone in places if since + c in self.prefixes]
+        return (*still_open, ("", last, 0, lone)), total
+
+    def _compile(self, state: int, c: str) -> tuple[int, int]:
+        """The transition for c."""
+        now = self.states[state]
+        run = now[0] if isinstance(now[0], int) else int(state == self.space)
+        if run and c == SPACE:
+            change = self.of_run[run + 1] - self.of_run[run]
+            found = self.number((run + 1 if run + 1 < self.longest_run else run + 1 - self.period,)), change
+        elif state != self.start and (SPACE if run else now[0][-1][1][-1]) + c not in self.inside:
+            found = self.edges[self.start].get(c) or self._compile(self.start, c)  # a cut
+        else:
+            places, lone = (self.one_space, self.of_run[run] - 1 - self.of_run[run - 1]) if run > 1 else now
+            after, change = self._read(places, c)
+            if run > 1:
+                change += lone * (after[-1][3] - 1)
+            else:
+                change += lone * (after[-1][3] - places[-1][3])
+            settled = not lone or len({p[3] for p in after}) == 1 and all(p[1] for p in after)  # it can't change any more
+            found = self.number((self._plain(after), 0) if settled else (after, lone)), change
+        self.edges[state][c] = found
         return found
 
-    def _recycle(self) -> None:
-        """Bound the memory: forget all compiled states but the start; they are compiled again when met."""
-        self.states.clear()
-        self.places.clear()
-        self.edges.clear()
-        self.fits.clear()
-        self._state((("", "", 0),))
-
-    def _run_of_spaces(self, n: int) -> int:
-        if n not in self.space_runs:
-            self.space_runs[n] = len(merge_order(SPACE * n, {p: s for p, s in self.score.items() if set(p) == {SPACE}}))
-        return self.space_runs[n]
-
-    def _walk(self, text: str) -> int:
-        """Tokens of a text with one space mark in front at most."""
-        if len(self.places) > CACHE_STATES:
-            self._recycle()
-        state, tokens, edges = 0, 0, self.edges
+    def walk(self, state: int, text: str) -> tuple[int, int]:
+        """The state after a text, and its tokens."""
+        tokens, edges = 0, self.edges
         for c in text:
             edge = edges[state].get(c)
             state, change = self._compile(state, c) if edge is None else edge
             tokens += change
-        return tokens
-
-    def between_cuts(self, text: str) -> int:
-        """Tokens of a text that lies between two cuts."""
-        body = text.lstrip(SPACE)
-        spaces = len(text) - len(body)
-        if spaces <= 1:
-            return self._walk(text)
-        if not body:
-            return self._run_of_spaces(spaces)
-        # the last mark of the run stays with the run only where the word doesn't take it
-        alone = merge_order(SPACE + body, self.words)[0] == SPACE
-        return self._walk(SPACE + body) + (self._run_of_spaces(spaces) - 1 if alone else self._run_of_spaces(spaces - 1))
-
-    #: A place after which a word begins: the quick way to cuts; _pieces() cuts what remains.
-    _WORDS = re.compile(f"{SPACE}+[^{SPACE}\\n]*|[^{SPACE}\\n]+|\\n")
-
-    def cuts_at_words(self) -> bool:
-        """Whether no token holds a space mark after another character, or a newline beside anything."""
-        return not any((p[1] == SPACE != p[0]) or "\n" in p for p in self.inside)
-
-    def _pieces(self, text: str) -> list[str]:
-        """text cut wherever it has a cut."""
-        out, start = [], 0
-        for i in range(1, len(text)):
+        return state, tokens
+
+    def before(self, text: str, whole: bool) -> int | None:
+        """The state after what ends in text, if there is a cut in it or it is whole."""
+        for i in range(len(text) - 1, 0, -1):
             if text[i - 1] + text[i] not in self.inside:
-                out.append(text[start:i])
-                start = i
-        out.append(text[start:])
-        return out
+                return self.walk(self.start, text[i:])[0]
+        return self.walk(self.start, text)[0] if whole else None
 
-    def chunk_map(self, text: str) -> ChunkMap:
-        words = self._WORDS.findall(text) if self.by_words else self._pieces(text)
-        if len(words) < 2:
-            return ChunkMap(False, text, 0, "")
-        counts = list(map(self.memo.get, words[1:-1]))
-        if None in counts:
-            counts = [self.between_cuts_of(w) if n is None else n for w, n in zip(words[1:-1], counts, strict=True)]
-        return ChunkMap(True, words[0], sum(counts), words[-1])
-
-    def between_cuts_of(self, word: str) -> int:
-        """Tokens of a word, itself cut where the vocabulary allows; a path from start to start, kept as one transition."""
-        tokens = sum(map(self.between_cuts, self._pieces(word)))
-        if len(word) < 64:
-            if len(self.memo) > CACHE_WORDS:
-                self.memo.clear()
-            self.memo[word] = tokens
-        return tokens
-
-    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        """The map of a followed by b; associative."""
-        join = (a.tail if a.cut else a.head) + b.head
-        if not a.cut and not b.cut:
-            return ChunkMap(False, join, 0, "") if len(join) < CHUNK * 4 else self.chunk_map_of_long(join)
-        if not a.cut:
-            return ChunkMap(True, join, b.tokens, b.tail)
-        if not b.cut:
-            return ChunkMap(True, a.head, a.tokens, join)
-        return ChunkMap(True, a.head, a.tokens + self.between_cuts_of(join) + b.tokens, b.tail)
-
-    def chunk_map_of_long(self, text: str) -> ChunkMap:
-        """A very long text without words: cut by the vocabulary, if it has cuts."""
-        parts = self._pieces(text)
-        if len(parts) < 2:
-            return ChunkMap(False, text, 0, "")
-        return ChunkMap(True, parts[0], sum(map(self.between_cuts, parts[1:-1])), parts[-1])
-
-    def scan(self, maps: list[ChunkMap]) -> ChunkMap:
+    def chunk_map(self, text: str, before: list[int]) -> dict[int, tuple[int, int]]:
+        """How a chunk acts on the states that can be before it."""
+        return {state: self.walk(state, text) for state in before}
+
+    @staticmethod
+    def compose(a: dict, b: dict) -> dict:
+        """The map of a followed by b; associative. b has all states that a ends in."""
+        return {state: (b[after][0], tokens + b[after][1]) for state, (after, tokens) in a.items()}
+
+    def scan(self, maps: list[dict]) -> dict:
         """Tree-shaped composition of a sequence of maps."""
         while len(maps) > 1:
             paired = [self.compose(a, b) for a, b in zip(maps[::2], maps[1::2], strict=False)]
             maps = paired + ([maps[-1]] if len(maps) % 2 else [])
         return maps[0]
 
-    def close(self, m: ChunkMap) -> int:
-        """Tokens of a whole document whose chunks compose to m."""
-        if not m.cut:
-            return self.between_cuts_of(m.head) if m.head else 0
-        return self.between_cuts_of(m.head) + m.tokens + (self.between_cuts_of(m.tail) if m.tail else 0)
+    def maps(self, text: str, chunk: int, first: int) -> list[dict[int, tuple[int, int]]]:
+        """The maps of a text's chunks, of which the first may have one state before it."""
+        out = [self.chunk_map(text[:chunk], [first])]
+        for i in range(chunk, len(text), chunk):
+            known = self.before(text[max(0, i - LOOK_BACK) : i], False)
+            out.append(self.chunk_map(text[i : i + chunk], sorted({after for after, _ in out[-1].values()}) if known is None else [known]))
+        return out
 
     @staticmethod
     def prepare(text: str) -> str:
         """The model's normalisation: spaces become marks, a mark is put in front of a text that isn't empty."""
         return (SPACE + text).replace(" ", SPACE) if text else ""
 
-    def count(self, text: str) -> int:
+    def count(self, text: str, chunk: int | None = None) -> int:
+        if len(self.states) > CACHE_STATES:
+            self.forget()
         text = self.prepare(text)
-        return self.close(self.scan([self.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)])) if text else 0
+        return self.scan(self.maps(text, chunk or CHUNK, self.start))[self.start][1] if text else 0
 
 
 _COMPILED: dict[str, Transducer] = {}
@@ -308,34 +285,54 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, long_chars
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     short = rows.where(F.length("text") <= long_chars).mapInArrow(count, schema)
-    return short.unionByName(_count_long(rows.where(F.length("text") > long_chars), model_file, limit, long_chars))
+    return short.unionByName(_count_long(docs, model_file, limit, long_chars))
 
 
-def _count_long(rows: DataFrame, model_file: str, limit: int, chunk: int) -> DataFrame:
-    """The same for very long texts: a row for each chunk, whose maps meet again by document."""
-    keyed = rows.select("doc_id", F.struct(F.sha2("text", 256), F.monotonically_increasing_id()).alias("key"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
+def _count_long(docs: DataFrame, model_file: str, limit: int, chunk: int) -> DataFrame:
+    """The same for very long texts: a row for each chunk, with what lies just before it; maps meet again by file and row."""
+    scan, file, row = located(scan_of(docs, ("doc_id", "text")).docs)
+    long = scan.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(file).alias("file"), F.col(row).alias("row"), F.col("text").cast("string").alias("text")).where(F.length("text") > chunk)
     at = F.expr(f"explode(sequence(0, cast((length(text) - 1) div {chunk} as int)))")
-    chunks = keyed.select("doc_id", "key", "n_bytes", at.alias("at"), "text").select("doc_id", "key", "n_bytes", "at", F.expr(f"substring(text, at * {chunk} + 1, {chunk})").alias("part"))
+    chunks = long.select("doc_id", "file", "row", F.octet_length("text").cast("long").alias("n_bytes"), at.alias("at"), "text")
+    look = F.least(F.lit(LOOK_BACK), F.col("at") * chunk)
+    chunks = chunks.select("doc_id", "file", "row", "n_bytes", "at", F.substr("text", F.col("at") * chunk - look + 1, look).alias("back"), F.expr(f"substring(text, at * {chunk} + 1, {chunk})").alias("part"))
 
     def act(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(model_file)
         for batch in batches:
             maps = []
-            for at, part in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for at, back, part in zip(*(batch.column(k).to_pylist() for k in (4, 5, 6)), strict=True):
+                if len(t.states) > CACHE_STATES:
+                    t.forget()
                 text = part.replace(" ", SPACE)
-                text = SPACE + text if at == 0 else text
-                maps.append(t.scan([t.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)])._asdict())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(maps, pa.struct([("cut", pa.bool_()), ("head", pa.string()), ("tokens", pa.int64()), ("tail", pa.string())]))], [*batch.schema.names[:4], "map"])
-
-    kept = chunks.schema
-    mapped = chunks.mapInArrow(act, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.fields[:4]) + ", map struct<cut: boolean, head: string, tokens: long, tail: string>")
+                back = back.replace(" ", SPACE)
+                begin = t.start if at == 0 else t.before(SPACE + back if at * chunk <= LOOK_BACK else back, at * chunk <= LOOK_BACK)
+                if begin is None:  # no cut for so long: it is walked when the state before it is known
+                    maps.append({"before": None, "after": text, "tokens": 0})
+                    continue
+                after, tokens = t.scan(t.maps(SPACE + text if at == 0 else text, CHUNK, begin))[begin]
+                maps.append({"before": repr(t.states[begin]), "after": repr(t.states[after]), "tokens": tokens})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(maps, pa.struct([("before", pa.string()), ("after", pa.string()), ("tokens", pa.int64())]))], [*batch.schema.names[:5], "map"])
+
+    mapped = chunks.mapInArrow(act, "doc_id long, file string, row long, n_bytes long, at int, map struct<before: string, after: string, tokens: long>")
     # a document's maps are few and small: a row for each chunk of millions of characters
-    whole = mapped.groupBy("key", "doc_id", "n_bytes").agg(F.sort_array(F.collect_list(F.struct("at", "map"))).alias("maps")).select("doc_id", "n_bytes", "maps")
+    whole = mapped.groupBy("file", "row", "doc_id", "n_bytes").agg(F.sort_array(F.collect_list(F.struct("at", "map"))).alias("maps")).select("doc_id", "n_bytes", "maps")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(model_file)
         for batch in batches:
-            totals = [t.close(t.scan([ChunkMap(**m["map"]) for m in maps])) for maps in batch.column(2).to_pylist()]
+            totals = []
+            for maps in batch.column(2).to_pylist():
+                state, total = repr(t.START), 0
+                for m in (m["map"] for m in maps):
+                    if m["before"] is None:
+                        after, tokens = t.walk(t.number(ast.literal_eval(state)), m["after"])
+                        state, total = repr(t.states[after]), total + tokens
+                    elif m["before"] == state:
+                        state, total = m["after"], total + m["tokens"]
+                    else:
+                        raise ValueError("a chunk's map doesn't begin where the one before it ends")
+                totals.append(total)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(totals, pa.int64()), pa.array([n > limit for n in totals], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return whole.mapInArrow(finish, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -206,15 +206,37 @@ def test_transducer_and_its_chunks(text, size):
     test_transducer_and_its_chunks.sp = processor
     want = len(processor.encode(text))
     assert t.count(text) == want
+    assert t.count(text, size) == want
     prepared = t.prepare(text)
-    if prepared:
-        maps = [t.chunk_map(prepared[i : i + size]) for i in range(0, len(prepared), size)]
-        assert t.close(t.scan(maps)) == want
+    if prepared:  # any grouping of the maps gives the same
+        maps = t.maps(prepared, size, t.start)
+        one = maps[0]
+        for m in maps[1:]:
+            one = t.compose(one, m)
+        assert one == t.scan(maps) and list(one) == [t.start]
+
+
+@pytest.mark.parametrize("space", [1, 2, 3, 15, 16, 17, 31, 32, 33, 47, 48, 49, 100, 1000, 4097])
+def test_runs_of_spaces(pieces, space):
+    """Runs of any length before words that take their last space and words that don't, and at the end."""
+    t = token_counts.transducer(MODEL)
+    for after in ("the", "x", "日本", "é", "\n", "0", "", "%%", "xqzzt", "<0x0A>", "▁", "\U0001f600", "of the", "thethe"):
+        for before in ("", "a", "\n", "9"):
+            text = before + " " * space + after + " " * (space // 2) + after
+            assert t.count(text) == len(pieces.encode(text)), (before, after)
+
+
+def test_texts_without_a_cut(spark, pieces):
+    """Long words and runs, for which no state is known at a chunk's start, in one task and in many."""
+    texts = ["ab" * 40_000, "x" + "e" * 70_000, " " * 90_000 + "the", "the" * 9_000, "日" * 5_000, "1" * 20_000 + "\n" + "the " * 9_000]
+    t = token_counts.transducer(MODEL)
+    assert [t.count(x, 5000) for x in texts] == [t.count(x) for x in texts] == [len(pieces.encode(x)) for x in texts]
+    got = token_counts.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), MODEL, 100, 6000).collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in got) == [(i, len(pieces.encode(x))) for i, x in enumerate(texts)]
 
 
 def test_recycled_states(pieces, monkeypatch):
     monkeypatch.setattr(token_counts, "CACHE_STATES", 50)
-    monkeypatch.setattr(token_counts, "CACHE_WORDS", 20)
     t = token_counts.Transducer(*token_counts._vocabulary(MODEL))
     text = "Several ordinary words, and unusual ones: xqzzt & ñandú " * 3
     assert t.count(text) == len(pieces.encode(text)) and F is not None
