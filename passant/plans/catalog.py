@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from passant.functions import scorers
 from passant.functions import text as X
-from passant.operators import dense, features, grams, labels, metrics, models, protocol, resampling, retrieval, stats
+from passant.operators import dense, features, grams, labels, metrics, models, probes, protocol, resampling, retrieval, stats
 from passant.plans import stand_ins as S
 from passant.plans import studies
 from passant.schemas import FEATURES
@@ -630,6 +630,14 @@ _X = ("x1", "x2", "x3", "x4")
 _RIDGE = grams.Ridge("ridge", 100.0, True)
 
 
+@query("m7_out_of_fold_probe")
+def m7_out_of_fold_probe(spark, d):
+    """Four fifths of the queries are scored by probes of the other folds, the rest by one of all four fifths."""
+    rows = S.table(spark, d, "embeddings").select((F.col("vec_id") % 50).alias("query_id"), F.col("vec_id").alias("passage_id"), "embedding", (F.col("label") == 3).cast("double").alias("y"))
+    got = probes.with_probe(rows.withColumn("train", F.pmod("query_id", F.lit(5)) != 0), "embedding", "y", "train")
+    return got.select("query_id", "passage_id", "fold", r6("probe").alias("probe"))
+
+
 @query("m16_cv_report")
 def m16_cv_report(spark, d):
     """Five folds, four repeats, 2 000 draws: metrics of a ridge and of two columns taken as scores."""

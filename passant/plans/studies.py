@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passant.operators import metrics, models, protocol, resampling, stats
+from passant.operators import metrics, models, probes, protocol, resampling, stats
 from passant.schemas import FEATURES, GROUPS
 
 #: Model settings of the larger study: trees, depth and learning rate.
@@ -51,13 +51,11 @@ def with_target(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def out_of_fold_probe(train: DataFrame, test: DataFrame, hidden: str = "hidden", folds: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Both tables with probe: of the training rows by probes of the other folds, of the test rows by one of all training rows."""
-    marked = train.join(protocol.group_folds(train, "query_id", folds), "query_id")
-    keys = ["query_id", "passage_id"]
-    inside = [models.hidden_probe(marked, hidden, "target", F.col("fold") != f).where(F.col("fold") == f).select(*keys, "probe") for f in range(1, folds + 1)]
+    """Both tables with probe: of the training rows by probes of the other folds, of the test rows by one of all training
+    rows; all models come from one pass."""
     both = train.withColumn("_t", F.lit(True)).unionByName(test.withColumn("_t", F.lit(False)), allowMissingColumns=True)
-    outside = models.hidden_probe(both.withColumn("target", F.coalesce("target", F.lit(0.0))), hidden, "target", F.col("_t")).where(~F.col("_t")).select(*keys, "probe")
-    return train.join(reduce(DataFrame.unionByName, inside), keys), test.join(outside, keys)
+    got = probes.with_probe(both, hidden, "target", "_t", folds).drop("fold")
+    return got.where("_t").drop("_t").select(*train.columns, "probe"), got.where("not _t").drop("_t").select(*test.columns, "probe")
 
 
 def fit_variant(train: DataFrame, test: DataFrame, variant: Variant, base: Sequence[str] = FEATURES, algorithm: str | None = None) -> DataFrame:
