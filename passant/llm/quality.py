@@ -122,7 +122,9 @@ def held_out(doc_id):
 def train(docs: DataFrame, labels: DataFrame, most_labels: int = 16_000, threshold: float = 0.3) -> Model:
     """Fit on labelled rows that aren't held out; of more than most_labels, those with the smallest hash of doc_id.
 
-    A document labelled more than once counts by its mean label; null labels and null doc_ids are left out.
+    A document labelled more than once counts by its mean label, one whose doc_id repeats by the mean of its texts'
+    features, so what reaches the driver is a row for each label, however often its doc_id repeats; null labels and null
+    doc_ids are left out.
     """
     usable = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
     one = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("good"))
@@ -136,7 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = 16_000, thresho
             xs = [features(t.as_buffer().to_pybytes()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(xs, pa.list_(pa.float64()))], ["doc_id", "good", "x"])
 
-    rows = joined.mapInArrow(act, "doc_id long, good int, x array<double>").toArrow()
+    each = joined.mapInArrow(act, "doc_id long, good int, x array<double>").groupBy("doc_id", "good")
+    rows = each.agg(F.array(*[F.avg(F.col("x")[i]) for i in range(len(FEATURES))]).alias("x")).toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     x = np.array(rows.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))[order]
     return fit(x, rows.column("good").to_numpy()[order].astype(int), threshold)
@@ -165,13 +168,18 @@ def classify(docs: DataFrame, labels: DataFrame, most_labels: int = 16_000, thre
 
 
 def kept_rows(docs: DataFrame, labels: DataFrame, most_labels: int = 16_000, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that the classifier doesn't reject, with all their columns, in one pass over the texts."""
+    """The rows of docs that the classifier doesn't reject, with all their columns, in one pass over the texts.
+
+    Null text counts as empty and is judged like any other; null doc_ids and rows that repeat are each judged by their text.
+    Names that clash don't matter, and the text's column may be written in any case. An empty table gives an empty result;
+    without labels of both kinds all rows have one score, and stay or go together.
+    """
     model = train(docs, labels, most_labels, threshold)
-    names = docs.columns
+    at = [c.lower() for c in docs.columns].index("text")
 
     def act(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(names.index("text"))
+            texts = batch.column(at)
             x = np.array([features(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts], np.float64).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.scores(x) >= threshold))
 

@@ -102,6 +102,21 @@ def test_quality_on_messy_tables(spark, messy, empty, rows):
     assert quality.kept_rows(messy, labels.limit(0)).columns == messy.columns
 
 
+def test_a_label_of_very_many_rows(spark):
+    """A labelled doc_id that most rows have is one row of the sample; the text's column may be called Text."""
+    texts = [(i % 7 if i % 3 else 500, f"good words {i}" if i % 2 else "junk %% %% 11") for i in range(3000)]
+    docs = spark.createDataFrame(texts, "doc_id long, Text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)] + [(500, 1)], "doc_id long, quality int")
+    seen = []
+    fit = quality.fit
+    quality.fit = lambda x, good, threshold: (seen.append(len(x)), fit(x, good, threshold))[1]
+    try:
+        kept = quality.kept_rows(docs, labels)
+    finally:
+        quality.fit = fit
+    assert seen[0] <= 8 and kept.columns == ["doc_id", "Text"] and kept.count() <= 3000
+
+
 def test_training_sample_is_bounded(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     a, b = quality.train(docs, labels, most_labels=60), quality.train(docs, labels, most_labels=60)
