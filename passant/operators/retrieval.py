@@ -73,8 +73,11 @@ def bm25_top_k(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """
     tokens = tokens_of(corpus)
     terms = vocabulary(queries)
-    tf = term_frequencies(tokens, terms)
-    stats = corpus_stats(tokens)
+    return ranked(term_frequencies(tokens, terms), terms, corpus_stats(tokens), k)
+
+
+def ranked(tf: DataFrame, terms: DataFrame, stats: DataFrame, k: int) -> DataFrame:
+    """The k best passages of each query by frequencies (pid, dl, term, tf) of its terms and a row of corpus statistics."""
     df = document_frequencies(tf, terms)
     scored = df.crossJoin(F.broadcast(stats))  # one row
     weights = terms.join(scored.select("term", idf(F.col("df"), F.col("n_docs")).alias("idf"), "avgdl"), "term")

@@ -13,7 +13,9 @@ from passant.operators import dense, features, grams, labels, metrics, models, p
 from passant.plans import stand_ins as S
 from passant.plans import studies
 from passant.schemas import FEATURES
+from passant.session import shared_folder
 from passant.sources import archives, files, parsers
+from passant.streaming import topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -138,6 +140,19 @@ def k1_bm25_topk(spark, d):
     return retrieval.bm25_top_k(S.corpus(spark, d), S.questions(spark, d), 5).select("query_id", "pid", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("st4_streaming_bm25", f"WITH {S.BM25} SELECT query_id, pid, round(score, 6) AS score, rank FROM ranked WHERE rank < 5")
+def st4_streaming_bm25(spark, d):
+    """The same over documents that arrive file by file, under statistics that change with every batch."""
+    files_of = S.table(spark, d, "documents").inputFiles()
+    one = len(files_of) == 1 and files_of[0].endswith("/documents.parquet")
+    folder, names = (d, "documents.parquet") if one else (f"{d}/documents.parquet", "*.parquet")
+    docs = spark.readStream.schema("doc_id long, text string").option("pathGlobFilter", names).option("maxFilesPerTrigger", 8).parquet(folder)
+    base = shared_folder(spark)
+    stream = docs.select(F.col("doc_id").alias("pid"), F.coalesce("text", F.lit("")).alias("text"))
+    best = topk.stream_bm25(spark, stream, S.questions(spark, d), 5, f"{base}/out", f"{base}/checkpoint")
+    return best.select("query_id", "pid", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("k2_okapi_topk", f"""WITH {S.CORPUS}, {S.QUESTIONS}, dls AS (SELECT pid, len(t) AS dl, t FROM (SELECT pid, {S.words('lower(text)')} AS t FROM corpus) x),
  stats AS (SELECT count(*) AS n, sum(dl) / count(*) AS avgdl FROM dls), df AS (SELECT term, count(*) AS df FROM (SELECT pid, unnest(list_distinct(t)) AS term FROM dls) x GROUP BY 1),
  raw AS (SELECT term, avgdl, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM df, stats), idf AS (SELECT term, avgdl, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +22,13 @@ def build_session(master: str | None = None, partitions: int | None = None, **co
     if partitions:
         settings["spark.sql.shuffle.partitions"] = str(partitions)
     return builder.config(map=settings | conf).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder below spark.checkpoint.dir, which driver and executors share."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and (current := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        base = current.get()
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base.rstrip('/')}/passant-{uuid.uuid4().hex}"

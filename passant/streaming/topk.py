@@ -41,6 +41,37 @@ def stream_top_k(spark: SparkSession, stream: DataFrame, weights: DataFrame, k:
     return spark.read.parquet(f"{out}/version={last}")
 
 
+def stream_bm25(spark: SparkSession, stream: DataFrame, queries: DataFrame, k: int, out: str, checkpoint: str) -> DataFrame:
+    """Exact BM25 top-k of all passages (pid, text) so far while the corpus statistics change with every batch.
+
+    What is kept of a batch is how often its passages hold the queries' terms, and its size, in a folder of its own; no text
+    and no other term. After each batch, the table of bests is ranked anew from what is kept, under the statistics of all
+    rows so far, so version n equals a run over everything up to batch n. A batch that is run again writes the same folders.
+    A pid arrives once. Returns the last committed version; a restart goes on from it.
+    """
+    terms = retrieval.vocabulary(queries).cache()
+
+    def merge(batch: DataFrame, number: int) -> None:
+        tokens = retrieval.tokens_of(batch)
+        retrieval.term_frequencies(tokens, terms).write.mode("overwrite").parquet(f"{out}/terms/batch={number}")
+        tokens.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("length")).write.mode("overwrite").parquet(f"{out}/sizes/batch={number}")
+        so_far = F.col("batch") <= number
+        tf = spark.read.parquet(f"{out}/terms").where(so_far).drop("batch")
+        n = F.sum("n")
+        sizes = spark.read.parquet(f"{out}/sizes").where(so_far).agg(n.alias("n_docs"), (F.sum("length") / F.greatest(n, F.lit(1))).alias("avgdl"))
+        retrieval.ranked(tf, terms, sizes, k).write.mode("overwrite").parquet(f"{out}/version={number}")
+
+    query = stream.writeStream.foreachBatch(merge).trigger(availableNow=True).option("checkpointLocation", checkpoint).start()
+    try:
+        query.awaitTermination()
+    finally:
+        terms.unpersist()
+    last = _committed(spark, checkpoint)
+    if last is None:
+        return spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, pid {stream.schema['pid'].dataType.simpleString()}, score double, rank int")
+    return spark.read.parquet(f"{out}/version={last}")
+
+
 def _committed(spark: SparkSession, checkpoint: str) -> int | None:
     """The number of the stream's last committed batch, by the names in its commit log."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")

@@ -115,3 +115,21 @@ def test_stream_without_rows(spark, tmp_path):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_stream_under_changing_statistics(spark, tmp_path):
+    """After every batch the same as a run over all rows so far, and again after a restart with more files."""
+    words = "paris rome cats dogs rivers of the".split()
+    queries = spark.createDataFrame([(1, "cats in Paris"), (2, "rivers"), (3, "nothing known")], "query_id long, query string")
+    rows = [(i, " ".join(words[(i * j + i) % 7] for j in range(i % 9))) for i in range(60)]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("pid long, text string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"file://{tmp_path}/in")
+    out, check = f"file://{tmp_path}/out", f"file://{tmp_path}/ck"
+    plain = lambda df: sorted((r["query_id"], r["pid"], round(r["score"], 9), r["rank"]) for r in df.collect())
+    assert topk.stream_bm25(spark, stream, queries, 4, out, check).count() == 0
+    for n, part in enumerate((rows[:10], rows[10:11], rows[11:])):
+        spark.createDataFrame(part, "pid long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/in/{n}")
+        got = topk.stream_bm25(spark, stream, queries, 4, out, check)
+        so_far = spark.createDataFrame([r for p in (rows[:10], rows[10:11], rows[11:])[: n + 1] for r in p], "pid long, text string")
+        assert plain(got) == plain(retrieval.bm25_top_k(so_far, queries, 4))
+        assert plain(spark.read.parquet(f"{out}/version={n}")) == plain(got)
