@@ -19,9 +19,25 @@ def _nfd(text: pd.Series) -> pd.Series:
     return text.map(lambda x: unicodedata.normalize("NFD", x), na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfd_all(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda every: [None if x is None else unicodedata.normalize("NFD", x) for x in every], na_action="ignore")
+
+
+#: ASCII is decomposed as it is: only other texts go to Python.
+_beyond_ascii = lambda c: c.rlike(r"[^\x00-\x7F]")
+
+
 def normalized(text: Column, ascii_only: bool = False) -> Column:
-    """The exact answer normalisation; ASCII texts are decomposed as they are and need no Python."""
-    return X.normalize(text if ascii_only else _nfd(text))
+    """The exact answer normalisation; texts that are ASCII aren't sent to Python. ascii_only: nothing is decomposed."""
+    return X.normalize(text if ascii_only else F.coalesce(_nfd(F.when(_beyond_ascii(text), text)), text))
+
+
+def normalized_all(texts: Column) -> Column:
+    """The same for each text of an array, in one pass of the row; nulls go."""
+    held = F.filter(texts, lambda t: t.isNotNull())
+    plain = F.coalesce(_nfd_all(F.when(F.exists(held, _beyond_ascii), held)), held)
+    return F.transform(plain, X.normalize)
 
 
 def turn_pairs(conversations: DataFrame) -> DataFrame:
@@ -32,12 +48,12 @@ def turn_pairs(conversations: DataFrame) -> DataFrame:
 
 
 def qa_scores(pairs: DataFrame, ascii_only: bool = False) -> DataFrame:
-    """pair_id with exact, relaxed, f1 and acc for pairs (pair_id, prediction, golds: array)."""
+    """pair_id with exact, relaxed, f1 and acc for pairs (pair_id, prediction, golds: array). Null golds are none, and no
+    text moves. ascii_only: texts are taken as they are, not decomposed."""
     if ascii_only:
         rows = pairs.select("pair_id", X.normalize(F.col("prediction")).alias("p"), F.transform("golds", X.normalize).alias("g"))
     else:
-        one = pairs.select("pair_id", "prediction", F.posexplode_outer("golds").alias("_i", "_g")).select("pair_id", "prediction", "_i", normalized(F.col("_g")).alias("_g"))
-        rows = one.groupBy("pair_id", "prediction").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_g"))), lambda s: s["_g"]).alias("g")).select("pair_id", normalized(F.col("prediction")).alias("p"), F.filter("g", lambda x: x.isNotNull()).alias("g"))
+        rows = pairs.select("pair_id", normalized(F.col("prediction")).alias("p"), normalized_all(F.coalesce("golds", F.array().cast("array<string>"))).alias("g"))
     p, g = F.col("p"), F.col("g")
     return rows.select("pair_id", X.exact_match(p, g).alias("exact"), X.relaxed_match(p, g).alias("relaxed"), X.token_f1(p, g).alias("f1"), X.accuracy(p, g).alias("acc"))
 
@@ -53,7 +69,7 @@ def utility_labels(queries: DataFrame, candidates: DataFrame, factory: Callable
     pairs = candidates.join(queries, "query_id").select("query_id", "passage_id", X.answer_prompt(F.col("query"), F.array("text")).alias("prompt"))
     with_ = scorers.generate(pairs, "prompt", "answer", factory)
     norm = lambda c: X.normalize(c) if ascii_only else normalized(c)
-    golds = queries.select("query_id", F.posexplode("golds").alias("_i", "_g")).withColumn("_g", norm(F.col("_g"))).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_g"))), lambda s: s["_g"]).alias("g"))
+    golds = queries.select("query_id", (F.transform("golds", X.normalize) if ascii_only else normalized_all(F.col("golds"))).alias("g"))
 
     def scored(answers: DataFrame, name: str) -> DataFrame:
         rows = answers.withColumn("p", norm(F.col("answer"))).join(golds, "query_id")

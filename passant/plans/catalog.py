@@ -292,6 +292,24 @@ def a12_exact_match_mean(spark, d):
     return S.qa(spark, d).agg(r6(F.avg(same.cast("double"))).alias("em"), F.count(F.lit(1)).alias("n"))
 
 
+#: Every pair, its texts normalised without being decomposed, which is what SQL can do.
+_PLAIN = f"""{S.TURNS}, n AS (SELECT pair_id, {S.norm('prediction')} AS p, {S.norm('gold')} AS g FROM qa), t AS (SELECT *, list_filter(string_split(p, ' '), lambda w: w <> '') AS a, list_filter(string_split(g, ' '), lambda w: w <> '') AS b FROM n),
+ c AS (SELECT *, coalesce(list_sum([least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w))) FOR w IN list_distinct(b)]), 0) AS common FROM t),
+ s AS (SELECT pair_id, CASE WHEN p = g THEN 1.0 ELSE 0.0 END AS exact, CASE WHEN g <> '' AND contains(' ' || p || ' ', ' ' || g || ' ') THEN 1.0 ELSE 0.0 END AS relaxed, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE 2.0 * common / (len(a) + len(b)) END AS f1 FROM c)"""
+
+
+@query("f15_f20_plain_scores", f"WITH {_PLAIN} SELECT pair_id, CAST(exact AS DOUBLE) AS exact, CAST(relaxed AS DOUBLE) AS relaxed, round(f1, 6) AS f1, round(0.5 * relaxed + 0.5 * f1, 6) AS acc FROM s")
+def f15_f20_plain_scores(spark, d):
+    return labels.qa_scores(S.qa(spark, d), ascii_only=True).select("pair_id", "exact", "relaxed", r6("f1").alias("f1"), r6("acc").alias("acc"))
+
+
+@query("f22_plain_labels", f"WITH {_PLAIN}, x AS (SELECT pair_id, split_part(pair_id, ':', 1) AS conv, 0.5 * relaxed + 0.5 * f1 AS acc FROM s) SELECT pair_id, round(greatest(-1.0, least(1.0, acc - min(acc) OVER (PARTITION BY conv))), 6) + 0.0 AS u_true FROM x")
+def f22_plain_labels(spark, d):
+    acc = labels.qa_scores(S.qa(spark, d), ascii_only=True).select("pair_id", F.split_part("pair_id", F.lit(":"), F.lit(1)).alias("conv"), "acc")
+    base = acc.groupBy("conv").agg(F.min("acc").alias("base"))
+    return acc.join(base, "conv").select("pair_id", r6(X.utility(F.col("acc"), F.col("base"))).alias("u_true"))
+
+
 @query("f22_utility_label")
 def f22_utility_label(spark, d):
     acc = labels.qa_scores(S.qa(spark, d)).select("pair_id", F.split_part("pair_id", F.lit(":"), F.lit(1)).alias("conv"), "acc")
