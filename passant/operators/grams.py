@@ -13,14 +13,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passant.operators import metrics, protocol, resampling
+from passant.session import dealt
 
-METRICS = ("spearman", "ndcg", "top1")
+METRICS = metrics.METRICS
 
 
 @dataclass
@@ -56,7 +58,7 @@ def by_query(rows: DataFrame, columns: Sequence[str], y: str = "y", keys: Sequen
     """keys, n, s (sums) and c (cross products, upper triangle by rows) of columns and y: partial sums, one shuffle of
     a row for each query and task. Rows with a null among them take no part."""
     names = [*columns, y]
-    whole = rows.dropna(subset=names)
+    whole = dealt(rows.select(*dict.fromkeys([*keys, *names])).dropna(subset=names), keys[-1])
     pairs = [F.sum(F.col(names[i]).cast("double") * F.col(names[j]).cast("double")) for i in range(len(names)) for j in range(i, len(names))]
     return whole.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col(c).cast("double")) for c in names]).alias("s"), F.array(*pairs).alias("c"))
 
@@ -133,6 +135,55 @@ def scored(rows: DataFrame, columns: Sequence[str], models: Sequence[tuple], key
     return joined.select(*dict.fromkeys([*keys, *kept]), F.round(score, 12).alias("score"))
 
 
+def ranked(rows: DataFrame, columns: Sequence[str], weights: np.ndarray, cells: Sequence[Column], keys: Sequence[str], mean_of: int = 1, k: int = 10) -> DataFrame:
+    """per_query_lists of rows by models: weights[score, cell] are a model's weights and intercept, and cells, of which score
+    i takes number i modulo their number, say which of them scores a row."""
+    own = [f"_cell{i}" for i in range(len(cells))]
+    used = rows.dropna(subset=[*columns, "y"]).withColumns(dict(zip(own, cells, strict=True)))
+
+    def scores(inputs: list[np.ndarray]) -> list[np.ndarray]:
+        x, at = inputs[: len(columns)], [c.astype(int) for c in inputs[len(columns) :]]
+        out = []
+        for s in range(len(weights)):
+            w = weights[s][at[s % len(at)]]
+            score = w[:, -1]
+            for i, c in enumerate(x):
+                score = score + w[:, i] * c
+            out.append(np.round(score, 12) + 0.0)  # as in scored
+        return out
+
+    return metrics.per_query_lists(used, keys, [*columns, *own], scores, k, mean_of=mean_of)
+
+
+def named(lists: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """model, keys, spearman, ndcg and top1 from lists with a value for each of the names."""
+    each = F.posexplode(F.arrays_zip(*METRICS)).alias("_at", "_z")
+    return lists.select(*keys, each).select(F.array(*map(F.lit, names))[F.col("_at")].alias("model"), *keys, *[F.col("_z")[m].alias(m) for m in METRICS])
+
+
+def table_of(fitted: Sequence[Sequence[tuple[np.ndarray, float]]]) -> np.ndarray:
+    """weights[score, cell] of models as (weights, intercept)."""
+    return np.array([[np.append(w, b) for w, b in row] for row in fitted])
+
+
+def cell_of(names: Sequence, column: str) -> Column:
+    """The place of a row's value among the names, of which null is one like any other; they are few."""
+    return reduce(lambda a, i: F.when(F.col(column).eqNullSafe(F.lit(names[i])), F.lit(i)).otherwise(a), range(len(names)), F.lit(None).cast("int"))
+
+
+def cross_validated_metrics(rows: DataFrame, columns: Sequence[str], models: Sequence[Ridge], keys: Sequence[str] = ("dataset", "query_id"), folds: int = 5, repeats: int = 4, seed: int = 0, k: int = 10) -> DataFrame:
+    """model, keys, spearman, ndcg and top1 of cross_validated, averaged over repeats: rows are never multiplied by models or repeats."""
+    rows = rows.where("query_id is not null")
+    fold = protocol.fold_columns(rows, "query_id", folds, repeats, seed)
+    each = F.posexplode(F.array(*fold)).alias("repeat", "fold")
+    held = cells(by_query(rows, columns).select("*", each), len(columns) + 1, ["repeat", "fold"])
+    whole = [total(g for (r, _), g in held.items() if r == repeat) if held else None for repeat in range(repeats)]  # the same rows, summed by repeat as in cross_validated
+    none = (np.zeros(len(columns)), 0.0)
+    fitted = [[m.fit(whole[r] - held[r, f]) if (r, f) in held else none for f in range(1, folds + 1)] for m in models for r in range(repeats)]
+    lists = ranked(rows, columns, table_of(fitted), [f - 1 for f in fold], keys, repeats, k)
+    return named(lists, keys, [m.name for m in models])
+
+
 def cross_validated(rows: DataFrame, columns: Sequence[str], models: Sequence[Ridge], folds: int = 5, repeats: int = 4, seed: int = 0) -> DataFrame:
     """model, repeat, fold, dataset, query_id, passage_id, y, score: each query by models of the other folds, in each repeat."""
     dealt = protocol.repeated_folds(rows, "query_id", folds, repeats, seed)
@@ -156,6 +207,17 @@ def left_out(rows: DataFrame, columns: Sequence[str], models: Sequence[Ridge]) -
     return scored(rows, columns, fitted, {"model": "string", "dataset": rows.schema["dataset"].dataType.simpleString()})
 
 
+def left_out_metrics(rows: DataFrame, columns: Sequence[str], models: Sequence[Ridge], k: int = 10) -> DataFrame:
+    """model, dataset, query_id, spearman, ndcg and top1 of left_out: rows are never multiplied by models."""
+    held = cells(by_query(rows, columns), len(columns) + 1, ["dataset"])
+    if len(held) < 2:
+        raise ValueError("leave-one-dataset-out needs two datasets")
+    whole, names = total(held.values()), [d for (d,) in held]
+    weights = table_of([[m.fit(whole - held[d,]) for d in names] for m in models])
+    keys = ["dataset", "query_id"]
+    return named(ranked(rows, columns, weights, [cell_of(names, "dataset")], keys, k=k), keys, [m.name for m in models])
+
+
 @dataclass
 class Nested:
     """What nested selection found: predictions (model `nested`), outer (dataset, model, rho: every configuration on the
@@ -222,7 +284,16 @@ def nested(rows: DataFrame, columns: Sequence[str], configs: Sequence[Ridge], ot
     every = [*(c.name for c in configs), *(others or {})]
     order = spark.createDataFrame(list(enumerate(every)), "_at int, model string")
     grid = spark.createDataFrame([(m, h, d) for m in every for h in names for d in names], f"model string, held {kind}, dataset {kind}")
-    rho = metrics.per_query_scores(got, ("model", "held", "dataset", "query_id")).groupBy("model", "held", "dataset").agg(F.avg("spearman").alias("rho"))
+    # ridges by one pass over the rows, where got has a row for each of them and each dataset held out
+    pairs = [(c, h) for c in configs for h in names]
+    fits = {(m, h, d): (w, b) for m, h, d, w, b in fitted}
+    lists = ranked(rows, columns, table_of([[fits[c.name, h, d] for d in names] for c, h in pairs]), [cell_of(names, "dataset")], ["dataset", "query_id"])
+    each = lists.select("dataset", F.posexplode("spearman").alias("_at", "spearman")).groupBy("_at", "dataset").agg(F.avg("spearman").alias("rho"))
+    of = spark.createDataFrame([(i, c.name, h) for i, (c, h) in enumerate(pairs)], f"_at int, model string, held {kind}")
+    rho = each.join(F.broadcast(of), "_at").select("model", "held", "dataset", "rho")
+    if others:
+        trained = got.where(F.col("model").isin(list(others)))
+        rho = rho.unionByName(metrics.per_query_scores(trained, ("model", "held", "dataset", "query_id")).groupBy("model", "held", "dataset").agg(F.avg("spearman").alias("rho")))
     rho = grid.join(rho, ["model", "held", "dataset"], "left").withColumn("rho", F.round(F.coalesce("rho", F.lit(0.0)), 9))
     inner = rho.where("held <> dataset").groupBy(F.col("held").alias("dataset"), "model").agg(F.round(F.avg("rho"), 9).alias("score"))
     selected = _best(inner, order, ["dataset"])
@@ -241,12 +312,23 @@ def baselines(rows: DataFrame, named: Mapping[str, str], like: DataFrame) -> Dat
     return out.select(*like.columns)
 
 
+def baseline_metrics(rows: DataFrame, columns: Mapping[str, str], k: int = 10) -> DataFrame:
+    """model, dataset, query_id, spearman, ndcg and top1 of baselines."""
+    keys = ["dataset", "query_id"]
+    return named(metrics.per_query_lists(rows, keys, list(columns.values()), lambda x: x, k), keys, list(columns))
+
+
 def report(predictions: DataFrame, reference: str, by: Sequence[str] = (), replicates: int = 2000, k: int = 10) -> tuple[DataFrame, DataFrame]:
     """(by, model, metric, mean, lo, hi, n_queries) and (by, other, metric, mean, lo, hi): metrics of each model with
     intervals over queries, and the reference less each other model, paired by query. Repeats are averaged first."""
     keys = [c for c in ("repeat",) if c in predictions.columns]
     per = metrics.per_query_scores(predictions, ("model", "dataset", "query_id", *keys), k)
     per = per.groupBy("model", "dataset", "query_id").agg(*[F.avg(m).alias(m) for m in METRICS])
+    return intervals(per, reference, by, replicates)
+
+
+def intervals(per: DataFrame, reference: str, by: Sequence[str] = (), replicates: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """report from metrics (model, dataset, query_id, spearman, ndcg, top1) that were averaged over repeats."""
     long = per.unpivot(["model", "dataset", "query_id"], list(METRICS), "metric", "value")
     means = resampling.bootstrap_ci(long, "value", ["dataset", "query_id"], [*by, "model", "metric"], replicates)
     ref = long.where(F.col("model") == reference).select("dataset", "query_id", "metric", F.col("value").alias("_ref"))

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TINY = 1e-12
-
+from passant.session import dealt
 
-def average_rank(value: str, keys: Sequence[str]) -> Column:
-    by = Window.partitionBy(*keys)
-    return F.rank().over(by.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2.0
+TINY = 1e-12
+METRICS = ("spearman", "ndcg", "top1")
 
 
 def safe_corr(a: str, b: str) -> Column:
@@ -26,23 +26,154 @@ def per_query_scores(scored: DataFrame, keys: Sequence[str] = ("query_id",), k:
     A constant prediction has Spearman 0; with strict, such groups are left out. NDCG is over y - min(y), averages the
     gains of tied predictions and discounts by log2; top1 tells whether the first of the best predictions has the best y.
     """
-    by = Window.partitionBy(*keys)
-    gain = F.col("y") - F.min("y").over(by)
-    place = F.row_number().over(by.orderBy(F.col("score").desc(), "passage_id"))
-    ideal = F.row_number().over(by.orderBy(F.col("y").desc(), "passage_id"))
-    discount = lambda at: F.when(at <= k, F.lit(1.0) / F.log2(at + F.lit(1.0))).otherwise(0.0)
-    rows = scored.withColumns({"_g": gain, "_p": place, "_i": ideal, "_ry": average_rank("y", keys), "_rs": average_rank("score", keys)})
-    rows = rows.withColumn("_tied", F.avg("_g").over(Window.partitionBy(*keys, "score")))
-    groups = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.stddev_pop("y").alias("_sd"), F.stddev_pop("score").alias("_ss"), safe_corr("_ry", "_rs").alias("spearman"),
-        F.sum(F.col("_tied") * discount(F.col("_p"))).alias("_dcg"), F.sum(F.col("_g") * discount(F.col("_i"))).alias("_idcg"),
-        (F.max(F.when(F.col("_p") == 1, F.col("y"))) >= F.max("y")).cast("double").alias("top1"),
-    )
-    usable = groups.where((F.col("n") >= 2) & (F.col("_sd") >= TINY))
-    if strict:
-        usable = usable.where(F.col("_ss") >= TINY)
-    ndcg = F.when(F.col("_idcg") > 0, F.col("_dcg") / F.col("_idcg")).otherwise(0.0)
-    return usable.select(*keys, F.coalesce("spearman", F.lit(0.0)).alias("spearman"), ndcg.alias("ndcg"), "top1")
+    lists = per_query_lists(scored, keys, ["score"], lambda x: x, k, strict)
+    return lists.select(*keys, *[F.col(m)[0].alias(m) for m in METRICS])
+
+
+def per_query_lists(rows: DataFrame, keys: Sequence[str], inputs: Sequence[str], scores: Callable[[list[np.ndarray]], list[np.ndarray]], k: int = 10, strict: bool = False, mean_of: int = 1) -> DataFrame:
+    """keys and lists spearman, ndcg and top1 of each group that can be ranked, with a value for each of the scores that a
+    function makes of the input columns (as doubles; each mean_of scores that follow one another are averaged).
+
+    Rows are shuffled and sorted once, whatever the number of scores; a task reads groups one after the other, and groups
+    of a size are ranked together. A group's rows meet in one task.
+    """
+    names = [f"_i{i}" for i in range(len(inputs))]
+    used = rows.select(*keys, "passage_id", F.col("y").cast("double").alias("_y"), *[F.col(c).cast("double").alias(n) for c, n in zip(inputs, names, strict=True)])
+    ordered = dealt(used, *keys).sortWithinPartitions(*keys, "passage_id", "_y").drop("passage_id")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in used.select(*keys).schema] + [f"{m} array<double>" for m in METRICS]
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_groups(batches, list(keys)):
+            sizes = np.diff(np.append(starts, table.num_rows))
+            y, *x = (_doubles(table[c]) for c in ("_y", *names))
+            none = np.asarray(table["_y"].is_null())
+            gone = [np.asarray(table[n].is_null()) for n in names]
+            made = scores(x)
+            null = gone if len(made) == len(gone) else [np.zeros(len(y), bool)] * len(made)
+            kept, found = [], []
+            for n in np.unique(sizes[sizes > 1]):
+                at = starts[sizes == n]
+                step = max(1, (1 << 18) // int(n))
+                for part in (at[i : i + step] for i in range(0, len(at), step)):
+                    own = part[:, None] + np.arange(n)
+                    usable, base = _targets(y[own], none[own], k)
+                    if not usable.any():
+                        continue
+                    own, base = own[usable], [b[usable] for b in base]
+                    got = [_ranked(s[own], z[own], base, k) for s, z in zip(made, null, strict=True)]
+                    fits = np.all([g[3] for g in got], axis=0) if strict else np.ones(len(own), bool)
+                    kept.append(own[fits, 0])
+                    # by metric, group and score; scores that follow one another are averaged
+                    found.append([np.array([g[m][fits] for g in got]).T.reshape(int(fits.sum()), len(got) // mean_of, mean_of).mean(2) for m in range(3)])
+            if kept:
+                out = table.select(list(keys)).take(pa.array(np.concatenate(kept)))
+                for i, m in enumerate(METRICS):
+                    values = np.concatenate([f[i] for f in found])
+                    flat = pa.array(values.ravel(), mask=np.isnan(values.ravel()) if m == "top1" else None)
+                    out = out.append_column(m, pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1], flat))
+                yield from out.combine_chunks().to_batches()
+
+    return ordered.mapInArrow(groups, ", ".join(fields))
+
+
+def _doubles(column: pa.ChunkedArray) -> np.ndarray:
+    return column.fill_null(0.0).to_numpy() + 0.0  # no negative zero
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 1 << 16) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, of most rows or one group's, and where their groups start."""
+    held, n, asked = [], 0, most
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= asked:
+            table = pa.Table.from_batches(held).combine_chunks()
+            starts = _starts(table, keys)
+            if (end := int(starts[-1])) > 0:
+                yield table.slice(0, end), starts[:-1]
+            held, n = table.slice(end).to_batches(), n - end
+            asked = most if n < most // 2 else 2 * n  # a large group is looked through again only when it has doubled
+    if n:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, _starts(table, keys)
+
+
+def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for c in keys:
+        codes = table[c].combine_chunks().dictionary_encode(null_encoding="encode")
+        codes = (codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes).indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _codes(x: np.ndarray, null: np.ndarray) -> np.ndarray:
+    """Integers in Spark's order of doubles: null, numbers, NaN."""
+    bits = x.view(np.int64)
+    codes = bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
+    codes[np.isnan(x)] = np.iinfo(np.int64).max
+    codes[null] = np.iinfo(np.int64).min
+    return codes
+
+
+def _runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of each row's values, highest first, and first and last place of the ties at each place."""
+    order = np.argsort(~codes, axis=1, kind="stable")
+    by = np.take_along_axis(codes, order, 1)
+    places = np.broadcast_to(np.arange(codes.shape[1]), codes.shape)
+    new = np.ones(codes.shape, bool)
+    new[:, 1:] = by[:, 1:] != by[:, :-1]
+    first = np.maximum.accumulate(np.where(new, places, 0), axis=1)
+    ends = np.ones(codes.shape, bool)
+    ends[:, :-1] = new[:, 1:]
+    last = np.minimum.accumulate(np.where(ends, places, codes.shape[1])[:, ::-1], axis=1)[:, ::-1]
+    return order, first, last
+
+
+def _discounts(n: int, k: int) -> np.ndarray:
+    at = np.arange(1, n + 1)
+    return np.where(at <= k, 1 / np.log2(at + 1.0), 0.0)
+
+
+def _targets(y: np.ndarray, none: np.ndarray, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which groups of one size can be ranked, and what all scores share: gains, nulls, ranks about their mean, ideal gain,
+    which rows have the best y."""
+    n = y.shape[1]
+    codes = _codes(y, none)
+    order, first, last = _runs(codes)
+    ranks = np.empty(y.shape)
+    np.put_along_axis(ranks, order, (n - 1) / 2 - (first + last) / 2, 1)
+    with np.errstate(all="ignore"):
+        gain = np.where(none, 0.0, y - np.fmin.reduce(np.where(none, np.nan, y), axis=1)[:, None])
+        held = (~none).sum(1)
+        mean = gain.sum(1) / held
+        sd = np.sqrt(np.where(none, 0.0, (gain - mean[:, None]) ** 2).sum(1) / held)
+        ideal = np.take_along_axis(gain, order, 1) @ _discounts(n, k)
+    best = np.where(none, np.nan, codes == codes.max(1)[:, None])
+    return (held > 0) & ~(sd < TINY), [gain, none, ranks, ideal, best]  # NaN is above all numbers
+
+
+def _ranked(score: np.ndarray, null: np.ndarray, base: list[np.ndarray], k: int) -> tuple[np.ndarray, ...]:
+    """spearman, ndcg, top1 and whether the score varies, for groups of one size."""
+    gain, none, ranks, ideal, best = base
+    n = score.shape[1]
+    order, first, last = _runs(_codes(score, null))
+    mine, theirs = (n - 1) / 2 - (first + last) / 2, np.take_along_axis(ranks, order, 1)
+    with np.errstate(all="ignore"):
+        scale = np.sqrt((mine * mine).sum(1)) * np.sqrt((ranks * ranks).sum(1))
+        spearman = np.where(scale > 0, (mine * theirs).sum(1) / scale, 0.0)
+        upto = np.append(0.0, np.cumsum(_discounts(n, k)))
+        tied = last - first + 1
+        if none.any():
+            seen = np.pad(np.cumsum(~np.take_along_axis(none, order, 1), axis=1), ((0, 0), (1, 0)))
+            tied = np.maximum(np.take_along_axis(seen, last + 1, 1) - np.take_along_axis(seen, first, 1), 1)
+        dcg = (np.take_along_axis(gain, order, 1) * ((upto[last + 1] - upto[first]) / tied)).sum(1)
+        ndcg = np.where(ideal <= 0, 0.0, dcg / ideal)
+        low = np.fmin.reduce(np.where(null, np.nan, score), axis=1)[:, None]
+        off, held = np.where(null, 0.0, score - low), (~null).sum(1)
+        sd = np.sqrt(np.where(null, 0.0, (off - (off.sum(1) / held)[:, None]) ** 2).sum(1) / held)
+    return spearman, ndcg, np.take_along_axis(best, order[:, :1], 1)[:, 0], (held > 0) & ~(sd < TINY)
 
 
 def ranking_summary(scored: DataFrame, k: int = 10) -> DataFrame:

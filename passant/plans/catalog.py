@@ -675,16 +675,16 @@ def m7_out_of_fold_probe(spark, d):
 def m16_cv_report(spark, d):
     """Five folds, four repeats, 2 000 draws: metrics of a ridge and of two columns taken as scores."""
     rows = _regression(spark, d)
-    got = grams.cross_validated(rows, _X, [_RIDGE])
-    return grams.report(got.unionByName(grams.baselines(rows, {"size": "x1", "price": "x2"}, got)), "ridge")[0]
+    per = grams.cross_validated_metrics(rows, _X, [_RIDGE])
+    return grams.intervals(per.unionByName(grams.baseline_metrics(rows, {"size": "x1", "price": "x2"})), "ridge")[0]
 
 
 @query("m16_cv_pairs")
 def m16_cv_pairs(spark, d):
     """The same by dataset, as differences paired by query."""
     rows = _regression(spark, d)
-    got = grams.cross_validated(rows, _X, [_RIDGE])
-    return grams.report(got.unionByName(grams.baselines(rows, {"size": "x1", "price": "x2"}, got)), "ridge", ["dataset"])[1]
+    per = grams.cross_validated_metrics(rows, _X, [_RIDGE])
+    return grams.intervals(per.unionByName(grams.baseline_metrics(rows, {"size": "x1", "price": "x2"})), "ridge", ["dataset"])[1]
 
 
 #: By dataset and query: queries of these tables can lie in several datasets.
@@ -697,8 +697,7 @@ _SINGLE = f"{S.LINES}, c AS (SELECT dataset, query_id, passage_id, x1 / 50 + 10
  SELECT ds AS dataset, round(avg(spearman), 6) + 0.0 AS spearman, round(avg(ndcg), 6) AS ndcg, round(avg(top1), 6) AS top1, count(*) AS n_queries FROM pq GROUP BY 1""")
 def m17_lodo_single(spark, d):
     """A ridge of one column ranks by it, up or down as the other datasets say."""
-    got = grams.left_out(_regression(spark, d), ("x2",), [grams.Ridge("ridge", 100.0)])
-    per = metrics.per_query_scores(got, ("dataset", "query_id"))
+    per = grams.left_out_metrics(_regression(spark, d), ("x2",), [grams.Ridge("ridge", 100.0)])
     return per.groupBy("dataset").agg(*[r6(F.avg(m)).alias(m) for m in grams.METRICS], F.count(F.lit(1)).alias("n_queries"))
 
 
@@ -706,14 +705,13 @@ def m17_lodo_single(spark, d):
 def m17_lodo_report(spark, d):
     """Each dataset by a model of all others, with intervals and a column as baseline; datasets are those in the table."""
     rows = _regression(spark, d)
-    got = grams.left_out(rows, ("x1", "x2", "x4"), [_RIDGE])
-    return grams.report(got.unionByName(grams.baselines(rows, {"price": "x2"}, got)), "ridge", ["dataset"])[0]
+    per = grams.left_out_metrics(rows, ("x1", "x2", "x4"), [_RIDGE])
+    return grams.intervals(per.unionByName(grams.baseline_metrics(rows, {"price": "x2"})), "ridge", ["dataset"])[0]
 
 
 @query("m17_lodo_macro")
 def m17_lodo_macro(spark, d):
-    got = grams.left_out(_regression(spark, d), ("x1", "x2", "x4"), [_RIDGE])
-    return metrics.macro_average(metrics.per_query_scores(got, ("model", "dataset", "query_id")), keys=("model",))
+    return metrics.macro_average(grams.left_out_metrics(_regression(spark, d), ("x1", "x2", "x4"), [_RIDGE]), keys=("model",))
 
 
 @query("m18_nested_single", f"""WITH {_SINGLE}, p AS (SELECT a.h AS h, b.h AS d FROM h a, h b), t AS (SELECT p.h, p.d, z.* FROM p JOIN z ON z.dataset <> p.h AND z.dataset <> p.d),
@@ -748,16 +746,15 @@ _GROUPS = {"size": ("x1", "x2"), "rate": ("x3", "x4")}
 @query("m20_ablation")
 def m20_ablation(spark, d):
     """Five folds, four repeats; every group left out and every group alone, from the same Gram matrices."""
-    got = grams.cross_validated(_regression(spark, d), _X, grams.subsets(_GROUPS, _X))
-    return models.cv_report(got)
+    per = grams.cross_validated_metrics(_regression(spark, d), _X, grams.subsets(_GROUPS, _X), ("query_id",))
+    return per.groupBy("model").agg(*[F.avg(m).alias(m) for m in grams.METRICS], F.count(F.lit(1)).alias("n_queries"))
 
 
 @query("m20_ablation_lodo")
 def m20_ablation_lodo(spark, d):
     """The subsets with and without centring, each dataset held out."""
     both = [grams.Ridge(f"{m.name}-{tag}", m.alpha, c, m.columns) for tag, c in (("raw", False), ("centered", True)) for m in grams.subsets(_GROUPS, _X)]
-    got = grams.left_out(_regression(spark, d), _X, both)
-    return metrics.macro_average(metrics.per_query_scores(got, ("model", "dataset", "query_id")), keys=("model",))
+    return metrics.macro_average(grams.left_out_metrics(_regression(spark, d), _X, both), keys=("model",))
 
 
 @query("m19_proxy_transfer")

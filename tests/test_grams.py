@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from passant.operators import grams, metrics, models
+from passant.operators import grams, metrics, models, protocol
 
 COLUMNS = ("a", "b", "c")
 
@@ -97,3 +97,34 @@ def test_nulls_and_constant_columns(spark):
     rows = table(spark, 5).withColumn("b", F.lit(2.0)).withColumn("c", F.when(F.col("passage_id") == 0, None).otherwise(F.col("c")))
     got = grams.left_out(rows, COLUMNS, [grams.Ridge("ridge")])
     assert got.count() == rows.where("passage_id <> 0").count() and got.where("score IS NULL OR isnan(score)").count() == 0
+
+
+def _queries(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"d{q % 3}", q, p, *map(float, rng.integers(0, 4, 3))) for q in range(60) for p in range(int(rng.integers(1, 9)))]
+    return spark.createDataFrame(rows, "dataset string, query_id long, passage_id int, x1 double, x2 double, y double")
+
+
+def test_folds_without_a_join(spark):
+    for n in (3, 60):
+        rows = _queries(spark).where(f"query_id < {n}")
+        want = {(r["query_id"], r["repeat"]): r["fold"] for r in protocol.repeated_folds(rows).collect()}
+        got = rows.select("query_id", F.posexplode(F.array(*protocol.fold_columns(rows))).alias("repeat", "fold")).distinct().collect()
+        assert {(r["query_id"], r["repeat"]): r["fold"] for r in got} == want and len(got) == len(want)
+
+
+def test_metrics_without_rows_for_each_model(spark):
+    """The same as by predictions, while no row is multiplied by models, repeats or datasets held out."""
+    rows, columns = _queries(spark), ("x1", "x2")
+    configs = grams.subsets({"a": ("x1",), "b": ("x2",)}, columns)
+    key = lambda r: tuple(str(r[c]) for c in ("model", "dataset", "query_id"))
+    values = lambda df: {key(r): [r[m] for m in grams.METRICS] for r in df.collect()}
+    long = metrics.per_query_scores(grams.cross_validated(rows, columns, configs), ("model", "dataset", "query_id", "repeat"))
+    want = values(long.groupBy("model", "dataset", "query_id").agg(*[F.avg(m).alias(m) for m in grams.METRICS]))
+    got = values(grams.cross_validated_metrics(rows, columns, configs))
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    want = values(metrics.per_query_scores(grams.left_out(rows, columns, configs), ("model", "dataset", "query_id")))
+    left = grams.left_out_metrics(rows, columns, configs)
+    got = values(left)
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    assert "Join" not in left._jdf.queryExecution().executedPlan().toString()

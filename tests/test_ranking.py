@@ -82,3 +82,16 @@ def test_empty_tables(spark):
     assert metrics.per_query_scores(empty).count() == 0
     assert metrics.global_spearman(empty).first()["rho"] == 0.0
     assert metrics.mrr(empty.withColumn("rank", F.lit(1))).first()["mrr"] == 0.0
+
+
+def test_groups_are_sorted_once_and_keep_nulls(spark):
+    """One shuffle and one sort, whatever is ranked; window after window of sorts grew with the table."""
+    rows = spark.createDataFrame([(q, p, None if p == 3 else float(p % 4), float("nan") if p == 5 else float(p // 2)) for q in (1, 2, None) for p in range(9)], "query_id int, passage_id int, y double, score double")
+    got = metrics.per_query_scores(rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+    found = {r["query_id"]: tuple(r)[1:] for r in got.collect()}
+    assert len(found) == 3 and found[1] == found[2] == found[None]
+    # by hand: scores 0 0 1 1 2 nan 3 3 4 and y 0 1 2 null 0 1 2 3 0; the NaN is the best score
+    rs, ry = [1.5, 1.5, 3.5, 3.5, 5, 9, 6.5, 6.5, 8], [3, 5.5, 7.5, 1, 3, 5.5, 7.5, 9, 3]
+    assert abs(found[1][0] - float(np.corrcoef(rs, ry)[0, 1])) < 1e-12 and found[1][2] == 0.0
