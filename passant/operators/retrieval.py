@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passant.functions import text as X
+from passant.session import dealt
 
 K1, B = 1.2, 0.75
 OKAPI_K1, OKAPI_B, OKAPI_EPSILON = 1.5, 0.75, 0.25
 #: Rows of a query vocabulary up to which it is broadcast; a larger one is joined by shuffle.
 SMALL = 500_000
+#: Megabytes of files for each part that texts are dealt out in.
+TASK_MB = 4
 
 
 def small_side(df: DataFrame, limit: int = SMALL, bound: DataFrame | None = None) -> DataFrame:
@@ -19,17 +22,10 @@ def small_side(df: DataFrame, limit: int = SMALL, bound: DataFrame | None = None
     return F.broadcast(df) if (df if bound is None else bound).limit(limit + 1).count() <= limit else df
 
 
-def spread(df: DataFrame, task_mb: int = 16) -> DataFrame:
-    """Rows of a small input over all cores: a small file is often a single row group, which one task would read and then
-    work through alone. An input with over task_mb for each core is left as it is scanned."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < task_mb * cores << 20 else df
-
-
 def tokens_of(corpus: DataFrame, tokenize=X.tokenize) -> DataFrame:
-    """pid, dl, toks from corpus (pid, text)."""
-    return spread(corpus.select("pid", "text")).select("pid", tokenize(F.col("text")).alias("toks")).select("pid", F.size("toks").alias("dl"), "toks")
+    """pid, dl, toks from corpus (pid, text). Texts are dealt out by pid, in parts that follow the input's size: a document's
+    terms and its scores are then counted where it lies, in tables of a part's documents."""
+    return dealt(corpus.select("pid", "text"), "pid", task_mb=TASK_MB).select("pid", tokenize(F.col("text")).alias("toks")).select("pid", F.size("toks").alias("dl"), "toks")
 
 
 def corpus_stats(tokens: DataFrame) -> DataFrame:
@@ -48,7 +44,8 @@ def term_frequencies(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     explode_outer, as Spark would tokenise each text twice to drop those without a word before explode; the join does.
     """
     words = tokens.select("pid", "dl", F.explode_outer("toks").alias("term"))
-    return words.join(small_side(terms.select("term").distinct(), bound=terms), "term", "left_semi").groupBy("pid", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = words.join(small_side(terms.select("term").distinct(), bound=terms), "term", "left_semi").groupBy("pid", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return dealt(tf, "pid", task_mb=TASK_MB)  # what is counted over it and what is scored read the same shuffle
 
 
 def document_frequencies(tf: DataFrame, terms: DataFrame) -> DataFrame:

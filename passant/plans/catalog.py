@@ -84,7 +84,8 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     """Each question with its five best passages and their texts."""
     corpus, questions = S.corpus(spark, d), S.questions(spark, d)
     best = retrieval.bm25_top_k(corpus, questions, 5).withColumn("score", F.round("score", 9))
-    return best.join(corpus.select("pid", "text"), "pid").join(questions, "query_id").withColumnRenamed("pid", "passage_id")
+    best = retrieval.small_side(best, bound=questions)  # so that no text is shuffled for it; a few rows for each question
+    return corpus.select("pid", "text").join(best, "pid").join(questions, "query_id").withColumnRenamed("pid", "passage_id")
 
 
 _PAIRS = f"{S.BM25}, pairs AS (SELECT r.query_id, r.pid AS passage_id, round(r.score, 9) AS score, r.rank, c.text, q.query FROM ranked r JOIN corpus c ON r.pid = c.pid JOIN questions q ON r.query_id = q.query_id WHERE rank < 5)"

@@ -1,6 +1,7 @@
 """Retrieval against brute force, retriever features, metrics and their properties."""
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -95,3 +96,18 @@ def test_groups_are_sorted_once_and_keep_nulls(spark):
     # by hand: scores 0 0 1 1 2 nan 3 3 4 and y 0 1 2 null 0 1 2 3 0; the NaN is the best score
     rs, ry = [1.5, 1.5, 3.5, 3.5, 5, 9, 6.5, 6.5, 8], [3, 5.5, 7.5, 1, 3, 5.5, 7.5, 9, 3]
     assert abs(found[1][0] - float(np.corrcoef(rs, ry)[0, 1])) < 1e-12 and found[1][2] == 0.0
+
+
+def test_terms_are_counted_where_documents_lie(spark, monkeypatch):
+    """Tables of terms and of scores are those of a part's documents, and parts follow the size of the input; they were
+    those of a scan's split or of a fixed number of tasks, and were shuffled by document and term."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select(F.col("doc_id").alias("pid"), "text")
+    asked = spark.createDataFrame([(1, "the river and a house")], "query_id int, query string")
+    plan = retrieval.bm25_top_k(docs, asked)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\((pid|query_id)#\d+L?, (dl|pid)#", plan)
+    whole = retrieval.tokens_of(docs)
+    monkeypatch.setattr(retrieval, "TASK_MB", 0.001)
+    many = retrieval.tokens_of(docs)
+    assert many.rdd.getNumPartitions() > 50 > whole.rdd.getNumPartitions()
+    assert many.agg(F.sum("dl")).first() == whole.agg(F.sum("dl")).first()
