@@ -34,10 +34,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/passant-{uuid.uuid4().hex}"
 
 
-def dealt(df: DataFrame, *keys: str, task_mb: float = 2) -> DataFrame:
+def dealt(df: DataFrame, *keys: str, task_mb: float = 2, least: int = 0) -> DataFrame:
     """df partitioned by keys, in as many parts as the files it reads have task_mb (a file's columns are several times larger
-    in memory), so that what a task sorts or counts doesn't grow with the table. Smaller inputs go by the session's settings."""
+    in memory), so that what a task sorts or counts doesn't grow with the table. Smaller inputs go by the session's settings, or
+    in so many parts at least."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     n = -(-sum(x for x in sizes if x < 1 << 50) // int(task_mb * (1 << 20)))  # rows from the driver have no size
-    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*keys)
+    return df.repartition(max(n, least), *keys) if least or n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*keys)

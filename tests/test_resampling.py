@@ -1,13 +1,15 @@
 """Bootstrap and sign flips in parts, against enumeration, coverage and the binomial law."""
 
+import hashlib
 import itertools
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from passant.operators import resampling
+from passant.operators import resampling, stats
 
 
 def test_draws_of_all_parts_are_multinomial():
@@ -105,3 +107,15 @@ def test_clustered(spark):
     assert got["macro"] == pytest.approx(seen) and abs(got["p"] - p) < 0.01 and got["n_units"] == 10 and got["n_pairs"] == len(rows)
     boot = [stat(np.bincount(rng.integers(0, 10, 10), minlength=10).astype(float), one) for _ in range(4000)]
     assert np.abs(np.percentile(boot, [2.5, 97.5]) - [got["lo"], got["hi"]]).max() < 0.06
+
+
+def test_hash_draws_are_not_counted_in_tables(spark):
+    """Draws meet their rows in parts; they were counted in tables of every replicate and position of a whole group."""
+    x = [float(v) for v in np.random.default_rng(8).normal(size=50)]
+    rows = spark.createDataFrame([("d", i, v) for i, v in enumerate(x)], "dataset string, query_id int, s double")
+    got = stats.hash_bootstrap(rows, "s", "query_id", ["dataset"], 100)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"HashAggregate\(keys=\[[^\]]*_pos#", plan) and "ShuffledHashJoin" in plan
+    hashed = lambda rep, slot: int(hashlib.md5(f"{rep}:{slot}".encode()).hexdigest()[:8], 16) / 4294967296
+    means = [np.mean([x[int(hashed(rep, slot) * 50)] for slot in range(1, 51)]) for rep in range(100)]
+    assert (got.first()["lo"], got.first()["hi"]) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])))
