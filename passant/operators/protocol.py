@@ -124,7 +124,7 @@ def centered(rows: DataFrame, columns: Sequence[str], group: str | None = "query
         means = rows.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
         return rows.crossJoin(F.broadcast(means)).withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
     by = Window.partitionBy(group)
-    return rows.withColumns({c: F.col(c) - F.avg(c).over(by) for c in columns})
+    return dealt(rows, group).withColumns({c: F.col(c) - F.avg(c).over(by) for c in columns})
 
 
 def standard_target(rows: DataFrame, parts: Sequence[str], group: str = "query_id") -> DataFrame:
