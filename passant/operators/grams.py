@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passant.operators import metrics, protocol, resampling
-from passant.session import dealt
+from passant.session import dealt, kept
 
 METRICS = metrics.METRICS
 
@@ -140,9 +140,14 @@ def ranked(rows: DataFrame, columns: Sequence[str], weights: np.ndarray, cells:
     i takes number i modulo their number, say which of them scores a row."""
     own = [f"_cell{i}" for i in range(len(cells))]
     used = rows.dropna(subset=[*columns, "y"]).withColumns(dict(zip(own, cells, strict=True)))
+    return metrics.per_query_lists(used, keys, [*columns, *own], by_cells(len(columns), weights), k, mean_of=mean_of)
+
+
+def by_cells(width: int, weights: np.ndarray) -> Callable[[list[np.ndarray]], list[np.ndarray]]:
+    """What makes the scores of ranked from so many columns and the cells after them."""
 
     def scores(inputs: list[np.ndarray]) -> list[np.ndarray]:
-        x, at = inputs[: len(columns)], [c.astype(int) for c in inputs[len(columns) :]]
+        x, at = inputs[:width], [c.astype(int) for c in inputs[width:]]
         out = []
         for s in range(len(weights)):
             w = weights[s][at[s % len(at)]]
@@ -152,7 +157,29 @@ def ranked(rows: DataFrame, columns: Sequence[str], weights: np.ndarray, cells:
             out.append(np.round(score, 12) + 0.0)  # as in scored
         return out
 
-    return metrics.per_query_lists(used, keys, [*columns, *own], scores, k, mean_of=mean_of)
+    return scores
+
+
+@dataclass
+class Wide:
+    """Metrics by dataset and query as a row for each of them, with columns for each name and metric. Null: not ranked by it."""
+
+    frame: DataFrame
+    names: list[str]
+
+    def column(self, name: str, metric: str) -> str:
+        return f"_v{3 * self.names.index(name) + METRICS.index(metric)}"
+
+
+def wide(rows: DataFrame, columns: Sequence[str], names: Sequence[str], weights: np.ndarray, cells: Sequence[Column], plain: Mapping[str, str], mean_of: int = 1, k: int = 10, where: Column | None = None) -> Wide:
+    """Metrics of models as in ranked (of the rows for which `where` holds), and of plain columns taken as scores (name:
+    column), by dataset and query: one shuffle and one sort for both, and a table, as several steps read them."""
+    own = [f"_cell{i}" for i in range(len(cells))]
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*columns, "y"]] + ([] if where is None else [where]))
+    whole = reduce(lambda a, b: a & b, [~F.isnan(F.col(c).cast("double")) for c in [*columns, "y"]], whole)  # as dropna
+    families = [metrics.Scores(names, [*columns, *own], by_cells(len(columns), weights), whole, mean_of)] + ([metrics.Scores(list(plain), list(plain.values()))] if plain else [])
+    frame = metrics.per_query_wide(rows.withColumns(dict(zip(own, cells, strict=True))), ["dataset", "query_id"], families, k)
+    return Wide(kept(frame), [*names, *plain])
 
 
 def named(lists: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -174,14 +201,25 @@ def cell_of(names: Sequence, column: str) -> Column:
 def cross_validated_metrics(rows: DataFrame, columns: Sequence[str], models: Sequence[Ridge], keys: Sequence[str] = ("dataset", "query_id"), folds: int = 5, repeats: int = 4, seed: int = 0, k: int = 10) -> DataFrame:
     """model, keys, spearman, ndcg and top1 of cross_validated, averaged over repeats: rows are never multiplied by models or repeats."""
     rows = rows.where("query_id is not null")
+    weights, at = _fold_models(rows, columns, models, folds, repeats, seed)
+    return named(ranked(rows, columns, weights, at, keys, repeats, k), keys, [m.name for m in models])
+
+
+def cross_validated_wide(rows: DataFrame, columns: Sequence[str], models: Sequence[Ridge], plain: Mapping[str, str], folds: int = 5, repeats: int = 4, seed: int = 0, k: int = 10) -> Wide:
+    """cross_validated_metrics by dataset and query, and baseline_metrics of the plain columns."""
+    weights, at = _fold_models(rows.where("query_id is not null"), columns, models, folds, repeats, seed)
+    return wide(rows, columns, [m.name for m in models], weights, at, plain, repeats, k, F.col("query_id").isNotNull())
+
+
+def _fold_models(rows: DataFrame, columns: Sequence[str], models: Sequence[Ridge], folds: int, repeats: int, seed: int) -> tuple[np.ndarray, list[Column]]:
+    """Weights by model and repeat, of each fold held out, and the fold of a row (from 0) in each repeat."""
     fold = protocol.fold_columns(rows, "query_id", folds, repeats, seed)
     each = F.posexplode(F.array(*fold)).alias("repeat", "fold")
     held = cells(by_query(rows, columns).select("*", each), len(columns) + 1, ["repeat", "fold"])
     whole = [total(g for (r, _), g in held.items() if r == repeat) if held else None for repeat in range(repeats)]  # the same rows, summed by repeat as in cross_validated
     none = (np.zeros(len(columns)), 0.0)
     fitted = [[m.fit(whole[r] - held[r, f]) if (r, f) in held else none for f in range(1, folds + 1)] for m in models for r in range(repeats)]
-    lists = ranked(rows, columns, table_of(fitted), [f - 1 for f in fold], keys, repeats, k)
-    return named(lists, keys, [m.name for m in models])
+    return table_of(fitted), [f - 1 for f in fold]
 
 
 def cross_validated(rows: DataFrame, columns: Sequence[str], models: Sequence[Ridge], folds: int = 5, repeats: int = 4, seed: int = 0) -> DataFrame:
@@ -209,13 +247,24 @@ def left_out(rows: DataFrame, columns: Sequence[str], models: Sequence[Ridge]) -
 
 def left_out_metrics(rows: DataFrame, columns: Sequence[str], models: Sequence[Ridge], k: int = 10) -> DataFrame:
     """model, dataset, query_id, spearman, ndcg and top1 of left_out: rows are never multiplied by models."""
+    weights, at = _dataset_models(rows, columns, models)
+    keys = ["dataset", "query_id"]
+    return named(ranked(rows, columns, weights, at, keys, k=k), keys, [m.name for m in models])
+
+
+def left_out_wide(rows: DataFrame, columns: Sequence[str], models: Sequence[Ridge], plain: Mapping[str, str], k: int = 10) -> Wide:
+    """left_out_metrics, and baseline_metrics of the plain columns."""
+    weights, at = _dataset_models(rows, columns, models)
+    return wide(rows, columns, [m.name for m in models], weights, at, plain, k=k)
+
+
+def _dataset_models(rows: DataFrame, columns: Sequence[str], models: Sequence[Ridge]) -> tuple[np.ndarray, list[Column]]:
+    """Weights by model, of each dataset held out, and a row's dataset as a number."""
     held = cells(by_query(rows, columns), len(columns) + 1, ["dataset"])
     if len(held) < 2:
         raise ValueError("leave-one-dataset-out needs two datasets")
     whole, names = total(held.values()), [d for (d,) in held]
-    weights = table_of([[m.fit(whole - held[d,]) for d in names] for m in models])
-    keys = ["dataset", "query_id"]
-    return named(ranked(rows, columns, weights, [cell_of(names, "dataset")], keys, k=k), keys, [m.name for m in models])
+    return table_of([[m.fit(whole - held[d,]) for d in names] for m in models]), [cell_of(names, "dataset")]
 
 
 @dataclass
@@ -324,15 +373,28 @@ def report(predictions: DataFrame, reference: str, by: Sequence[str] = (), repli
     keys = [c for c in ("repeat",) if c in predictions.columns]
     per = metrics.per_query_scores(predictions, ("model", "dataset", "query_id", *keys), k)
     per = per.groupBy("model", "dataset", "query_id").agg(*[F.avg(m).alias(m) for m in METRICS])
-    return intervals(per, reference, by, replicates)
+    names = sorted(r[0] for r in per.select("model").distinct().collect())  # models are few
+    own = [F.max(F.when(F.col("model") == n, F.col(m))).alias(f"_v{3 * i + j}") for i, n in enumerate(names) for j, m in enumerate(METRICS)]
+    each = Wide(kept(per.groupBy("dataset", "query_id").agg(*own)), names)
+    return intervals(each, by, replicates), paired_intervals(each, reference, by, replicates)
+
 
+def intervals(per: Wide, by: Sequence[str] = (), replicates: int = 2000) -> DataFrame:
+    """by, model, metric, mean, lo, hi, n of metrics that were averaged over repeats."""
+    pairs = [(n, m) for n in per.names for m in METRICS]
+    return _intervals(per.frame, [F.col(per.column(n, m)) for n, m in pairs], pairs, "model", by, replicates)
 
-def intervals(per: DataFrame, reference: str, by: Sequence[str] = (), replicates: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """report from metrics (model, dataset, query_id, spearman, ndcg, top1) that were averaged over repeats."""
-    long = per.unpivot(["model", "dataset", "query_id"], list(METRICS), "metric", "value")
-    means = resampling.bootstrap_ci(long, "value", ["dataset", "query_id"], [*by, "model", "metric"], replicates)
-    ref = long.where(F.col("model") == reference).select("dataset", "query_id", "metric", F.col("value").alias("_ref"))
-    diffs = long.where(F.col("model") != reference).join(ref, ["dataset", "query_id", "metric"]).select("dataset", "query_id", F.col("model").alias("other"), "metric", (F.col("_ref") - F.col("value")).alias("value"))
-    return means, resampling.bootstrap_ci(diffs, "value", ["dataset", "query_id"], [*by, "other", "metric"], replicates)
 
+def paired_intervals(per: Wide, reference: str, by: Sequence[str] = (), replicates: int = 2000) -> DataFrame:
+    """by, other, metric, mean, lo, hi, n of the reference less each other name, paired by query."""
+    pairs = [(n, m) for n in per.names if n != reference for m in METRICS]
+    known = per.frame.where("dataset IS NOT NULL AND query_id IS NOT NULL")
+    return _intervals(known, [F.col(per.column(reference, m)) - F.col(per.column(n, m)) for n, m in pairs], pairs, "other", by, replicates)
 
+
+def _intervals(frame: DataFrame, values: Sequence[Column], pairs: Sequence[tuple[str, str]], role: str, by: Sequence[str], replicates: int) -> DataFrame:
+    names = [f"_d{i}" for i in range(len(values))]
+    keys = ["dataset", "query_id"]
+    got = resampling.bootstrap_cis(frame.select(*keys, *[v.alias(n) for v, n in zip(values, names, strict=True)]), names, keys, by, replicates)
+    of = [F.array(*[F.lit(p[i]) for p in pairs])[F.col("_at")] for i in range(2)]
+    return got.select(*by, of[0].alias(role), of[1].alias("metric"), "mean", "lo", "hi", "n")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,31 +45,14 @@ def per_query_lists(rows: DataFrame, keys: Sequence[str], inputs: Sequence[str],
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _whole_groups(batches, list(keys)):
-            sizes = np.diff(np.append(starts, table.num_rows))
             y, *x = (_doubles(table[c]) for c in ("_y", *names))
-            none = np.asarray(table["_y"].is_null())
-            gone = [np.asarray(table[n].is_null()) for n in names]
             made = scores(x)
+            gone = [np.asarray(table[n].is_null()) for n in names]
             null = gone if len(made) == len(gone) else [np.zeros(len(y), bool)] * len(made)
-            kept, found = [], []
-            for n in np.unique(sizes[sizes > 1]):
-                at = starts[sizes == n]
-                step = max(1, (1 << 18) // int(n))
-                for part in (at[i : i + step] for i in range(0, len(at), step)):
-                    own = part[:, None] + np.arange(n)
-                    usable, base = _targets(y[own], none[own], k)
-                    if not usable.any():
-                        continue
-                    own, base = own[usable], [b[usable] for b in base]
-                    got = [_ranked(s[own], z[own], base, k) for s, z in zip(made, null, strict=True)]
-                    fits = np.all([g[3] for g in got], axis=0) if strict else np.ones(len(own), bool)
-                    kept.append(own[fits, 0])
-                    # by metric, group and score; scores that follow one another are averaged
-                    found.append([np.array([g[m][fits] for g in got]).T.reshape(int(fits.sum()), len(got) // mean_of, mean_of).mean(2) for m in range(3)])
-            if kept:
-                out = table.select(list(keys)).take(pa.array(np.concatenate(kept)))
-                for i, m in enumerate(METRICS):
-                    values = np.concatenate([f[i] for f in found])
+            kept, found = _by_group(starts, y, np.asarray(table["_y"].is_null()), made, null, k, strict, mean_of)
+            if len(kept):
+                out = table.select(list(keys)).take(pa.array(kept))
+                for m, values in zip(METRICS, found, strict=True):
                     flat = pa.array(values.ravel(), mask=np.isnan(values.ravel()) if m == "top1" else None)
                     out = out.append_column(m, pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1], flat))
                 yield from out.combine_chunks().to_batches()
@@ -76,6 +60,79 @@ def per_query_lists(rows: DataFrame, keys: Sequence[str], inputs: Sequence[str],
     return ordered.mapInArrow(groups, ", ".join(fields))
 
 
+def _by_group(starts: np.ndarray, y: np.ndarray, none: np.ndarray, made: list[np.ndarray], null: list[np.ndarray], k: int, strict: bool, mean_of: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """First rows of the groups that can be ranked, and of each metric an array by group and score; scores that follow one
+    another are averaged."""
+    sizes = np.diff(np.append(starts, len(y)))
+    kept, found = [starts[:0]], [[np.empty((0, len(made) // mean_of))] * 3]
+    for n in np.unique(sizes[sizes > 1]):
+        at = starts[sizes == n]
+        step = max(1, (1 << 18) // int(n))
+        for part in (at[i : i + step] for i in range(0, len(at), step)):
+            own = part[:, None] + np.arange(n)
+            usable, base = _targets(y[own], none[own], k)
+            if not usable.any():
+                continue
+            own, base = own[usable], [b[usable] for b in base]
+            got = [_ranked(s[own], z[own], base, k) for s, z in zip(made, null, strict=True)]
+            fits = np.all([g[3] for g in got], axis=0) if strict else np.ones(len(own), bool)
+            kept.append(own[fits, 0])
+            found.append([np.array([g[m][fits] for g in got]).T.reshape(int(fits.sum()), len(got) // mean_of, mean_of).mean(2) for m in range(3)])
+    return np.concatenate(kept), [np.concatenate([f[m] for f in found]) for m in range(3)]
+
+
+@dataclass(frozen=True)
+class Scores:
+    """Names of scores, which a function makes of input columns (each mean_of that follow one another are averaged) for the
+    rows that `only` holds of. Without a function they are the inputs themselves, which may be null."""
+
+    names: Sequence[str]
+    inputs: Sequence[str]
+    made: Callable[[list[np.ndarray]], list[np.ndarray]] | None = None
+    only: Column | None = None
+    mean_of: int = 1
+
+
+def per_query_wide(rows: DataFrame, keys: Sequence[str], families: Sequence[Scores], k: int = 10) -> DataFrame:
+    """keys and _v0, _v1, ...: spearman, ndcg and top1 of the families' scores, one after the other, of each group that can
+    be ranked by the rows of a family; null where it can't. One shuffle and one sort for all families."""
+    inputs = list(dict.fromkeys(c for f in families for c in f.inputs))
+    names = {c: f"_i{i}" for i, c in enumerate(inputs)}
+    only = [F.lit(True) if f.only is None else F.coalesce(f.only, F.lit(False)) for f in families]
+    used = rows.select(*keys, "passage_id", F.col("y").cast("double").alias("_y"), *[F.col(c).cast("double").alias(n) for c, n in names.items()], *[c.alias(f"_u{j}") for j, c in enumerate(only)])
+    ordered = dealt(used, *keys).sortWithinPartitions(*keys, "passage_id", "_y").drop("passage_id")
+    width = 3 * sum(len(f.names) for f in families)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in used.select(*keys).schema] + [f"_v{i} double" for i in range(width)]
+    plain = [(len(f.names), [names[c] for c in f.inputs], f.made, f.mean_of) for f in families]
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_groups(batches, list(keys)):
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
+            y, none = _doubles(table["_y"]), np.asarray(table["_y"].is_null())
+            values, first = np.full((width, len(starts)), np.nan), 0
+            seen = np.zeros((width, len(starts)), bool)
+            for j, (n, own, made, mean_of) in enumerate(plain):
+                at = np.flatnonzero(table[f"_u{j}"].to_numpy())
+                x = [_doubles(table[c])[at] for c in own]
+                scores = made(x) if made else x
+                null = [np.zeros(len(at), bool)] * len(scores) if made else [np.asarray(table[c].is_null())[at] for c in own]
+                begins = np.flatnonzero(np.diff(group[at], prepend=-1))
+                kept, found = _by_group(begins, y[at], none[at], scores, null, k, False, mean_of)
+                to = group[at[kept]]
+                for m in range(3):
+                    for i in range(n):
+                        values[first + 3 * i + m, to] = found[m][:, i]
+                        seen[first + 3 * i + m, to] = ~np.isnan(found[m][:, i]) if METRICS[m] == "top1" else True
+                first += 3 * n
+            some = np.flatnonzero(seen.any(0))
+            out = table.select(list(keys)).take(pa.array(starts[some]))
+            for i in range(width):
+                out = out.append_column(f"_v{i}", pa.array(values[i, some], mask=~seen[i, some]))
+            yield from out.combine_chunks().to_batches()
+
+    return ordered.mapInArrow(groups, ", ".join(fields))
+
+
 def _doubles(column: pa.ChunkedArray) -> np.ndarray:
     return column.fill_null(0.0).to_numpy() + 0.0  # no negative zero
 

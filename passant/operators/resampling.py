@@ -24,11 +24,14 @@ from pyspark.sql import functions as F
 
 #: Values of a part, about.
 PART = 1 << 15
+#: Rows of sizes that are broadcast, at most.
+FEW = 10_000
 
 
-def _parted(values: DataFrame, keys: Sequence[str], order: Sequence[str], most: int) -> DataFrame:
-    """values with _h (the hash they are dealt out by), _depth (of the tree over the group's parts), _part and _n."""
-    sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+def _parted(values: DataFrame, keys: Sequence[str], order: Sequence[str], most: int, sizes: DataFrame | None = None) -> DataFrame:
+    """values with _h (the hash they are dealt out by), _depth (of the tree over the group's parts), _part and _n. sizes: keys
+    and _n, where they are known."""
+    sizes = sizes or values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") / F.lit(float(most)))).cast("int"))
     sizes = sizes.withColumn("_depth", depth)
     hashed = values.withColumn("_h", F.xxhash64(*keys, *order))
@@ -72,17 +75,20 @@ def draws_of(path: Sequence, n: int, replicates: int, group: object, seed: int)
 
 def drawn_sums(columns: np.ndarray, draws: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Sums of the columns over so many uniform draws of their rows, for each replicate."""
-    out = np.empty((len(draws), columns.shape[1]))
-    for r, n in enumerate(draws.tolist()):
-        out[r] = np.bincount(rng.integers(0, len(columns), n), minlength=len(columns)) @ columns
+    out, counts = np.empty((len(draws), columns.shape[1])), np.empty((8, len(columns)))
+    for at in range(0, len(draws), len(counts)):  # a matrix product for some replicates at once
+        some = draws[at : at + len(counts)].tolist()
+        for row, n in zip(counts, some, strict=False):
+            row[:] = np.bincount(rng.integers(0, len(columns), n), minlength=len(columns))
+        out[at : at + len(some)] = counts[: len(some)] @ columns
     return out
 
 
-def bootstrap_sums(values: DataFrame, columns: Sequence[str], order: Sequence[str], keys: Sequence[str] = (), replicates: int = 2000, seed: int = 0, most: int | None = None) -> DataFrame:
+def bootstrap_sums(values: DataFrame, columns: Sequence[str], order: Sequence[str], keys: Sequence[str] = (), replicates: int = 2000, seed: int = 0, most: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """keys, _rep and a column of sums for each of the columns (not null): every replicate draws as many rows of a group as
-    it has, with replacement. order identifies a row of its group."""
+    it has, with replacement. order identifies a row of its group. sizes: keys and _n, where they are known."""
     most = most or PART
-    parted = _parted(values.select(*dict.fromkeys([*keys, *order, *columns])), keys, order, most)
+    parted = _parted(values.select(*dict.fromkeys([*keys, *order, *columns])), keys, order, most, sizes)
     paths = _paths(parted, keys).drop("_depth", "_m")
     fields = values.select(*keys).schema
     sums = [f"_s{i}" for i in range(len(columns))]
@@ -114,6 +120,38 @@ def bootstrap_ci(values: DataFrame, value: str, order: Sequence[str], keys: Sequ
     return joined(whole, ends, keys).select(*keys, "mean", (F.col("_lo") / F.col("n")).alias("lo"), (F.col("_hi") / F.col("n")).alias("hi"), "n")
 
 
+def bootstrap_cis(values: DataFrame, columns: Sequence[str], order: Sequence[str], keys: Sequence[str] = (), replicates: int = 2000, seed: int = 0, level: float = 0.95, most: int | None = None) -> DataFrame:
+    """keys, _at (a column's place), mean, lo, hi, n: bootstrap_ci of each of the columns. Null and NaN values take no part.
+
+    Columns that no row of a group lacks (rows with none of them aside) are drawn together: a replicate draws rows once, and
+    each column sums what it has there. A column that some rows lack is drawn by itself, over the rows that have it.
+    """
+    keys, spark = list(keys), values.sparkSession
+    own = [f"_v{i}" for i in range(len(columns))]
+    fit = values.select(*dict.fromkeys([*keys, *order]), *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(v) for c, v in zip(columns, own, strict=True)])
+    # no filter over all columns: Spark would infer one for every choice among them and what they are made of
+    counted = fit.groupBy(*keys).agg(F.count(F.coalesce(*own)).alias("_rows"), F.array(*[F.struct(F.lit(i).alias("_at"), F.avg(v).alias("mean"), F.count(v).alias("n")) for i, v in enumerate(own)]).alias("_c"))
+    seen = counted.select(*keys, "_rows", F.explode("_c").alias("_c")).select(*keys, F.when(F.col("_c.n") == F.col("_rows"), -1).otherwise(F.col("_c._at")).alias("_set"), "_c._at", "_c.mean", "_c.n").where("n > 0")
+    whole, sizes = False, None
+    if len(few := seen.limit(FEW + 1).collect()) <= FEW:  # groups are counted once, and not joined by shuffle
+        seen = F.broadcast(spark.createDataFrame(few, seen.schema))
+        sizes = F.broadcast(spark.createDataFrame(list({tuple(r[c] for c in (*keys, "_set", "n")) for r in few}), seen.select(*keys, "_set", F.col("n").alias("_n")).schema))
+        whole = all(r["_set"] < 0 for r in few) and len(few) == len(own) * len({tuple(r[k] for k in keys) for r in few})
+    if whole:
+        drawn = fit.where(F.col(own[0]).isNotNull()).withColumn("_set", F.lit(-1))
+    else:
+        lacking = joined(fit, seen.where("_set >= 0").groupBy(*keys).agg(F.collect_set("_at").alias("_lack")), keys, "left").withColumn("_lack", F.coalesce("_lack", F.array().cast("array<int>")))
+        lacks = [F.array_contains("_lack", i) for i in range(len(own))]
+        alone = [F.when(lacks[i] & F.col(v).isNotNull(), F.struct(F.lit(i).alias("_set"), *[(F.col(v) if w == v else F.lit(None).cast("double")).alias(w) for w in own])) for i, v in enumerate(own)]
+        shared = F.when(reduce(lambda a, b: a | b, [~x & F.col(v).isNotNull() for x, v in zip(lacks, own, strict=True)]), F.struct(F.lit(-1).alias("_set"), *[F.when(~x, F.col(v)).alias(v) for x, v in zip(lacks, own, strict=True)]))
+        drawn = lacking.select(*dict.fromkeys([*keys, *order]), F.explode(F.array_compact(F.array(shared, *alone))).alias("_z")).select("*", "_z.*").drop("_z")
+    sums = bootstrap_sums(drawn, own, order, [*keys, "_set"], replicates, seed, most, sizes)
+    each = sums.select(*keys, "_set", F.posexplode(F.array(*own)).alias("_at", "_s"))
+    tail = (1 - level) / 2
+    ends = each.groupBy(*keys, "_set", "_at").agg(F.percentile("_s", F.lit(tail)).alias("_lo"), F.percentile("_s", F.lit(1 - tail)).alias("_hi"))
+    return joined(ends, seen, [*keys, "_set", "_at"]).select(*keys, "_at", "mean", (F.col("_lo") / F.col("n")).alias("lo"), (F.col("_hi") / F.col("n")).alias("hi"), "n")
+
+
 def flipped_sums(d: np.ndarray, flips: int, rng: np.random.Generator) -> np.ndarray:
     """Sums of the values under random signs, for each flip."""
     total = np.zeros(flips)

@@ -675,17 +675,14 @@ def m7_out_of_fold_probe(spark, d):
 @query("m16_cv_report")
 def m16_cv_report(spark, d):
     """Five folds, four repeats, 2 000 draws: metrics of a ridge and of two columns taken as scores."""
-    rows = _regression(spark, d)
-    per = grams.cross_validated_metrics(rows, _X, [_RIDGE])
-    return grams.intervals(per.unionByName(grams.baseline_metrics(rows, {"size": "x1", "price": "x2"})), "ridge")[0]
+    return grams.intervals(grams.cross_validated_wide(_regression(spark, d), _X, [_RIDGE], {"size": "x1", "price": "x2"}))
 
 
 @query("m16_cv_pairs")
 def m16_cv_pairs(spark, d):
     """The same by dataset, as differences paired by query."""
-    rows = _regression(spark, d)
-    per = grams.cross_validated_metrics(rows, _X, [_RIDGE])
-    return grams.intervals(per.unionByName(grams.baseline_metrics(rows, {"size": "x1", "price": "x2"})), "ridge", ["dataset"])[1]
+    per = grams.cross_validated_wide(_regression(spark, d), _X, [_RIDGE], {"size": "x1", "price": "x2"})
+    return grams.paired_intervals(per, "ridge", ["dataset"])
 
 
 #: By dataset and query: queries of these tables can lie in several datasets.
@@ -705,9 +702,7 @@ def m17_lodo_single(spark, d):
 @query("m17_lodo_report")
 def m17_lodo_report(spark, d):
     """Each dataset by a model of all others, with intervals and a column as baseline; datasets are those in the table."""
-    rows = _regression(spark, d)
-    per = grams.left_out_metrics(rows, ("x1", "x2", "x4"), [_RIDGE])
-    return grams.intervals(per.unionByName(grams.baseline_metrics(rows, {"price": "x2"})), "ridge", ["dataset"])[0]
+    return grams.intervals(grams.left_out_wide(_regression(spark, d), ("x1", "x2", "x4"), [_RIDGE], {"price": "x2"}), ["dataset"])
 
 
 @query("m17_lodo_macro")

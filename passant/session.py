@@ -34,6 +34,16 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/passant-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df as a table in a shared folder, for plans that read it several times; df itself where no such folder is set."""
+    try:
+        path = shared_folder(df.sparkSession)
+    except ValueError:
+        return df
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def dealt(df: DataFrame, *keys: str, task_mb: float = 2, least: int = 0) -> DataFrame:
     """df partitioned by keys, in as many parts as the files it reads have task_mb (a file's columns are several times larger
     in memory), so that what a task sorts or counts doesn't grow with the table. Smaller inputs go by the session's settings, or

@@ -128,3 +128,24 @@ def test_metrics_without_rows_for_each_model(spark):
     got = values(left)
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
     assert "Join" not in left._jdf.queryExecution().executedPlan().toString()
+
+
+def test_metrics_of_models_and_columns_in_one_pass(spark):
+    """One row for a query and all models and plain columns: the same as apart, where each has rows that the other lacks."""
+    rows, columns = _queries(spark), ("x1", "x2")
+    rows = rows.withColumn("x1", F.when(F.col("query_id") % 7 == 3, None).otherwise(F.col("x1"))).withColumn("x2", F.when((F.col("query_id") % 5 == 1) & (F.col("passage_id") == 0), float("nan")).otherwise(F.col("x2")))
+    rows = rows.withColumn("y", F.when(F.col("passage_id") == 2, None).otherwise(F.col("y"))).withColumn("query_id", F.when(F.col("query_id") == 8, None).otherwise(F.col("query_id")))
+    rows = rows.withColumn("dataset", F.when(F.col("query_id") == 9, None).otherwise(F.col("dataset")))
+    configs, plain = grams.subsets({"a": ("x1",), "b": ("x2",)}, columns), {"size": "x1", "price": "x2"}
+    key = lambda r: tuple(str(r[c]) for c in ("model", "dataset", "query_id"))
+    values = lambda df: {key(r): [r[m] for m in grams.METRICS] for r in df.collect()}
+    base = values(grams.baseline_metrics(rows, plain))
+    for apart, one in ((grams.cross_validated_metrics(rows, columns, configs), grams.cross_validated_wide(rows, columns, configs, plain)), (grams.left_out_metrics(rows, columns, configs), grams.left_out_wide(rows, columns, configs, plain))):
+        want, got = values(apart) | base, {}
+        for r in one.frame.collect():
+            for n in one.names:
+                if r[one.column(n, "spearman")] is not None:
+                    got[n, str(r["dataset"]), str(r["query_id"])] = [r[one.column(n, m)] for m in grams.METRICS]
+        assert got.keys() == want.keys() and len({k[1:] for k in got}) == one.frame.count()
+        for k in want:
+            assert all((a is None) == (b is None) and (a is None or np.allclose(a, b, equal_nan=True)) for a, b in zip(got[k], want[k], strict=True)), k

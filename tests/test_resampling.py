@@ -119,3 +119,26 @@ def test_hash_draws_are_not_counted_in_tables(spark):
     hashed = lambda rep, slot: int(hashlib.md5(f"{rep}:{slot}".encode()).hexdigest()[:8], 16) / 4294967296
     means = [np.mean([x[int(hashed(rep, slot) * 50)] for slot in range(1, 51)]) for rep in range(100)]
     assert (got.first()["lo"], got.first()["hi"]) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])))
+
+
+def test_columns_are_drawn_together(spark, monkeypatch):
+    """A replicate's draws were made anew for every model and metric; now once for all columns that the same rows have."""
+    rng = np.random.default_rng(9)
+    data = [("ab"[q % 2] if q % 5 else None, q, *map(float, rng.normal(size=3)), None if q % 3 else 1.0 * q) for q in range(400)]
+    df = spark.createDataFrame([*data, ("a", 900, None, float("nan"), None, None)], "g string, q int, x double, y double, z double, w double")
+    df = df.withColumn("z", F.when(F.col("g") == "b", None).otherwise(F.col("z")))
+    seen = []
+    sums = resampling.bootstrap_sums
+    monkeypatch.setattr(resampling, "bootstrap_sums", lambda values, *rest, **more: seen.append(values) or sums(values, *rest, **more))
+    for few in (resampling.FEW, 0):
+        monkeypatch.setattr(resampling, "FEW", few)
+        for most in (None, 30):
+            whole = resampling.bootstrap_cis(df, ["x", "y"], ["q"], ["g"], 2000, most=most).collect()
+            got = resampling.bootstrap_cis(df, ["x", "y", "z", "w"], ["q"], ["g"], 2000, most=most).collect()
+            assert len(whole) == 6 and len(got) == 11
+            for r in [*whole, *got]:
+                x = np.array([v[2 + r["_at"]] for v in data if v[0] == r["g"] and v[2 + r["_at"]] is not None])
+                plain = np.quantile(rng.choice(x, (4000, len(x))).mean(axis=1), [0.025, 0.975])
+                assert r["n"] == len(x) and r["mean"] == pytest.approx(x.mean()) and np.abs(plain - [r["lo"], r["hi"]]).max() < 0.4 * x.std() / math.sqrt(len(x))
+    assert [v.count() for v in seen[:2]] == [400, 400 + 134]  # a row for all columns, and one for what others lack
+    assert resampling.bootstrap_cis(df.limit(0), ["x", "y"], ["q"], ["g"], 10).count() == 0
