@@ -68,6 +68,10 @@ def cells(grams: DataFrame, width: int, keys: Sequence[str]) -> dict[tuple, Gram
     ups = [(i, j) for i in range(width) for j in range(i, width)]
     inside = [F.sum(F.col("c")[k] - F.col("s")[i] * F.col("s")[j] / F.col("n")) for k, (i, j) in enumerate(ups)]
     sums = grams.groupBy(*keys).agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[i]) for i in range(width)]).alias("s"), F.array(*inside).alias("w"), F.array(*[F.sum(F.col("c")[k]) for k in range(len(ups))]).alias("c"))
+    return _grams(sums, ups, width, keys)
+
+
+def _grams(sums: DataFrame, ups: Sequence[tuple[int, int]], width: int, keys: Sequence[str]) -> dict[tuple, Gram]:
     out = {}
     for r in sums.collect():
         w, c = np.zeros((width, width)), np.zeros((width, width))
@@ -171,15 +175,58 @@ class Wide:
         return f"_v{3 * self.names.index(name) + METRICS.index(metric)}"
 
 
-def wide(rows: DataFrame, columns: Sequence[str], names: Sequence[str], weights: np.ndarray, cells: Sequence[Column], plain: Mapping[str, str], mean_of: int = 1, k: int = 10, where: Column | None = None) -> Wide:
-    """Metrics of models as in ranked (of the rows for which `where` holds), and of plain columns taken as scores (name:
-    column), by dataset and query: one shuffle and one sort for both, and a table, as several steps read them."""
-    own = [f"_cell{i}" for i in range(len(cells))]
-    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*columns, "y"]] + ([] if where is None else [where]))
-    whole = reduce(lambda a, b: a & b, [~F.isnan(F.col(c).cast("double")) for c in [*columns, "y"]], whole)  # as dropna
-    families = [metrics.Scores(names, [*columns, *own], by_cells(len(columns), weights), whole, mean_of)] + ([metrics.Scores(list(plain), list(plain.values()))] if plain else [])
-    frame = metrics.per_query_wide(rows.withColumns(dict(zip(own, cells, strict=True))), ["dataset", "query_id"], families, k)
-    return Wide(kept(frame), [*names, *plain])
+def gathered(rows: DataFrame, columns: Sequence[str], plain: Mapping[str, str], hashes: Sequence[Column] = ()) -> tuple[DataFrame, list[str]]:
+    """metrics.gathered by dataset and query as a table, with hashes (_u0, _u1, ...), and the inputs that its lists hold: rows
+    are shuffled once, for folds, Gram matrices and metrics."""
+    inputs = list(dict.fromkeys([*columns, *plain.values()]))
+    groups = metrics.gathered(rows, ["dataset", "query_id"], inputs)
+    return kept(groups.withColumns({f"_u{i}": u for i, u in enumerate(hashes)})), inputs
+
+
+def cells_of(groups: DataFrame, width: int, own: Sequence[str]) -> list[dict[int, Gram]]:
+    """The Gram of each cell that a column of own says, for each of these columns, from rows of gathered whose first lists are
+    the models' columns, so many. Groups without a cell and rows with a null take no part."""
+    lists = ["_y", *[f"_i{i}" for i in range(width)]]
+    ups = [(i, j) for i in range(width + 1) for j in range(i, width + 1)]
+
+    def sums(batches: Iterable) -> Iterable:
+        import pyarrow as pa
+
+        got: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group, (y, *x), gone = metrics.rows_of(batch, lists)
+            v = np.array([*x, y])
+            fits = ~np.any(gone, axis=0) & ~np.isnan(v).any(0)
+            v, group = v[:, fits], group[fits]
+            by = lambda w: np.bincount(group, w, batch.num_rows)  # noqa: E731, B023
+            n, s, c = by(None).astype(float), np.array([by(w) for w in v]), np.array([by(v[i] * v[j]) for i, j in ups])
+            inside = c - np.array([s[i] * s[j] for i, j in ups]) / np.maximum(n, 1)
+            table = np.concatenate([n[None], s, inside, c])
+            for r, name in enumerate(own):
+                cell = batch[name].fill_null(-1).to_numpy()
+                found = np.unique(cell[(cell >= 0) & (n > 0)])
+                for f, z in zip(found.tolist(), (cell == found[:, None]).astype(float) @ table.T, strict=True):
+                    got[r, f] = got.get((r, f), 0.0) + z
+        if got:
+            yield pa.RecordBatch.from_pydict({"_r": pa.array([r for r, _ in got], pa.int32()), "_f": pa.array([f for _, f in got], pa.int32()), "_z": pa.array([z.tolist() for z in got.values()], pa.list_(pa.float64()))})
+
+    found = groups.select(*lists, *own).mapInArrow(sums, "_r int, _f int, _z array<double>")
+    at = np.cumsum([0, 1, width + 1, len(ups), len(ups)]).tolist()
+    z = [F.sum(F.col("_z")[i]) for i in range(at[-1])]
+    whole = found.groupBy("_r", "_f").agg(z[0].alias("n"), *[F.array(*z[i:j]).alias(c) for c, i, j in zip("swc", at[1:], at[2:], strict=False)])
+    out: list[dict[int, Gram]] = [{} for _ in own]
+    for (r, f), gram in _grams(whole, ups, width + 1, ["_r", "_f"]).items():
+        out[r][f] = gram
+    return out
+
+
+def wide(groups: DataFrame, inputs: Sequence[str], columns: Sequence[str], names: Sequence[str], weights: np.ndarray, own: Sequence[str], plain: Mapping[str, str], mean_of: int = 1, k: int = 10) -> Wide:
+    """Metrics of models as in ranked, and of plain columns taken as scores (name: column), by dataset and query, from a table
+    of gathered with its cells; a table, as several steps read them."""
+    families = [metrics.Scores(names, columns, by_cells(len(columns), weights), own, mean_of)] + ([metrics.Scores(list(plain), list(plain.values()))] if plain else [])
+    return Wide(kept(metrics.per_query_wide(groups, ["dataset", "query_id"], inputs, families, k)), [*names, *plain])
 
 
 def named(lists: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -207,19 +254,28 @@ def cross_validated_metrics(rows: DataFrame, columns: Sequence[str], models: Seq
 
 def cross_validated_wide(rows: DataFrame, columns: Sequence[str], models: Sequence[Ridge], plain: Mapping[str, str], folds: int = 5, repeats: int = 4, seed: int = 0, k: int = 10) -> Wide:
     """cross_validated_metrics by dataset and query, and baseline_metrics of the plain columns."""
-    weights, at = _fold_models(rows.where("query_id is not null"), columns, models, folds, repeats, seed)
-    return wide(rows, columns, [m.name for m in models], weights, at, plain, repeats, k, F.col("query_id").isNotNull())
+    groups, inputs = gathered(rows, columns, plain, protocol.fold_hashes("query_id", repeats, seed))
+    fold = protocol.fold_columns(groups, "query_id", folds, repeats, seed, [F.col(f"_u{r}") for r in range(repeats)], F.col("_first"))
+    own = [f"_cell{r}" for r in range(repeats)]
+    groups = groups.withColumns({c: F.when(F.col("query_id").isNotNull(), f - 1) for c, f in zip(own, fold, strict=True)})
+    held = cells_of(groups, len(columns), own)
+    return wide(groups, inputs, columns, [m.name for m in models], _fold_weights(held, len(columns), models, folds), own, plain, repeats, k)
+
+
+def _fold_weights(held: Sequence[Mapping[int, Gram]], width: int, models: Sequence[Ridge], folds: int) -> np.ndarray:
+    """Weights by model and repeat, of each fold (from 0) held out."""
+    whole = [total(own.values()) if own else None for own in held]  # the same rows, summed by repeat as in cross_validated
+    none = (np.zeros(width), 0.0)
+    return table_of([[m.fit(all_ - own[f]) if f in own else none for f in range(folds)] for m in models for own, all_ in zip(held, whole, strict=True)])
 
 
 def _fold_models(rows: DataFrame, columns: Sequence[str], models: Sequence[Ridge], folds: int, repeats: int, seed: int) -> tuple[np.ndarray, list[Column]]:
     """Weights by model and repeat, of each fold held out, and the fold of a row (from 0) in each repeat."""
     fold = protocol.fold_columns(rows, "query_id", folds, repeats, seed)
     each = F.posexplode(F.array(*fold)).alias("repeat", "fold")
-    held = cells(by_query(rows, columns).select("*", each), len(columns) + 1, ["repeat", "fold"])
-    whole = [total(g for (r, _), g in held.items() if r == repeat) if held else None for repeat in range(repeats)]  # the same rows, summed by repeat as in cross_validated
-    none = (np.zeros(len(columns)), 0.0)
-    fitted = [[m.fit(whole[r] - held[r, f]) if (r, f) in held else none for f in range(1, folds + 1)] for m in models for r in range(repeats)]
-    return table_of(fitted), [f - 1 for f in fold]
+    found = cells(by_query(rows, columns).select("*", each), len(columns) + 1, ["repeat", "fold"])
+    held = [{f - 1: g for (q, f), g in found.items() if q == r} for r in range(repeats)]
+    return _fold_weights(held, len(columns), models, folds), [f - 1 for f in fold]
 
 
 def cross_validated(rows: DataFrame, columns: Sequence[str], models: Sequence[Ridge], folds: int = 5, repeats: int = 4, seed: int = 0) -> DataFrame:
@@ -254,17 +310,29 @@ def left_out_metrics(rows: DataFrame, columns: Sequence[str], models: Sequence[R
 
 def left_out_wide(rows: DataFrame, columns: Sequence[str], models: Sequence[Ridge], plain: Mapping[str, str], k: int = 10) -> Wide:
     """left_out_metrics, and baseline_metrics of the plain columns."""
-    weights, at = _dataset_models(rows, columns, models)
-    return wide(rows, columns, [m.name for m in models], weights, at, plain, k=k)
+    groups, inputs = gathered(rows, columns, plain)
+    names = [r[0] for r in groups.select("dataset").distinct().collect()]
+    groups = groups.withColumn("_cell0", cell_of(names, "dataset") if names else F.lit(0))
+    (held,) = cells_of(groups, len(columns), ["_cell0"])
+    none = (np.zeros(len(columns)), 0.0)
+    fits = _dataset_fits(held, models)
+    weights = table_of([[own.get(i, none) for i in range(len(names))] for own in fits])
+    return wide(groups, inputs, columns, [m.name for m in models], weights, ["_cell0"], plain, k=k)
+
+
+def _dataset_fits(held: Mapping, models: Sequence[Ridge]) -> list[dict]:
+    """Of each model its weights and intercept by dataset held out."""
+    if len(held) < 2:
+        raise ValueError("leave-one-dataset-out needs two datasets")
+    whole = total(held.values())
+    return [{d: m.fit(whole - g) for d, g in held.items()} for m in models]
 
 
 def _dataset_models(rows: DataFrame, columns: Sequence[str], models: Sequence[Ridge]) -> tuple[np.ndarray, list[Column]]:
     """Weights by model, of each dataset held out, and a row's dataset as a number."""
     held = cells(by_query(rows, columns), len(columns) + 1, ["dataset"])
-    if len(held) < 2:
-        raise ValueError("leave-one-dataset-out needs two datasets")
-    whole, names = total(held.values()), [d for (d,) in held]
-    return table_of([[m.fit(whole - held[d,]) for d in names] for m in models]), [cell_of(names, "dataset")]
+    fits, names = _dataset_fits(held, models), [d for (d,) in held]
+    return table_of([[own[d,] for d in names] for own in fits]), [cell_of(names, "dataset")]
 
 
 @dataclass

@@ -83,57 +83,92 @@ def _by_group(starts: np.ndarray, y: np.ndarray, none: np.ndarray, made: list[np
 
 @dataclass(frozen=True)
 class Scores:
-    """Names of scores, which a function makes of input columns (each mean_of that follow one another are averaged) for the
-    rows that `only` holds of. Without a function they are the inputs themselves, which may be null."""
+    """Names of scores, which a function makes of input columns and of the group's cells (each mean_of that follow one another
+    are averaged) for the rows that have a number in all inputs. Without a function they are the inputs, which may be null."""
 
     names: Sequence[str]
     inputs: Sequence[str]
     made: Callable[[list[np.ndarray]], list[np.ndarray]] | None = None
-    only: Column | None = None
+    cells: Sequence[str] = ()
     mean_of: int = 1
 
 
-def per_query_wide(rows: DataFrame, keys: Sequence[str], families: Sequence[Scores], k: int = 10) -> DataFrame:
-    """keys and _v0, _v1, ...: spearman, ndcg and top1 of the families' scores, one after the other, of each group that can
-    be ranked by the rows of a family; null where it can't. One shuffle and one sort for all families."""
-    inputs = list(dict.fromkeys(c for f in families for c in f.inputs))
-    names = {c: f"_i{i}" for i, c in enumerate(inputs)}
-    only = [F.lit(True) if f.only is None else F.coalesce(f.only, F.lit(False)) for f in families]
-    used = rows.select(*keys, "passage_id", F.col("y").cast("double").alias("_y"), *[F.col(c).cast("double").alias(n) for c, n in names.items()], *[c.alias(f"_u{j}") for j, c in enumerate(only)])
-    ordered = dealt(used, *keys).sortWithinPartitions(*keys, "passage_id", "_y").drop("passage_id")
-    width = 3 * sum(len(f.names) for f in families)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in used.select(*keys).schema] + [f"_v{i} double" for i in range(width)]
-    plain = [(len(f.names), [names[c] for c in f.inputs], f.made, f.mean_of) for f in families]
+def gathered(rows: DataFrame, keys: Sequence[str], inputs: Sequence[str]) -> DataFrame:
+    """keys, of which the last is the query, _first (true of one row of each query), and lists of y and of the inputs as
+    doubles, _y and _i0, _i1, ..., by passage: a row for each group, from one shuffle and one sort."""
+    *more, query = keys
+    lists = ["_y", *[f"_i{i}" for i in range(len(inputs))]]
+    used = rows.select(*keys, "passage_id", *[F.col(c).cast("double").alias(n) for c, n in zip(["y", *inputs], lists, strict=True)])
+    ordered = dealt(used, query).sortWithinPartitions(query, *more, "passage_id", "_y").drop("passage_id")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in used.select(*keys).schema] + ["_first boolean"] + [f"{c} array<double>" for c in lists]
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = ()
         for table, starts in _whole_groups(batches, list(keys)):
-            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
-            y, none = _doubles(table["_y"]), np.asarray(table["_y"].is_null())
-            values, first = np.full((width, len(starts)), np.nan), 0
-            seen = np.zeros((width, len(starts)), bool)
-            for j, (n, own, made, mean_of) in enumerate(plain):
-                at = np.flatnonzero(table[f"_u{j}"].to_numpy())
-                x = [_doubles(table[c])[at] for c in own]
-                scores = made(x) if made else x
-                null = [np.zeros(len(at), bool)] * len(scores) if made else [np.asarray(table[c].is_null())[at] for c in own]
+            out = table.select(list(keys)).take(pa.array(starts))
+            first = np.zeros(len(starts), bool)
+            first[_starts(out, [query])] = True
+            first[0] = (out[query][0].as_py(),) != last
+            last = (out[query][-1].as_py(),)
+            out = out.append_column("_first", pa.array(first))
+            ends = pa.array(np.append(starts, table.num_rows).astype(np.int32))
+            for c in lists:
+                out = out.append_column(c, pa.ListArray.from_arrays(ends, pa.concat_arrays(table[c].chunks)))
+            yield from out.combine_chunks().to_batches()
+
+    return ordered.mapInArrow(groups, ", ".join(fields))
+
+
+def rows_of(batch: pa.RecordBatch, lists: Sequence[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Of rows of gathered the group's number of each row inside, and the lists' values (0 for null) and which are null."""
+    lengths = batch[lists[0]].value_lengths().to_numpy(zero_copy_only=False)
+    flat = [batch[c].flatten() for c in lists]
+    return np.repeat(np.arange(len(lengths)), lengths), [_doubles(x.fill_null(0.0)) for x in flat], [x.is_null().to_numpy(zero_copy_only=False) for x in flat]
+
+
+def per_query_wide(groups: DataFrame, keys: Sequence[str], inputs: Sequence[str], families: Sequence[Scores], k: int = 10) -> DataFrame:
+    """keys and _v0, _v1, ...: spearman, ndcg and top1 of the families' scores, one after the other, of each row of gathered
+    that can be ranked by the rows of a family; null where it can't."""
+    lists = ["_y", *[f"_i{i}" for i in range(len(inputs))]]
+    width, cells = 3 * sum(len(f.names) for f in families), list(dict.fromkeys(c for f in families for c in f.cells))
+    used = groups.select(*keys, *lists, *cells)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in used.select(*keys).schema] + [f"_v{i} double" for i in range(width)]
+    families = list(families)
+
+    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group, (y, *x), (none, *gone) = rows_of(batch, lists)
+            values, first = np.full((width, batch.num_rows), np.nan), 0
+            seen = np.zeros((width, batch.num_rows), bool)
+            for f in families:
+                own, of = [inputs.index(c) for c in f.inputs], [batch[c].fill_null(0).to_numpy()[group] for c in f.cells]
+                if f.made:  # rows with a number in all inputs and y, of groups with a cell
+                    fits = np.all([~gone[i] & ~np.isnan(x[i]) for i in own] + [~none & ~np.isnan(y)], axis=0)
+                    at = np.flatnonzero(fits & np.all([~batch[c].is_null().to_numpy(zero_copy_only=False) for c in f.cells], axis=0)[group])
+                    scores = f.made([x[i][at] for i in own] + [c[at] for c in of])
+                    null = [np.zeros(len(at), bool)] * len(scores)
+                else:
+                    at, scores, null = np.arange(len(y)), [x[i] for i in own], [gone[i] for i in own]
                 begins = np.flatnonzero(np.diff(group[at], prepend=-1))
-                kept, found = _by_group(begins, y[at], none[at], scores, null, k, False, mean_of)
+                kept, found = _by_group(begins, y[at], none[at], scores, null, k, False, f.mean_of)
                 to = group[at[kept]]
                 for m in range(3):
-                    for i in range(n):
+                    for i in range(len(f.names)):
                         values[first + 3 * i + m, to] = found[m][:, i]
                         seen[first + 3 * i + m, to] = ~np.isnan(found[m][:, i]) if METRICS[m] == "top1" else True
-                first += 3 * n
+                first += 3 * len(f.names)
             some = np.flatnonzero(seen.any(0))
-            out = table.select(list(keys)).take(pa.array(starts[some]))
+            out = pa.Table.from_batches([batch.select(list(keys))]).take(pa.array(some))
             for i in range(width):
                 out = out.append_column(f"_v{i}", pa.array(values[i, some], mask=~seen[i, some]))
             yield from out.combine_chunks().to_batches()
 
-    return ordered.mapInArrow(groups, ", ".join(fields))
+    return used.mapInArrow(ranks, ", ".join(fields))
 
 
-def _doubles(column: pa.ChunkedArray) -> np.ndarray:
+def _doubles(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.fill_null(0.0).to_numpy() + 0.0  # no negative zero
 
 

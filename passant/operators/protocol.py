@@ -51,15 +51,16 @@ def repeated_folds(rows: DataFrame, key: str = "query_id", folds: int = 5, repea
     return reduce(DataFrame.unionByName, parts)
 
 
-def fold_columns(rows: DataFrame, key: str = "query_id", folds: int = 5, repeats: int = 4, seed: int = 0) -> list[Column]:
+def fold_columns(rows: DataFrame, key: str = "query_id", folds: int = 5, repeats: int = 4, seed: int = 0, u: Sequence[Column] | None = None, once: Column | None = None) -> list[Column]:
     """The fold (from 1) of a row's key in each repeat, the same as repeated_folds deals out, without a join.
 
     A fold is a range of a seeded hash order, so it is known by its first key. Keys are counted by hash range, and the
     ranges that first keys fall in are ordered; the first keys reach the driver, some for each repeat. Null keys have no fold.
+    u: columns that hold fold_hashes; once: what is true of one row of each key. With these no row is hashed or shuffled.
     """
-    parts = 1024
-    u = [uniform(F.concat(F.lit(f"{seed + r}:"), F.col(key).cast("string"))) for r in range(repeats)]
-    keys = dealt(rows.where(F.col(key).isNotNull()).select(key), key).distinct()
+    parts, stored = 1024, u is not None
+    u = u or fold_hashes(key, repeats, seed)
+    keys = dealt(rows.where(F.col(key).isNotNull()).select(key), key).distinct() if once is None else rows.where(once & F.col(key).isNotNull())
     spots = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.floor(x * parts).cast("int").alias("b")) for r, x in enumerate(u)])).alias("s")
     counts = {(c["r"], c["b"]): c["n"] for c in keys.select(spots).groupBy("s.r", "s.b").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = sum(c for (r, _), c in counts.items() if r == 0)
@@ -74,17 +75,24 @@ def fold_columns(rows: DataFrame, key: str = "query_id", folds: int = 5, repeats
     if not wanted:
         return [F.when(F.col(key).isNotNull(), 1)] * repeats
     near = [F.floor(x * parts).isin([b for q, b, _ in wanted if q == r]) for r, x in enumerate(u)]
-    found = rows.where(reduce(lambda a, b: a | b, near)).select(key).distinct()
+    found = rows.where(reduce(lambda a, b: a | b, near))
+    found = found.select(key).distinct() if once is None else found.where(once)
     each = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.floor(x * parts).cast("int").alias("b"), x.alias("u"), F.col(key).alias("key")) for r, x in enumerate(u)])).alias("s")
     placed = found.select(each).select("s.*").withColumn("at", F.row_number().over(Window.partitionBy("r", "b").orderBy("u", "key")))
     first = placed.where(reduce(lambda a, b: a | b, [(F.col("r") == r) & (F.col("b") == b) & (F.col("at") == at) for r, b, at in wanted])).collect()
     out = []
     for r, x in enumerate(u):
         own = [(f["u"], f["key"]) for f in first if f["r"] == r]
-        out.append(F.transform(F.array(x), _reached(F.col(key), own))[0])  # so that the hash is taken once
+        reached = _reached(F.col(key), own)
+        out.append(reached(x) if stored else F.transform(F.array(x), reached)[0])  # so that the hash is taken once
     return out
 
 
+def fold_hashes(key: str, repeats: int, seed: int = 0) -> list[Column]:
+    """What the folds of each repeat order keys by."""
+    return [uniform(F.concat(F.lit(f"{seed + r}:"), F.col(key).cast("string"))) for r in range(repeats)]
+
+
 def _reached(key: Column, first: Sequence[tuple]) -> Callable[[Column], Column]:
     return lambda u: reduce(lambda a, b: a + b, [((u > at) | ((u == at) & (key >= F.lit(k)))).cast("int") for at, k in first], F.lit(1))
 

@@ -149,3 +149,28 @@ def test_metrics_of_models_and_columns_in_one_pass(spark):
         assert got.keys() == want.keys() and len({k[1:] for k in got}) == one.frame.count()
         for k in want:
             assert all((a is None) == (b is None) and (a is None or np.allclose(a, b, equal_nan=True)) for a, b in zip(got[k], want[k], strict=True)), k
+
+
+def test_rows_are_gathered_once(spark):
+    """Folds, Gram matrices and metrics read a row for each dataset and query, where each of them shuffled all rows before."""
+    rows = _queries(spark).withColumn("dataset", F.concat("dataset", (F.col("passage_id") % 2).cast("string")))
+    rows = rows.withColumn("x1", F.when(F.col("passage_id") > 0, F.col("x1"))).repartition(3)
+    groups = metrics.gathered(rows, ["dataset", "query_id"], ["x1"])
+    plan = groups._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(query_id") == 1 and plan.count("Exchange") == 2  # the other is the test's own
+    got, want = {(r["dataset"], r["query_id"]): r for r in groups.collect()}, {}
+    for r in sorted(rows.collect(), key=lambda r: r["passage_id"]):
+        want.setdefault((r["dataset"], r["query_id"]), []).append((r["y"], r["x1"]))
+    assert got.keys() == want.keys() and all(list(zip(got[k]["_y"], got[k]["_i0"], strict=True)) == want[k] for k in want)
+    assert sorted(q for (_, q), r in got.items() if r["_first"]) == list(range(60))
+    stored = groups.withColumns({f"_u{i}": u for i, u in enumerate(protocol.fold_hashes("query_id", 4))})
+    fold = protocol.fold_columns(stored, u=[F.col(f"_u{r}") for r in range(4)], once=F.col("_first"))
+    folds = {(r["query_id"], r["repeat"]): r["fold"] for r in stored.select("query_id", F.posexplode(F.array(*fold)).alias("repeat", "fold")).collect()}
+    assert folds == {(r["query_id"], r["repeat"]): r["fold"] for r in protocol.repeated_folds(rows).collect()}
+    whole = rows.where("x1 IS NOT NULL")
+    for r, held in enumerate(grams.cells_of(stored.withColumn("_c", F.col("query_id") % 3), 1, ["_c"])):
+        want_grams = grams.cells(grams.by_query(whole.withColumn("_c", F.col("query_id") % 3), ["x1"], keys=("_c", "dataset", "query_id")), 2, ["_c"])
+        assert r == 0 and {(f,) for f in held} == set(want_grams)
+        for f, g in held.items():
+            w = want_grams[f,]
+            assert g.n == w.n and all(np.allclose(a, b) for a, b in ((g.sums, w.sums), (g.inside, w.inside), (g.every, w.every)))
