@@ -843,13 +843,15 @@ def s12_entity_questions(spark, d):
 
 
 def _samples(samples: DataFrame) -> DataFrame:
-    return samples.select("query", F.array_join("answers", "|").alias("answers"), F.explode("passages").alias("p")).select("query", "answers", F.col("p.id").alias("passage_id"), F.col("p.text").alias("text"), F.col("p.is_positive").alias("is_positive"))
+    """A row for each passage. Before explode, Spark would filter by the passages' number, and so work all of them out twice."""
+    each = samples.select("query", F.array_join("answers", "|").alias("answers"), F.explode_outer("passages").alias("p")).where(F.col("p").isNotNull())
+    return each.select("query", "answers", F.col("p.id").alias("passage_id"), F.col("p.text").alias("text"), F.col("p.is_positive").alias("is_positive"))
 
 
 @query("s15_legacy_ragbench", f"""WITH {_RAW} SELECT lines[1] AS query, ws[1] AS answers, 'ragbench_' || doc_id || '_' || (j - 1) AS passage_id, line AS text, list_has_any(line_words, string_split(lines[-1], ' ')) AS is_positive FROM {_BY_LINE} l""")
 def s15_legacy_ragbench(spark, d):
     sentences = F.transform("lines", lambda x: F.transform(_words_of(x), lambda w: F.array(w, w)))
-    rows = _raw(spark, d).select(F.col("doc_id").alias("ordinal"), F.col("lines")[0].alias("question"), F.col("ws")[0].alias("response"), F.col("lines").alias("documents"), sentences.alias("documents_sentences"), _words_of(F.element_at("lines", -1)).alias("all_relevant_sentence_keys"))
+    rows = _raw(spark, d).select(F.col("doc_id").alias("ordinal"), F.col("lines")[0].alias("question"), F.substring_index("text", " ", 1).alias("response"), F.col("lines").alias("documents"), sentences.alias("documents_sentences"), _words_of(F.element_at("lines", -1)).alias("all_relevant_sentence_keys"))
     return _samples(parsers.load_legacy("ragbench", rows))
 
 

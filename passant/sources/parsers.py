@@ -122,10 +122,18 @@ def _old(id_: list[Column], text: Column, positive: Column) -> Column:
     return F.struct(F.concat_ws("_", *id_).alias("id"), text.alias("text"), positive.alias("is_positive"))
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value worked out once a row: Spark merges a column that a lambda names into the lambda, and works it
+    out again for each element."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def legacy_ragbench(rows: DataFrame, most: int | None = None) -> DataFrame:
-    relevant = F.coalesce("all_relevant_sentence_keys", F.array().cast("array<string>"))
-    nth = lambda j: F.coalesce(F.get(F.col("documents_sentences"), j), F.array().cast("array<array<string>>"))
-    passages = F.transform("documents", lambda d, j: _old([F.lit("ragbench"), F.col("ordinal").cast("string"), j.cast("string")], d, F.arrays_overlap(F.transform(nth(j), lambda s: F.element_at(s, 1)), relevant)))
+    sentences = F.coalesce("documents_sentences", F.array().cast("array<array<array<string>>>"))
+    relevant = F.array_distinct(F.coalesce("all_relevant_sentence_keys", F.array().cast("array<string>")))
+    keys = lambda r, j: F.transform(F.coalesce(F.get(r["sentences"], j), F.array().cast("array<array<string>>")), lambda s: F.element_at(s, 1))
+    one = lambda r, d, j: _old([F.lit("ragbench"), F.col("ordinal").cast("string"), j.cast("string")], d, F.arrays_overlap(keys(r, j), r["relevant"]))
+    passages = _once(F.struct(sentences.alias("sentences"), relevant.alias("relevant")), lambda r: F.transform("documents", lambda d, j: one(r, d, j)))
     return _sample(_limited(rows, most), F.col("question"), F.array("response"), passages, "ragbench")
 
 

@@ -1,6 +1,7 @@
 """Parsers, file scans, resumable tables, the streaming merge and the entry."""
 
 import json
+import time
 import zipfile
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from passant.functions import scorers
 from passant.operators import retrieval
+from passant.plans import catalog
 from passant.sources import archives, files, parsers
 from passant.streaming import topk
 
@@ -49,6 +51,25 @@ def test_legacy(spark):
         parsers.build_dataset(spark, "other", "/nowhere")
 
 
+def test_legacy_ragbench(spark):
+    schema = "ordinal long, question string, response string, documents array<string>, documents_sentences array<array<array<string>>>, all_relevant_sentence_keys array<string>"
+    rows = [(0, "q", "r", ["d0", "d1", "d2"], [[["a", "x"], ["b", "y"]], []], ["c", "b", "b"]), (1, "q", "r", ["d"], None, ["a"]), (2, "q", "r", ["d"], [[["a", "x"]]], None), (3, "q", "r", [], [], ["a"])]
+    got = parsers.load_legacy("ragbench", spark.createDataFrame(rows, schema)).collect()
+    assert [[(p["id"], p["text"], p["is_positive"]) for p in r["passages"]] for r in got] == [[("ragbench_0_0", "d0", True), ("ragbench_0_1", "d1", False), ("ragbench_0_2", "d2", False)], [("ragbench_1_0", "d", False)], [("ragbench_2_0", "d", False)], []]
+
+
+def test_legacy_ragbench_long_document(spark, tmp_path):
+    """A document's lines are split once, however many there are: not once for each line, and not again to filter by their number."""
+    lines = [" ".join(f"w{i}_{j}" for j in range(10)) for i in range(3000)] + ["w7_3 w2999_9 other"]
+    docs = spark.createDataFrame([(1, "\n".join(lines), "en"), (2, None, "en"), (3, "one two", "de")], "doc_id long, text string, lang string")
+    docs.coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    began = time.monotonic()
+    got = {r["passage_id"]: r for r in catalog.queries()["s15_legacy_ragbench"](spark, f"file://{tmp_path}").collect()}
+    assert time.monotonic() - began < 20
+    assert len(got) == 3003 and {k for k, r in got.items() if r["is_positive"]} == {"ragbench_1_7", "ragbench_1_2999", "ragbench_1_3000", "ragbench_2_0", "ragbench_3_0"}
+    assert (got["ragbench_1_5"]["query"], got["ragbench_1_5"]["answers"], got["ragbench_1_5"]["text"]) == (lines[0], "w0_0", lines[5]) and got["ragbench_3_0"]["answers"] == "one"
+
+
 def test_natural_questions(spark):
     schema = "ordinal long, question struct<text: string>, annotations struct<short_answers: array<struct<text: array<string>>>>, long_answer_candidates struct<start_token: array<int>, end_token: array<int>>, document struct<tokens: struct<token: array<string>, is_html: array<boolean>>>"
     rows = spark.createDataFrame([(0, ("q",), ([(["g"],)],), ([0, 2], [2, 2]), ((["<p>", "a", "b"], [True, False, False]),))], schema)
